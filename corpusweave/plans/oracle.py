@@ -14,3 +14,111 @@ WHERE rank <= 10
 ORACLE = {
     "semantic_topk": SEMANTIC_TOPK,
 }
+
+
+# ------------------------------------------------------------ templated corpus
+def _sql_concat(text: str) -> str:
+    """Template text -> DuckDB concatenation with placeholders as columns."""
+    import re
+    parts = []
+    for piece in re.split(r"(\{LIB\}|\{P\}|\{K\}|\{GO\}|\n)", text):
+        if piece == "":
+            continue
+        if piece == "\n":
+            parts.append("chr(10)")
+        elif piece in ("{LIB}", "{P}", "{K}", "{GO}"):
+            parts.append({"{LIB}": "lib", "{P}": "CAST(p AS VARCHAR)",
+                          "{K}": "CAST(k AS VARCHAR)", "{GO}": "go"}[piece])
+        else:
+            parts.append("'" + piece.replace("'", "''") + "'")
+    return " || ".join(parts)
+
+
+_LINES = [
+    "import os", "{LIB}", "from svc.s_{P} import run_{P}", "", "",
+    "class S{K}:", "    def {GO}(self):", "        return run_{P}(self)", "",
+    "    @property", "    def size(self):", "        return len(str(self))", "", "",
+    "def run_{K}(x):", "    return S{K}().go()", "", "",
+    'if __name__ == "__main__":', "    run_{K}(os.getpid())",
+]
+
+
+def _span(a: int, b: int, first_col: int = 0) -> str:
+    lines = _LINES[a:b + 1]
+    lines = [lines[0][first_col:]] + lines[1:]
+    return _sql_concat("\n".join(lines))
+
+
+CORPUS_CTE = f"""
+corpus AS (
+  SELECT s_suppkey AS k,
+         CASE WHEN s_suppkey = 0 THEN (SELECT count(*) FROM supplier) - 1 ELSE s_suppkey - 1 END AS p,
+         CASE s_suppkey % 3 WHEN 0 THEN 'import yaml' WHEN 1 THEN 'from flask import Flask'
+              ELSE 'import requests' END AS lib,
+         CASE WHEN s_suppkey IN (3, 8) THEN 'went' ELSE 'go' END AS go,
+         'svc/s_' || s_suppkey || '.py' AS path,
+         'svc.s_' || s_suppkey AS module
+  FROM supplier),
+chunks AS (
+  SELECT md5(path || '::' || qual) AS chunk_id, module || '.' || qual AS symbol_id,
+         name AS short_name, class_name, path, chunk_type,
+         CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line,
+         'python' AS language, content, module
+  FROM (
+    SELECT path, module, 'S' || k AS name, 'S' || k AS qual, 'S' || k AS class_name,
+           'class_definition' AS chunk_type, 5 AS start_line, 11 AS end_line,
+           {_span(5, 11)} AS content FROM corpus
+    UNION ALL
+    SELECT path, module, go, 'S' || k || '.' || go, 'S' || k, 'function_definition', 6, 7,
+           {_span(6, 7, 4)} FROM corpus
+    UNION ALL
+    SELECT path, module, 'run_' || k, 'run_' || k, NULL, 'function_definition', 14, 15,
+           {_span(14, 15)} FROM corpus
+    UNION ALL
+    SELECT path, module, '__module_level__', '__module_level__', NULL, 'module_level', 0, 19,
+           {_span(0, 19)} FROM corpus)),
+imports AS (
+  SELECT path, CAST(0 AS BIGINT) AS pos, 'import os' AS import_text FROM corpus
+  UNION ALL SELECT path, 1, lib FROM corpus
+  UNION ALL SELECT path, 2, 'from svc.s_' || p || ' import run_' || p FROM corpus),
+raw_calls AS (
+  SELECT path, module, caller, CAST(pos AS BIGINT) AS pos, raw_call FROM (
+    SELECT path, module, module || '.S' || k AS caller, 0 AS pos, 'run_' || p AS raw_call FROM corpus
+    UNION ALL SELECT path, module, module || '.S' || k, 1, 'len' FROM corpus
+    UNION ALL SELECT path, module, module || '.S' || k, 2, 'str' FROM corpus
+    UNION ALL SELECT path, module, module || '.S' || k || '.' || go, 0, 'run_' || p FROM corpus
+    UNION ALL SELECT path, module, module || '.run_' || k, 0, 'S' || k || '().go' FROM corpus
+    UNION ALL SELECT path, module, module || '.run_' || k, 1, 'S' || k FROM corpus
+    UNION ALL SELECT path, module, module || '.__module_level__', 0, 'run_' || p FROM corpus
+    UNION ALL SELECT path, module, module || '.__module_level__', 1, 'len' FROM corpus
+    UNION ALL SELECT path, module, module || '.__module_level__', 2, 'str' FROM corpus
+    UNION ALL SELECT path, module, module || '.__module_level__', 3, 'S' || k || '().go' FROM corpus
+    UNION ALL SELECT path, module, module || '.__module_level__', 4, 'S' || k FROM corpus
+    UNION ALL SELECT path, module, module || '.__module_level__', 5, 'run_' || k FROM corpus
+    UNION ALL SELECT path, module, module || '.__module_level__', 6, 'os.getpid' FROM corpus)),
+names AS (SELECT short_name, count(DISTINCT symbol_id) AS n, min(symbol_id) AS first_id
+          FROM chunks GROUP BY short_name),
+resolved AS (
+  SELECT r.path, r.caller, r.pos, r.raw_call,
+         CASE WHEN nm.n = 1 THEN nm.first_id
+              WHEN pk.picked IS NOT NULL THEN pk.picked ELSE r.raw_call END AS dst,
+         (COALESCE(nm.n = 1, false) OR pk.picked IS NOT NULL) AS resolved
+  FROM raw_calls r
+  LEFT JOIN names nm ON nm.short_name = regexp_extract(r.raw_call, '[^.]*$')
+  LEFT JOIN (SELECT r2.raw_call, r2.module, min(c.symbol_id) AS picked
+             FROM (SELECT DISTINCT raw_call, module FROM raw_calls) r2
+             JOIN chunks c ON c.short_name = regexp_extract(r2.raw_call, '[^.]*$')
+                          AND starts_with(c.symbol_id, r2.module)
+             GROUP BY r2.raw_call, r2.module) pk
+    ON pk.raw_call = r.raw_call AND pk.module = r.module AND nm.n > 1)
+"""
+
+ORACLE.update({
+    "chunk_extract": f"WITH {CORPUS_CTE} SELECT chunk_id, symbol_id, short_name, class_name, path, "
+                     "chunk_type, start_line, end_line, language, content FROM chunks",
+    "import_extract": f"WITH {CORPUS_CTE} SELECT path, pos, import_text FROM imports",
+    "call_extract": f"WITH {CORPUS_CTE} SELECT path, caller, pos, raw_call FROM raw_calls",
+    "symbol_table": f"WITH {CORPUS_CTE} SELECT symbol_id, short_name, path, chunk_id, "
+                    "chunk_type AS type, start_line, end_line FROM chunks",
+    "call_resolution": f"WITH {CORPUS_CTE} SELECT DISTINCT caller AS src, dst, resolved FROM resolved",
+})

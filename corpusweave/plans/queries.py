@@ -29,3 +29,53 @@ def q_semantic_topk(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "semantic_topk": q_semantic_topk,
 }
+
+
+# ------------------------------------------------------------ index build
+from corpusweave.operators import extract as X  # noqa: E402
+from corpusweave.operators import graph as G  # noqa: E402
+from corpusweave.plans.fixtures import code_corpus  # noqa: E402
+
+
+def _corpus_x(spark, d):
+    return X.extract(code_corpus(spark, d))
+
+
+def q_chunk_extract(spark, d):
+    c = X.chunks(_corpus_x(spark, d))
+    return c.select("chunk_id", "symbol_id", "short_name", "class_name", "path", "chunk_type",
+                    F.col("start_line").cast("bigint").alias("start_line"),
+                    F.col("end_line").cast("bigint").alias("end_line"), "language", "content")
+
+
+def q_import_extract(spark, d):
+    i = X.imports(_corpus_x(spark, d))
+    return i.select("path", F.col("pos").cast("bigint").alias("pos"), "import_text")
+
+
+def q_call_extract(spark, d):
+    r = X.raw_calls(_corpus_x(spark, d))
+    return r.select("path", "caller", F.col("pos").cast("bigint").alias("pos"), "raw_call")
+
+
+def q_symbol_table(spark, d):
+    s = G.symbol_table(X.chunks(_corpus_x(spark, d)))
+    return s.select("symbol_id", "short_name", "path", "chunk_id", "type",
+                    F.col("start_line").cast("bigint").alias("start_line"),
+                    F.col("end_line").cast("bigint").alias("end_line"))
+
+
+def q_call_resolution(spark, d):
+    x = _corpus_x(spark, d).persist()
+    syms = G.symbol_table(X.chunks(x))
+    res = G.resolve_calls(X.raw_calls(x), syms)
+    return G.call_edges(res)
+
+
+QUERIES.update({
+    "chunk_extract": q_chunk_extract,
+    "import_extract": q_import_extract,
+    "call_extract": q_call_extract,
+    "symbol_table": q_symbol_table,
+    "call_resolution": q_call_resolution,
+})
