@@ -89,18 +89,20 @@ def graph_nodes(symbols: DataFrame, edges: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- G5-G7
 def callers_of(edges: DataFrame, ids: DataFrame, id_col: str = "symbol_id") -> DataFrame:
     """(id, caller) for a table of ids; unknown ids give no rows."""
-    return ids.join(edges, ids[id_col] == edges["dst"]).select(ids[id_col], edges["src"].alias("caller"))
+    e = edges.select(F.col("src").alias("caller"), F.col("dst").alias(id_col))
+    return ids.select(id_col).join(e, id_col).select(id_col, "caller")
 
 
 def callees_of(edges: DataFrame, ids: DataFrame, id_col: str = "symbol_id") -> DataFrame:
     """(id, callee) for a table of ids."""
-    return ids.join(edges, ids[id_col] == edges["src"]).select(ids[id_col], edges["dst"].alias("callee"))
+    e = edges.select(F.col("src").alias(id_col), F.col("dst").alias("callee"))
+    return ids.select(id_col).join(e, id_col).select(id_col, "callee")
 
 
 def dependencies_of(imports: DataFrame, files: DataFrame, path_col: str = "path") -> DataFrame:
     """Import statements of each file in ``files``."""
-    return files.join(imports, files[path_col] == imports["path"]).select(
-        files[path_col].alias("file"), "pos", "import_text")
+    imp = imports.select(F.col("path").alias("file"), "pos", "import_text")
+    return files.select(F.col(path_col).alias("file")).join(imp, "file")
 
 
 # ---------------------------------------------------------------- G8

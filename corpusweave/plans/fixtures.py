@@ -54,3 +54,25 @@ def code_corpus(spark: SparkSession, d: str) -> DataFrame:
         (F.lit("2024-01-01").cast("timestamp") + F.make_interval(secs=k.cast("int"))).alias("modificationTime"),
         F.octet_length(text).cast("bigint").alias("length"),
         F.encode(text, "UTF-8").alias("content"))
+
+
+HREF_RE = 'href="([^"]*)"'
+
+
+def page_links(spark: SparkSession, d: str) -> DataFrame:
+    """(url, href) for every link of every page (duplicates kept)."""
+    p = table(spark, d, "pages").select("url", "html")
+    return p.select("url", F.explode(F.expr(f"regexp_extract_all(html, '{HREF_RE}', 1)")).alias("href"))
+
+
+def page_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Link graph: page url -> href text, distinct."""
+    return page_links(spark, d).select(F.col("url").alias("src"), F.col("href").alias("dst")).distinct()
+
+
+def vector_edges(emb: DataFrame) -> DataFrame:
+    """Two synthetic call edges per vector: id -> (7 id + 3) % n, (13 id + 5) % n."""
+    n = emb.count()
+    v = F.col("vec_id")
+    return (emb.select(v.alias("src"), ((v * 7 + 3) % n).alias("dst"))
+               .union(emb.select(v.alias("src"), ((v * 13 + 5) % n).alias("dst"))).distinct())

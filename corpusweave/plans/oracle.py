@@ -122,3 +122,68 @@ ORACLE.update({
                     "chunk_type AS type, start_line, end_line FROM chunks",
     "call_resolution": f"WITH {CORPUS_CTE} SELECT DISTINCT caller AS src, dst, resolved FROM resolved",
 })
+
+
+# ------------------------------------------------------------ graph + retrieval
+def _bfs(seeds: str, edges: str, budget: int = 30) -> str:
+    """CTEs und, h1, h2, expanded: 2-hop BFS from seeds(query_id, symbol)
+    over edges(src, dst), scored and cut to the budget (unpruned)."""
+    return f"""
+e_ AS ({edges}),
+und AS (SELECT src, dst FROM (SELECT src, dst FROM e_ UNION SELECT dst, src FROM e_) WHERE src <> dst),
+s0 AS (SELECT DISTINCT query_id, symbol FROM ({seeds})),
+h1 AS (SELECT DISTINCT s.query_id, u.dst AS symbol FROM s0 s JOIN und u ON u.src = s.symbol
+       WHERE NOT EXISTS (SELECT 1 FROM s0 v WHERE v.query_id = s.query_id AND v.symbol = u.dst)),
+h2 AS (SELECT DISTINCT s.query_id, u.dst AS symbol FROM h1 s JOIN und u ON u.src = s.symbol
+       WHERE NOT EXISTS (SELECT 1 FROM s0 v WHERE v.query_id = s.query_id AND v.symbol = u.dst)
+         AND NOT EXISTS (SELECT 1 FROM h1 v WHERE v.query_id = s.query_id AND v.symbol = u.dst)),
+allv AS (SELECT query_id, symbol, 0 AS hop FROM s0 UNION ALL SELECT query_id, symbol, 1 FROM h1
+         UNION ALL SELECT query_id, symbol, 2 FROM h2),
+scored AS (SELECT query_id, symbol, hop,
+                  CASE WHEN hop = 0 THEN 1.0 ELSE greatest(0.0, 1.0 - 0.2 * hop) END::DOUBLE AS score FROM allv),
+expanded AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, symbol)
+                            AS rank FROM scored) WHERE rank <= {budget})
+"""
+
+
+PAGE_EDGES = ("SELECT DISTINCT src, dst FROM (SELECT url AS src, "
+              "unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS dst FROM pages)")
+PAGE_LINKS = "SELECT url, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages"
+
+SEM_CTE = """
+sem AS (SELECT * FROM (
+  SELECT query_id, chunk_id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, chunk_id) AS rank
+  FROM (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id,
+               1.0 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS d
+        FROM embeddings q, embeddings c)) WHERE rank <= 10)"""
+
+VEC_EDGES = ("SELECT vec_id AS src, (vec_id * 7 + 3) % (SELECT count(*) FROM embeddings) AS dst FROM embeddings "
+             "UNION SELECT vec_id, (vec_id * 13 + 5) % (SELECT count(*) FROM embeddings) FROM embeddings")
+
+ORACLE.update({
+    "graph_expand": f"""WITH {_bfs("SELECT page_id AS query_id, url AS symbol FROM pages", PAGE_EDGES)}
+SELECT query_id, rank, symbol, CAST(hop AS BIGINT) AS hop, ROUND(score, 6) AS score FROM expanded""",
+    "callers_callees": f"""WITH e AS ({PAGE_EDGES})
+SELECT dst AS node, 'caller' AS direction, src AS other FROM e
+UNION ALL SELECT src, 'callee', dst FROM e""",
+    "dependents_contains": f"""WITH l AS ({PAGE_LINKS}),
+m AS (SELECT DISTINCT regexp_extract(href, '[^/]*$') AS module FROM l)
+SELECT DISTINCT m.module, l.url AS dependent FROM m JOIN l ON contains(l.href, m.module)
+WHERE m.module <> ''""",
+    "related_files": f"""WITH {CORPUS_CTE},
+deps AS (SELECT c.k AS query_id, 'dependency' AS kind, i.import_text AS item
+         FROM corpus c JOIN imports i ON i.path = c.path),
+dnts AS (SELECT c.k AS query_id, 'dependent' AS kind, i.path AS item
+         FROM corpus c JOIN imports i ON contains(i.import_text, c.module)),
+b AS (SELECT * FROM deps UNION SELECT * FROM dnts)
+SELECT query_id, kind, item FROM b UNION SELECT query_id, 'related', item FROM b""",
+    "hybrid_retrieve": f"""WITH {SEM_CTE},
+{_bfs("SELECT query_id, chunk_id AS symbol FROM sem", VEC_EDGES)},
+g AS (SELECT t.query_id, t.symbol AS chunk_id, t.score FROM expanded t
+      WHERE NOT EXISTS (SELECT 1 FROM sem s WHERE s.query_id = t.query_id AND s.chunk_id = t.symbol)),
+u AS (SELECT query_id, chunk_id, 1.0::DOUBLE AS score, 'semantic' AS source, 0 AS srank, d AS distance FROM sem
+      UNION ALL SELECT query_id, chunk_id, score, 'graph', 1, NULL FROM g)
+SELECT query_id,
+       row_number() OVER (PARTITION BY query_id ORDER BY score DESC, srank, distance NULLS LAST, chunk_id) AS rank,
+       chunk_id, ROUND(score, 6) AS score, source, ROUND(distance, 6) + 0.0 AS distance FROM u""",
+})

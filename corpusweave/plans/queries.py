@@ -79,3 +79,58 @@ QUERIES.update({
     "symbol_table": q_symbol_table,
     "call_resolution": q_call_resolution,
 })
+
+
+# ------------------------------------------------------------ graph + retrieval
+from corpusweave.operators import retrieve as R  # noqa: E402
+from corpusweave.plans.fixtures import page_edges, page_links, vector_edges  # noqa: E402
+
+
+def q_graph_expand(spark, d):
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("query_id"), F.col("url").alias("symbol"))
+    out = G.graph_expand(pages, page_edges(spark, d))
+    return out.select("query_id", F.col("rank").cast("bigint").alias("rank"), "symbol",
+                      F.col("hop").cast("bigint").alias("hop"), r6(F.col("score")).alias("score"))
+
+
+def q_callers_callees(spark, d):
+    e = page_edges(spark, d)
+    nodes = e.select(F.col("src").alias("symbol_id")).union(e.select(F.col("dst").alias("symbol_id"))).distinct()
+    callers = G.callers_of(e, nodes).select(F.col("symbol_id").alias("node"), F.lit("caller").alias("direction"),
+                                            F.col("caller").alias("other"))
+    callees = G.callees_of(e, nodes).select(F.col("symbol_id").alias("node"), F.lit("callee").alias("direction"),
+                                            F.col("callee").alias("other"))
+    return callers.union(callees)
+
+
+def q_dependents_contains(spark, d):
+    links = page_links(spark, d)
+    modules = links.select(F.regexp_extract("href", "[^/]*$", 0).alias("module")).distinct()
+    hits = G.substring_matches(modules, links.select(F.col("href").alias("text")))
+    return (hits.join(links, hits["text"] == links["href"])
+                .select("module", F.col("url").alias("dependent")).distinct())
+
+
+def q_related_files(spark, d):
+    x = _corpus_x(spark, d)
+    src = code_corpus(spark, d).select(F.col("path"), F.regexp_extract("path", r"s_(\d+)", 1)
+                                       .cast("bigint").alias("query_id"))
+    return G.related_files(X.imports(x), src.select("query_id", "path"))
+
+
+def q_hybrid_retrieve(spark, d):
+    emb = table(spark, d, "embeddings").select("vec_id", "embedding")
+    ids = emb.select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("symbol_id"))
+    hits = R.hybrid_retrieve(emb.withColumnRenamed("vec_id", "query_id"),
+                             emb.withColumnRenamed("vec_id", "chunk_id"), ids, ids, vector_edges(emb))
+    return hits.select("query_id", F.col("rank").cast("bigint").alias("rank"), "chunk_id",
+                       r6(F.col("score")).alias("score"), "source", r6(F.col("distance")).alias("distance"))
+
+
+QUERIES.update({
+    "graph_expand": q_graph_expand,
+    "callers_callees": q_callers_callees,
+    "dependents_contains": q_dependents_contains,
+    "related_files": q_related_files,
+    "hybrid_retrieve": q_hybrid_retrieve,
+})
