@@ -76,3 +76,34 @@ def vector_edges(emb: DataFrame) -> DataFrame:
     v = F.col("vec_id")
     return (emb.select(v.alias("src"), ((v * 7 + 3) % n).alias("dst"))
                .union(emb.select(v.alias("src"), ((v * 13 + 5) % n).alias("dst"))).distinct())
+
+
+def doc_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshot of documents as files: path doc/{id}, size n_chars,
+    mtime 2024-01-01 + id seconds, content = text."""
+    doc = table(spark, d, "documents").select("doc_id", "text", "n_chars")
+    return doc.select(
+        "doc_id", F.format_string("doc/%d", "doc_id").alias("path"),
+        F.col("n_chars").alias("length"),
+        (F.lit("2024-01-01").cast("timestamp") + F.make_interval(secs=F.col("doc_id").cast("int")))
+        .alias("modificationTime"),
+        F.encode("text", "UTF-8").alias("content"), "text")
+
+
+def doc_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Manifest by doc_id % 5 (FIXTURES §4): 0 absent, 1 size+1 and other
+    hash, 2 mtime - 1 s, 3 other hash only, 4 identical; plus a copy of
+    doc_id % 10 = 4 under doc/{id + 1000000} that no longer exists."""
+    s = doc_snapshot(spark, d)
+    r = F.col("doc_id") % 5
+    x = F.md5(F.lit("x"))
+    base = s.where(r != 0).select(
+        "path",
+        F.when(r == 1, F.col("length") + 1).otherwise(F.col("length")).alias("size"),
+        F.when(r == 2, F.col("modificationTime") - F.expr("INTERVAL 1 SECOND"))
+         .otherwise(F.col("modificationTime")).alias("mtime"),
+        F.when(r.isin(1, 3), x).otherwise(F.md5("text")).alias("hash"))
+    gone = s.where(F.col("doc_id") % 10 == 4).select(
+        F.format_string("doc/%d", F.col("doc_id") + 1000000).alias("path"),
+        F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.md5("text").alias("hash"))
+    return base.union(gone)

@@ -187,3 +187,46 @@ SELECT query_id,
        row_number() OVER (PARTITION BY query_id ORDER BY score DESC, srank, distance NULLS LAST, chunk_id) AS rank,
        chunk_id, ROUND(score, 6) AS score, source, ROUND(distance, 6) + 0.0 AS distance FROM u""",
 })
+
+
+# ------------------------------------------------------------ change detection
+DOC_CTE = """
+snap AS (SELECT doc_id, 'doc/' || doc_id AS path, n_chars AS size,
+                TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id) AS mtime, md5(text) AS hash, text
+         FROM documents),
+man AS (SELECT path, CASE WHEN doc_id % 5 = 1 THEN size + 1 ELSE size END AS size,
+               CASE WHEN doc_id % 5 = 2 THEN mtime - INTERVAL 1 SECOND ELSE mtime END AS mtime,
+               CASE WHEN doc_id % 5 IN (1, 3) THEN md5('x') ELSE hash END AS hash
+        FROM snap WHERE doc_id % 5 <> 0
+        UNION ALL
+        SELECT 'doc/' || (doc_id + 1000000), size, mtime, hash FROM snap WHERE doc_id % 10 = 4),
+st AS (SELECT coalesce(s.path, m.path) AS path,
+              CASE WHEN m.path IS NULL THEN 'NEW' WHEN s.path IS NULL THEN 'DELETED'
+                   WHEN (s.size <> m.size OR s.mtime <> m.mtime) AND s.hash <> m.hash THEN 'CHANGED'
+                   ELSE 'UNCHANGED' END AS status,
+              CASE WHEN m.path IS NULL THEN 'NEW' WHEN s.path IS NULL THEN 'DELETED'
+                   WHEN s.hash <> m.hash THEN 'CHANGED' ELSE 'UNCHANGED' END AS status_always_hash,
+              s.size, s.mtime, s.hash, m.size AS old_size, m.mtime AS old_mtime, m.hash AS old_hash
+       FROM snap s FULL OUTER JOIN man m ON s.path = m.path)
+"""
+
+ORACLE.update({
+    "change_status": f"WITH {DOC_CTE} SELECT path, status, status_always_hash FROM st",
+    "manifest_refresh": f"""WITH {DOC_CTE}
+SELECT path, CASE WHEN status IN ('NEW', 'CHANGED') THEN size ELSE old_size END AS size,
+       strftime(CASE WHEN status IN ('NEW', 'CHANGED') THEN mtime ELSE old_mtime END, '%Y-%m-%d %H:%M:%S') AS mtime,
+       CASE WHEN status IN ('NEW', 'CHANGED') THEN hash ELSE old_hash END AS hash
+FROM st WHERE status <> 'DELETED'""",
+    "invalidate": f"""WITH {DOC_CTE},
+lines AS (SELECT path, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS BIGINT) AS pos,
+                 CAST(length(unnest(string_split(text, chr(10)))) AS BIGINT) AS line_chars FROM snap)
+SELECT l.path, l.pos, l.line_chars FROM lines l
+WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.path = l.path AND st.status <> 'UNCHANGED')""",
+    "vector_upsert": """WITH n AS (SELECT count(*) AS n FROM embeddings),
+old AS (SELECT vec_id AS chunk_id, 'old' AS origin, embedding FROM embeddings),
+new AS (SELECT vec_id + (SELECT n FROM n) // 2 AS chunk_id, 'new' AS origin, embedding
+        FROM embeddings WHERE vec_id % 4 = 0),
+up AS (SELECT * FROM old WHERE chunk_id NOT IN (SELECT chunk_id FROM new) UNION ALL SELECT * FROM new)
+SELECT chunk_id, origin, ROUND(CAST(embedding[1] AS DOUBLE), 6) + 0.0 AS emb_head FROM up
+WHERE chunk_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 10 = 0)""",
+})

@@ -134,3 +134,55 @@ QUERIES.update({
     "related_files": q_related_files,
     "hybrid_retrieve": q_hybrid_retrieve,
 })
+
+
+# ------------------------------------------------------------ change detection
+from corpusweave.operators import changes as C  # noqa: E402
+from corpusweave.plans.fixtures import doc_manifest, doc_snapshot  # noqa: E402
+from corpusweave.sources import store as S  # noqa: E402
+
+
+def q_change_status(spark, d):
+    snap = C.snapshot(doc_snapshot(spark, d))
+    man = doc_manifest(spark, d)
+    a = C.classify(snap, man).select("path", "status")
+    b = C.classify(snap, man, always_hash=True).select("path", F.col("status").alias("status_always_hash"))
+    return a.join(b, "path")
+
+
+def q_manifest_refresh(spark, d):
+    st = C.classify(C.snapshot(doc_snapshot(spark, d)), doc_manifest(spark, d))
+    m = C.refresh_manifest(st)
+    return m.select("path", "size", F.date_format("mtime", "yyyy-MM-dd HH:mm:ss").alias("mtime"), "hash")
+
+
+def q_invalidate(spark, d):
+    """C4 on a file-scoped table of document lines."""
+    snap = doc_snapshot(spark, d)
+    st = C.classify(C.snapshot(snap), doc_manifest(spark, d))
+    lines = snap.select("path", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    kept = C.invalidate(lines, st)
+    return kept.select("path", F.col("pos").cast("bigint").alias("pos"),
+                       F.length("line").cast("bigint").alias("line_chars"))
+
+
+def q_vector_upsert(spark, d):
+    """S3 + S4: vectors keyed by id; new rows for every id divisible by 4
+    (shifted by n/2, half replace, half are new), then ids divisible by 10 deleted."""
+    emb = table(spark, d, "embeddings").select("vec_id", "embedding")
+    n = emb.count()
+    old = emb.select(F.col("vec_id").alias("chunk_id"), F.lit("old").alias("origin"), "embedding")
+    new = emb.where(F.col("vec_id") % 4 == 0).select(
+        (F.col("vec_id") + F.lit(n // 2)).alias("chunk_id"), F.lit("new").alias("origin"), "embedding")
+    up = S.upsert(old, new, "chunk_id")
+    gone = emb.where(F.col("vec_id") % 10 == 0).select(F.col("vec_id").alias("chunk_id"))
+    out = S.delete_ids(up, gone, "chunk_id")
+    return out.select("chunk_id", "origin", r6(F.col("embedding")[0].cast("double")).alias("emb_head"))
+
+
+QUERIES.update({
+    "change_status": q_change_status,
+    "manifest_refresh": q_manifest_refresh,
+    "invalidate": q_invalidate,
+    "vector_upsert": q_vector_upsert,
+})
