@@ -107,3 +107,53 @@ def doc_manifest(spark: SparkSession, d: str) -> DataFrame:
         F.format_string("doc/%d", F.col("doc_id") + 1000000).alias("path"),
         F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.md5("text").alias("hash"))
     return base.union(gone)
+
+
+# ------------------------------------------------------------ derived run tables
+ERROR_TEMPLATES = ["429 RESOURCE_EXHAUSTED", "Daily Quota hit", "503 busy", "read Timeout",
+                   "401 bad key", "quota 503"]
+
+
+def api_errors(spark: SparkSession, d: str) -> DataFrame:
+    """errors(event_id, call_id, attempt, error_class, message) from events."""
+    ev = table(spark, d, "events").select("event_id", "event_type", "props")
+    tmpl = F.element_at(F.array(*[F.lit(t) for t in ERROR_TEMPLATES]), (F.col("event_id") % 6 + 1).cast("int"))
+    msg = F.concat(tmpl, F.lit(" "), F.expr("repeat(event_type, 1 + cast(event_id % 40 as int))"),
+                   F.lit("\ndetail "), F.col("props"))
+    cls = (F.when(F.col("event_type") == "error", F.lit("ServerError"))
+            .when(F.col("event_type") == "click", F.lit("ClientError")))
+    return ev.select("event_id", (F.col("event_id") / 3).cast("bigint").alias("call_id"),
+                     (F.col("event_id") % 3).cast("int").alias("attempt"), cls.alias("error_class"),
+                     msg.alias("message"))
+
+
+def model_replies(spark: SparkSession, d: str) -> DataFrame:
+    """replies(plan_id, raw_text): fenced / plain / padded / cut JSON by event_id % 4."""
+    ev = table(spark, d, "events").select("event_id", "props")
+    r = F.col("event_id") % 4
+    raw = (F.when(r == 0, F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```")))
+            .when(r == 1, F.col("props"))
+            .when(r == 2, F.concat(F.lit("\n\n"), F.col("props"), F.lit("\n")))
+            .otherwise(F.expr("substring(props, 1, length(props) - 1)")))
+    return ev.select(F.col("event_id").alias("plan_id"), raw.alias("raw_text"))
+
+
+def test_runs(spark: SparkSession, d: str) -> DataFrame:
+    """runs(doc_id, returncode, output): document text with words swapped in."""
+    doc = table(spark, d, "documents").select("doc_id", "text")
+    out = F.replace(F.replace(F.replace("text", F.lit(" de "), F.lit(" passed ")),
+                              F.lit(" the "), F.lit(" failed ")), F.lit(" la "), F.lit(" ERROR "))
+    return doc.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("returncode"), out.alias("output"))
+
+
+def run_events(spark: SparkSession, d: str) -> DataFrame:
+    """events as test results: a run ends at each purchase (= passed); thread
+    = user and run number (earlier purchases of the user)."""
+    from pyspark.sql import Window
+    ev = table(spark, d, "events").select("event_id", "user_id", "event_type", "value", "props")
+    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
+    run_no = F.coalesce(F.sum(F.when(F.col("event_type") == "purchase", 1).otherwise(0)).over(w), F.lit(0))
+    return ev.select("*", run_no.cast("bigint").alias("run_no"),
+                     (F.col("event_type") == "purchase").alias("passed"),
+                     F.concat(F.lit("U"), F.col("user_id").cast("string"), F.lit("-"),
+                              run_no.cast("string")).alias("thread_id"))

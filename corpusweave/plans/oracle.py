@@ -230,3 +230,192 @@ up AS (SELECT * FROM old WHERE chunk_id NOT IN (SELECT chunk_id FROM new) UNION
 SELECT chunk_id, origin, ROUND(CAST(embedding[1] AS DOUBLE), 6) + 0.0 AS emb_head FROM up
 WHERE chunk_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 10 = 0)""",
 })
+
+
+# ------------------------------------------------------------ replies, errors, log
+from corpusweave.functions.text import PY_SPACE as _PS  # noqa: E402
+
+_ERR_CTE = """
+e AS (SELECT event_id, event_id // 3 AS call_id, CAST(event_id % 3 AS BIGINT) AS attempt,
+             CASE event_type WHEN 'error' THEN 'ServerError' WHEN 'click' THEN 'ClientError' END AS error_class,
+             (['429 RESOURCE_EXHAUSTED', 'Daily Quota hit', '503 busy', 'read Timeout', '401 bad key',
+               'quota 503'])[event_id % 6 + 1] || ' ' || repeat(event_type, CAST(1 + event_id % 40 AS INT))
+             || chr(10) || 'detail ' || props AS message
+      FROM events),
+t AS (SELECT *, CASE WHEN contains(message, 'RESOURCE_EXHAUSTED') OR contains(lower(message), 'quota')
+                     THEN 'QUOTA_EXCEEDED'
+                     WHEN coalesce(error_class = 'ServerError', false) OR contains(message, '503')
+                          OR contains(message, 'UNAVAILABLE') OR contains(lower(message), 'timeout')
+                     THEN 'TRANSIENT' ELSE 'FATAL' END AS error_kind,
+             split_part(message, chr(10), 1) AS fl FROM e)"""
+
+_RUN_CTE = """
+ev AS (SELECT event_id, user_id, event_type, value, props, event_type = 'purchase' AS passed,
+              coalesce(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (
+                PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run_no
+       FROM events),
+th AS (SELECT *, 'U' || user_id || '-' || run_no AS thread_id FROM ev),
+rc AS (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY event_id) - 1 AS retry_count FROM th),
+rt AS (SELECT *, CASE WHEN passed THEN 'build' WHEN retry_count >= 3 THEN 'escalate' ELSE 'retry' END AS route
+       FROM rc)"""
+
+_DECISION = "(['retry', 'approve', 'abandon', 'maybe', NULL])[event_id % 5 + 1]"
+_ROUTE_DECISION = "CASE WHEN {d} = 'retry' THEN 'retry' WHEN {d} = 'approve' THEN 'build' ELSE 'end' END"
+
+
+def _pri(col):
+    word = ("CASE " + col + " WHEN '1-URGENT' THEN 'Critical' WHEN '2-HIGH' THEN 'HIGH' WHEN '3-MEDIUM' THEN 'medium' "
+            "WHEN '4-NOT SPECIFIED' THEN 'unspecified' WHEN '5-LOW' THEN 'low' END")
+    return (f"coalesce(CASE lower({word}) WHEN 'low' THEN 'Low' WHEN 'medium' THEN 'Medium' WHEN 'high' THEN 'High' "
+            "WHEN 'critical' THEN 'Highest' END, 'Medium')")
+
+
+def _typ(col):
+    word = f"CASE {col} WHEN 'F' THEN 'bug' WHEN 'O' THEN 'Feature' WHEN 'P' THEN 'task' END"
+    return f"coalesce(CASE lower({word}) WHEN 'bug' THEN 'Bug' WHEN 'feature' THEN 'Story' END, 'Bug')"
+
+
+ORACLE.update({
+    "error_triage": f"""WITH {_ERR_CTE}
+SELECT event_id, call_id, attempt, error_kind,
+       CASE WHEN length(fl) <= 200 THEN fl ELSE substr(fl, 1, 200) || '...' END AS short FROM t""",
+    "retry_schedule": f"""WITH {_ERR_CTE},
+s AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY attempt) - 1 AS n,
+             coalesce(sum(CASE WHEN error_kind <> 'TRANSIENT' THEN 1 ELSE 0 END) OVER (
+               PARTITION BY call_id ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stops
+      FROM t),
+r AS (SELECT *, (stops = 0 AND n < 3) AS reached FROM s),
+w AS (SELECT *, (reached AND error_kind = 'TRANSIENT' AND n < 2) AS will_retry FROM r)
+SELECT call_id, attempt, error_kind, reached, will_retry,
+       CAST(CASE WHEN will_retry THEN (n + 1) * 5 ELSE 0 END AS BIGINT) AS wait_s,
+       (reached AND NOT will_retry) AS gave_up FROM w""",
+    "reply_parse": f"""WITH r AS (
+  SELECT event_id AS plan_id,
+         CASE event_id % 4 WHEN 0 THEN '```json' || chr(10) || props || chr(10) || '```' WHEN 1 THEN props
+              WHEN 2 THEN chr(10) || chr(10) || props || chr(10) ELSE substr(props, 1, length(props) - 1) END AS raw
+  FROM events),
+c AS (SELECT plan_id, regexp_replace(regexp_replace(raw, '^{_PS}+|{_PS}+$', '', 'g'),
+                                     '(?m)^```json\\s*|\\s*```$', '', 'g') AS cleaned FROM r),
+v AS (SELECT *, coalesce(json_valid(cleaned), false) AND cleaned <> '' AS ok FROM c)
+SELECT plan_id, cleaned, ok AS parse_ok,
+       CASE WHEN ok THEN CAST(CAST(json_extract(cleaned, '$.k') AS BIGINT) AS VARCHAR) END AS k,
+       CASE WHEN ok THEN 'SUCCESS' ELSE 'PARSE_ERROR' END AS reason_code, false AS needs_new_tests FROM v""",
+    "run_log": f"""WITH d AS (
+  SELECT doc_id, (['STEP', 'SUCCESS', 'WARN', 'ERROR', 'DETAIL'])[doc_id % 5 + 1] AS level, text,
+         TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id) AS ts,
+         regexp_replace(text, '^{_PS}+|{_PS}+$', '', 'g') AS s FROM documents)
+SELECT doc_id, level,
+       CASE WHEN text IS NULL OR text = '' THEN '(no output)' WHEN length(s) <= 500 THEN s
+            ELSE '... [' || (length(s) - 500) || ' earlier characters hidden — see pipeline.log for full output] ...'
+                 || chr(10) || right(s, 500) END AS display,
+       '[' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '] ' || level || ': ' || text AS log_line
+FROM d""",
+    "ticket_normalise": f"""WITH o AS (
+  SELECT o_orderkey, 'Order ' || o_orderkey AS summary,
+         'Customer ' || o_custkey || ' ordered on ' || strftime(o_orderdate, '%Y-%m-%d') AS description,
+         {_pri('o_orderpriority')} AS pri, {_typ('o_orderstatus')} AS typ FROM orders)
+SELECT o_orderkey AS ticket_id, pri AS priority_name, typ AS issue_type_name,
+       CAST(json_object('fields', json_object(
+         'project', json_object('key', 'SDLC'), 'summary', summary,
+         'description', json_object('type', 'doc', 'version', 1, 'content', json_array(json_object(
+             'type', 'paragraph', 'content', json_array(json_object('type', 'text', 'text', description))))),
+         'issuetype', json_object('name', typ), 'priority', json_object('name', pri))) AS VARCHAR) AS payload
+FROM o""",
+    "status_match": """WITH w AS (
+  SELECT o_orderkey AS ticket_key,
+         CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'IN PROGRESS' WHEN 'P' THEN 'In Review' END AS status_name
+  FROM orders),
+tr AS (SELECT l_orderkey AS ticket_key, l_linenumber AS pos, l_orderkey || '-' || l_linenumber AS id,
+              CASE WHEN l_returnflag = 'R' THEN 'In Review' WHEN l_returnflag = 'A' THEN 'In Progress'
+                   WHEN l_linestatus = 'F' THEN 'Done' ELSE 'To Do' END AS name FROM lineitem),
+j AS (SELECT w.ticket_key, w.status_name,
+             arg_min(tr.id, tr.pos) FILTER (WHERE lower(tr.name) = lower(w.status_name)) AS tid,
+             count(tr.name) FILTER (WHERE lower(tr.name) = lower(w.status_name)) AS nhit,
+             list(tr.name ORDER BY tr.pos, tr.name) FILTER (WHERE tr.name IS NOT NULL) AS names
+      FROM w LEFT JOIN tr ON tr.ticket_key = w.ticket_key GROUP BY w.ticket_key, w.status_name)
+SELECT ticket_key, status_name, nhit > 0 AS success, CASE WHEN nhit > 0 THEN tid END AS transition_id,
+       CASE WHEN nhit > 0 THEN 'TRANSITIONED' ELSE 'INVALID_STATUS' END AS reason_code,
+       CASE WHEN nhit = 0 THEN 'Status ''' || status_name || ''' not available. Available: ' ||
+            CASE WHEN coalesce(len(names), 0) = 0 THEN '[]' ELSE '[''' || array_to_string(names, ''', ''') || ''']' END
+       END AS error
+FROM j""",
+    "test_summary": """WITH r AS (
+  SELECT doc_id, doc_id % 2 = 0 AS passed,
+         replace(replace(replace(text, ' de ', ' passed '), ' the ', ' failed '), ' la ', ' ERROR ') AS output
+  FROM documents),
+f AS (SELECT doc_id, passed, list_filter(string_split(output, chr(10)), lambda l: contains(l, 'passed')
+             OR contains(l, 'failed') OR contains(lower(l), 'error')) AS ls FROM r)
+SELECT doc_id, passed, coalesce(ls[-1], CASE WHEN passed THEN 'All tests passed' ELSE 'Tests failed' END) AS summary,
+       CASE WHEN passed THEN 'TESTS_PASSED' ELSE 'TESTS_FAILED' END AS reason_code FROM f""",
+    "retry_routing": f"""WITH {_RUN_CTE}
+SELECT event_id AS seq, thread_id, CAST(retry_count AS BIGINT) AS retry_count, passed, route FROM rt""",
+    "decision_routing": f"""WITH {_RUN_CTE},
+x AS (SELECT event_id, {_DECISION} AS decision FROM rt WHERE route = 'escalate')
+SELECT event_id AS seq, decision, {_ROUTE_DECISION.format(d='decision')} AS next_route FROM x""",
+    "gates": """WITH k AS (SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS INT) AS k FROM events)
+SELECT event_id,
+       CASE WHEN event_type <> 'view' AND NOT coalesce(k % 3 <> 0, false) THEN 'CHANGES_NOT_APPLIED'
+            ELSE 'PROCEED' END AS build_gate,
+       CASE WHEN coalesce(CASE WHEN event_type = 'signup' THEN NULL ELSE k % 2 = 0 END, false) THEN 'DEPLOY'
+            ELSE 'NO_IMAGE_TO_DEPLOY' END AS deploy_gate
+FROM k""",
+    "escalations": f"""WITH {_RUN_CTE},
+x AS (SELECT event_id, 'U-' || user_id AS ticket, retry_count,
+             coalesce(CASE WHEN event_type = 'click' THEN NULL ELSE props END, 'No summary available') AS test_summary
+      FROM rt WHERE route = 'escalate')
+SELECT event_id AS seq, 'MAX_RETRIES_EXCEEDED' AS reason, ticket, CAST(retry_count AS BIGINT) AS retry_count,
+       test_summary, 'Retry loop failed ' || retry_count || ' times for ' || ticket || '. Tests still failing: '
+       || test_summary || '. Reply approve, retry or abandon.' AS message FROM x""",
+    "latest_state": """SELECT user_id AS thread_id,
+  ROUND(arg_max(value, event_id) FILTER (WHERE event_type = 'signup'), 6) + 0.0 AS signup,
+  ROUND(arg_max(value, event_id) FILTER (WHERE event_type = 'error'), 6) + 0.0 AS error,
+  ROUND(arg_max(value, event_id) FILTER (WHERE event_type = 'click'), 6) + 0.0 AS click,
+  ROUND(arg_max(value, event_id) FILTER (WHERE event_type = 'view'), 6) + 0.0 AS view,
+  ROUND(arg_max(value, event_id) FILTER (WHERE event_type = 'purchase'), 6) + 0.0 AS purchase
+FROM events GROUP BY user_id""",
+    "incomplete_runs": f"""WITH ev AS (
+  SELECT event_id, user_id, value,
+         coalesce(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (
+           PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS clicks_before,
+         CASE event_type WHEN 'signup' THEN 'pm' WHEN 'view' THEN 'dev' WHEN 'click' THEN 'test'
+              WHEN 'error' THEN 'escalate' WHEN 'purchase' THEN 'deploy' END AS node,
+         {_DECISION} AS decision FROM events),
+r AS (SELECT *, CASE WHEN node = 'test' THEN (CASE WHEN value > 25 THEN 'build' WHEN clicks_before >= 3 THEN 'escalate'
+                                                   ELSE 'retry' END)
+                     WHEN node = 'escalate' THEN {_ROUTE_DECISION.format(d='decision')} END AS route FROM ev),
+l AS (SELECT * FROM (SELECT user_id AS thread_id, event_id AS last_seq, node, route,
+                            row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM r) WHERE rn = 1),
+nn AS (SELECT * FROM (VALUES ('pm', NULL, 'dev'), ('dev', NULL, 'test'), ('test', 'build', 'build'),
+                             ('test', 'retry', 'increment'), ('test', 'escalate', 'escalate'),
+                             ('increment', NULL, 'dev'), ('escalate', 'build', 'build'),
+                             ('escalate', 'retry', 'increment'), ('escalate', 'end', NULL),
+                             ('build', NULL, 'deploy'), ('deploy', NULL, NULL)) t(node, route, next))
+SELECT l.thread_id, l.last_seq, l.node, nn.next AS pending
+FROM l JOIN nn ON nn.node = l.node AND (nn.route IS NULL OR nn.route = l.route) WHERE nn.next IS NOT NULL""",
+    "audit_comments": """WITH per AS (
+  SELECT l_orderkey, count(*) AS n_lines,
+         list('line_' || l_linenumber || '.py' ORDER BY l_linenumber) FILTER (WHERE l_returnflag = 'R') AS md,
+         list(printf('  - line_%d.py (f%d): invalid syntax at line %d', l_linenumber, l_linenumber, l_linenumber)
+              ORDER BY l_linenumber) FILTER (WHERE l_returnflag = 'A') AS rj
+  FROM lineitem GROUP BY l_orderkey),
+j AS (SELECT o.o_orderkey, o.o_orderstatus, p.n_lines, coalesce(p.md, []) AS md, coalesce(p.rj, []) AS rj,
+             'ORD-' || o.o_orderkey AS ticket, CAST(o.o_orderkey % 4 AS INT) AS retry
+      FROM orders o LEFT JOIN per p ON p.l_orderkey = o.o_orderkey)
+SELECT ticket, 'dev' AS stage,
+  'Dev stage completed code changes for ' || ticket
+  || CASE WHEN retry > 0 THEN ' (retry attempt #' || retry || ')' ELSE '' END || '.' || chr(10) || chr(10)
+  || 'WHO: Dev stage' || chr(10) || 'WHAT: '
+  || coalesce(CASE WHEN o_orderstatus = 'F' THEN NULL ELSE 'Order status ' || o_orderstatus END, 'Code changes applied')
+  || chr(10) || 'WHY: Addresses requirements in ' || ticket || chr(10) || 'WHERE: '
+  || CASE WHEN len(md) > 0 THEN array_to_string(md, ', ') ELSE 'No files modified' END
+  || chr(10) || 'COMMIT: ' || coalesce(CASE WHEN len(md) > 0 THEN 'https://git.example/commit/' || o_orderkey END, 'N/A')
+  || chr(10) || CASE WHEN len(rj) > 0 THEN chr(10) || 'REJECTED CHANGES (would have produced invalid Python):'
+                     || chr(10) || array_to_string(rj, chr(10)) || chr(10) ELSE '' END AS comment
+FROM j
+UNION ALL
+SELECT ticket, 'test', 'Test stage ran the suite for ' || ticket || '.' || chr(10) || chr(10) || 'WHO: Test stage'
+  || chr(10) || 'WHAT: Ran the test suite' || chr(10) || 'WHY: Verify the change for ' || ticket || chr(10)
+  || 'RESULT: ' || CASE WHEN o_orderstatus = 'F' THEN 'PASSED' ELSE 'FAILED' END || ' — '
+  || coalesce(n_lines, 0) || ' passed' || chr(10) || 'ATTEMPT: ' || retry || chr(10)
+FROM j""",
+})

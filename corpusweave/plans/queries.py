@@ -186,3 +186,204 @@ QUERIES.update({
     "invalidate": q_invalidate,
     "vector_upsert": q_vector_upsert,
 })
+
+
+# ------------------------------------------------------------ replies, errors, log
+from pyspark.sql import Window  # noqa: E402
+from pyspark.sql import types as T  # noqa: E402
+
+from corpusweave.operators import replies as L  # noqa: E402
+from corpusweave.plans.fixtures import api_errors, model_replies, run_events, test_runs  # noqa: E402
+from corpusweave.sources import runlog  # noqa: E402
+
+
+def q_error_triage(spark, d):
+    t = L.triage_errors(api_errors(spark, d))
+    return t.select("event_id", "call_id", F.col("attempt").cast("bigint").alias("attempt"), "error_kind", "short")
+
+
+def q_retry_schedule(spark, d):
+    s = L.retry_schedule(api_errors(spark, d))
+    return s.select("call_id", F.col("attempt").cast("bigint").alias("attempt"), "error_kind", "reached",
+                    "will_retry", F.col("wait_s").cast("bigint").alias("wait_s"), "gave_up")
+
+
+def q_reply_parse(spark, d):
+    rep = model_replies(spark, d)
+    p = L.parse_replies(rep, T.StructType([T.StructField("k", T.LongType())]))
+    cov = L.coverage_decision(rep)
+    return (p.select("plan_id", "cleaned", "parse_ok", F.col("parsed.k").cast("string").alias("k"))
+             .join(cov.select("plan_id", "reason_code", "needs_new_tests"), "plan_id"))
+
+
+def q_run_log(spark, d):
+    doc = table(spark, d, "documents").select("doc_id", "text")
+    lv = F.element_at(F.array(*[F.lit(x) for x in runlog.LEVELS]), (F.col("doc_id") % 5 + 1).cast("int"))
+    ev = doc.select("doc_id", lv.alias("level"), F.col("text").alias("message"),
+                    (F.lit("2024-01-01").cast("timestamp") + F.make_interval(secs=F.col("doc_id").cast("int")))
+                    .alias("ts"))
+    lines = ev.select("doc_id", "level", runlog.display(F.col("message")).alias("display"),
+                      F.format_string("[%s] %s: %s", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"),
+                                      F.col("level"), F.col("message")).alias("log_line"))
+    return lines
+
+
+QUERIES.update({
+    "error_triage": q_error_triage,
+    "retry_schedule": q_retry_schedule,
+    "reply_parse": q_reply_parse,
+    "run_log": q_run_log,
+})
+
+
+# ------------------------------------------------------------ run analytics
+from corpusweave.operators import runs as RU  # noqa: E402
+
+PRIORITY_WORDS = {"1-URGENT": "Critical", "2-HIGH": "HIGH", "3-MEDIUM": "medium",
+                  "4-NOT SPECIFIED": "unspecified", "5-LOW": "low"}
+TYPE_WORDS = {"F": "bug", "O": "Feature", "P": "task"}
+WANTED_STATUS = {"F": "done", "O": "IN PROGRESS", "P": "In Review"}
+
+
+def _lookup(d: dict, col: str) -> F.Column:
+    return F.element_at(RU._map(d), F.col(col))
+
+
+def q_ticket_normalise(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+    t = o.select(F.col("o_orderkey").alias("ticket_id"),
+                 F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("summary"),
+                 F.concat(F.lit("Customer "), F.col("o_custkey").cast("string"), F.lit(" ordered on "),
+                          F.date_format("o_orderdate", "yyyy-MM-dd")).alias("description"),
+                 _lookup(TYPE_WORDS, "o_orderstatus").alias("issue_type"),
+                 _lookup(PRIORITY_WORDS, "o_orderpriority").alias("priority"))
+    return RU.normalize_tickets(t)
+
+
+def q_status_match(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    wanted = o.select(F.col("o_orderkey").alias("ticket_key"), _lookup(WANTED_STATUS, "o_orderstatus").alias("status_name"))
+    name = (F.when(F.col("l_returnflag") == "R", F.lit("In Review"))
+             .when(F.col("l_returnflag") == "A", F.lit("In Progress"))
+             .when(F.col("l_linestatus") == "F", F.lit("Done")).otherwise(F.lit("To Do")))
+    tr = li.select(F.col("l_orderkey").alias("ticket_key"), F.col("l_linenumber").alias("pos"),
+                   F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
+                   .alias("id"), name.alias("name"))
+    return RU.match_transitions(wanted, tr)
+
+
+def q_test_summary(spark, d):
+    s = RU.summarize_test_run(test_runs(spark, d))
+    return s.select("doc_id", "passed", "summary", "reason_code")
+
+
+def _routed(spark, d):
+    ev = RU.retry_counts(run_events(spark, d), "thread_id", "event_id")
+    return ev.withColumn("route", RU.route_after_test(F.col("passed"), F.col("retry_count")))
+
+
+def q_retry_routing(spark, d):
+    r = _routed(spark, d)
+    return r.select(F.col("event_id").alias("seq"), "thread_id",
+                    F.col("retry_count").cast("bigint").alias("retry_count"), "passed", "route")
+
+
+DECISIONS = ["retry", "approve", "abandon", "maybe", None]
+
+
+def _decision() -> F.Column:
+    return F.element_at(F.array(*[F.lit(x) for x in DECISIONS]), (F.col("event_id") % 5 + 1).cast("int"))
+
+
+def q_decision_routing(spark, d):
+    r = _routed(spark, d).where(F.col("route") == "escalate")
+    return r.select(F.col("event_id").alias("seq"), _decision().alias("decision"),
+                    RU.route_after_decision(_decision()).alias("next_route"))
+
+
+def _k() -> F.Column:
+    return F.get_json_object("props", "$.k").cast("int")
+
+
+def q_gates(spark, d):
+    ev = table(spark, d, "events").select("event_id", "event_type", "props")
+    intended = F.col("event_type") != "view"
+    applied = _k() % 3 != 0
+    build_ok = F.when(F.col("event_type") == "signup", F.lit(None).cast("boolean")).otherwise(_k() % 2 == 0)
+    return ev.select("event_id", RU.build_gate(intended, applied).alias("build_gate"),
+                     RU.deploy_gate(build_ok).alias("deploy_gate"))
+
+
+def q_escalations(spark, d):
+    r = _routed(spark, d).select(
+        "event_id", F.concat(F.lit("U-"), F.col("user_id").cast("string")).alias("ticket_key"), "retry_count",
+        F.when(F.col("event_type") == "click", F.lit(None).cast("string")).otherwise(F.col("props")).alias("summary"),
+        "route")
+    e = RU.escalation_report(r)
+    return e.select(F.col("event_id").alias("seq"), "reason", "ticket",
+                    F.col("retry_count").cast("bigint").alias("retry_count"), "test_summary", "message")
+
+
+STATE_KEYS = ["signup", "error", "click", "view", "purchase"]
+
+
+def q_latest_state(spark, d):
+    ev = table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+    s = RU.latest_state(ev, STATE_KEYS, thread="user_id", seq="event_id", key="event_type", value="value")
+    return s.select(F.col("user_id").alias("thread_id"), *[r6(F.col(k)).alias(k) for k in STATE_KEYS])
+
+
+NODE_OF = {"signup": "pm", "view": "dev", "click": "test", "error": "escalate", "purchase": "deploy"}
+
+
+def q_incomplete_runs(spark, d):
+    ev = table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
+    clicks_before = F.coalesce(F.sum(F.when(F.col("event_type") == "click", 1).otherwise(0)).over(w), F.lit(0))
+    node = _lookup(NODE_OF, "event_type")
+    route = (F.when(node == "test", RU.route_after_test(F.col("value") > 25, clicks_before))
+              .when(node == "escalate", RU.route_after_decision(_decision())))
+    e = ev.select(F.col("user_id").alias("thread_id"), F.col("event_id").alias("seq"),
+                  node.alias("node"), route.alias("route"))
+    return RU.incomplete_runs(spark, e)
+
+
+def q_audit_comments(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    per = li.groupBy("l_orderkey").agg(
+        F.count("*").alias("n_lines"),
+        F.sort_array(F.collect_list(F.when(F.col("l_returnflag") == "R", F.col("l_linenumber")))).alias("mod"),
+        F.sort_array(F.collect_list(F.when(F.col("l_returnflag") == "A", F.col("l_linenumber")))).alias("rej"))
+    j = o.join(per, o["o_orderkey"] == per["l_orderkey"], "left")
+    ticket = F.concat(F.lit("ORD-"), F.col("o_orderkey").cast("string"))
+    modified = F.transform(F.coalesce("mod", F.array().cast("array<int>")),
+                           lambda n: F.concat(F.lit("line_"), n.cast("string"), F.lit(".py")))
+    rejected = F.transform(F.coalesce("rej", F.array().cast("array<int>")),
+                           lambda n: F.format_string("  - line_%d.py (f%d): invalid syntax at line %d", n, n, n))
+    analysis = F.when(F.col("o_orderstatus") == "F", F.lit(None).cast("string")).otherwise(
+        F.concat(F.lit("Order status "), F.col("o_orderstatus")))
+    commit = F.when(F.size(modified) > 0, F.concat(F.lit("https://git.example/commit/"),
+                                                   F.col("o_orderkey").cast("string")))
+    retry = (F.col("o_orderkey") % 4).cast("int")
+    dev = j.select(ticket.alias("ticket"), F.lit("dev").alias("stage"),
+                   RU.dev_comment(ticket, retry, analysis, modified, commit, rejected).alias("comment"))
+    summ = F.concat(F.coalesce(F.col("n_lines"), F.lit(0)).cast("string"), F.lit(" passed"))
+    test = j.select(ticket.alias("ticket"), F.lit("test").alias("stage"),
+                    RU.test_comment(ticket, F.col("o_orderstatus") == "F", summ, retry).alias("comment"))
+    return dev.union(test)
+
+
+QUERIES.update({
+    "ticket_normalise": q_ticket_normalise,
+    "status_match": q_status_match,
+    "test_summary": q_test_summary,
+    "retry_routing": q_retry_routing,
+    "decision_routing": q_decision_routing,
+    "gates": q_gates,
+    "escalations": q_escalations,
+    "latest_state": q_latest_state,
+    "incomplete_runs": q_incomplete_runs,
+    "audit_comments": q_audit_comments,
+})
