@@ -157,3 +157,63 @@ def run_events(spark: SparkSession, d: str) -> DataFrame:
                      (F.col("event_type") == "purchase").alias("passed"),
                      F.concat(F.lit("U"), F.col("user_id").cast("string"), F.lit("-"),
                               run_no.cast("string")).alias("thread_id"))
+
+
+def requirement_lines(spark: SparkSession, d: str) -> DataFrame:
+    """requirement lines(repo, pos, line) by p_partkey % 5: pinned, lower
+    bound (mixed case), upper bound, comment, blank; plus a local module
+    line ``svc`` and ``Flask`` (listed in another case)."""
+    part = table(spark, d, "part").select("p_partkey")
+    k = F.col("p_partkey")
+    r = k % 5
+    line = (F.when(r == 0, F.format_string("pkg%d==1.0", k))
+             .when(r == 1, F.format_string("Pkg%d>=2", k))
+             .when(r == 2, F.format_string("pkg%d<=3", k))
+             .when(r == 3, F.format_string("# pkg%d", k))
+             .otherwise(F.lit("")))
+    body = part.select(F.lit(REPO).alias("repo"), k.alias("pos"), line.alias("line"))
+    extra = part.agg(F.max("p_partkey").alias("m")).select(
+        F.lit(REPO).alias("repo"), F.explode(F.array(
+            F.struct((F.col("m") + 1).alias("pos"), F.lit("svc").alias("line")),
+            F.struct((F.col("m") + 2).alias("pos"), F.lit("Flask").alias("line")))).alias("x")
+    ).select("repo", "x.pos", "x.line")
+    return body.unionByName(extra)
+
+
+def change_plans(spark: SparkSession, d: str) -> DataFrame:
+    """replies(plan_id, raw_text): one proposed change plan per corpus file
+    (FIXTURES §5), serialised as JSON, fenced for even ids."""
+    sup = table(spark, d, "supplier").select("s_suppkey")
+    k = F.col("s_suppkey")
+    r5, r4 = k % 5, k % 4
+    path = (F.when(r4 == 0, F.format_string("../corpus/svc/s_%d.py", k))
+             .when(r4 == 1, F.format_string("corpus/svc/s_%d.py", k))
+             .when(r4 == 2, F.format_string("/svc/s_%d.py", k))
+             .otherwise(F.format_string("svc/s_%d.py", k)))
+
+    def ch(fn, orig, mod):
+        return F.struct(F.lit(fn).alias("function_name") if isinstance(fn, str) else fn.alias("function_name"),
+                        F.lit(orig).alias("original_code"), F.lit(mod).alias("modified_code"),
+                        F.lit("requested").alias("reason"))
+
+    changes = (F.when(r5 == 0, F.array(ch("size", "len(str(self))", "1  # {TIMESTAMP}")))
+                .when(r5 == 1, F.array(ch("go", "no such text", "x")))
+                .when(r5 == 2, F.array(ch(F.format_string("run_%d", k), "return S", "return return S")))
+                .when(r5 == 3, F.array(ch("all", "(self)", "(me)"), ch("size", "len(str(me))", "1"))))
+    main = F.when(r5 != 4, F.array(F.struct(path.alias("file_path"), changes.alias("changes"))))
+    extra = F.when(k % 7 == 0, F.array(
+        F.struct(F.lit("../corpus2/svc/s_0.py").alias("file_path"), F.array(ch("x", "import os", "import sys"))
+                 .alias("changes")),
+        F.struct(F.lit("svc/missing.py").alias("file_path"), F.array(ch("x", "import os", "import sys"))
+                 .alias("changes"))))
+    files = F.concat(F.coalesce(main, F.array().cast(
+        "array<struct<file_path:string,changes:array<struct<function_name:string,original_code:string,"
+        "modified_code:string,reason:string>>>>")), F.coalesce(extra, F.array().cast(
+        "array<struct<file_path:string,changes:array<struct<function_name:string,original_code:string,"
+        "modified_code:string,reason:string>>>>")))
+    plan = F.struct(F.format_string("plan %d", k).alias("analysis"), files.alias("files_to_modify"),
+                    F.format_string("fix(S-%d): edit", k).alias("commit_message"),
+                    F.array().cast("array<string>").alias("files_not_to_modify"))
+    js = F.to_json(plan)
+    raw = F.when(k % 2 == 0, F.concat(F.lit("```json\n"), js, F.lit("\n```"))).otherwise(js)
+    return sup.select(k.alias("plan_id"), raw.alias("raw_text"))

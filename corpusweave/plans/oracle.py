@@ -419,3 +419,125 @@ SELECT ticket, 'test', 'Test stage ran the suite for ' || ticket || '.' || chr(1
   || coalesce(n_lines, 0) || ' passed' || chr(10) || 'ATTEMPT: ' || retry || chr(10)
 FROM j""",
 })
+
+
+# ------------------------------------------------------------ dependency audit
+from corpusweave.operators import deps as _deps  # noqa: E402
+from corpusweave.operators import prompts as _P  # noqa: E402
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+_STD = ", ".join(_lit(n) for n in _deps.stdlib_names())
+_ALIAS = ", ".join(f"({_lit(a)}, {_lit(b)})" for a, b in _deps.IMPORT_TO_PACKAGE.items())
+_EXCL = ", ".join(_lit(x) for x in _deps.EXCLUDED_DIRS)
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{_PS}+|{_PS}+$', '', 'g')"
+
+
+_DEPS_CTE = f"""
+im AS (SELECT path, regexp_extract(import_text, '^(?:from|import)\\s+([A-Za-z_][A-Za-z0-9_]*)', 1) AS module
+       FROM imports),
+loc AS (SELECT DISTINCT CASE WHEN position('/' IN path) = 0 THEN regexp_replace(path, '\\.py$', '')
+                             ELSE split_part(path, '/', 1) END AS module
+        FROM corpus WHERE split_part(path, '/', 1) NOT IN ({_EXCL}) AND NOT starts_with(split_part(path, '/', 1), '.')),
+std AS (SELECT unnest([{_STD}]) AS module),
+alias AS (SELECT * FROM (VALUES {_ALIAS}) t(module, package)),
+tp AS (SELECT DISTINCT 'corpus' AS repo, coalesce(a.package, im.module) AS package
+       FROM im LEFT JOIN alias a ON a.module = im.module
+       WHERE im.module NOT IN (SELECT module FROM std) AND im.module NOT IN (SELECT module FROM loc)),
+req AS (SELECT p_partkey AS pos,
+               CASE p_partkey % 5 WHEN 0 THEN 'pkg' || p_partkey || '==1.0' WHEN 1 THEN 'Pkg' || p_partkey || '>=2'
+                    WHEN 2 THEN 'pkg' || p_partkey || '<=3' WHEN 3 THEN '# pkg' || p_partkey ELSE '' END AS line
+        FROM part
+        UNION ALL SELECT max(p_partkey) + 1, 'svc' FROM part
+        UNION ALL SELECT max(p_partkey) + 2, 'Flask' FROM part),
+rq AS (SELECT pos, line, ({_strip('line')} <> '' AND NOT starts_with(line, '#')) AS listed,
+              lower(split_part(split_part(split_part({_strip('line')}, '==', 1), '>=', 1), '<=', 1)) AS name FROM req),
+listed_names AS (SELECT DISTINCT name FROM rq WHERE listed),
+miss AS (SELECT package FROM tp WHERE lower(package) NOT IN (SELECT name FROM listed_names))"""
+
+_PATCH_CTE = f"""
+src AS (SELECT k, path, {_span(0, 19)} || chr(10) AS text FROM corpus),
+pe AS (
+  SELECT k AS plan_id, 0 AS file_pos, path, '0' AS change_pos, 'applied' AS edit_status, NULL AS reason,
+         'modified' AS file_status, 1 AS applied_count,
+         md5(replace(text, 'len(str(self))', '1  # 2024-01-01T00:00:00')) AS content_md5 FROM src WHERE k % 5 = 0
+  UNION ALL SELECT k, 0, path, '0', 'skipped_not_found', NULL, 'unchanged', 0, NULL FROM src WHERE k % 5 = 1
+  UNION ALL SELECT k, 0, path, '0', 'rejected_invalid', 'invalid syntax at line 16', 'unchanged', 0, NULL
+            FROM src WHERE k % 5 = 2
+  UNION ALL SELECT k, 0, path, c.p, 'applied', NULL, 'modified', 2,
+                   md5(replace(replace(text, '(self)', '(me)'), 'len(str(me))', '1'))
+            FROM src, (VALUES ('0'), ('1')) c(p) WHERE k % 5 = 3
+  UNION ALL SELECT k, CASE WHEN k % 5 = 4 THEN 0 ELSE 1 END, '../corpus2/svc/s_0.py', '0', 'file_missing', NULL,
+                   'missing', 0, NULL FROM corpus WHERE k % 7 = 0
+  UNION ALL SELECT k, CASE WHEN k % 5 = 4 THEN 1 ELSE 2 END, 'svc/missing.py', '0', 'file_missing', NULL,
+                   'missing', 0, NULL FROM corpus WHERE k % 7 = 0)"""
+
+ORACLE.update({
+    "third_party": f"WITH {CORPUS_CTE}, {_DEPS_CTE} SELECT repo, package FROM tp",
+    "requirements_diff": f"""WITH {CORPUS_CTE}, {_DEPS_CTE}
+SELECT 'corpus' AS repo, 'REQUIREMENTS_UPDATED' AS reason_code, package FROM miss
+UNION ALL
+SELECT 'corpus', 'REQUIREMENTS_UP_TO_DATE', name FROM listed_names WHERE (SELECT count(*) FROM miss) = 0""",
+    "requirements_clean": f"""WITH {CORPUS_CTE}, {_DEPS_CTE},
+j AS (SELECT pos, line, NOT coalesce(listed AND name IN (SELECT lower(module) FROM loc), false) AS kept
+      FROM rq WHERE {_strip('line')} <> '')
+SELECT 'corpus' AS repo, CAST(pos AS BIGINT) AS pos, line, kept,
+       CASE WHEN (SELECT count(*) FROM j WHERE NOT kept) > 0 THEN 'REQUIREMENTS_CLEANED'
+            ELSE 'REQUIREMENTS_ALREADY_CLEAN' END AS reason_code FROM j""",
+    "patch_eval": f"""WITH {CORPUS_CTE}, {_PATCH_CTE}
+SELECT CAST(plan_id AS BIGINT) AS plan_id, CAST(file_pos AS BIGINT) AS file_pos, path, change_pos, edit_status,
+       reason, file_status, CAST(applied_count AS BIGINT) AS applied_count, content_md5 FROM pe""",
+    "change_flags": f"""WITH {CORPUS_CTE}
+SELECT CAST(k AS BIGINT) AS plan_id, (k % 5 <> 4 OR k % 7 = 0) AS had_intended_changes,
+       (k % 5 IN (0, 3)) AS code_changes_applied, CAST(CASE WHEN k % 5 = 2 THEN 1 ELSE 0 END AS BIGINT) AS n_rejected
+FROM corpus""",
+})
+
+
+# ------------------------------------------------------------ prompt assembly
+def _bul(arr: str, fb: str) -> str:
+    return (f"CASE WHEN coalesce(len({arr}), 0) > 0 THEN array_to_string(list_transform({arr}, "
+            f"lambda s: '- ' || s), chr(10)) ELSE {_lit(fb)} END")
+
+
+ORACLE["prompt_render"] = f"""WITH h AS (
+  SELECT conv_id AS query_id, turn + 1 AS rank, 'conv' || conv_id || '.' || role || '_' || turn AS symbol_id,
+         'conv/' || conv_id || '.py' AS path, turn * 10 AS start_line, turn * 10 + 9 AS end_line,
+         CASE WHEN role = 'user' THEN 'semantic' ELSE 'graph' END AS source,
+         CAST(CASE role WHEN 'user' THEN 1.0 WHEN 'assistant' THEN 0.8 ELSE 0.6 END AS DOUBLE) AS score,
+         text AS content FROM conversations),
+b AS (SELECT query_id, rank, symbol_id, source,
+             chr(10) || '---' || chr(10) || 'Symbol: ' || symbol_id || chr(10) || 'File: ' || path || ' (lines '
+             || start_line || '-' || end_line || ')' || chr(10) || 'Source: ' || source || ' | Relevance score: '
+             || format('{{:.2f}}', score) || chr(10) || '```python' || chr(10) || content || chr(10) || '```'
+             || chr(10) AS block FROM h),
+agg AS (SELECT query_id, string_agg(block, '' ORDER BY rank) AS chunks_text,
+               list(symbol_id ORDER BY rank) FILTER (WHERE source = 'semantic') AS seeds,
+               list(symbol_id ORDER BY rank) AS expanded FROM b GROUP BY query_id),
+t AS (SELECT conv_id AS query_id, 'CONV-' || conv_id AS ticket_key, 'https://tracker.example/CONV-' || conv_id AS url,
+             arg_min(text, turn) AS query, string_agg(text, chr(10) ORDER BY turn) AS full_output,
+             conv_id % 3 AS retry_count FROM conversations GROUP BY conv_id)
+SELECT t.query_id, t.ticket_key,
+  {_lit(_P.PREAMBLE)} || chr(10)
+  || CASE WHEN retry_count > 0 THEN chr(10) || '=== THIS IS RETRY ATTEMPT #' || retry_count || ' ===' || chr(10)
+          || 'The previous change failed the tests; produce a different fix.' || chr(10) || chr(10)
+          || 'TEST FAILURE SUMMARY: attempt ' || retry_count || ' failed' || chr(10) || chr(10)
+          || 'TEST FAILURE OUTPUT (most recent portion):' || chr(10) || '```' || chr(10)
+          || CASE WHEN length(full_output) > 3000 THEN right(full_output, 3000) ELSE full_output END
+          || chr(10) || '```' || chr(10) ELSE '' END
+  || chr(10) || {_lit(_P.H_TICKET)} || chr(10) || 'Ticket ID: ' || ticket_key || chr(10) || 'URL: ' || url
+  || chr(10) || 'Query: ' || query || chr(10) || chr(10) || {_lit(_P.H_TARGETS)} || chr(10)
+  || {_bul('seeds', _P.FALLBACK_TARGETS)} || chr(10) || chr(10) || {_lit(_P.H_RELATED)} || chr(10)
+  || {_bul('expanded', _P.FALLBACK_LIST)} || chr(10) || chr(10) || {_lit(_P.H_DEPS)} || chr(10)
+  || 'Files this code imports from:' || chr(10) || {_lit(_P.FALLBACK_LIST)} || chr(10) || chr(10)
+  || 'Files that import this code:' || chr(10) || {_lit(_P.FALLBACK_LIST)} || chr(10) || chr(10)
+  || {_lit(_P.H_CHUNKS)} || chr(10) || coalesce(nullif(chunks_text, ''), {_lit(_P.FALLBACK_CHUNKS)})
+  || chr(10) || chr(10) || {_lit(_P.H_FILES)} || chr(10) || {_lit(_P.FALLBACK_FILES)} || chr(10) || chr(10)
+  || {_lit(_P.H_INSTR)} || chr(10) || {_lit(_P.INSTRUCTIONS)} || chr(10) AS prompt
+FROM t LEFT JOIN agg ON agg.query_id = t.query_id"""

@@ -387,3 +387,115 @@ QUERIES.update({
     "incomplete_runs": q_incomplete_runs,
     "audit_comments": q_audit_comments,
 })
+
+
+# ------------------------------------------------------------ dependency audit
+from corpusweave.operators import deps as D  # noqa: E402
+from corpusweave.plans.fixtures import REPO, change_plans, requirement_lines  # noqa: E402
+
+
+def q_third_party(spark, d):
+    src = code_corpus(spark, d)
+    mods = X.import_modules(X.extract(src)).withColumn("repo", F.lit(REPO))
+    return D.third_party(spark, src.select("repo", "path"), mods)
+
+
+def q_requirements_diff(spark, d):
+    src = code_corpus(spark, d)
+    mods = X.import_modules(X.extract(src)).withColumn("repo", F.lit(REPO))
+    scanned = D.third_party(spark, src.select("repo", "path"), mods)
+    res = D.missing_packages(scanned, requirement_lines(spark, d), src.select("repo"))
+    return res.select("repo", "reason_code", F.explode("packages").alias("package"))
+
+
+def q_requirements_clean(spark, d):
+    src = code_corpus(spark, d)
+    cl = D.clean_requirements(requirement_lines(spark, d), src.select("repo", "path"))
+    st = D.clean_status(cl)
+    return cl.join(st.select("repo", "reason_code"), "repo").select(
+        "repo", F.col("pos").cast("bigint").alias("pos"), "line", "kept", "reason_code")
+
+
+QUERIES.update({
+    "third_party": q_third_party,
+    "requirements_diff": q_requirements_diff,
+    "requirements_clean": q_requirements_clean,
+})
+
+
+# ------------------------------------------------------------ proposed edits
+PATCH_STAMP = "2024-01-01T00:00:00"
+
+
+def _patches(spark, d):
+    parsed = L.parse_replies(change_plans(spark, d))
+    flat = L.flatten_plans(parsed, "../corpus")
+    src = code_corpus(spark, d).select("path", "content")
+    return parsed, L.evaluate_edits(flat, src, stamp=PATCH_STAMP)
+
+
+def q_patch_eval(spark, d):
+    _, ev = _patches(spark, d)
+    return ev.select(F.col("plan_id").cast("bigint").alias("plan_id"),
+                     F.col("file_pos").cast("bigint").alias("file_pos"), "path",
+                     F.col("change_pos").cast("string").alias("change_pos"), "edit_status", "reason",
+                     "file_status", F.col("applied_count").cast("bigint").alias("applied_count"),
+                     F.md5("new_content").alias("content_md5"))
+
+
+def q_change_flags(spark, d):
+    parsed, ev = _patches(spark, d)
+    fl = L.change_flags(parsed, ev)
+    return fl.select(F.col("plan_id").cast("bigint").alias("plan_id"), "had_intended_changes",
+                     "code_changes_applied", F.size("rejected").cast("bigint").alias("n_rejected"))
+
+
+QUERIES.update({
+    "patch_eval": q_patch_eval,
+    "change_flags": q_change_flags,
+})
+
+
+# ------------------------------------------------------------ prompt assembly
+from corpusweave.operators import prompts as P  # noqa: E402
+
+
+def conversation_hits(spark, d):
+    """Conversations as retrieval hits: conv = query, turn + 1 = rank."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    role = F.col("role")
+    return c.select(
+        F.col("conv_id").alias("query_id"), (F.col("turn") + 1).alias("rank"),
+        F.concat(F.lit("conv"), F.col("conv_id").cast("string"), F.lit("."), role, F.lit("_"),
+                 F.col("turn").cast("string")).alias("symbol_id"),
+        F.format_string("conv/%d.py", "conv_id").alias("path"),
+        (F.col("turn") * 10).alias("start_line"), (F.col("turn") * 10 + 9).alias("end_line"),
+        F.when(role == "user", F.lit("semantic")).otherwise(F.lit("graph")).alias("source"),
+        F.when(role == "user", F.lit(1.0)).when(role == "assistant", F.lit(0.8)).otherwise(F.lit(0.6)).alias("score"),
+        F.col("text").alias("content"))
+
+
+def q_prompt_render(spark, d):
+    hits = conversation_hits(spark, d)
+    chunks = P.render_chunks(hits)
+    ordered = F.sort_array(F.collect_list(F.struct("rank", "symbol_id")))
+    seeds = F.sort_array(F.collect_list(F.when(F.col("source") == "semantic", F.struct("rank", "symbol_id"))))
+    summ = hits.groupBy("query_id").agg(
+        F.transform(seeds, lambda x: x["symbol_id"]).alias("seed_symbols"),
+        F.transform(ordered, lambda x: x["symbol_id"]).alias("expanded_symbols"),
+        F.array().cast("array<string>").alias("dependencies"),
+        F.array().cast("array<string>").alias("dependents"))
+    conv = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    per = conv.groupBy(F.col("conv_id").alias("query_id")).agg(
+        F.min_by("text", "turn").alias("query"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]),
+                     "\n").alias("full_output"))
+    tickets = per.select("query_id", F.concat(F.lit("CONV-"), F.col("query_id").cast("string")).alias("ticket_key"),
+                         F.concat(F.lit("https://tracker.example/CONV-"), F.col("query_id").cast("string")).alias("url"),
+                         "query")
+    fails = per.select("query_id", (F.col("query_id") % 3).cast("int").alias("retry_count"),
+                       F.format_string("attempt %d failed", F.col("query_id") % 3).alias("summary"), "full_output")
+    return P.assemble(tickets, summ, chunks, None, fails).select("query_id", "ticket_key", "prompt")
+
+
+QUERIES["prompt_render"] = q_prompt_render
