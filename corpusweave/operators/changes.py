@@ -104,3 +104,38 @@ def refresh(sources: DataFrame, index: dict[str, DataFrame] | None, manifest: Da
     out["manifest"] = refresh_manifest(status)
     out["status"] = status.select("path", "status")
     return out
+
+
+CHANGE_SCHEMA = "seq BIGINT, path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY, op STRING"
+
+
+def refresh_changes(changes: DataFrame, index: dict[str, DataFrame] | None, manifest: DataFrame | None,
+                    always_hash: bool = False) -> dict[str, DataFrame]:
+    """C5 for a batch of change rows (seq, path, modificationTime, length,
+    content, op in {'upsert', 'delete'}): files not in the batch are
+    unchanged.  The last row per path (by seq) wins within the batch."""
+    from pyspark.sql import Window
+    w = Window.partitionBy("path").orderBy(F.col("seq").desc())
+    last = changes.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    ups = last.where(F.col("op") != "delete")
+    touched = last.select("path")
+    if manifest is None:
+        spark = changes.sparkSession
+        manifest = spark.createDataFrame([], "path string, size bigint, mtime timestamp, hash string")
+    man_t = manifest.join(touched, "path", "left_semi")
+    st_up = classify(snapshot(ups), man_t.join(ups.select("path"), "path", "left_semi"), always_hash)
+    gone = (man_t.join(last.where(F.col("op") == "delete").select("path"), "path", "left_semi")
+                 .select("path", F.lit(DELETED).alias("status"), F.lit(None).cast("bigint").alias("size"),
+                         F.lit(None).cast("timestamp").alias("mtime"), F.lit(None).cast("string").alias("hash"),
+                         F.col("size").alias("old_size"), F.col("mtime").alias("old_mtime"),
+                         F.col("hash").alias("old_hash")))
+    status = st_up.unionByName(gone).persist()
+    todo = status.where(F.col("status").isin(NEW, CHANGED)).select("path")
+    fresh = build_index(X.extract(ups.join(todo, "path", "left_semi")).persist())
+    out: dict[str, DataFrame] = {}
+    for name, df in fresh.items():
+        out[name] = invalidate(index[name], status).unionByName(df) if index and name in index else df
+    out.update(derive_graph(out["chunks"], out["raw_calls"]))
+    out["manifest"] = manifest.join(touched, "path", "left_anti").unionByName(refresh_manifest(status))
+    out["status"] = status.select("path", "status")
+    return out

@@ -541,3 +541,18 @@ SELECT t.query_id, t.ticket_key,
   || chr(10) || chr(10) || {_lit(_P.H_FILES)} || chr(10) || {_lit(_P.FALLBACK_FILES)} || chr(10) || chr(10)
   || {_lit(_P.H_INSTR)} || chr(10) || {_lit(_P.INSTRUCTIONS)} || chr(10) AS prompt
 FROM t LEFT JOIN agg ON agg.query_id = t.query_id"""
+
+
+# ------------------------------------------------------------ streaming
+ORACLE.update({
+    "stream_refresh": f"""WITH {CORPUS_CTE},
+t AS (SELECT path, k, {_span(0, 19)} || chr(10) AS text FROM corpus),
+f AS (SELECT path, CASE WHEN k % 5 = 1 THEN replace(text, 'import os' || chr(10), 'import os' || chr(10)
+                                                   || 'import sys' || chr(10)) ELSE text END AS text,
+             CASE WHEN k % 5 = 1 THEN 4 ELSE 3 END AS n_imports
+      FROM t WHERE k % 10 <> 4)
+SELECT path, CAST(octet_length(encode(text)) AS BIGINT) AS size, md5(text) AS hash,
+       CAST(4 AS BIGINT) AS n_chunks, CAST(n_imports AS BIGINT) AS n_imports FROM f""",
+    "stream_routing": f"WITH {_RUN_CTE} SELECT event_id AS seq, thread_id, CAST(retry_count AS BIGINT) AS retry_count,"
+                      " passed, route FROM rt",
+})

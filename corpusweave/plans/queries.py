@@ -499,3 +499,72 @@ def q_prompt_render(spark, d):
 
 
 QUERIES["prompt_render"] = q_prompt_render
+
+
+# ------------------------------------------------------------ streaming
+import uuid  # noqa: E402
+
+from corpusweave.session import scratch_path  # noqa: E402
+from corpusweave.streaming import refresh as W1  # noqa: E402
+from corpusweave.streaming import routing as W2  # noqa: E402
+
+
+def _run_available_now(writer) -> None:
+    q = writer.trigger(availableNow=True).start()
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+
+
+def corpus_changes(spark, d):
+    """Two change batches over the templated corpus: every file, then an edit
+    of the files with k % 5 = 1 and a deletion of those with k % 10 = 4."""
+    src = code_corpus(spark, d)
+    k = F.regexp_extract("path", r"s_(\d+)", 1).cast("bigint")
+    b0 = src.select(k.alias("seq"), "path", "modificationTime", "length", "content", F.lit("upsert").alias("op"))
+    text = F.decode("content", "UTF-8")
+    edited = F.replace(text, F.lit("import os\n"), F.lit("import os\nimport sys\n"))
+    b1_edit = src.where(k % 5 == 1).select(
+        (k + 1000000).alias("seq"), "path", (F.col("modificationTime") + F.expr("INTERVAL 1 DAY")).alias("modificationTime"),
+        F.octet_length(edited).cast("bigint").alias("length"), F.encode(edited, "UTF-8").alias("content"),
+        F.lit("upsert").alias("op"))
+    b1_del = src.where(k % 10 == 4).select(
+        (k + 2000000).alias("seq"), "path", "modificationTime", F.lit(None).cast("bigint").alias("length"),
+        F.lit(None).cast("binary").alias("content"), F.lit("delete").alias("op"))
+    return [b0, b1_edit.unionByName(b1_del)]
+
+
+def q_stream_refresh(spark, d):
+    base = scratch_path(spark, f"stream-refresh-{uuid.uuid4().hex}")
+    idx, ck = f"{base}/index", f"{base}/checkpoint"
+    for i, batch in enumerate(corpus_changes(spark, d)):
+        batch.write.parquet(f"{base}/changes/b{i}")
+        reader = spark.readStream.schema(C.CHANGE_SCHEMA).parquet(f"{base}/changes/*")
+        _run_available_now(reader.writeStream.option("checkpointLocation", ck)
+                           .foreachBatch(lambda df, bid: W1.apply_batch(spark, idx, df, bid)))
+    man = S.read_table(spark, idx, "manifest")
+    nch = S.read_table(spark, idx, "chunks").groupBy("path").agg(F.count("*").alias("n_chunks"))
+    nim = S.read_table(spark, idx, "imports").groupBy("path").agg(F.count("*").alias("n_imports"))
+    return (man.join(nch, "path", "left").join(nim, "path", "left")
+               .select("path", "size", "hash", "n_chunks", "n_imports"))
+
+
+def q_stream_routing(spark, d):
+    base = scratch_path(spark, f"stream-routing-{uuid.uuid4().hex}")
+    ev = table(spark, d, "events").select(F.col("event_id").alias("seq"), "user_id", "event_type", "ts")
+    top = ev.agg(F.max("seq")).first()[0] or 0
+    chunk = (F.col("seq") * 4 / (top + 1)).cast("int")
+    schema = "seq BIGINT, user_id BIGINT, event_type STRING, ts TIMESTAMP"
+    for i in range(4):
+        ev.where(chunk == i).write.parquet(f"{base}/events/c{i}")
+        stream = spark.readStream.schema(schema).parquet(f"{base}/events/*")
+        _run_available_now(W2.route_stream(stream).writeStream.format("parquet")
+                           .option("path", f"{base}/out").option("checkpointLocation", f"{base}/ck")
+                           .outputMode("append"))
+    return spark.read.schema(W2.OUT_SCHEMA).parquet(f"{base}/out")
+
+
+QUERIES.update({
+    "stream_refresh": q_stream_refresh,
+    "stream_routing": q_stream_routing,
+})

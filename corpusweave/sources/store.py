@@ -26,12 +26,23 @@ def current_version(spark: SparkSession, base: str) -> int | None:
     return None if row is None else row[0]
 
 
-def write_tables(spark: SparkSession, base: str, tables: dict[str, DataFrame]) -> int:
-    """Write every table as a new version, then publish the version."""
+def committed_batches(spark: SparkSession, base: str) -> set[int]:
+    try:
+        rows = spark.read.parquet(_versions_path(base)).where("batch_id IS NOT NULL") \
+                    .select("batch_id").distinct().collect()
+    except Exception:  # noqa: BLE001 - no table yet
+        return set()
+    return {r[0] for r in rows}
+
+
+def write_tables(spark: SparkSession, base: str, tables: dict[str, DataFrame],
+                 batch_id: int | None = None) -> int:
+    """Write every table as a new version, then publish the version (with the
+    stream batch id, if any, so a replayed batch can be recognised)."""
     v = (current_version(spark, base) or 0) + 1
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(os.path.join(base, name, f"v={v}"))
-    (spark.createDataFrame([(v, list(tables))], "version int, tables array<string>")
+    (spark.createDataFrame([(v, batch_id, list(tables))], "version int, batch_id long, tables array<string>")
           .withColumn("committed_at", F.current_timestamp())
           .coalesce(1).write.mode("append").parquet(_versions_path(base)))
     return v
