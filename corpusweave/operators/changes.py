@@ -73,17 +73,48 @@ def derive_graph(chunks: DataFrame, raw_calls: DataFrame) -> dict[str, DataFrame
     """Global passes (Q5): symbols from all chunks, then every raw call
     resolved against them; edges are derived, never patched (Q4)."""
     symbols = G.symbol_table(chunks)
-    edges = G.call_edges(G.resolve_calls(raw_calls, symbols))
-    return {"symbols": symbols, "edges": edges}
+    resolved = G.resolve_calls(raw_calls, symbols)
+    return {"symbols": symbols, "resolved_calls": resolved, "edges": G.call_edges(resolved)}
+
+
+def maintain_graph(index: dict[str, DataFrame], status: DataFrame, fresh_chunks: DataFrame,
+                   fresh_calls: DataFrame) -> dict[str, DataFrame]:
+    """Incremental form of ``derive_graph``, equal to it by construction.
+
+    A call's target depends only on its short name, its file's module and
+    the symbols carrying that short name.  So after a batch only these calls
+    are resolved again: calls of new or changed files, and stored calls whose
+    short name gained or lost a symbol in this batch.  Every other stored
+    resolution is kept as is; the work follows the change, not the corpus.
+    """
+    old_syms, old_res = index["symbols"], index["resolved_calls"]
+    fresh_syms = G.symbol_table(fresh_chunks)
+    symbols = invalidate(old_syms, status).unionByName(fresh_syms)
+    touched = (old_syms.join(stale_paths(status), "path", "left_semi").select("short_name")
+               .union(fresh_syms.select("short_name")).distinct())
+    kept = invalidate(old_res, status).withColumn("_short", F.substring_index("raw_call", ".", -1))
+    stay = kept.join(touched, kept["_short"] == touched["short_name"], "left_anti").drop("_short")
+    again = (kept.join(touched, kept["_short"] == touched["short_name"], "left_semi")
+                 .select("path", "caller", "pos", "raw_call")
+                 .unionByName(fresh_calls.select("path", "caller", "pos", "raw_call")))
+    resolved = stay.unionByName(G.resolve_calls(again, symbols))
+    return {"symbols": symbols, "resolved_calls": resolved, "edges": G.call_edges(resolved)}
+
+
+def _graph(index, status, fresh, out):
+    if index is not None and "symbols" in index and "resolved_calls" in index:
+        return maintain_graph(index, status, fresh["chunks"], fresh["raw_calls"])
+    return derive_graph(out["chunks"], out["raw_calls"])
 
 
 def refresh(sources: DataFrame, index: dict[str, DataFrame] | None, manifest: DataFrame | None,
             always_hash: bool = False, partitions: int | None = None) -> dict[str, DataFrame]:
     """Incremental refresh.  Returns the new table set (not yet written).
 
-    index: previous file-scoped tables (chunks, imports, raw_calls,
-    parse_errors) or None for a first build.  Only NEW/CHANGED files go
-    through the Python extraction pass.
+    index: previous tables (chunks, imports, raw_calls, parse_errors, and
+    optionally symbols + resolved_calls for incremental graph upkeep) or
+    None for a first build.  Only NEW/CHANGED files go through the Python
+    extraction pass.
     """
     snap = snapshot(sources)
     if manifest is None:
@@ -100,7 +131,7 @@ def refresh(sources: DataFrame, index: dict[str, DataFrame] | None, manifest: Da
             out[name] = invalidate(index[name], status).unionByName(df)
         else:
             out[name] = df
-    out.update(derive_graph(out["chunks"], out["raw_calls"]))
+    out.update(_graph(index, status, fresh, out))
     out["manifest"] = refresh_manifest(status)
     out["status"] = status.select("path", "status")
     return out
@@ -135,7 +166,7 @@ def refresh_changes(changes: DataFrame, index: dict[str, DataFrame] | None, mani
     out: dict[str, DataFrame] = {}
     for name, df in fresh.items():
         out[name] = invalidate(index[name], status).unionByName(df) if index and name in index else df
-    out.update(derive_graph(out["chunks"], out["raw_calls"]))
+    out.update(_graph(index, status, fresh, out))
     out["manifest"] = manifest.join(touched, "path", "left_anti").unionByName(refresh_manifest(status))
     out["status"] = status.select("path", "status")
     return out

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from corpusweave.config import BFS_DEPTH, HOP_DECAY, MAX_SYMBOLS
 from corpusweave.functions.ids import module_of
+from corpusweave.session import materialize
 
 
 # ---------------------------------------------------------------- G1, G2
@@ -176,7 +177,7 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def graph_expand(seeds: DataFrame, edges: DataFrame, depth: int = BFS_DEPTH,
-                 budget: int = MAX_SYMBOLS) -> DataFrame:
+                 budget: int = MAX_SYMBOLS, materialize_steps: bool | None = None) -> DataFrame:
     """G10 + G11: BFS over callers and callees from each query's seeds.
 
     seeds(query_id, symbol) -> (query_id, rank, symbol, hop, score), the top
@@ -192,13 +193,22 @@ def graph_expand(seeds: DataFrame, edges: DataFrame, depth: int = BFS_DEPTH,
     neighbours suffice.  Per query and hop the work is then at most
     ``budget`` frontier nodes x ``budget`` neighbours, whatever the degree of
     a hub.  Deeper walks (ties at score 0) run unpruned.
+
+    The visited set is read three times per hop; with ``materialize_steps``
+    (default for walks deeper than 3 hops) it is materialized after each hop (a table of at most queries x budget
+    rows while pruning), so neither the plan nor the work grows per hop;
+    every third hop the lineage is cut with a reliable checkpoint.
     """
     prune = depth <= 5
+    if materialize_steps is None:
+        materialize_steps = depth > 3
     und = undirected(edges)
     if prune:
         wn = Window.partitionBy("src").orderBy(F.col("dst").asc())
         und = und.withColumn("_rn", F.row_number().over(wn)).where(F.col("_rn") <= budget).drop("_rn")
     visited = seeds.select("query_id", "symbol").distinct().withColumn("hop", F.lit(0))
+    if materialize_steps:
+        visited = materialize(visited)
     for h in range(depth):
         frontier = visited.where(F.col("hop") == h)
         if prune:
@@ -209,8 +219,9 @@ def graph_expand(seeds: DataFrame, edges: DataFrame, depth: int = BFS_DEPTH,
                         .select("query_id", F.col("dst").alias("symbol")).distinct())
         new = step.join(visited, ["query_id", "symbol"], "left_anti").withColumn("hop", F.lit(h + 1))
         visited = visited.unionByName(new)
-        if h >= 2 and h < depth - 1:
-            visited = visited.checkpoint()
+        if materialize_steps and h < depth - 1:
+            # long walks also cut the lineage with a reliable checkpoint
+            visited = materialize(visited, reliable=(h + 1) % 3 == 0)
     score = F.greatest(F.lit(0.0), F.lit(1.0) - F.lit(HOP_DECAY) * F.col("hop"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("symbol").asc())
     return (visited.withColumn("score", F.when(F.col("hop") == 0, F.lit(1.0)).otherwise(score))

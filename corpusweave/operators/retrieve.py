@@ -8,12 +8,22 @@ from pyspark.sql import functions as F
 from corpusweave.config import BFS_DEPTH, GRAPH_DEFAULT_SCORE, MAX_SYMBOLS, TOP_K
 from corpusweave.operators import graph as G
 from corpusweave.operators.vectors import semantic_topk
+from corpusweave.session import materialize
 
 
 def hybrid_retrieve(queries: DataFrame, vectors: DataFrame, chunk_meta: DataFrame,
                     symbols: DataFrame, edges: DataFrame, k: int = TOP_K,
                     depth: int = BFS_DEPTH, budget: int = MAX_SYMBOLS,
                     **topk_opts) -> DataFrame:
+    """R1 ranked hits; see ``hybrid_retrieve_parts``."""
+    return hybrid_retrieve_parts(queries, vectors, chunk_meta, symbols, edges, k, depth, budget,
+                                 **topk_opts)[0]
+
+
+def hybrid_retrieve_parts(queries: DataFrame, vectors: DataFrame, chunk_meta: DataFrame,
+                          symbols: DataFrame, edges: DataFrame, k: int = TOP_K,
+                          depth: int = BFS_DEPTH, budget: int = MAX_SYMBOLS,
+                          **topk_opts) -> tuple[DataFrame, DataFrame]:
     """R1 for ``queries(query_id, embedding)``.
 
     vectors(chunk_id, embedding); chunk_meta(chunk_id, symbol_id); symbols(
@@ -24,10 +34,12 @@ def hybrid_retrieve(queries: DataFrame, vectors: DataFrame, chunk_meta: DataFram
     Semantic hits score 1.0 with their distance; graph chunks score their hop
     score (0.5 if absent) with null distance; a chunk found semantically is
     never replaced.  Rank: score desc, semantic first, distance, chunk_id.
-    Returns (query_id, rank, chunk_id, symbol_id, score, source, distance, hop).
+    Returns (hits, expanded): hits (query_id, rank, chunk_id, symbol_id,
+    score, source, distance, hop) and the budgeted expansion (G10/G11).
     """
     sem = semantic_topk(queries, vectors, k=k, **topk_opts)
-    sem = sem.join(chunk_meta.select("chunk_id", "symbol_id"), "chunk_id", "left")
+    # read three times below: compute the Python top-k stage once
+    sem = materialize(sem.join(chunk_meta.select("chunk_id", "symbol_id"), "chunk_id", "left"))
     seeds = sem.where(F.col("symbol_id").isNotNull()).select("query_id", F.col("symbol_id").alias("symbol"))
     expanded = G.graph_expand(seeds, edges, depth=depth, budget=budget)
     gchunks = (expanded.join(symbols.select("symbol_id", "chunk_id").where(F.col("chunk_id").isNotNull()),
@@ -43,8 +55,9 @@ def hybrid_retrieve(queries: DataFrame, vectors: DataFrame, chunk_meta: DataFram
     w = Window.partitionBy("query_id").orderBy(
         F.col("score").desc(), F.when(F.col("source") == "semantic", 0).otherwise(1),
         F.col("distance").asc_nulls_last(), F.col("chunk_id").asc())
-    return both.withColumn("rank", F.row_number().over(w)).select(
+    hits = both.withColumn("rank", F.row_number().over(w)).select(
         "query_id", "rank", "chunk_id", "symbol_id", "score", "source", "distance", "hop")
+    return hits, expanded
 
 
 def retrieval_summary(hits: DataFrame, expanded: DataFrame, related: DataFrame,

@@ -568,3 +568,43 @@ QUERIES.update({
     "stream_refresh": q_stream_refresh,
     "stream_routing": q_stream_routing,
 })
+
+
+# ------------------------------------------------------------ end to end
+from corpusweave.session import materialize  # noqa: E402
+
+
+def q_code_search(spark, d):
+    """Index the corpus, embed chunks (V1) and one query per supplier (V2),
+    hybrid-retrieve (V3, G10, G11, S5, R1), summarise (R2, G12), fetch full
+    files (S6) and assemble the prompt (P1, P2).  Rows-only check."""
+    src = code_corpus(spark, d)
+    # index job: extract once, write the index tables, read them back
+    base = scratch_path(spark, f"code-index-{uuid.uuid4().hex}")
+    idx = C.build_index(materialize(X.extract(src)))
+    g = C.derive_graph(idx["chunks"], idx["raw_calls"])
+    vec = vectors.embed_texts(idx["chunks"].select("chunk_id", "content"), "content").select("chunk_id", "embedding")
+    S.write_tables(spark, base, {"chunks": idx["chunks"], "imports": idx["imports"], "symbols": g["symbols"],
+                                 "edges": g["edges"], "vectors": vec})
+    chunks, vecs = S.read_table(spark, base, "chunks"), S.read_table(spark, base, "vectors")
+    g = {"symbols": S.read_table(spark, base, "symbols"), "edges": S.read_table(spark, base, "edges")}
+    idx = {"imports": S.read_table(spark, base, "imports")}
+    sup = table(spark, d, "supplier").select(F.col("s_suppkey").alias("query_id"))
+    qtext = F.format_string("where is run_%d called from S%d", F.col("query_id") + 1, F.col("query_id"))
+    qs = vectors.embed_texts(sup.select("query_id", qtext.alias("query")), "query")
+    hits, expanded = R.hybrid_retrieve_parts(qs.select("query_id", "embedding"), vecs,
+                                             chunks.select("chunk_id", "symbol_id"), g["symbols"], g["edges"])
+    meta = hits.join(chunks.select("chunk_id", "path", "start_line", "end_line", "content"), "chunk_id")
+    hit_files = meta.select("query_id", "path").distinct()
+    related = G.related_files(idx["imports"], hit_files)
+    summary = R.retrieval_summary(hits, expanded, related, chunks)
+    files = P.render_full_files(P.gather_full_files(hit_files, src.select("path", "content")))
+    tickets = qs.select("query_id", F.concat(F.lit("S-"), F.col("query_id").cast("string")).alias("ticket_key"),
+                        F.lit("").alias("url"), "query")
+    prompts = P.assemble(tickets, summary, P.render_chunks(meta), files)
+    return summary.join(prompts.select("query_id", "prompt"), "query_id", "left").select(
+        "query_id", "seed_symbols", "expanded_symbols", "symbol_scores", "dependencies", "dependents",
+        "related_files", F.size("chunks").alias("n_chunks"), "chunks", "prompt")
+
+
+QUERIES["code_search"] = q_code_search

@@ -20,6 +20,8 @@ DEFAULT_CONF = {
     # the embed batch of the reference is 300 texts; Arrow batches are the unit here
     "spark.sql.execution.arrow.maxRecordsPerBatch": "300",
     "spark.ui.enabled": "false",
+    # checkpoint files of DataFrames that went out of scope are removed
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.showConsoleProgress": "false",
 }
 
@@ -58,3 +60,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base.rstrip("/"), name)
+
+
+def materialize(df, reliable: bool = False):
+    """Compute ``df`` once so later plans read it instead of re-running it.
+
+    Default: persist (memory, spilling to disk) and fill the cache; later
+    plans see the cached relation as a leaf, and a lost executor's blocks are
+    recomputed from lineage.  ``reliable=True`` also writes a checkpoint to
+    the shared checkpoint folder and cuts the lineage (long iterations)."""
+    from pyspark import StorageLevel
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if not reliable:
+        cached.count()
+        return cached
+    ensure_checkpoint_dir(df.sparkSession)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out

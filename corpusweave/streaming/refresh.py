@@ -15,14 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusweave.operators import changes as C
 from corpusweave.sources import store
 
-INDEX_TABLES = ("chunks", "imports", "raw_calls", "parse_errors", "symbols", "edges", "manifest")
+INDEX_TABLES = ("chunks", "imports", "raw_calls", "parse_errors", "symbols", "resolved_calls", "edges",
+                "manifest")
 
 
 def load_index(spark: SparkSession, base: str):
     v = store.current_version(spark, base)
     if v is None:
         return None, None
-    idx = {n: store.read_table(spark, base, n, v) for n in ("chunks", "imports", "raw_calls", "parse_errors")}
+    idx = {n: store.read_table(spark, base, n, v)
+           for n in ("chunks", "imports", "raw_calls", "parse_errors", "symbols", "resolved_calls")}
     return idx, store.read_table(spark, base, "manifest", v)
 
 

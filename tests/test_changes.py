@@ -46,13 +46,17 @@ def test_incremental_equals_full_rebuild(spark, tmp_path):
     first = C.refresh(v1, None, None)
     base = str(tmp_path / "idx")
     S.write_tables(spark, base, {k: first[k] for k in ("chunks", "imports", "raw_calls", "parse_errors",
-                                                       "manifest")})
+                                                       "manifest", "symbols", "resolved_calls")})
     import datetime
     rows2 = [(p, datetime.datetime(2024, 1, 2), len(b), bytearray(b)) for p, b in _files(2).items()]
     v2 = spark.createDataFrame(rows2, "path string, modificationTime timestamp, length bigint, content binary")
-    idx = {k: S.read_table(spark, base, k) for k in ("chunks", "imports", "raw_calls", "parse_errors")}
-    inc = C.refresh(v2, idx, S.read_table(spark, base, "manifest"))
+    names = ("chunks", "imports", "raw_calls", "parse_errors")
+    idx = {k: S.read_table(spark, base, k) for k in names}
+    inc_full_graph = C.refresh(v2, idx, S.read_table(spark, base, "manifest"))
+    idx2 = {k: S.read_table(spark, base, k) for k in names + ("symbols", "resolved_calls")}
+    inc = C.refresh(v2, idx2, S.read_table(spark, base, "manifest"))  # incremental graph upkeep
     full = C.refresh(v2, None, None)
+    assert _rows(inc_full_graph["edges"], ["src", "dst", "resolved"]) == _rows(full["edges"], ["src", "dst", "resolved"])
     assert {r["path"]: r["status"] for r in inc["status"].collect()} == {
         "pkg/a.py": "UNCHANGED", "pkg/b.py": "CHANGED", "pkg/c.py": "DELETED", "pkg/d.py": "NEW"}
     for name, cols in [("chunks", ["chunk_id", "symbol_id", "path", "start_line", "content"]),
@@ -78,3 +82,17 @@ def test_store_versions_and_upsert(spark, tmp_path):
     assert S.committed_batches(spark, base) == {0}
     ids = spark.createDataFrame([("a",), ("z",)], "chunk_id string")
     assert _rows(S.fetch_ids(up, ids), ["chunk_id", "v"]) == [("a", 1)]
+
+
+def test_scan_source_tree(spark, tmp_path):
+    from corpusweave.sources.codetree import scan_source_tree
+    root = tmp_path / "repo"
+    (root / "pkg" / "sub").mkdir(parents=True)
+    (root / "pkg" / "a.py").write_bytes(b"def f():\n    pass\n")
+    (root / "pkg" / "sub" / "b.py").write_bytes(b"x = 1\n")
+    (root / "notes.txt").write_bytes(b"skip me")
+    rows = {r["path"]: r for r in scan_source_tree(spark, str(root)).collect()}
+    assert set(rows) == {"pkg/a.py", "pkg/sub/b.py"}
+    assert rows["pkg/a.py"]["length"] == 18 and rows["pkg/a.py"]["repo"] == "repo"
+    st = C.classify(C.snapshot(scan_source_tree(spark, str(root))), snap(spark, [])).collect()
+    assert {r["status"] for r in st} == {"NEW"}
