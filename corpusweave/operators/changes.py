@@ -72,9 +72,10 @@ def build_index(x: DataFrame) -> dict[str, DataFrame]:
 def derive_graph(chunks: DataFrame, raw_calls: DataFrame) -> dict[str, DataFrame]:
     """Global passes (Q5): symbols from all chunks, then every raw call
     resolved against them; edges are derived, never patched (Q4)."""
-    symbols = G.symbol_table(chunks)
-    resolved = G.resolve_calls(raw_calls, symbols)
-    return {"symbols": symbols, "resolved_calls": resolved, "edges": G.call_edges(resolved)}
+    symbols = G.symbol_table(chunks).persist()
+    resolved = G.resolve_calls(raw_calls, symbols).persist()  # written, then projected to edges
+    return {"symbols": symbols, "resolved_calls": resolved, "edges": G.call_edges(resolved),
+            "_cached": [symbols, resolved]}
 
 
 def maintain_graph(index: dict[str, DataFrame], status: DataFrame, fresh_chunks: DataFrame,
@@ -89,7 +90,7 @@ def maintain_graph(index: dict[str, DataFrame], status: DataFrame, fresh_chunks:
     """
     old_syms, old_res = index["symbols"], index["resolved_calls"]
     fresh_syms = G.symbol_table(fresh_chunks)
-    symbols = invalidate(old_syms, status).unionByName(fresh_syms)
+    symbols = invalidate(old_syms, status).unionByName(fresh_syms).persist()
     touched = (old_syms.join(stale_paths(status), "path", "left_semi").select("short_name")
                .union(fresh_syms.select("short_name")).distinct())
     kept = invalidate(old_res, status).withColumn("_short", F.substring_index("raw_call", ".", -1))
@@ -97,8 +98,19 @@ def maintain_graph(index: dict[str, DataFrame], status: DataFrame, fresh_chunks:
     again = (kept.join(touched, kept["_short"] == touched["short_name"], "left_semi")
                  .select("path", "caller", "pos", "raw_call")
                  .unionByName(fresh_calls.select("path", "caller", "pos", "raw_call")))
-    resolved = stay.unionByName(G.resolve_calls(again, symbols))
-    return {"symbols": symbols, "resolved_calls": resolved, "edges": G.call_edges(resolved)}
+    resolved = stay.unionByName(G.resolve_calls(again, symbols)).persist()
+    return {"symbols": symbols, "resolved_calls": resolved, "edges": G.call_edges(resolved),
+            "_cached": [symbols, resolved]}
+
+
+def release(tables: dict) -> None:
+    """Drop the cached intermediates of a refresh once its tables are written."""
+    for df in tables.get("_cached", []):
+        df.unpersist()
+
+
+def _shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _graph(index, status, fresh, out):
@@ -123,7 +135,8 @@ def refresh(sources: DataFrame, index: dict[str, DataFrame] | None, manifest: Da
     # writes (executor loss recomputes the lost blocks from lineage)
     status = classify(snap, manifest, always_hash).persist()
     todo = status.where(F.col("status").isin(NEW, CHANGED)).select("path")
-    fresh_x = X.extract(sources.join(todo, "path", "left_semi"), partitions=partitions).persist()
+    fresh_x = X.extract(sources.join(todo, "path", "left_semi"),
+                        partitions=partitions or _shuffle_partitions(sources)).persist()
     fresh = build_index(fresh_x)
     out: dict[str, DataFrame] = {}
     for name, df in fresh.items():
@@ -131,7 +144,9 @@ def refresh(sources: DataFrame, index: dict[str, DataFrame] | None, manifest: Da
             out[name] = invalidate(index[name], status).unionByName(df)
         else:
             out[name] = df
-    out.update(_graph(index, status, fresh, out))
+    g = _graph(index, status, fresh, out)
+    out.update(g)
+    out["_cached"] = g["_cached"] + [status, fresh_x]
     out["manifest"] = refresh_manifest(status)
     out["status"] = status.select("path", "status")
     return out
@@ -162,11 +177,14 @@ def refresh_changes(changes: DataFrame, index: dict[str, DataFrame] | None, mani
                          F.col("hash").alias("old_hash")))
     status = st_up.unionByName(gone).persist()
     todo = status.where(F.col("status").isin(NEW, CHANGED)).select("path")
-    fresh = build_index(X.extract(ups.join(todo, "path", "left_semi")).persist())
+    fresh_x = X.extract(ups.join(todo, "path", "left_semi"), partitions=_shuffle_partitions(changes)).persist()
+    fresh = build_index(fresh_x)
     out: dict[str, DataFrame] = {}
     for name, df in fresh.items():
         out[name] = invalidate(index[name], status).unionByName(df) if index and name in index else df
-    out.update(_graph(index, status, fresh, out))
+    g = _graph(index, status, fresh, out)
+    out.update(g)
+    out["_cached"] = g["_cached"] + [status, fresh_x]
     out["manifest"] = manifest.join(touched, "path", "left_anti").unionByName(refresh_manifest(status))
     out["status"] = status.select("path", "status")
     return out

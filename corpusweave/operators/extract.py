@@ -48,7 +48,13 @@ def _extract_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def extract(sources: DataFrame, partitions: int | None = None) -> DataFrame:
-    """The tagged union for every file of ``sources(path, content)``."""
+    """The tagged union for every file of ``sources(path, content)``.
+
+    Parsing is CPU-bound Python.  A large ``binaryFile`` scan already comes
+    in many splits and is parsed where it is read (``partitions=None``);
+    small or filtered inputs (a change set, a table-derived corpus) pass a
+    partition count so the files are spread by path across the cores.
+    """
     src = sources.select("path", "content")
     if partitions:
         src = src.repartition(partitions, "path")

@@ -37,8 +37,13 @@ from corpusweave.operators import graph as G  # noqa: E402
 from corpusweave.plans.fixtures import code_corpus  # noqa: E402
 
 
+def _parallel(spark) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _corpus_x(spark, d):
-    return X.extract(code_corpus(spark, d))
+    # the corpus derives from one small table: spread the files over the cores
+    return X.extract(code_corpus(spark, d), partitions=_parallel(spark))
 
 
 def q_chunk_extract(spark, d):
@@ -396,13 +401,13 @@ from corpusweave.plans.fixtures import REPO, change_plans, requirement_lines  #
 
 def q_third_party(spark, d):
     src = code_corpus(spark, d)
-    mods = X.import_modules(X.extract(src)).withColumn("repo", F.lit(REPO))
+    mods = X.import_modules(X.extract(src, partitions=_parallel(spark))).withColumn("repo", F.lit(REPO))
     return D.third_party(spark, src.select("repo", "path"), mods)
 
 
 def q_requirements_diff(spark, d):
     src = code_corpus(spark, d)
-    mods = X.import_modules(X.extract(src)).withColumn("repo", F.lit(REPO))
+    mods = X.import_modules(X.extract(src, partitions=_parallel(spark))).withColumn("repo", F.lit(REPO))
     scanned = D.third_party(spark, src.select("repo", "path"), mods)
     res = D.missing_packages(scanned, requirement_lines(spark, d), src.select("repo"))
     return res.select("repo", "reason_code", F.explode("packages").alias("package"))
@@ -581,7 +586,7 @@ def q_code_search(spark, d):
     src = code_corpus(spark, d)
     # index job: extract once, write the index tables, read them back
     base = scratch_path(spark, f"code-index-{uuid.uuid4().hex}")
-    idx = C.build_index(materialize(X.extract(src)))
+    idx = C.build_index(materialize(X.extract(src, partitions=_parallel(spark))))
     g = C.derive_graph(idx["chunks"], idx["raw_calls"])
     vec = vectors.embed_texts(idx["chunks"].select("chunk_id", "content"), "content").select("chunk_id", "embedding")
     S.write_tables(spark, base, {"chunks": idx["chunks"], "imports": idx["imports"], "symbols": g["symbols"],

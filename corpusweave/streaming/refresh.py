@@ -33,7 +33,10 @@ def apply_batch(spark: SparkSession, base: str, changes: DataFrame, batch_id: in
         return None  # replayed batch: already published
     index, manifest = load_index(spark, base)
     out = C.refresh_changes(changes, index, manifest)
-    return store.write_tables(spark, base, {n: out[n] for n in INDEX_TABLES}, batch_id=batch_id)
+    try:
+        return store.write_tables(spark, base, {n: out[n] for n in INDEX_TABLES}, batch_id=batch_id)
+    finally:
+        C.release(out)
 
 
 def start(spark: SparkSession, change_dir: str, index_base: str, checkpoint: str,
