@@ -196,8 +196,8 @@ def graph_expand(seeds: DataFrame, edges: DataFrame, depth: int = BFS_DEPTH,
 
     The visited set is read three times per hop; with ``materialize_steps``
     (default for walks deeper than 3 hops) it is materialized after each hop (a table of at most queries x budget
-    rows while pruning), so neither the plan nor the work grows per hop;
-    every third hop the lineage is cut with a reliable checkpoint.
+    rows while pruning) and its lineage cut, so neither the plan nor the work
+    grows per hop.
     """
     prune = depth <= 5
     if materialize_steps is None:
@@ -221,7 +221,7 @@ def graph_expand(seeds: DataFrame, edges: DataFrame, depth: int = BFS_DEPTH,
         visited = visited.unionByName(new)
         if materialize_steps and h < depth - 1:
             # long walks also cut the lineage with a reliable checkpoint
-            visited = materialize(visited, reliable=(h + 1) % 3 == 0)
+            visited = materialize(visited)
     score = F.greatest(F.lit(0.0), F.lit(1.0) - F.lit(HOP_DECAY) * F.col("hop"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("symbol").asc())
     return (visited.withColumn("score", F.when(F.col("hop") == 0, F.lit(1.0)).otherwise(score))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusweave.operators import vectors
+from corpusweave.session import materialize
 from corpusweave.sources.tables import table
 
 
@@ -71,7 +72,7 @@ def q_symbol_table(spark, d):
 
 
 def q_call_resolution(spark, d):
-    x = _corpus_x(spark, d).persist()
+    x = materialize(_corpus_x(spark, d))  # one Python pass feeds symbols and calls
     syms = G.symbol_table(X.chunks(x))
     res = G.resolve_calls(X.raw_calls(x), syms)
     return G.call_edges(res)
@@ -576,9 +577,6 @@ QUERIES.update({
 
 
 # ------------------------------------------------------------ end to end
-from corpusweave.session import materialize  # noqa: E402
-
-
 def q_code_search(spark, d):
     """Index the corpus, embed chunks (V1) and one query per supplier (V2),
     hybrid-retrieve (V3, G10, G11, S5, R1), summarise (R2, G12), fetch full
@@ -591,6 +589,7 @@ def q_code_search(spark, d):
     vec = vectors.embed_texts(idx["chunks"].select("chunk_id", "content"), "content").select("chunk_id", "embedding")
     S.write_tables(spark, base, {"chunks": idx["chunks"], "imports": idx["imports"], "symbols": g["symbols"],
                                  "edges": g["edges"], "vectors": vec})
+    C.release(g)
     chunks, vecs = S.read_table(spark, base, "chunks"), S.read_table(spark, base, "vectors")
     g = {"symbols": S.read_table(spark, base, "symbols"), "edges": S.read_table(spark, base, "edges")}
     idx = {"imports": S.read_table(spark, base, "imports")}
@@ -599,9 +598,12 @@ def q_code_search(spark, d):
     qs = vectors.embed_texts(sup.select("query_id", qtext.alias("query")), "query")
     hits, expanded = R.hybrid_retrieve_parts(qs.select("query_id", "embedding"), vecs,
                                              chunks.select("chunk_id", "symbol_id"), g["symbols"], g["edges"])
+    # per-query results (at most queries x (k + budget) rows) feed several
+    # branches below: compute them once
+    hits, expanded = materialize(hits), materialize(expanded)
     meta = hits.join(chunks.select("chunk_id", "path", "start_line", "end_line", "content"), "chunk_id")
-    hit_files = meta.select("query_id", "path").distinct()
-    related = G.related_files(idx["imports"], hit_files)
+    hit_files = materialize(meta.select("query_id", "path").distinct())
+    related = materialize(G.related_files(idx["imports"], hit_files))
     summary = R.retrieval_summary(hits, expanded, related, chunks)
     files = P.render_full_files(P.gather_full_files(hit_files, src.select("path", "content")))
     tickets = qs.select("query_id", F.concat(F.lit("S-"), F.col("query_id").cast("string")).alias("ticket_key"),

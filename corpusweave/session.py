@@ -62,13 +62,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base.rstrip("/"), name)
 
 
-def materialize(df, reliable: bool = False):
+def materialize(df, reliable: bool = True):
     """Compute ``df`` once so later plans read it instead of re-running it.
 
-    Default: persist (memory, spilling to disk) and fill the cache; later
-    plans see the cached relation as a leaf, and a lost executor's blocks are
-    recomputed from lineage.  ``reliable=True`` also writes a checkpoint to
-    the shared checkpoint folder and cuts the lineage (long iterations)."""
+    Default: a reliable checkpoint in the shared checkpoint folder.  The
+    result's plan is a leaf, which also keeps later planning cheap (a
+    persisted DataFrame keeps its whole plan, and every later query pays to
+    match it against the cache), and survives the loss of executors.
+    ``reliable=False`` only persists (memory, spilling to disk)."""
     from pyspark import StorageLevel
     cached = df.persist(StorageLevel.MEMORY_AND_DISK)
     if not reliable:
