@@ -373,12 +373,14 @@ def q_audit_comments(spark, d):
     commit = F.when(F.size(modified) > 0, F.concat(F.lit("https://git.example/commit/"),
                                                    F.col("o_orderkey").cast("string")))
     retry = (F.col("o_orderkey") % 4).cast("int")
-    dev = j.select(ticket.alias("ticket"), F.lit("dev").alias("stage"),
-                   RU.dev_comment(ticket, retry, analysis, modified, commit, rejected).alias("comment"))
     summ = F.concat(F.coalesce(F.col("n_lines"), F.lit(0)).cast("string"), F.lit(" passed"))
-    test = j.select(ticket.alias("ticket"), F.lit("test").alias("stage"),
-                    RU.test_comment(ticket, F.col("o_orderstatus") == "F", summ, retry).alias("comment"))
-    return dev.union(test)
+    # both stages from one pass over the per-order aggregate
+    stages = F.array(
+        F.struct(F.lit("dev").alias("stage"),
+                 RU.dev_comment(ticket, retry, analysis, modified, commit, rejected).alias("comment")),
+        F.struct(F.lit("test").alias("stage"),
+                 RU.test_comment(ticket, F.col("o_orderstatus") == "F", summ, retry).alias("comment")))
+    return j.select(ticket.alias("ticket"), F.explode(stages).alias("s")).select("ticket", "s.stage", "s.comment")
 
 
 QUERIES.update({
@@ -491,11 +493,10 @@ def q_prompt_render(spark, d):
         F.transform(ordered, lambda x: x["symbol_id"]).alias("expanded_symbols"),
         F.array().cast("array<string>").alias("dependencies"),
         F.array().cast("array<string>").alias("dependents"))
-    conv = table(spark, d, "conversations").select("conv_id", "turn", "text")
-    per = conv.groupBy(F.col("conv_id").alias("query_id")).agg(
-        F.min_by("text", "turn").alias("query"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]),
-                     "\n").alias("full_output"))
+    conv = table(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), "turn", "text")
+    # the retry section shows only the last 3000 chars of the run's output
+    tails = P.tail_of_concat(conv, "query_id", "turn", "text")
+    per = conv.groupBy("query_id").agg(F.min_by("text", "turn").alias("query")).join(tails, "query_id")
     tickets = per.select("query_id", F.concat(F.lit("CONV-"), F.col("query_id").cast("string")).alias("ticket_key"),
                          F.concat(F.lit("https://tracker.example/CONV-"), F.col("query_id").cast("string")).alias("url"),
                          "query")
