@@ -80,10 +80,15 @@ def missing_packages(scanned: DataFrame, lines: DataFrame, repos: DataFrame) ->
     names = req.where(F.col("name").isNotNull()).select("repo", "name").distinct()
     miss = scanned.join(names, (scanned["repo"] == names["repo"]) &
                         (F.lower(scanned["package"]) == names["name"]), "left_anti")
-    per = miss.groupBy("repo").agg(F.sort_array(F.collect_set("package")).alias("missing"))
-    listed = names.groupBy("repo").agg(F.sort_array(F.collect_set("name")).alias("listed"))
-    r = repos.select("repo").distinct().join(has_file, "repo", "left").join(per, "repo", "left") \
-        .join(listed, "repo", "left")
+    # per-repo facts are unioned and grouped once: no join keyed on repo alone
+    facts = (repos.select("repo").distinct()
+             .unionByName(has_file, allowMissingColumns=True)
+             .unionByName(miss.select("repo", F.col("package").alias("_miss")), allowMissingColumns=True)
+             .unionByName(names.select("repo", F.col("name").alias("_listed")), allowMissingColumns=True))
+    r = facts.groupBy("repo").agg(
+        F.max("_has").alias("_has"),
+        F.sort_array(F.collect_set("_miss")).alias("missing"),
+        F.sort_array(F.collect_set("_listed")).alias("listed"))
     empty = F.array().cast("array<string>")
     status = (F.when(F.col("_has").isNull(), F.lit("REQUIREMENTS_CREATED"))
                .when(F.coalesce(F.size("missing"), F.lit(0)) == 0, F.lit("REQUIREMENTS_UP_TO_DATE"))
