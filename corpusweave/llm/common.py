@@ -38,3 +38,9 @@ def fold(doc_id: str, parts: int) -> Column:
 def let(value: Column, body) -> Column:
     """Bind ``value`` once for use inside higher-order functions."""
     return F.transform(F.array(value), body)[0]
+
+
+def as_bytes(column) -> list:
+    """The values of an Arrow text column as UTF-8 bytes (null stays None)."""
+    import pyarrow as pa
+    return column.cast(pa.binary()).to_pylist()

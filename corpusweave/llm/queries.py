@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from . import bpe, packing
+from .common import documents, shared_table
+from .decontam import decontaminate
 from .quality import quality_rules
 from .sharding import shuffle_key, stratified_shards
 
 N_SHARDS = 24
+END_ID = 2
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +33,31 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit(None).cast("int").alias("grown_shard")))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items",
+                      F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = packing.packed_documents(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"), END_ID, 49408)
+    rows = rows.select(F.col("id").alias("doc_id"), "part", "chunk", "first",
+                       F.expr("octet_length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    return packing.with_starts(shared_table(rows, "packed-rows")).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    vocab = bpe.vocabulary(_tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), vocab).select("doc_id", "ids")
+    df = bpe.decode(ids, vocab)
+    return df.select("doc_id", *[c.alias(k) for k, c in bpe.digests(df).items()])
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op5_decontamination": op5_decontamination,
+    "op8_token_files": op8_token_files,
+    "op10_byte_bpe": op10_byte_bpe,
     "op7_sharding": op7_sharding,
 }
