@@ -26,7 +26,6 @@ from itertools import chain
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import as_bytes, shared_path
 
@@ -136,7 +135,7 @@ def write_packed(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, v
 def read_packed(spark, path: str, id_type: str = "long") -> DataFrame:
     """One row per stored document: id, file order (part, chunk), place, first token in the file, and tokens."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    kinds = T._parse_datatype_string(f"id {id_type}, part int, chunk int, place int, first long, ids binary")
+    kinds = spark.createDataFrame([], f"id {id_type}, part int, chunk int, place int, first long, ids binary").schema
     schema = to_arrow_schema(kinds)
 
     def run(batches):

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing
-from .common import documents, shared_table
+from . import bpe, packing, secrets, warc
+from .common import documents, shared_path, shared_table
 from .decontam import decontaminate
 from .quality import quality_rules
 from .sharding import shuffle_key, stratified_shards
@@ -54,10 +54,27 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", *[c.alias(k) for k, c in bpe.digests(df).items()])
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "archives")
+    warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    captures = warc.assemble(warc.read_archives(spark, path, with_payload=False))
+    return captures.select("page_id", "payload_bytes", F.col("response.payload_digest").alias("payload_digest"),
+                           F.col("response.type").alias("record_type"), "refers_to")
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    return secrets.redact(found).select(
+        "doc_id", "n_candidates", F.size("findings").cast("long").alias("n_findings"),
+        F.transform("findings", lambda f: f["value"]).alias("secret_values"), F.sha2(F.col("text").cast("binary"), 256).alias("redacted_sha256"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op4_warc": op4_warc,
     "op5_decontamination": op5_decontamination,
     "op8_token_files": op8_token_files,
+    "op9_secrets": op9_secrets,
     "op10_byte_bpe": op10_byte_bpe,
     "op7_sharding": op7_sharding,
 }
