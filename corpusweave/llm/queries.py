@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import bpe, packing, secrets, warc
 from .common import documents, shared_path, shared_table
 from .decontam import decontaminate
+from .jaccard import jaccard_components
 from .quality import quality_rules
 from .sharding import shuffle_key, stratified_shards
 
@@ -54,6 +55,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", *[c.alias(k) for k, c in bpe.digests(df).items()])
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "archives")
     warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
@@ -71,6 +76,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_warc": op4_warc,
     "op5_decontamination": op5_decontamination,
     "op8_token_files": op8_token_files,
