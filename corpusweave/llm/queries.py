@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, secrets, warc
-from .common import documents, shared_path, shared_table
+from . import bpe, packing, secrets, toxicity, warc
+from .common import documents, fold, shared_path, shared_table
 from .decontam import decontaminate
 from .jaccard import jaccard_components
 from .quality import quality_rules
@@ -55,6 +55,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", *[c.alias(k) for k, c in bpe.digests(df).items()])
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
+    out = toxicity.score(docs, toxicity.fit(docs, labels))
+    return out.select(F.col("id").alias("doc_id"), (fold("id", toxicity.FOLDS) == toxicity.HELD_OUT).alias("held_out"), "score", "predicted")
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
@@ -76,6 +83,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_toxicity": op2_toxicity,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_warc": op4_warc,
     "op5_decontamination": op5_decontamination,
