@@ -9,6 +9,7 @@ from . import bpe, packing, secrets, toxicity, warc
 from .common import documents, fold, shared_path, shared_table
 from .decontam import decontaminate
 from .jaccard import jaccard_components
+from .language_model import lm_scores
 from .quality import quality_rules
 from .sharding import shuffle_key, stratified_shards
 
@@ -74,6 +75,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                            F.col("response.type").alias("record_type"), "refers_to")
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(documents(spark, sf_dir))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"))
     return secrets.redact(found).select(
@@ -87,8 +92,9 @@ QUERIES = {
     "op3_jaccard_join": op3_jaccard_join,
     "op4_warc": op4_warc,
     "op5_decontamination": op5_decontamination,
+    "op6_lm_scores": op6_lm_scores,
+    "op7_sharding": op7_sharding,
     "op8_token_files": op8_token_files,
     "op9_secrets": op9_secrets,
     "op10_byte_bpe": op10_byte_bpe,
-    "op7_sharding": op7_sharding,
 }
