@@ -70,7 +70,8 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "archives")
     warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    captures = warc.assemble(warc.read_archives(spark, path, with_payload=False))
+    # parsed once: assembling reads the records several times
+    captures = warc.assemble(shared_table(warc.read_archives(spark, path, with_payload=False), "warc-records"))
     return captures.select("page_id", "payload_bytes", F.col("response.payload_digest").alias("payload_digest"),
                            F.col("response.type").alias("record_type"), "refers_to")
 
