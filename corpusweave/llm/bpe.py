@@ -115,36 +115,39 @@ class Vocabulary:
         return (self.ids[i],) if i >= 0 else self.merge(token)
 
     def merge(self, token: bytes) -> tuple[int, ...]:
-        """Merge the lowest rank first, the leftmost of equal ranks."""
-        ids = [self.id_of_byte[b] for b in token]
+        """Merge the lowest rank first, the leftmost of equal ranks.
+
+        Heap entries are rank * n + position; ``rank[i]`` is that of the pair
+        that now starts at i, so an outdated entry is known by its rank."""
+        ids = list(map(self.id_of_byte.__getitem__, token))
         if min(ids) < 0:
             raise ValueError("the vocabulary lacks a single byte")
-        n, span, merged = len(ids), self.span, self.merged
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = []
-        for i in range(n - 1):
-            rank = merged.get(ids[i] * span + ids[i + 1])
-            if rank is not None:
-                heap.append((rank, i, ids[i], ids[i + 1]))
+        n, span, pair = len(ids), self.span, self.merged.get
+        rank = [pair(a * span + b, -1) for a, b in zip(ids, ids[1:])]
+        heap = [r * n + i for i, r in enumerate(rank) if r >= 0]
+        rank.append(-1)
         heapq.heapify(heap)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
-            rank, i, a, b = heapq.heappop(heap)
+            new, i = divmod(heapq.heappop(heap), n)
+            if rank[i] != new:
+                continue
             j = after[i]
-            if ids[i] != a or j >= n or ids[j] != b:
-                continue  # one of the two has merged since
-            ids[i], ids[j] = rank, -1
-            after[i] = k = after[j]
+            k = after[j]
+            ids[i], ids[j], rank[j], after[i] = new, -1, -1, k
             if k < n:
                 before[k] = i
-                new = merged.get(rank * span + ids[k])
-                if new is not None:
-                    heapq.heappush(heap, (new, i, rank, ids[k]))
+                rank[i] = r = pair(new * span + ids[k], -1)
+                if r >= 0:
+                    heapq.heappush(heap, r * n + i)
+            else:
+                rank[i] = -1
             h = before[i]
             if h >= 0:
-                new = merged.get(ids[h] * span + rank)
-                if new is not None:
-                    heapq.heappush(heap, (new, h, ids[h], rank))
-        return tuple(x for x in ids if x >= 0)
+                rank[h] = r = pair(ids[h] * span + new, -1)
+                if r >= 0:
+                    heapq.heappush(heap, r * n + h)
+        return tuple([x for x in ids if x >= 0])
 
     def words(self) -> _Words:
         if self._words is None:
@@ -159,14 +162,23 @@ class _Words(dict):
         import regex
         super().__init__()
         self.vocabulary, self.split = vocabulary, regex.compile(vocabulary.pattern).findall
+        self.pre_tokens: dict[str, tuple[int, ...]] = {}
         # white space next to a space: there a cut at every space could cut inside a match of the pattern
         self.risky = regex.compile(r"\s | \s").search
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= MEMO:
             self.clear()
-        pre = self.vocabulary.pre_token
-        ids = tuple(chain.from_iterable(pre(p.encode()) for p in self.split(word)))
+            self.pre_tokens.clear()
+        ids, known = [], self.pre_tokens
+        for p in self.split(word):
+            got = known.get(p)
+            if got is None:
+                got = self.vocabulary.pre_token(p.encode())
+                if len(p) <= 64:
+                    known[p] = got
+            ids += got
+        ids = tuple(ids)
         if len(word) <= 64:
             self[word] = ids
         return ids

@@ -39,25 +39,37 @@ _WORKER: dict = {}
 class WordEncoder:
     """Encodes texts word by word (words end at ASCII white space) with the tokenizers library.
 
-    Right for tokenizers that drop white space and never join across it; ``check`` tells."""
+    Right for tokenizers that lower-case, drop white space and keep letters
+    apart from marks (``tests`` compare it with the library over whole texts)."""
+
+    MARKS = (b".", b",")
 
     def __init__(self, path: str):
+        import os
+
         from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.memo: dict[bytes, list[int]] = {}
+        self.memo: dict[bytes, tuple[int, ...]] = {}
 
-    def encode(self, texts: list[bytes | None]) -> list[list[int]]:
-        """Ids of each text."""
-        split = [(t or b"").split() for t in texts]
+    def encode(self, texts: list[bytes | None]):
+        """Ids of each text, as arrays."""
+        import numpy as np
+        split = [(t or b"").lower().split() for t in texts]
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
-        new = list({w for ws in split for w in ws if w not in memo})
-        for at in range(0, len(new), 50_000):
-            some = new[at:at + 50_000]
-            memo.update(zip(some, [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)]))
-        return [list(chain.from_iterable(map(memo.__getitem__, ws))) for ws in split]
+        new = set(chain.from_iterable(split)).difference(memo)
+        # a mark after an ASCII letter is a piece of its own: "word," is "word" and ","
+        marked = {w for w in new if w[-1:] in self.MARKS and w[-2:-1].isalpha()}
+        plain = list(new.difference(marked).union(w[:-1] for w in marked).union(w[-1:] for w in marked).difference(memo))
+        for at in range(0, len(plain), 50_000):
+            some = plain[at:at + 50_000]
+            memo.update(zip(some, [tuple(e.ids) for e in self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)]))
+        for w in marked:
+            memo[w] = memo[w[:-1]] + memo[w[-1:]]
+        return [np.fromiter(chain.from_iterable(map(memo.__getitem__, ws)), np.uint32) for ws in split]
 
     @staticmethod
     def of(path: str) -> WordEncoder:
@@ -116,10 +128,9 @@ def write_packed(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, v
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)
                 for doc, ids in zip(some.column(0).to_pylist(), encoder.encode(as_bytes(some.column(1)))):
-                    ids.append(end_id)
-                    held.append([doc, len(ids)])
-                    waiting.append(np.array(ids, kind))
-                    n += len(ids)
+                    held.append([doc, len(ids) + 1])
+                    waiting.append(np.append(ids, end_id).astype(kind))
+                    n += len(ids) + 1
                     if n >= file_tokens:
                         yield flush()
                         chunk, held, waiting, n = chunk + 1, [], [], 0
