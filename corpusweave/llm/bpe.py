@@ -21,7 +21,7 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
-from itertools import chain
+from array import array
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -122,14 +122,16 @@ class Vocabulary:
         ids = list(map(self.id_of_byte.__getitem__, token))
         if min(ids) < 0:
             raise ValueError("the vocabulary lacks a single byte")
-        n, span, pair = len(ids), self.span, self.merged.get
+        n, span, pair, pop, push = len(ids), self.span, self.merged.get, heapq.heappop, heapq.heappush
         rank = [pair(a * span + b, -1) for a, b in zip(ids, ids[1:])]
         heap = [r * n + i for i, r in enumerate(rank) if r >= 0]
         rank.append(-1)
         heapq.heapify(heap)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
-            new, i = divmod(heapq.heappop(heap), n)
+            new = pop(heap)
+            i = new % n
+            new //= n
             if rank[i] != new:
                 continue
             j = after[i]
@@ -139,14 +141,14 @@ class Vocabulary:
                 before[k] = i
                 rank[i] = r = pair(new * span + ids[k], -1)
                 if r >= 0:
-                    heapq.heappush(heap, r * n + i)
+                    push(heap, r * n + i)
             else:
                 rank[i] = -1
             h = before[i]
             if h >= 0:
                 rank[h] = r = pair(ids[h] * span + new, -1)
                 if r >= 0:
-                    heapq.heappush(heap, r * n + h)
+                    push(heap, r * n + h)
         return tuple([x for x in ids if x >= 0])
 
     def words(self) -> _Words:
@@ -156,44 +158,44 @@ class Vocabulary:
 
 
 class _Words(dict):
-    """Word (with the space before it) -> ids; made on demand."""
+    """Word -> ids as packed 32-bit numbers, made on demand. ``lead`` stands before every word."""
+
+    def __init__(self, vocabulary: Vocabulary, lead: str = ""):
+        import re
 
-    def __init__(self, vocabulary: Vocabulary):
         import regex
         super().__init__()
-        self.vocabulary, self.split = vocabulary, regex.compile(vocabulary.pattern).findall
-        self.pre_tokens: dict[str, tuple[int, ...]] = {}
-        # white space next to a space: there a cut at every space could cut inside a match of the pattern
-        self.risky = regex.compile(r"\s | \s").search
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= MEMO:
+        self.vocabulary, self.lead, self.split = vocabulary, lead, regex.compile(vocabulary.pattern).findall
+        self.pre_tokens: dict[str, bytes] = {}
+        if not lead:
+            self.spaced = _Words(vocabulary, " ")
+            # white space next to a space: there a cut at every space could cut inside a match of the pattern
+            self.risky = re.compile(r"\s | \s").search
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= MEMO // 2:
             self.clear()
             self.pre_tokens.clear()
-        ids, known = [], self.pre_tokens
-        for p in self.split(word):
+        out, known = b"", self.pre_tokens
+        for p in self.split(self.lead + word):
             got = known.get(p)
             if got is None:
-                got = self.vocabulary.pre_token(p.encode())
+                got = array("i", self.vocabulary.pre_token(p.encode())).tobytes()
                 if len(p) <= 64:
                     known[p] = got
-            ids += got
-        ids = tuple(ids)
+            out += got
         if len(word) <= 64:
-            self[word] = ids
-        return ids
+            self[word] = out
+        return out
 
-    def encode(self, text: str):
-        """Ids of a text. Words are cut before single spaces, where the pattern always starts a new match."""
-        import numpy as np
+    def encode(self, text: str) -> bytes:
+        """Ids of a text, packed. Words are cut before single spaces, where the pattern always starts a new match."""
         if not text:
-            return np.empty(0, np.int32)
+            return b""
         if self.risky(text):
-            parts = self.split(text)
-        else:
-            first, *rest = text.split(" ")
-            parts = [first, *[" " + w for w in rest]] if first else [" " + w for w in rest]
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, parts)), np.int32)
+            return b"".join(map(self.__getitem__, self.split(text)))
+        first, *rest = text.split(" ")
+        return (self[first] if first else b"") + b"".join(map(self.spaced.__getitem__, rest))
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -228,9 +230,8 @@ def encode(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", out: str
         import pyarrow as pa
         ws = shared.value.words()
         ids = [ws.encode(t) for t in batch.column(text_col).to_pylist()]
-        ends = np.cumsum([0, *map(len, ids)], dtype=np.int64)
-        flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+        ends = np.cumsum([0, *map(len, ids)], dtype=np.int64) // 4
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
     return _add_column(docs, out, T.ArrayType(T.IntegerType()), run)
 
 
@@ -239,10 +240,12 @@ def decode(df: DataFrame, vocab: Vocabulary, ids_col: str = "ids", out: str = "d
     shared = df.sparkSession.sparkContext.broadcast(vocab.bytes_of)
 
     def run(batch):
+        import numpy as np
         import pyarrow as pa
         token = shared.value.__getitem__
         column = batch.column(ids_col)
-        return pa.array([b"".join(map(token, x.as_py() or ())) for x in column], pa.binary())
+        flat, ends = column.flatten().to_numpy(), np.cumsum(np.append(0, column.value_lengths().fill_null(0).to_numpy()))
+        return pa.array([b"".join(map(token, flat[a:b].tolist())) for a, b in zip(ends, ends[1:])], pa.binary())
     return _add_column(df, out, T.BinaryType(), run)
 
 
