@@ -8,7 +8,7 @@ a heap ordered by (rank, position).
 
 The vocabulary is a fixed file of ranks (its size, not the corpus's, bounds
 what is broadcast). Texts are encoded where they are read: no shuffle. A
-worker remembers up to ``MEMO`` word results and then starts afresh, so its
+worker remembers up to ``MEMO`` pre-tokens and then starts afresh, so its
 memory does not grow with the corpus.
 
 Defined results: a null or empty text has no ids and decodes to no bytes;
@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words a worker remembers at most.
-MEMO = 400_000
+#: Words, and pre-tokens, that a worker remembers at most.
+MEMO_WORDS, MEMO = 150_000, 800_000
 #: Keys per bucket of the perfect hash, on average.
 _LOAD = 3
 
@@ -169,18 +169,20 @@ class _Words(dict):
         self.pre_tokens: dict[str, bytes] = {}
         if not lead:
             self.spaced = _Words(vocabulary, " ")
+            self.spaced.pre_tokens = self.pre_tokens
             # white space next to a space: there a cut at every space could cut inside a match of the pattern
             self.risky = re.compile(r"\s | \s").search
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMO // 2:
+        if len(self) >= MEMO_WORDS:
             self.clear()
-            self.pre_tokens.clear()
         out, known = b"", self.pre_tokens
         for p in self.split(self.lead + word):
             got = known.get(p)
             if got is None:
                 got = array("i", self.vocabulary.pre_token(p.encode())).tobytes()
+                if len(known) >= MEMO:
+                    known.clear()
                 if len(p) <= 64:
                     known[p] = got
             out += got

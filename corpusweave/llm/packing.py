@@ -21,6 +21,7 @@ tables give no documents. Only id and text are stored: extra columns stay behind
 from __future__ import annotations
 
 import json
+from array import array
 from itertools import chain
 
 from pyspark.sql import DataFrame
@@ -32,7 +33,7 @@ from .common import as_bytes, shared_path
 LENGTH = 2048
 FILE_TOKENS = 1 << 20
 #: Words a worker remembers at most.
-MEMO = 400_000
+MEMO = 800_000
 _WORKER: dict = {}
 
 
@@ -51,7 +52,7 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.memo: dict[bytes, tuple[int, ...]] = {}
+        self.memo: dict[bytes, bytes] = {}  # ids as packed 32-bit numbers
 
     def encode(self, texts: list[bytes | None]):
         """Ids of each text, as arrays."""
@@ -66,10 +67,10 @@ class WordEncoder:
         plain = list(new.difference(marked).union(w[:-1] for w in marked).union(w[-1:] for w in marked).difference(memo))
         for at in range(0, len(plain), 50_000):
             some = plain[at:at + 50_000]
-            memo.update(zip(some, [tuple(e.ids) for e in self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)]))
+            memo.update(zip(some, [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)]))
         for w in marked:
             memo[w] = memo[w[:-1]] + memo[w[-1:]]
-        return [np.fromiter(chain.from_iterable(map(memo.__getitem__, ws)), np.uint32) for ws in split]
+        return [np.frombuffer(b"".join(map(memo.__getitem__, ws)), np.uint32) for ws in split]
 
     @staticmethod
     def of(path: str) -> WordEncoder:
