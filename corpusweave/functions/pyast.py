@@ -11,6 +11,7 @@ encoded bytes.  Lines are reported 0-based.
 from __future__ import annotations
 
 import ast
+import re
 
 from corpusweave.config import MODULE_LEVEL_NAME
 
@@ -21,10 +22,8 @@ _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
 class _Src:
     def __init__(self, data: bytes):
         self.data = data
-        self.line_start = [0]
-        for i, b in enumerate(data):
-            if b == 10:
-                self.line_start.append(i + 1)
+        # the parser's line ends: LF, CR LF and CR
+        self.line_start = [0, *(m.end() for m in re.finditer(rb"\r\n|\r|\n", data))]
 
     def off(self, lineno: int, col: int) -> int:
         return self.line_start[lineno - 1] + col
@@ -109,18 +108,41 @@ def check_syntax(text: str | None) -> tuple[bool, str]:
         return False, f"{e} at line None"
 
 
+def _without_block(data: bytes, line: int) -> bytes:
+    """``data`` with the top-level block around ``line`` (from 1) turned into
+    spaces; places in the rest stay. A block starts at a line that is neither
+    indented nor empty nor a comment or closing bracket."""
+    lines = re.findall(rb"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+$", data)
+    starts = [i for i, x in enumerate(lines) if x[:1].strip() and x[:1] not in b"#)]}"]
+    before = [i for i in starts if i < line]
+    if not before:
+        before = starts[:1]
+    if not before:
+        return data
+    a = before[-1]
+    b = next((i for i in starts if i > a), len(lines))
+    lines[a:b] = [re.sub(rb"[^\r\n]", b" ", x) for x in lines[a:b]]
+    return b"".join(lines)
+
+
 def extract_file(path: str, data: bytes) -> list[dict]:
     """All tagged rows for one file (X1-X4, X7, X8, parse errors)."""
     rows: list[dict] = []
-    try:
-        text = data.decode("utf-8")
-        tree = ast.parse(text)
-    except UnicodeDecodeError as e:
-        return [{"kind": "error", "path": path, "error": f"invalid utf-8: {e.reason} at byte {e.start}"}]
-    except SyntaxError as e:
-        return [{"kind": "error", "path": path, "error": f"{e.msg} at line {e.lineno}"}]
-    except (ValueError, RecursionError) as e:
-        return [{"kind": "error", "path": path, "error": str(e)}]
+    data = data.removeprefix(b"\xef\xbb\xbf")
+    while True:
+        try:
+            tree = ast.parse(data.decode("utf-8"))
+            break
+        except UnicodeDecodeError as e:
+            return [{"kind": "error", "path": path, "error": f"invalid utf-8: {e.reason} at byte {e.start}"}]
+        except SyntaxError as e:
+            rows.append({"kind": "error", "path": path, "error": f"{e.msg} at line {e.lineno}"})
+            rest = _without_block(data, e.lineno or 1)
+            if rest == data:
+                return rows
+            data = rest
+        except (ValueError, RecursionError, MemoryError) as e:
+            return [*rows, {"kind": "error", "path": path, "error": str(e) or type(e).__name__}]
     src = _Src(data)
 
     def chunk(ctype, name, cls, a, b, la, lb, call_nodes):

@@ -63,9 +63,11 @@ def resolve_calls(raw_calls: DataFrame, symbols: DataFrame) -> DataFrame:
     cand = (symbols.select("short_name", "symbol_id").distinct()
                    .join(amb_names, "short_name", "left_semi")
                    .withColumn("prefix", F.explode(F.expr(
-                       "transform(sequence(1, length(symbol_id)), i -> substring(symbol_id, 1, i))"))))
+                       "transform(sequence(1, length(symbol_id)), i -> substring(symbol_id, 1, i))")))
+                   # one row per prefix before the join (map-side combined): no hot prefix meets it
+                   .groupBy("short_name", "prefix").agg(F.min("symbol_id").alias("picked")))
     picked = (amb.join(cand, (amb["short"] == cand["short_name"]) & (amb["module"] == cand["prefix"]))
-                 .groupBy("short", "module").agg(F.min("symbol_id").alias("picked")))
+                 .select("short", "module", "picked"))
     out = j.join(picked, ["short", "module"], "left")
     dst = (F.when(F.col("n_candidates") == 1, F.col("first_id"))
             .when(F.col("picked").isNotNull(), F.col("picked"))

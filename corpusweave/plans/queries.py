@@ -542,13 +542,20 @@ def corpus_changes(spark, d):
 
 
 def q_stream_refresh(spark, d):
+    """The second batch holds a late row for each path of the first; then the stream restarts with a new checkpoint
+    (batch ids from 0 again) and sees everything once more."""
     base = scratch_path(spark, f"stream-refresh-{uuid.uuid4().hex}")
-    idx, ck = f"{base}/index", f"{base}/checkpoint"
-    for i, batch in enumerate(corpus_changes(spark, d)):
-        batch.write.parquet(f"{base}/changes/b{i}")
+    idx = f"{base}/index"
+    first, second = corpus_changes(spark, d)
+    late = first.select((F.col("seq") - 1).alias("seq"), "path", "modificationTime", F.lit(1).cast("bigint").alias("length"),
+                        F.encode(F.lit("\n"), "UTF-8").alias("content"), "op")
+    for i, (batch, ck) in enumerate([(first, "a"), (second.unionByName(late), "a"), (None, "b")]):
+        if batch is not None:
+            batch.write.parquet(f"{base}/changes/b{i}")
+        ck = f"{base}/checkpoint-{ck}"
         reader = spark.readStream.schema(C.CHANGE_SCHEMA).parquet(f"{base}/changes/*")
         _run_available_now(reader.writeStream.option("checkpointLocation", ck)
-                           .foreachBatch(lambda df, bid: W1.apply_batch(spark, idx, df, bid)))
+                           .foreachBatch(lambda df, bid, ck=ck: W1.apply_batch(spark, idx, df, bid, ck)))
     man = S.read_table(spark, idx, "manifest")
     nch = S.read_table(spark, idx, "chunks").groupBy("path").agg(F.count("*").alias("n_chunks"))
     nim = S.read_table(spark, idx, "imports").groupBy("path").agg(F.count("*").alias("n_imports"))
@@ -557,18 +564,20 @@ def q_stream_refresh(spark, d):
 
 
 def q_stream_routing(spark, d):
+    """Four triggers; within each, the events arrive in no order and over several Arrow batches."""
     base = scratch_path(spark, f"stream-routing-{uuid.uuid4().hex}")
-    ev = table(spark, d, "events").select(F.col("event_id").alias("seq"), "user_id", "event_type", "ts")
+    ev = table(spark, d, "events").select(F.col("event_id").alias("seq"), "user_id", (F.col("event_type") == "purchase").alias("passed"))
     top = ev.agg(F.max("seq")).first()[0] or 0
     chunk = (F.col("seq") * 4 / (top + 1)).cast("int")
-    schema = "seq BIGINT, user_id BIGINT, event_type STRING, ts TIMESTAMP"
+    schema = "seq BIGINT, user_id BIGINT, passed BOOLEAN"
     for i in range(4):
-        ev.where(chunk == i).write.parquet(f"{base}/events/c{i}")
+        ev.where(chunk == i).orderBy(F.xxhash64("seq")).write.parquet(f"{base}/events/c{i}")
         stream = spark.readStream.schema(schema).parquet(f"{base}/events/*")
-        _run_available_now(W2.route_stream(stream).writeStream.format("parquet")
+        _run_available_now(W2.route_stream(stream, "user_id").writeStream.format("parquet")
                            .option("path", f"{base}/out").option("checkpointLocation", f"{base}/ck")
                            .outputMode("append"))
-    return spark.read.schema(W2.OUT_SCHEMA).parquet(f"{base}/out")
+    return spark.read.schema(W2.OUT_SCHEMA).parquet(f"{base}/out").select(
+        "seq", F.format_string("U%s-%d", "key", "run_no").alias("thread_id"), "retry_count", "passed", "route")
 
 
 QUERIES.update({

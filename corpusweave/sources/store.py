@@ -1,58 +1,66 @@
 """Persisted index tables, upsert / delete / point fetch by id.
 
-Tables live under ``<base>/<table>/v=<n>``; a version becomes current when a
-row is appended to ``<base>/_versions`` after its data is written, so a
-reader never sees a half-written version and a job never overwrites the
-path it reads from.
+Tables are plain Parquet folders ``<base>/<table>/v=<n>-<token>``, each written
+once under a name of its own; a version becomes current when its row in
+``<base>/_versions`` is written after its data.  A reader never sees a
+half-written version, no published path is ever written again, and only a
+missing versions folder counts as "no table yet": other errors are raised.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def _versions_path(base: str) -> str:
-    return os.path.join(base, "_versions")
+def _versions(spark: SparkSession, base: str) -> DataFrame | None:
+    path = os.path.join(base, "_versions")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        return None
+    return spark.read.parquet(path)
 
 
-def current_version(spark: SparkSession, base: str) -> int | None:
-    try:
-        row = spark.read.parquet(_versions_path(base)).agg(F.max("version")).first()
-    except Exception:  # noqa: BLE001 - no table yet
+def _newest(spark: SparkSession, base: str, version: int | None = None):
+    versions = _versions(spark, base)
+    if versions is None:
         return None
-    return None if row is None else row[0]
+    if version is not None:
+        versions = versions.where(F.col("version") == version)
+    return versions.orderBy(F.desc("version"), "token").select("version", "token").first()
+
+
+def current_version(spark: SparkSession, base: str) -> int | None:
+    row = _newest(spark, base)
+    return None if row is None else row.version
 
 
-def committed_batches(spark: SparkSession, base: str) -> set[int]:
-    try:
-        rows = spark.read.parquet(_versions_path(base)).where("batch_id IS NOT NULL") \
-                    .select("batch_id").distinct().collect()
-    except Exception:  # noqa: BLE001 - no table yet
-        return set()
-    return {r[0] for r in rows}
+def is_committed(spark: SparkSession, base: str, stream_id: str, batch_id: int) -> bool:
+    """Whether the stream's batch is in a published version."""
+    versions = _versions(spark, base)
+    return versions is not None and not versions.where((F.col("batch_id") == batch_id) & (F.col("stream_id") == stream_id)).isEmpty()
 
 
 def write_tables(spark: SparkSession, base: str, tables: dict[str, DataFrame],
-                 batch_id: int | None = None) -> int:
+                 batch_id: int | None = None, stream_id: str | None = None) -> int:
     """Write every table as a new version, then publish the version (with the
-    stream batch id, if any, so a replayed batch can be recognised)."""
-    v = (current_version(spark, base) or 0) + 1
+    stream's id and batch id, if any, so a replayed batch can be recognised)."""
+    v, token = (current_version(spark, base) or 0) + 1, uuid.uuid4().hex
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(os.path.join(base, name, f"v={v}"))
-    (spark.createDataFrame([(v, batch_id, list(tables))], "version int, batch_id long, tables array<string>")
+        df.write.parquet(os.path.join(base, name, f"v={v}-{token}"))
+    (spark.createDataFrame([(v, token, stream_id, batch_id, list(tables))],
+                           "version int, token string, stream_id string, batch_id long, tables array<string>")
           .withColumn("committed_at", F.current_timestamp())
-          .coalesce(1).write.mode("append").parquet(_versions_path(base)))
+          .coalesce(1).write.mode("append").parquet(os.path.join(base, "_versions")))
     return v
 
 
 def read_table(spark: SparkSession, base: str, name: str, version: int | None = None) -> DataFrame | None:
-    v = version or current_version(spark, base)
-    if v is None:
-        return None
-    return spark.read.parquet(os.path.join(base, name, f"v={v}"))
+    row = _newest(spark, base, version)
+    return None if row is None else spark.read.parquet(os.path.join(base, name, f"v={row.version}-{row.token}"))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "chunk_id",

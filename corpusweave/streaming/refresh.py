@@ -4,13 +4,17 @@ The source is an append-only directory of change rows (``CHANGE_SCHEMA``);
 the file source only sees new files, so in-place edits and deletions travel
 as rows, never as file-system events.  Each micro-batch runs the incremental
 refresh (C1/C4/C5) against the latest published index version and publishes a
-new version tagged with the batch id; a batch id already published is
-skipped, so a replay after a failure is idempotent.
+new version tagged with (stream id, batch id); a batch already published by the
+same stream is skipped, so a replay after a failure is idempotent, while a new
+stream over the same index (whose batch ids start at 0 again) loses nothing.
+The greatest ``seq`` applied to each path, deleted ones too, is kept in
+``path_seq``: rows that arrive late never replace newer ones.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusweave.operators import changes as C
 from corpusweave.sources import store
@@ -28,25 +32,33 @@ def load_index(spark: SparkSession, base: str):
     return idx, store.read_table(spark, base, "manifest", v)
 
 
-def apply_batch(spark: SparkSession, base: str, changes: DataFrame, batch_id: int | None) -> int | None:
-    if batch_id is not None and batch_id in store.committed_batches(spark, base):
+def apply_batch(spark: SparkSession, base: str, changes: DataFrame, batch_id: int | None,
+                stream_id: str = "default") -> int | None:
+    if batch_id is not None and store.is_committed(spark, base, stream_id, batch_id):
         return None  # replayed batch: already published
     index, manifest = load_index(spark, base)
+    newest = changes.groupBy("path").agg(F.max("seq").alias("seq"))
+    if index is not None:
+        seen = store.read_table(spark, base, "path_seq")
+        known = seen.withColumnRenamed("seq", "_seen")
+        changes = changes.join(known, "path", "left").where("_seen IS NULL OR seq > _seen").drop("_seen")
+        newest = seen.unionByName(newest).groupBy("path").agg(F.max("seq").alias("seq"))
     out = C.refresh_changes(changes, index, manifest)
     try:
-        return store.write_tables(spark, base, {n: out[n] for n in INDEX_TABLES}, batch_id=batch_id)
+        return store.write_tables(spark, base, {**{n: out[n] for n in INDEX_TABLES}, "path_seq": newest},
+                                  batch_id=batch_id, stream_id=stream_id)
     finally:
         C.release(out)
 
 
 def start(spark: SparkSession, change_dir: str, index_base: str, checkpoint: str,
           available_now: bool = True, max_files_per_trigger: int | None = None):
-    """Start the refresh stream; returns the StreamingQuery."""
+    """Start the refresh stream (its checkpoint path is its id); returns the StreamingQuery."""
     reader = spark.readStream.schema(C.CHANGE_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(change_dir)
-    w = (stream.writeStream.foreachBatch(lambda df, bid: apply_batch(spark, index_base, df, bid))
+    w = (stream.writeStream.foreachBatch(lambda df, bid: apply_batch(spark, index_base, df, bid, checkpoint))
                .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()

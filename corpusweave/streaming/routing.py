@@ -1,9 +1,12 @@
-"""Streaming retry counter and routing (T4 + T5) per user.
-
-State per user is (run number, attempts in the current run, last seq): three
-numbers, so it stays small without a timeout.  Rows with a seq not above the
-last one seen are late or duplicate and are dropped.  The output equals the
-batch ``retry_routing`` on the same events delivered in seq order.
+"""Streaming retry counter and routing (T4 + T5) per thread key.
+
+The input is (key, seq, passed).  All rows of a key in one trigger are put in
+seq order before any is judged, however many Arrow batches they come in; rows
+whose seq is not above the last one of an earlier trigger are late or repeated
+and are dropped, as are repeated seqs within a trigger (the first row, failed
+before passed, counts).  State per key is (run number, attempts in the current
+run, last seq).  The output equals the batch ``retry_routing`` on the same
+events delivered in seq order by trigger, in any order within one.
 """
 
 from __future__ import annotations
@@ -12,37 +15,36 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from corpusweave.config import MAX_RETRIES
 
-OUT_SCHEMA = "seq BIGINT, thread_id STRING, retry_count BIGINT, passed BOOLEAN, route STRING"
+OUT_SCHEMA = "key STRING, seq BIGINT, run_no BIGINT, retry_count BIGINT, passed BOOLEAN, route STRING"
 STATE_SCHEMA = "run_no BIGINT, attempts BIGINT, last_seq BIGINT"
 
 
 def _route(key, pdfs: Iterator[pd.DataFrame], state):
-    (user,) = key
-    run_no, attempts, last_seq = state.get if state.exists else (0, 0, -1)
-    rows = []
-    for pdf in pdfs:
-        for seq, etype in sorted(zip(pdf["seq"], pdf["event_type"])):
-            if seq <= last_seq:
-                continue
-            passed = etype == "purchase"
-            route = "build" if passed else ("escalate" if attempts >= MAX_RETRIES else "retry")
-            rows.append((int(seq), f"U{user}-{run_no}", attempts, passed, route))
-            if passed:
-                run_no, attempts = run_no + 1, 0
-            else:
-                attempts += 1
-            last_seq = seq
-    state.update((run_no, attempts, last_seq))
-    if rows:
-        yield pd.DataFrame(rows, columns=["seq", "thread_id", "retry_count", "passed", "route"])
-
-
-def route_stream(events: DataFrame) -> DataFrame:
-    """events(seq, user_id, event_type, ts) stream -> routed rows (append)."""
-    return (events.groupBy("user_id")
-                  .applyInPandasWithState(_route, OUT_SCHEMA, STATE_SCHEMA, "append",
-                                          GroupStateTimeout.NoTimeout))
+    run_no, attempts, last_seq = state.get if state.exists else (0, 0, None)
+    rows = pd.concat(list(pdfs)).sort_values(["seq", "passed"]).drop_duplicates("seq")
+    if last_seq is not None:
+        rows = rows[rows["seq"] > last_seq]
+    if rows.empty:
+        return
+    passed = rows["passed"].astype(bool)
+    # a run ends after each pass; attempts restart there
+    run = passed.cumsum().shift(fill_value=0)
+    retry = (~passed).astype("int64").groupby(run).cumsum() - (~passed) + attempts * (run == 0)
+    route = retry.ge(MAX_RETRIES).map({True: "escalate", False: "retry"}).where(~passed, "build")
+    out = pd.DataFrame({"key": key[0], "seq": rows["seq"].astype("int64"), "run_no": run + run_no, "retry_count": retry.astype("int64"),
+                        "passed": passed, "route": route})
+    last = out.iloc[-1]
+    state.update((int(last["run_no"]) + int(last["passed"]), 0 if last["passed"] else int(last["retry_count"]) + 1, int(last["seq"])))
+    yield out
+
+
+def route_stream(events: DataFrame, key_col: str = "key", seq_col: str = "seq", passed_col: str = "passed") -> DataFrame:
+    """(key, seq, passed) stream -> routed rows (append)."""
+    return (events.select(F.col(key_col).cast("string").alias("key"), F.col(seq_col).cast("bigint").alias("seq"),
+                          F.coalesce(F.col(passed_col), F.lit(False)).alias("passed")).where("seq IS NOT NULL")
+            .groupBy("key").applyInPandasWithState(_route, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout))

@@ -76,10 +76,10 @@ def test_store_versions_and_upsert(spark, tmp_path):
     up = S.upsert(old, new, order_col="v")
     assert _rows(up, ["chunk_id", "v"]) == [("a", 1), ("b", 4), ("c", 5)]
     assert S.write_tables(spark, base, {"t": up}) == 1
-    assert S.write_tables(spark, base, {"t": S.delete_ids(up, new.select("chunk_id"))}, batch_id=0) == 2
+    assert S.write_tables(spark, base, {"t": S.delete_ids(up, new.select("chunk_id"))}, batch_id=0, stream_id="s") == 2
     assert _rows(S.read_table(spark, base, "t"), ["chunk_id", "v"]) == [("a", 1)]
     assert _rows(S.read_table(spark, base, "t", 1), ["chunk_id"]) == [("a",), ("b",), ("c",)]
-    assert S.committed_batches(spark, base) == {0}
+    assert S.is_committed(spark, base, "s", 0) and not S.is_committed(spark, base, "other", 0)
     ids = spark.createDataFrame([("a",), ("z",)], "chunk_id string")
     assert _rows(S.fetch_ids(up, ids), ["chunk_id", "v"]) == [("a", 1)]
 

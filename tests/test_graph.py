@@ -9,25 +9,17 @@ from corpusweave.operators import graph as G
 
 
 # ---------------------------------------------------------------- G10/G11
-def bfs_reference(seeds, edges, depth=2, budget=30):
-    nbr = {}
-    for s, d in edges:
-        nbr.setdefault(s, set()).add(d)
-        nbr.setdefault(d, set()).add(s)
-    scores = {s: 1.0 for s in seeds}
-    frontier, visited = set(seeds), set(seeds)
-    for hop in range(depth):
-        nxt = set()
-        hs = 1.0 - 0.2 * (hop + 1)
-        for s in frontier:
-            for n in nbr.get(s, ()):
-                if n not in visited:
-                    nxt.add(n)
-                    scores[n] = max(scores.get(n, 0), hs)
-        frontier = nxt - visited
-        visited |= frontier
-    ranked = sorted(scores.items(), key=lambda kv: (-kv[1], kv[0]))[:budget]
-    return [(s, round(v, 9)) for s, v in ranked]
+def ranked_by_distance(seeds, edges, depth=2, budget=30):
+    """Shortest distances by relaxing every edge ``depth`` times; score 1 - 0.2 * distance; ties by name."""
+    far = depth + 1
+    dist = {x: 0 if x in seeds else far for e in edges for x in e} | dict.fromkeys(seeds, 0)
+    for _ in range(depth):
+        new = dict(dist)
+        for a, b in edges:
+            new[a], new[b] = min(new[a], dist[b] + 1), min(new[b], dist[a] + 1)
+        dist = new
+    near = sorted((d, x) for x, d in dist.items() if d < far)
+    return [(x, round(1 - 0.2 * d, 9)) for d, x in near[:budget]]
 
 
 def random_graph(rng, n_nodes, n_edges, hub_share=0.3):
@@ -50,50 +42,28 @@ def test_graph_expand_pruned_equals_reference(spark):
         for r in G.graph_expand(seeds, e, depth=depth, budget=budget).collect():
             got.setdefault(r["query_id"], []).append((r["rank"], r["symbol"], round(r["score"], 9)))
         for q, ss in queries.items():
-            want = bfs_reference(ss, edges, depth, budget)
+            want = ranked_by_distance(ss, edges, depth, budget)
             have = [(s, v) for _, s, v in sorted(got[q])]
             assert have == want, (depth, budget, q)
 
 
 # ---------------------------------------------------------------- G3
-def resolve_reference(calls, symbols):
-    """The sequential rule with all symbols registered first (Q5)."""
-    index = {}
-    for sid, short in sorted(symbols):
-        index.setdefault(short, []).append(sid)
-    out = set()
-    for path, caller, raw in calls:
-        short = raw.split(".")[-1]
-        cands = index.get(short, [])
-        module = path.replace("/", ".").replace("\\", ".").removesuffix(".py")
-        if len(set(cands)) == 1:
-            out.add((caller, cands[0], True))
-            continue
-        hit = [c for c in sorted(cands) if c.startswith(module)]
-        out.add((caller, hit[0], True) if hit else (caller, raw, False))
-    return out
-
-
-def test_resolve_calls_matches_rule_and_partitioning(spark):
-    rng = random.Random(3)
-    mods = [f"a/m{i}.py" for i in range(12)] + ["a/m1x.py"]
-    names = ["get", "run", "init", "go", "only_one"]
-    symbols = set()
-    for m in mods:
-        base = m.removesuffix(".py").replace("/", ".")
-        for nm in rng.sample(names[:4], 2):
-            symbols.add((f"{base}.{nm}", nm))
-    symbols.add(("a.m3.only_one", "only_one"))
-    calls = [(m, m.removesuffix(".py").replace("/", ".") + ".f", rng.choice(["x.get", "run", "go", "len",
-                                                                            "only_one", "obj.init"]))
-             for m in mods for _ in range(4)]
-    sym = spark.createDataFrame([(s, n) for s, n in symbols], "symbol_id string, short_name string")
-    want = resolve_reference(calls, symbols)
-    for parts in (1, 5):
-        rc = spark.createDataFrame([(p, c, i, r) for i, (p, c, r) in enumerate(calls)],
-                                   "path string, caller string, pos int, raw_call string").repartition(parts)
-        got = {(r["src"], r["dst"], r["resolved"]) for r in G.call_edges(G.resolve_calls(rc, sym)).collect()}
-        assert got == want
+def test_resolve_calls_by_table(spark):
+    symbols = ["a.m1.get", "a.m1x.get", "a.m2.get", "a.m2.run", "a.m3.C.get"]
+    calls = [  # path, raw call, expected target, resolved
+        ("a/m1.py", "get", "a.m1.get", True),        # several: the smallest id that starts with the module
+        ("a/m1x.py", "x.get", "a.m1x.get", True),
+        ("a/m3.py", "self.get", "a.m3.C.get", True),
+        ("a/m9.py", "get", "get", False),            # several, none in the module
+        ("a/m9.py", "obj.run", "a.m2.run", True),    # the only one
+        ("a/m1.py", "missing", "missing", False),
+        ("a/m.py", "get", "a.m1.get", True),         # no dot is needed after the module's name
+    ]
+    rc = spark.createDataFrame([(p, f"c{i}", i, raw) for i, (p, raw, _, _) in enumerate(calls)], "path string, caller string, pos int, raw_call string")
+    sy = spark.createDataFrame([(s, s.rsplit(".", 1)[-1]) for s in symbols], "symbol_id string, short_name string")
+    got = {r["pos"]: (r["dst"], r["resolved"]) for r in G.resolve_calls(rc, sy).collect()}
+    assert got == {i: (dst, ok) for i, (_, _, dst, ok) in enumerate(calls)}
+
 
 
 # ---------------------------------------------------------------- G8

@@ -2,8 +2,6 @@
 
 import uuid
 
-from pyspark.sql import functions as F
-
 from corpusweave.operators import changes as C
 from corpusweave.sources import store as S
 from corpusweave.streaming import refresh as W1
@@ -35,18 +33,33 @@ def test_w2_stream_equals_batch(spark, tmp_path):
     assert got == want and len(got) > 0
 
 
-def test_w2_ignores_duplicates(spark, tmp_path):
+def test_w1_restart_and_late_rows(spark, tmp_path):
     import datetime as dt
+    base, t = str(tmp_path / "idx"), dt.datetime(2024, 1, 1)
+    row = lambda seq, body: spark.createDataFrame([(seq, "m/a.py", t, len(body), bytearray(body), "upsert")], C.CHANGE_SCHEMA)
+    assert W1.apply_batch(spark, base, row(9, b"def new():\n    pass\n"), 0, "one") == 1
+    assert W1.apply_batch(spark, base, row(5, b"def old():\n    pass\n"), 1, "one") == 2  # late: ignored
+    names = lambda: {r["short_name"] for r in S.read_table(spark, base, "chunks").collect()}
+    assert names() == {"new"}
+    assert W1.apply_batch(spark, base, row(10, b"def newer():\n    pass\n"), 0, "two") == 3  # another stream's batch 0
+    assert names() == {"newer"}
+
+
+def test_w2_order_duplicates_and_hot_key(spark, tmp_path):
+    import random
     base = str(tmp_path / f"w2-{uuid.uuid4().hex}")
-    schema = "seq BIGINT, user_id BIGINT, event_type STRING, ts TIMESTAMP"
-    t = dt.datetime(2024, 1, 1)
-    batches = [[(1, 7, "click", t), (2, 7, "click", t)], [(2, 7, "click", t), (1, 7, "view", t), (3, 7, "purchase", t)]]
+    schema = "seq BIGINT, key BIGINT, passed BOOLEAN"
+    hot = [(s, 8, s % 7 == 0) for s in range(2000)]
+    random.Random(1).shuffle(hot)
+    batches = [[(1, 7, False), (2, 7, False), *hot], [(2, 7, False), (1, 7, False), (3, 7, True)]]
     for i, b in enumerate(batches):
         spark.createDataFrame(b, schema).write.parquet(f"{base}/in/b{i}")
         q = (W2.route_stream(spark.readStream.schema(schema).parquet(f"{base}/in/*"))
              .writeStream.format("parquet").option("path", f"{base}/out")
              .option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start())
         q.awaitTermination()
-    out = sorted(tuple(r) for r in spark.read.parquet(f"{base}/out").select("seq", "retry_count", "route").collect())
-    assert out == [(1, 0, "retry"), (2, 1, "retry"), (3, 2, "build")]
-    assert F is not None
+    out = spark.read.parquet(f"{base}/out")
+    got = sorted(tuple(r) for r in out.where("key = '7'").select("seq", "retry_count", "route").collect())
+    assert got == [(1, 0, "retry"), (2, 1, "retry"), (3, 2, "build")]
+    hot_out = sorted(tuple(r) for r in out.where("key = '8'").select("seq", "run_no", "retry_count").collect())
+    assert hot_out == [(s, -(-s // 7), (s - 1) % 7 if s else 0) for s in range(2000)]
