@@ -1,8 +1,9 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Fit: labelled rows outside the held-out fold are ordered by a hash of their
-id; the first ``TOXIC`` toxic and ``CLEAN`` other ones become the examples,
-the next ``CALIBRATION`` the calibration rows (bounded by these parameters).
+Fit: labelled rows outside the held-out fold are split and ordered by a hash
+of their id; the first ``TOXIC`` toxic and ``CLEAN`` other ones of two thirds
+become the examples, the first ``CALIBRATION`` of the last third the
+calibration rows (bounded by these parameters).
 The terms are words and four-byte word beginnings whose chi-square against the
 label is at least ``CHI2`` in the sample; their document frequencies are
 counted over all documents.
@@ -189,10 +190,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index | None:
     import numpy as np
     known = labels.where("id IS NOT NULL AND label IS NOT NULL").where(fold("id", FOLDS) != HELD_OUT).groupBy("id").agg(F.max("label").alias("label"))
     known = known.withColumn("order", F.xxhash64("id"))
-    # the smallest hash values: examples from the lower end, calibration rows from the upper
-    first = lambda y, n: known.where(F.col("label") == y).orderBy("order", "id").limit(n).withColumn("use", F.lit("example"))
-    last = known.orderBy(F.desc("order"), "id").limit(CALIBRATION).withColumn("use", F.lit("calibration"))
-    chosen = first(1, TOXIC).union(first(0, CLEAN)).union(last).groupBy("id", "label").agg(F.min("use").alias("use"))
+    # a third of the labelled rows, by hash, may calibrate; the others may be examples
+    calibrates = F.pmod(F.col("order"), F.lit(3)) == 0
+    pick = lambda pool, n, use: known.where(pool).orderBy("order", "id").limit(n).withColumn("use", F.lit(use))
+    chosen = (pick(~calibrates & (F.col("label") == 1), TOXIC, "example").union(pick(~calibrates & (F.col("label") == 0), CLEAN, "example"))
+              .union(pick(calibrates, CALIBRATION, "calibration"))).select("id", "label", "use")
     # at most TOXIC + CLEAN + CALIBRATION rows
     sample = shared_table(docs.join(F.broadcast(chosen), "id").select("id", "text", "label", "use"), "toxic-sample")
     examples = sample.where("use = 'example'")
