@@ -38,7 +38,7 @@ from .common import as_bytes, fold, shared_table
 
 TOXIC, CLEAN, CALIBRATION = 2000, 2500, 4000
 CHI2, TERMS = 15.0, 4096
-K, BLOCK = 15, 64
+K, BLOCK = 7, 64
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 RESULT = ("score", "predicted", "evidence")
