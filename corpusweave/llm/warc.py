@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from itertools import islice, starmap
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,7 +84,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         _record("metadata", _record_id("metadata"), F.concat(F.lit("pageId: "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("\r\n")),
                 ("WARC-Target-URI", F.col("url")), ("WARC-Concurrent-To", main), ("Content-Type", F.lit("application/warc-fields"))))
     (rows.select(F.explode(records).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
-     .option("maxRecordsPerFile", 3 * FILE_RECORDS).text(path))
+     .option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", 3 * FILE_RECORDS).text(path))
 
 
 _RECORD = (
@@ -114,18 +115,18 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     schema = to_arrow_schema(spark.createDataFrame([], _RECORD).schema)
 
     def row(headers, block):
+        """The values of a record, in the schema's order."""
         kind, digest = headers["WARC-Type"], headers.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None
-        out = dict.fromkeys(schema.names) | {
-            "type": kind, "record_id": headers["WARC-Record-ID"], "concurrent_to": headers.get("WARC-Concurrent-To"), "payload_digest": digest,
-            "target_uri": headers.get("WARC-Target-URI"), "refers_to_uri": headers.get("WARC-Refers-To-Target-URI"), "block_bytes": len(block)}
+        size = payload = fields = None
         if kind == "response":
-            payload = block[block.index(b"\r\n\r\n") + 4:]
-            if base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
-                raise ValueError(f"{out['record_id']}: the payload does not match its digest")
-            out |= {"payload_bytes": len(payload), "payload": payload if with_payload else None}
+            body = block[block.index(b"\r\n\r\n") + 4:]
+            if base64.b32encode(hashlib.sha1(body).digest()).decode() != digest:
+                raise ValueError(f"{headers['WARC-Record-ID']}: the payload does not match its digest")
+            size, payload = len(body), body if with_payload else None
         elif kind == "metadata":
-            out["fields"] = block.decode()
-        return out
+            fields = block.decode()
+        return (kind, headers["WARC-Record-ID"], headers.get("WARC-Concurrent-To"), headers.get("WARC-Target-URI"),
+                headers.get("WARC-Refers-To-Target-URI"), digest, len(block), size, payload, fields)
 
     def run(batches):
         import zlib
@@ -136,9 +137,9 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
                 packed = content.as_buffer()
                 if not len(packed):
                     continue
-                rows = [row(*x) for x in parse(zlib.decompress(packed, 31))]
-                for at in range(0, len(rows), 1000):
-                    yield pa.RecordBatch.from_pylist(rows[at:at + 1000], schema=schema)
+                records = starmap(row, parse(zlib.decompress(packed, 31)))
+                while some := list(islice(records, 1000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*some), schema)], schema=schema)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     return files.mapInArrow(run, _RECORD)
 
