@@ -1,3 +1,61 @@
 """DuckDB SQL for the queries of this package that SQL can state."""
 
-ORACLE: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _words(text: str, between: str) -> str:
+    """The words of ``text`` in lower case (A-Z only); ``between`` is the pattern that separates them."""
+    return f"[x FOR x IN string_split_regex(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), '{between}') IF x <> '']"
+
+
+_OP3 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {_words('text', r'[\x20\x09-\x0D]+')} AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + 3], ' ') AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reached(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.other)
+SELECT r.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.other) AS component_id
+FROM reached r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+_OP4 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS stored FROM pages),
+h AS (SELECT *, sha1(html) AS sha FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(sha, (5 * (i // 4) + 1)::BIGINT, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::BIGINT, 1) FOR i IN range(32)], '') AS payload_digest,
+  CASE WHEN page_id = stored THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> stored THEN stored END AS refers_to
+FROM h
+"""
+
+_BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_OP5 = rf"""
+WITH d AS (SELECT doc_id, {_words('text', _BETWEEN)} AS w FROM documents),
+i AS (SELECT DISTINCT item_id::VARCHAR AS item_id, {_words('text', _BETWEEN)} AS w FROM benchmark),
+iw AS (
+  SELECT DISTINCT item_id, m, array_to_string(w[p:p + m - 1], ' ') AS k
+  FROM (SELECT item_id, w, least(13, len(w)) AS m, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS p FROM i WHERE len(w) > 0)),
+dw AS (
+  SELECT doc_id, p, m, array_to_string(w[p:p + m - 1], ' ') AS k
+  FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM d, (SELECT DISTINCT m FROM iw) WHERE len(w) >= m)),
+found AS (SELECT DISTINCT doc_id, p, dw.m, item_id FROM dw JOIN iw ON dw.m = iw.m AND dw.k = iw.k),
+hits AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + m)) AS place FROM found) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+  FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op3_jaccard_join": _OP3, "op4_warc": _OP4, "op5_decontamination": _OP5}
