@@ -5,10 +5,10 @@
    then every task trains on all training documents of its partition by
    truncated backpropagation, and the tasks' weights are averaged.
 3. Scoring: whole documents, the state carried across windows; one row each.
-4. Counts of rare words: words outside the ``FREQUENT`` most frequent ones
-   (whose counts are broadcast, a table of bounded size) join the count table
-   by a shuffle. No rare word can be a hot key, as it is rarer than each of
-   the frequent ones.
+4. Counts of rare words: words outside the at most ``FREQUENT`` most frequent
+   ones (whose counts are broadcast, a table of bounded size) join the count
+   table by a shuffle. No rare word can be a hot key: more than ``FREQUENT``
+   words occur at least as often.
 
 The model's probabilities sum to one over the training vocabulary and one
 unknown word: words outside the network share the tail's probability in
@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import gru
@@ -65,6 +66,19 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def frequent_words(counts: DataFrame, most: int = FREQUENT) -> list[tuple[bytes, int]]:
+    """At most ``most`` words with their counts, the most frequent first: all that
+    occur so often that no more than ``most`` words do. The limit comes from a
+    table with one row per distinct count (about the root of the tokens), so
+    no task sends its own best words to the driver."""
+    sizes = counts.groupBy("c").agg(F.count("*").alias("words"))
+    so_far = sizes.select("c", F.sum("words").over(W.orderBy(F.desc("c"))).alias("n"))
+    least = so_far.where(F.col("n") <= most).agg(F.min("c")).first()[0]
+    if least is None:
+        return []
+    return sorted(((bytes(r.word), r.c) for r in counts.where(F.col("c") >= least).collect()), key=lambda x: (-x[1], x[0]))
+
+
 class Vocabulary:
     """The frequent words with their counts; the first ``k`` belong to the network."""
 
@@ -170,8 +184,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     training = docs.where("NOT held_out")
     counts = shared_table(count_words(training.select("text")), "word-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    frequent = [(bytes(r.word), r.c) for r in counts.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()]
-    vocab = spark.sparkContext.broadcast(Vocabulary(frequent, n, v))
+    vocab = spark.sparkContext.broadcast(Vocabulary(frequent_words(counts), n, v))
 
     ids = training.where("id IS NOT NULL").select("id").orderBy(F.xxhash64("id"), "id").limit(START_DOCS).distinct()
     first = [r.text.encode() for r in training.where("text IS NOT NULL").join(F.broadcast(ids), "id").orderBy(F.xxhash64("id")).select("text").collect()]

@@ -159,3 +159,12 @@ def test_digests(spark):
         *[c.alias(k) for k, c in bpe.digests(None).items()]).first()
     assert (r.n_tokens, r.ids_sha256) == (2, hashlib.sha256(b"1,22").hexdigest())
     assert re.fullmatch("[0-9a-f]{64}", r.decoded_sha256) and base64
+
+
+def test_frequent_words_are_cut_between_counts(spark):
+    counts = spark.createDataFrame([(b"a", 5), (b"c", 3), (b"b", 3), (b"d", 1), (b"e", 1)], "word binary, c long")
+    assert language_model.frequent_words(counts, 5) == [(b"a", 5), (b"b", 3), (b"c", 3), (b"d", 1), (b"e", 1)]
+    assert language_model.frequent_words(counts, 4) == [(b"a", 5), (b"b", 3), (b"c", 3)]
+    assert language_model.frequent_words(counts, 2) == [(b"a", 5)]
+    assert language_model.frequent_words(counts.where("c < 5"), 1) == []
+    assert language_model.frequent_words(counts.limit(0)) == []
