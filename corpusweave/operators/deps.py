@@ -48,7 +48,7 @@ def third_party(spark, sources: DataFrame, import_modules: DataFrame) -> DataFra
     failures already yield none) -> (repo, package) distinct."""
     parts = F.split(F.col("path"), "/")
     excluded = F.exists(parts, lambda p: p.isin(*SCAN_EXCLUDED_PARTS))  # parts below the root only (Q17)
-    imp = import_modules.where(~excluded).select("repo", "module")
+    imp = import_modules.where(~excluded).select("repo", "module").distinct()  # few rows reach the joins, even of a hot repo
     std = F.broadcast(spark.createDataFrame([(n,) for n in stdlib_names()], "module string"))
     alias = F.broadcast(spark.createDataFrame(list(IMPORT_TO_PACKAGE.items()), "module string, package string"))
     loc = local_modules(sources)
