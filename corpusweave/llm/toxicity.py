@@ -1,12 +1,14 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by nearest labelled examples: exact cosine of weighted TF-IDF vectors over a block-max inverted index.
 
 Fit: labelled rows outside the held-out fold are split and ordered by a hash
 of their id; the first ``TOXIC`` toxic and ``CLEAN`` other ones of two thirds
 become the examples, the first ``CALIBRATION`` of the last third the
 calibration rows (bounded by these parameters).
-The terms are words and four-byte word beginnings whose chi-square against the
-label is at least ``CHI2`` in the sample; their document frequencies are
-counted over all documents.
+The terms are all words and four-byte word beginnings of the examples; their
+document frequencies are counted over all documents. A term in no example adds
+to no cosine and takes no part in a text's vector. A term's idf is multiplied
+by ``emphasis``, which is 1 for a term that says nothing about the label and
+grows with its chi-square in the examples; no term is dropped for it.
 
 Search: examples lie in blocks of ``BLOCK``, alike ones together. A block
 knows, for each term, the largest weight in it; a query adds these up to a
@@ -17,7 +19,7 @@ curve fitted on the calibration rows turns the vote and the similarities into a
 probability. The nearest examples and their cosines are the evidence.
 
 Documents are scored where they are read: no shuffle. What is broadcast (terms
-and examples) is bounded by the parameters, not by the corpus.
+and examples) is bounded by the examples, not by the corpus.
 
 Defined results: a text without any of the terms (also null or empty) has no
 neighbours and gets the calibrated base score; null ids belong to fold 0 and
@@ -37,8 +39,9 @@ from pyspark.sql import functions as F
 from .common import as_bytes, fold, shared_table
 
 TOXIC, CLEAN, CALIBRATION = 2000, 2500, 4000
-CHI2, TERMS = 15.0, 4096
 K, BLOCK = 7, 64
+#: How strongly a term's chi-square raises its weight (0: plain TF-IDF).
+POWER = 0.5
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 RESULT = ("score", "predicted", "evidence")
@@ -57,22 +60,23 @@ def terms(text: bytes | None) -> Counter:
     return out
 
 
-def _chosen_terms(sample: DataFrame) -> list[bytes]:
-    """Terms by falling chi-square against the label."""
+def _example_terms(examples: DataFrame) -> list[bytes]:
+    """All terms of the examples, in order."""
     def run(batches):
         import pyarrow as pa
         for batch in batches:
-            for text, label in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist()):
-                found = list(terms(text))
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([label] * len(found), pa.int32())], names=["term", "label"])
-    each = sample.select("text", F.col("label").cast("int").alias("label")).mapInArrow(run, "term binary, label int")
-    n, toxic = sample.agg(F.count("*"), F.sum("label")).first()
-    by = each.groupBy("term").agg(F.sum("label").cast("double").alias("a"), F.count("*").cast("double").alias("df")).where("df >= 3")
-    rest = F.col("df") - F.col("a")
-    cross = F.col("a") * (n - toxic - rest) - rest * (toxic - F.col("a"))
-    chi2 = n * cross * cross / (float(toxic) * (n - toxic) * F.col("df") * (n - F.col("df")) + 1e-9)
-    top = by.withColumn("chi2", chi2).where(F.col("chi2") >= CHI2).orderBy(F.desc("chi2"), "term").limit(TERMS)
-    return [bytes(r.term) for r in top.select("term").collect()]
+            found = set()
+            for text in as_bytes(batch.column(0)):
+                found.update(terms(text))
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary())], names=["term"])
+    return sorted(examples.select("text").mapInArrow(run, "term binary").distinct().toArrow().column(0).to_pylist())
+
+
+def _ranges(begin, end):
+    """The numbers of all ranges begin[i] .. end[i] - 1, one after the other."""
+    import numpy as np
+    size = end - begin
+    return np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
 
 
 def _document_counts(docs: DataFrame, place: dict[bytes, int]) -> tuple:
@@ -88,14 +92,27 @@ def _document_counts(docs: DataFrame, place: dict[bytes, int]) -> tuple:
                 counts[[at[t] for t in terms(text) if t in at]] += 1
                 n += 1
         counts[-1] = n
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(counts))), pa.array(counts)], names=["term", "n"])
-    rows = docs.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["term", "n"])
+    rows = docs.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(place) + 1)
-    for r in rows:
-        out[r.term] = r.n
+    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
     return out[-1], out[:-1]
 
 
+def emphasis(place: dict[bytes, int], examples: list[tuple]):
+    """A factor of at least 1 for each term: it grows with the term's chi-square against the label in the examples."""
+    import numpy as np
+    by = np.zeros((2, len(place)))
+    for _, label, counts in examples:
+        by[int(label > 0), [place[t] for t in counts]] += 1
+    toxic = float(sum(y > 0 for _, y, _ in examples))
+    n, df = len(examples), by.sum(axis=0)
+    cross = by[1] * (n - toxic - by[0]) - by[0] * (toxic - by[1])
+    chi2 = n * cross * cross / (toxic * (n - toxic) * df * (n - df) + 1e-9)
+    return (1 + chi2) ** POWER
+
+
 class Index:
     """The examples' vectors in blocks, with block-wise largest weights."""
 
@@ -109,18 +126,35 @@ class Index:
         vectors.sort(key=lambda v: (-v[1], int(v[2][np.argmax(v[3])]), str(v[0])))
         self.ids = [v[0] for v in vectors]
         self.labels = np.array([v[1] for v in vectors], np.float64)
-        n_blocks = -(-len(vectors) // BLOCK)
-        self.rows = np.zeros((n_blocks, len(place)), np.int16)
-        self.blocks, self.largest = [], np.zeros((len(place), n_blocks), np.float32)
-        for b in range(n_blocks):
-            own = vectors[b * BLOCK:(b + 1) * BLOCK]
-            present = np.unique(np.concatenate([v[2] for v in own]))
-            self.rows[b, present] = np.arange(1, len(present) + 1)
-            weights = np.zeros((len(present) + 1, len(own)), np.float32)
-            for j, (_, _, t, w) in enumerate(own):
-                weights[self.rows[b, t], j] = w
-            self.blocks.append(weights)
-            self.largest[present, b] = weights[1:].max(axis=1)
+        # postings by term and example; those of one term in one block are an entry, with their largest weight
+        size = np.array([len(v[2]) for v in vectors], np.int64)
+        example = np.repeat(np.arange(len(vectors)), size)
+        term, weight = (np.concatenate([v[i] for v in vectors]) if vectors else np.empty(0, kind) for i, kind in ((2, np.int64), (3, np.float32)))
+        order = np.lexsort((example, term))
+        term, self.example, self.weight = term[order], example[order], weight[order]
+        block = self.example // BLOCK
+        begin = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.empty(0, np.int64)
+        self.start, self.block = np.append(begin, len(term)), block[begin]
+        self.largest = np.maximum.reduceat(self.weight, begin) if len(begin) else self.weight
+        self.first = np.searchsorted(term[begin], np.arange(len(place) + 1))
+
+    @property
+    def rows(self):
+        """For each block, the row of ``blocks`` that holds a term."""
+        import numpy as np
+        return np.broadcast_to(np.arange(len(self.place)), (-(-len(self.ids) // BLOCK), len(self.place)))
+
+    @property
+    def blocks(self) -> list:
+        """The blocks as matrices (term, example), made when read."""
+        import numpy as np
+        term = np.repeat(np.repeat(np.arange(len(self.place)), np.diff(self.first)), np.diff(self.start))
+        out = []
+        for lo in range(0, len(self.ids), BLOCK):
+            own = (self.example >= lo) & (self.example < lo + BLOCK)
+            out.append(np.zeros((len(self.place), min(BLOCK, len(self.ids) - lo)), np.float32))
+            out[-1][term[own], self.example[own] - lo] = self.weight[own]
+        return out
 
     def vector(self, counts: Counter):
         """Places and weights of the terms: (1 + ln tf) * idf, of length 1."""
@@ -134,20 +168,35 @@ class Index:
     def nearest(self, t, w, k: int = K) -> list[tuple[float, int]]:
         """The k examples of largest positive cosine, as (cosine, example); equal ones by number."""
         import numpy as np
-        if not len(t) or not self.blocks:
+        if not len(t) or not self.ids:
             return []
-        bounds = w @ self.largest[t]
+        n_blocks = -(-len(self.ids) // BLOCK)
+        begin, end = self.first[t], self.first[t + 1]
+        entry, weight = _ranges(begin, end), np.repeat(w, end - begin)
+        block = self.block[entry]
+        bounds = np.bincount(block, weight * self.largest[entry], n_blocks)
+        order = np.argsort(-bounds, kind="stable")
+        place = np.empty(n_blocks, np.int64)
+        place[order] = np.arange(n_blocks)
+        place = place[block]
         best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
+        lo, n = 0, 4  # so many blocks are read at once, twice as many each time
+        while lo < n_blocks:
             # the small slack covers rounding of sums taken in another order
-            if bounds[b] <= 0 or len(best) >= k and bounds[b] < best[-1][0] - 1e-5:
+            bound = bounds[order[lo]]
+            if bound <= 0 or len(best) >= k and bound < best[-1][0] - 1e-5:
                 break
-            scores = w @ self.blocks[b][self.rows[b, t]]
+            own = (place >= lo) & (place < lo + n)
+            begin, end = self.start[entry[own]], self.start[entry[own] + 1]
+            at = _ranges(begin, end)
+            scores = np.bincount(self.example[at], np.repeat(weight[own], end - begin) * self.weight[at], len(self.ids))
             some = np.flatnonzero(scores >= (max(1e-9, best[-1][0]) if len(best) >= k else 1e-9))
             if len(some):
-                best += [(float(scores[j]), int(b) * BLOCK + int(j)) for j in some]
+                some = some[np.lexsort((some, -scores[some]))[:k]]
+                best += [(float(scores[j]), int(j)) for j in some]
                 best.sort(key=lambda x: (-x[0], x[1]))
                 del best[k:]
+            lo, n = lo + n, 2 * n
         return best
 
     def evidence(self, near) -> tuple[float, float, float]:
@@ -200,7 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index | None:
     examples = sample.where("use = 'example'")
     if examples.select("label").distinct().count() < 2:
         return None
-    place = {t: i for i, t in enumerate(_chosen_terms(examples))}
+    place = {t: i for i, t in enumerate(_example_terms(examples))}
     n, df = _document_counts(docs.select("text"), place)
     shared = docs.sparkSession.sparkContext.broadcast(place)
 
@@ -216,7 +265,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index | None:
     import json
     rows = [(r.id, r.label, Counter({names[t]: k for t, k in json.loads(r.terms)}), r.use) for r in sample.select(
         "id", "text", F.col("label").cast("int").alias("label"), "use").mapInArrow(run, kinds).collect()]
-    index = Index(place, np.log((1 + n) / (1 + df)) + 1, [r[:3] for r in rows if r[3] == "example"])
+    chosen = [r[:3] for r in rows if r[3] == "example"]
+    index = Index(place, (np.log((1 + n) / (1 + df)) + 1) * emphasis(place, chosen), chosen)
     index.calibrate(sorted(((y, c) for _, y, c, use in rows if use == "calibration"), key=lambda r: (r[0], sorted(r[1].items()))))
     return index
 

@@ -193,6 +193,32 @@ def test_toxicity_search_is_exact_and_separates(spark):
     assert {r.score for r in toxicity.score(docs, None).collect()} == {0.0}
 
 
+def test_toxicity_vectors_hold_all_terms_of_the_examples(spark):
+    import math
+
+    rows = [(i, " ".join([f"only{i}", f"other{i}"] + [f"w{(i * j) % 13}" for j in range(1, 6)])) for i in range(60)]
+    truth = {i: int(i % 4 == 0) for i, _ in rows}
+    # a text that shares just one rare word with one example
+    docs = spark.createDataFrame([*rows, (None, "elsewhere only8")], "id long, text string")
+    index = toxicity.fit(docs, spark.createDataFrame(list(truth.items()), "id long, label int"))
+    words = {r[0]: toxicity.terms(r[1].encode()) for r in rows}
+    assert set(index.place) == {t for i in index.ids for t in words[i]}
+    assert {truth[i] for i in index.ids} == {0, 1} and len(index.ids) > 20
+    df = Counter(t for r in docs.collect() for t in toxicity.terms(r.text.encode()))
+    idf = {t: math.log(62 / (1 + n)) + 1 for t, n in df.items()}
+    weight = {t: index.idf[i] for t, i in index.place.items()}
+    assert all(weight[t] >= idf[t] - 1e-9 for t in weight)
+
+    def vector(c):
+        v = {t: (1 + math.log(n)) * weight[t] for t, n in c.items() if t in index.place}
+        return {t: x / math.sqrt(sum(y * y for y in v.values())) for t, x in v.items()}
+    for query in ("only8 w3", "other4 only12", rows[index.ids[0]][1]):
+        q = vector(toxicity.terms(query.encode()))
+        want = sorted((sum(x * q.get(t, 0) for t, x in vector(words[i]).items()) for i in index.ids), reverse=True)[:toxicity.K]
+        got = [c for c, _ in index.nearest(*index.vector(toxicity.terms(query.encode())))]
+        assert got == pytest.approx([x for x in want if x > 1e-9], abs=1e-5)
+
+
 def test_pipeline_stages(spark, tmp_path):
     d = tmp_path / "sf"
     docs = X.documents(spark, extra=[(800, X.texts()[6] + " tail of it", "en", "s", 0, "own")]).drop("kept")
