@@ -146,8 +146,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     df = docs.select(*own, F.lit(0).cast("long").alias("n_words"), F.array().cast("array<string>").alias("items"),
                      F.array().cast(_SPANS).alias("spans"))
     df = spark.createDataFrame([], df.schema).union(df)  # the schema's nullability, as Arrow returns it
+    searched = False
     for block in item_blocks(items, item_id, item_text) if not items.isEmpty() else ():
-        df = _search_block(df, spark.sparkContext.broadcast(Search(block, window)), text_col)
+        df, searched = _search_block(df, spark.sparkContext.broadcast(Search(block, window)), text_col), True
+    if not searched:  # nothing to search for: the words are still counted
+        df = _search_block(df, spark.sparkContext.broadcast(Search([], window)), text_col)
     return df.withColumns({
         "n_hit": F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]),
         "n_items": F.size("items").cast("long"),
