@@ -1,8 +1,9 @@
 """Secret scans with a random forest against false positives (DataFrame functions only).
 
 Candidates are pieces of text that could be a credential: key-shaped tokens and
-long runs of key characters with a digit, and the values of assignments to
-names like password or token. A forest then rates every candidate on its
+long runs of key characters with a digit, the values (six characters or more)
+of assignments to names that hold a word like password or token, with any
+white space around the sign, and credentials in URLs. A forest then rates every candidate on its
 length, its character transitions, how much of it is covered by frequent
 words of the corpus, the name or path before it, and its neighbouring words.
 Candidates rated as false are dropped; the others are findings, which
@@ -39,11 +40,21 @@ TREES, DEPTH, SEED = 15, 5, 11
 DICTIONARY = 2000
 REDACTED = "[REDACTED]"
 #: What comes before, the candidate, and what follows; a candidate is a key-shaped token or an assigned value.
-_NAME = r"(?i:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth)"
+_NAME = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth)"
 _KEYS = r"[A-Za-z0-9+/_\-]"
-CANDIDATE = (rf"(?<![A-Za-z0-9+/_\-])(?:{_NAME}[\"']?[ ]?[=:][ ]?[\"']?[^\s\"']{{6,}}|(?=[A-Za-z+/_\-]*[0-9]){_KEYS}{{16,}}(?![A-Za-z0-9+/_\-@]))")
+#: A provider's fixed forms.
+_PROVIDER = r"(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abp]-[0-9A-Za-z-]{20,}|sk_live_[0-9A-Za-z]{20,})"
+#: A name, wherever it stands in a longer one (DB_PASSWORD, client_secret, secretKey), and the sign of an assignment.
+_NAMED = rf"{_NAME}[A-Za-z0-9_\-]{{0,20}}(?:\\?[\"'])?\s*(?::=|=>|==|=|:)\s*(?:\\?[\"'])?"
+#: The user's name in a URL with a password, or a URL's only credential.
+_URL = rf"://(?!{_PROVIDER})(?:[^\s/:@\"'<>]*:)?"
+_ASSIGNED = rf"{_NAMED}(?![A-Za-z0-9_\-]{{0,20}}?{_NAMED})[^\s\"']{{6,}}"
+CANDIDATE = (rf"(?:{_ASSIGNED}"
+             rf"|{_URL}[^\s/:@\"'<>][^\s/@\"'<>]{{5,}}(?=@)"
+             rf"|(?<![A-Za-z0-9]){_PROVIDER}(?![A-Za-z0-9])"
+             rf"|(?<!{_KEYS})(?=[A-Za-z+/_\-]*[0-9])(?![+/_\-]+{_PROVIDER})(?!{_KEYS}{{0,60}}?{_ASSIGNED}){_KEYS}{{16,}})")
 _AROUND = rf"(\S{{0,40}}?[ \t]?)({CANDIDATE})(?=(\s?\S{{0,40}}))"
-_FEATURES = ("length", "digits", "uppers", "lowers", "others", "switches", "repeats", "distinct", "covered", "named", "path", "before", "after")
+_FEATURES = ("length", "digits", "uppers", "lowers", "others", "switches", "repeats", "distinct", "covered", "named", "path", "before", "after", "address")
 
 
 def _count(c: Column, pattern: str) -> Column:
@@ -52,7 +63,17 @@ def _count(c: Column, pattern: str) -> Column:
 
 def _value(hit: Column) -> Column:
     """The secret part of a candidate: what follows the assignment, or all of it, without closing marks."""
-    return F.regexp_replace(F.regexp_replace(hit, rf"^{_NAME}[\"']?[ ]?[=:][ ]?[\"']?", ""), r"[.,;:)\]}>]+$", "")
+    return F.regexp_replace(F.regexp_replace(hit, rf"^(?:{_NAMED}|{_URL})", ""), r"[.,;:)\]}>]+$", "")
+
+
+def _named(hit: Column) -> Column:
+    """Whether a name or a URL says that the value is a credential."""
+    return hit.rlike(rf"^(?:{_NAMED}|://[^\s/:@]*:)")
+
+
+def _address(c: Column) -> Column:
+    """Whether the candidate is what stands before the sign of a mail address."""
+    return c["after"].startswith("@") & ~c["hit"].startswith("://")
 
 
 def candidates(text: Column) -> Column:
@@ -76,19 +97,20 @@ def _features(c: Column, dictionary: Column) -> dict[str, Column]:
         "length": n, "digits": _count(v, "[0-9]") / n, "uppers": _count(v, r"\p{Lu}") / n, "lowers": _count(v, r"\p{Ll}") / n,
         "others": _count(v, r"[^0-9\p{L}]") / n, "switches": _count(v, switch) / n, "repeats": _count(v, r"(.)(?=\1)") / n,
         "distinct": F.size(F.array_distinct(chars)).cast("double") / F.least(n, F.lit(40.0)), "covered": letters.cast("double") / n,
-        "named": c["hit"].rlike(rf"^{_NAME}[\"']?[ ]?[=:]").cast("double"),
+        "named": _named(c["hit"]).cast("double"),
         "path": F.concat(c["before"], v).rlike(r"/[^/\s]+/|\\|://|\.[a-z]{2,4}$").cast("double"),
         "before": F.array_contains(dictionary, F.lower(F.regexp_replace(F.trim(c["before"]), r"[^\p{L}]", ""))).cast("double"),
         "after": F.array_contains(dictionary, F.lower(F.regexp_replace(F.trim(c["after"]), r"[^\p{L}]", ""))).cast("double"),
+        "address": _address(c).cast("double"),
     }
 
 
 def proof_labels(c: Column) -> Column:
     """1 or 0 where a candidate proves itself, else null."""
     v, hit = c["value"], c["hit"]
-    provider = v.rlike(r"^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abp]-[0-9A-Za-z-]{20,}|sk_live_[0-9A-Za-z]{20,})$")
-    named = hit.rlike(rf"^{_NAME}[\"']?[ ]?[=:]") & v.rlike(r"^[0-9A-Za-z+/_=\-]{12,}$") & v.rlike("[0-9]") & v.rlike("[A-Za-z]")
-    harmless = v.rlike(r"^[0-9_\-]+$") | v.rlike(r"^\p{L}+$") | v.rlike(r"(?i)example|placeholder|changeme|x{6}|\*{3}") | v.rlike("@")
+    provider = v.rlike(rf"^{_PROVIDER}$")
+    named = _named(hit) & v.rlike(r"^[0-9A-Za-z+/_=\-]{12,}$") & v.rlike("[0-9]") & v.rlike("[A-Za-z]")
+    harmless = v.rlike(r"^[0-9_\-]+$") | v.rlike(r"^\p{L}+$") | v.rlike(r"(?i)example|placeholder|changeme|x{6}|\*{3}") | v.rlike("@") | (_address(c) & ~provider)
     return F.when(harmless, 0.0).when(provider | named, 1.0)
 
 
