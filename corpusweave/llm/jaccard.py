@@ -134,14 +134,16 @@ def _prefixes(docs: DataFrame, counts, size: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "token long, set binary, n long, level int")
 
 
-def _shared_postings(prefixes: DataFrame) -> DataFrame:
+def _shared_postings(prefixes: DataFrame, percent: int) -> DataFrame:
     """Postings of shingles that two different sets offer at least, cut to each set's cheapest l; with the shingle's frequency and smallest set."""
     w = W.partitionBy("token")
     shared = (prefixes.withColumns({"low": F.min("set").over(w), "high": F.max("set").over(w), "df": F.count("*").over(w)})
               .where("low != high").drop("high").dropDuplicates(["token", "set"]))
     shared = shared_table(shared, "postings")
     reads = [F.sum(F.when(F.col("level") <= k, F.col("df") - 1).otherwise(0)).alias(f"_{k}") for k in range(1, LONGEST + 1)]
-    cost = [F.struct((F.col(f"_{k}") * (1 + F.col("n") / (16.0 * k))).alias("cost"), F.lit(k).alias("l")) for k in range(1, LONGEST + 1)]
+    # a set's l is at most the shingles that it must share (others are null, which least() skips)
+    cost = [F.when(100 * (k - 1) < percent * F.col("n"), F.struct((F.col(f"_{k}") * (1 + F.col("n") / (16.0 * k))).alias("cost"), F.lit(k).alias("l")))
+            for k in range(1, LONGEST + 1)]
     chosen = shared.groupBy("set", "n").agg(*reads).select("set", F.least(*cost)["l"].alias("l"))
     return shared_table(shared.join(chosen, "set").where("level <= l"), "postings")
 
@@ -274,7 +276,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = digest.where("segment IS NULL").select("id", "n", "set")
     classes = rows.where("n > 0").groupBy("set").agg(F.min("id").alias("id"))
     counts = spark.sparkContext.broadcast(_sum_counts(digest.where("segment IS NOT NULL").select("segment", "part", "counts")))
-    postings = _shared_postings(_prefixes(docs.select("text"), counts, size, percent))
+    postings = _shared_postings(_prefixes(docs.select("text"), counts, size, percent), percent)
 
     hot = components(postings.where(F.col("df") > COLD).select(F.col("set").alias("a"), F.col("low").alias("b")))
     hot = shared_table(hot.select(F.col("node").alias("set"), F.col("root").alias("hot")), "hot")

@@ -93,6 +93,14 @@ def test_jaccard_equals_brute_force(spark, monkeypatch, cold):
         assert jaccard.jaccard_components(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("cold", [64, 1])
+def test_jaccard_of_small_sets_at_half(spark, monkeypatch, cold):
+    monkeypatch.setattr(jaccard, "COLD", cold)
+    rows = [(0, "a"), (1, "a b"), (2, "c d"), (3, "c d e f"), (4, "g h i"), (5, "g h j"), (6, "k l m n o"), (7, "k l m p q r"), (8, "s"), (9, "s t u")]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 1, 50).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 1, 50)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, 100 + i) for i in range(1, 30)] + [(5, 5)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
