@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, secrets, toxicity, warc
+from . import alignment, bpe, packing, secrets, toxicity, urls, warc
 from .common import documents, fold, shared_path, shared_table
 from .decontam import decontaminate
+from .divergence import divergence
 from .jaccard import jaccard_components
 from .language_model import lm_scores
 from .quality import quality_rules
@@ -87,6 +88,27 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform("findings", lambda f: f["value"]).alias("secret_values"), F.sha2(F.col("text").cast("binary"), 256).alias("redacted_sha256"))
 
 
+#: Fixed rules of the URL query: (host, path, verdict).
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return urls.url_verdicts(pages, urls.rules(spark, URL_RULES), keep=["page_id"])
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(documents(spark, sf_dir))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model")
+    rows = alignment.aligned(documents(spark, sf_dir), a, b, keep=["doc_id"])
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256)).alias("groups_sha256")
+    rows = shared_table(rows.select("doc_id", *alignment.COUNTS, digest, "pairs", "times"), "aligned")
+    return alignment.link_scores(rows, alignment.width(b))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxicity": op2_toxicity,
@@ -98,4 +120,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_secrets": op9_secrets,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_url_filters": op11_url_filters,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_token_alignment": op13_token_alignment,
 }
