@@ -14,7 +14,7 @@ Neither tokenizer has a token that runs from a character that is no white
 space over a following space (byte-level pre-tokens cannot; ``Pair`` checks
 the piece vocabulary), so texts are cut there into words, both
 encoders see each distinct word once, and a worker remembers what it aligned.
-The memory is bounded and starts afresh; long words are not remembered.
+The memory is bounded: of two generations the older one goes; long words are not remembered.
 
 How many rows hold an id pair linked is counted from one row per (task, pair).
 A pair table of at most ``BROADCAST_ROWS`` rows goes to the tasks as sorted
@@ -32,14 +32,18 @@ one that is named like a result column is refused.
 from __future__ import annotations
 
 import re
+from array import array
+from collections import ChainMap
+from itertools import accumulate, chain
+from struct import Struct
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, shared_table
+from .common import shared_table
 
-#: Words a worker remembers at most, and the longest of them in characters.
-MEMO, MEMO_CHARS = 300_000, 64
+#: Words of one generation of a worker's memory (it keeps two), and the longest of them in characters.
+MEMO, MEMO_CHARS = 200_000, 64
 #: Pairs a task counts before it hands them on.
 PAIRS = 1 << 21
 #: A table of at most so many pairs is broadcast (17 bytes each).
@@ -47,6 +51,7 @@ BROADCAST_ROWS = 2_000_000
 SPACE_MARK = "▁"
 #: A space between two characters that are no white space (U+180E was white space in older Unicode).
 _CUT = re.compile(r"(?<=[^\s᠎]) (?=[^\s᠎])")
+_COUNTS = Struct("<qqq")
 _WORKER: dict = {}
 
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
@@ -73,19 +78,20 @@ def common_ends(a: list, b: list) -> list[tuple[int, int]]:
     """Indices (i, j) with a[i] == b[j], for strictly rising lists."""
     if len(a) > len(b):
         return [(i, j) for j, i in common_ends(b, a)]
-    found, j = [], 0
+    found, j, n = [], 0, len(b)
     for i, end in enumerate(a):
-        j = gallop(b, end, j)
-        if j == len(b):
+        if j < n and b[j] < end:
+            j = gallop(b, end, j + 1)
+        if j == n:
             break
         if b[j] == end:
             found.append((i, j))
     return found
 
 
-def partners(a: list, b: list) -> list[tuple[int, int]]:
-    """For every token of ``a`` the half-open range of ``b`` tokens that overlap it (both cut the same bytes)."""
-    out, first, begin = [], 0, 0
+def partners(a: list, b: list, begin: int = 0) -> list[tuple[int, int]]:
+    """For every token of ``a`` the half-open range of ``b`` tokens that overlap it (both cut the same bytes, from ``begin``)."""
+    out, first = [], 0
     for end in a:
         # tokens of b that end after this one's begin, up to the one that reaches its end
         first = gallop(b, begin + 1, first)
@@ -94,21 +100,18 @@ def partners(a: list, b: list) -> list[tuple[int, int]]:
     return out
 
 
-def ends(tokens: list[bytes]) -> list[int]:
-    out, at = [], 0
-    for t in tokens:
-        at += len(t)
-        out.append(at)
-    return out
-
-
 def align(a_ids: list, b_ids: list, a_ends: list, b_ends: list) -> tuple[list, list]:
     """Groups, as (ids of a, ids of b), and links, as (id of a, id of b)."""
-    groups, p, q = [], 0, 0
+    groups, links, p, q, begin = [], [], 0, 0, 0
     for i, j in common_ends(a_ends, b_ends):
-        groups.append((a_ids[p:i + 1], b_ids[q:j + 1]))
-        p, q = i + 1, j + 1
-    links = [(a, b) for a, (lo, hi) in zip(a_ids, partners(a_ends, b_ends)) for b in b_ids[lo:hi]]
+        x, y = a_ids[p:i + 1], b_ids[q:j + 1]
+        groups.append((x, y))
+        if i == p or j == q:  # one token on a side meets all of the other's
+            links += [(a, b) for a in x for b in y]
+        else:
+            ranges = partners(a_ends[p:i + 1], b_ends[q:j + 1], begin)
+            links += [(a, b) for a, (lo, hi) in zip(x, ranges) for b in y[lo:hi]]
+        p, q, begin = i + 1, j + 1, a_ends[i]
     return groups, links
 
 
@@ -140,39 +143,44 @@ class Pair:
         self.b_bytes = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace(SPACE_MARK, " ").encode() for i, p in enumerate(pieces)]
         #: an id pair as one number: a * width + b
         self.width = len(pieces)
+        self.a_lengths, self.b_lengths = {i: len(x) for i, x in self.a_bytes.items()}, list(map(len, self.b_bytes))
+        self.names = list(map(str, range(max(self.width, max(self.a_bytes) + 1))))
         # words may be encoded apart if no piece runs over the start of the next word
         self.cut = not any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in pieces)
+        # two generations: what is asked for again outlives the other words
         self.memo: dict = {}
+        self.older: dict = {}
 
     def words(self, text: str) -> list[str]:
         return _CUT.split(text) if self.cut else [text]
 
     def _aligned(self, word: str, a_ids: list, b_ids: list):
-        """Packed links, groups as text and the two token counts of a word; None if the tokens are not its bytes."""
-        import numpy as np
+        """Packed links, groups as text and the packed counts of tokens and groups of a word; None if the tokens are not its bytes."""
         whole = b" " + word.encode()
-        a, b = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b_ids]
-        if b"".join(a) != whole or b"".join(b) != whole:
+        if b"".join(map(self.a_bytes.__getitem__, a_ids)) != whole or b"".join(map(self.b_bytes.__getitem__, b_ids)) != whole:
             return None
-        groups, links = align(a_ids, b_ids, ends(a), ends(b))
-        text = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
-        codes = np.array([i * self.width + j for i, j in links], np.int64)
-        return codes.tobytes(), text, np.array([len(a_ids), len(b_ids), len(groups)], np.int64).tobytes()
+        groups, links = align(a_ids, b_ids, list(accumulate(map(self.a_lengths.__getitem__, a_ids))),
+                              list(accumulate(map(self.b_lengths.__getitem__, b_ids))))
+        name, width = self.names.__getitem__, self.width
+        text = ";".join([f"{','.join(map(name, x))}|{','.join(map(name, y))}" for x, y in groups])
+        return array("q", [i * width + j for i, j in links]).tobytes(), text, _COUNTS.pack(len(a_ids), len(b_ids), len(groups))
 
     def look_up(self, texts: list[str]) -> list[list]:
         """For each text what its words gave."""
         split = [self.words(t) for t in texts]
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        new = list({w for words in split for w in words}.difference(memo))
-        long = {}
+        if len(self.memo) > MEMO:
+            self.memo, self.older = {}, self.memo
+        memo, older = self.memo, self.older
+        new = set(chain.from_iterable(split)).difference(memo)
+        memo.update({w: older[w] for w in new.intersection(older)})
+        new, long = list(new.difference(memo)), {}
         for at in range(0, len(new), 20_000):
             some = new[at:at + 20_000]
             encoded = self.a.encode_batch_fast([" " + w for w in some], add_special_tokens=False)
             for w, e, b_ids in zip(some, encoded, self.b.encode(some, num_threads=1)):
                 (memo if len(w) <= MEMO_CHARS else long)[w] = self._aligned(w, e.ids, b_ids)
-        return [[memo[w] if w in memo else long[w] for w in words] for words in split]
+        find = ChainMap(memo, long).__getitem__ if long else memo.__getitem__
+        return [list(map(find, words)) for words in split]
 
     @staticmethod
     def of(a_path: str, b_path: str) -> Pair:
