@@ -149,14 +149,12 @@ def test_runs(spark: SparkSession, d: str) -> DataFrame:
 def run_events(spark: SparkSession, d: str) -> DataFrame:
     """events as test results: a run ends at each purchase (= passed); thread
     = user and run number (earlier purchases of the user)."""
-    from pyspark.sql import Window
+    from corpusweave.operators.segments import bucket_of, running
     ev = table(spark, d, "events").select("event_id", "user_id", "event_type", "value", "props")
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    run_no = F.coalesce(F.sum(F.when(F.col("event_type") == "purchase", 1).otherwise(0)).over(w), F.lit(0))
-    return ev.select("*", run_no.cast("bigint").alias("run_no"),
-                     (F.col("event_type") == "purchase").alias("passed"),
-                     F.concat(F.lit("U"), F.col("user_id").cast("string"), F.lit("-"),
-                              run_no.cast("string")).alias("thread_id"))
+    ev = running(ev, "user_id", ["event_id"], bucket_of(F.col("event_id")), {"run_no": F.when(F.col("event_type") == "purchase", 1).otherwise(0)})
+    return ev.withColumns({
+        "run_no": F.col("run_no").cast("bigint"), "passed": F.col("event_type") == "purchase",
+        "thread_id": F.concat(F.lit("U"), F.col("user_id").cast("string"), F.lit("-"), F.col("run_no").cast("string"))})
 
 
 def requirement_lines(spark: SparkSession, d: str) -> DataFrame:

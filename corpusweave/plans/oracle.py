@@ -545,14 +545,27 @@ FROM t LEFT JOIN agg ON agg.query_id = t.query_id"""
 
 # ------------------------------------------------------------ streaming
 ORACLE.update({
-    "stream_refresh": f"""WITH {CORPUS_CTE},
+    "stream_refresh": f"""WITH {CORPUS_CTE.replace("  FROM supplier),", "  FROM supplier WHERE s_suppkey % 10 <> 4),", 1)},
 t AS (SELECT path, k, {_span(0, 19)} || chr(10) AS text FROM corpus),
 f AS (SELECT path, CASE WHEN k % 5 = 1 THEN replace(text, 'import os' || chr(10), 'import os' || chr(10)
                                                    || 'import sys' || chr(10)) ELSE text END AS text,
              CASE WHEN k % 5 = 1 THEN 4 ELSE 3 END AS n_imports
-      FROM t WHERE k % 10 <> 4)
-SELECT path, CAST(octet_length(encode(text)) AS BIGINT) AS size, md5(text) AS hash,
-       CAST(4 AS BIGINT) AS n_chunks, CAST(n_imports AS BIGINT) AS n_imports FROM f""",
+      FROM t),
+e AS (SELECT path, string_agg(edge, chr(10) ORDER BY edge) AS edges
+      FROM (SELECT DISTINCT path, caller || ' > ' || dst || CASE WHEN resolved THEN '' ELSE ' ?' END AS edge FROM resolved) GROUP BY path)
+SELECT f.path, CAST(octet_length(encode(text)) AS BIGINT) AS size, md5(text) AS hash,
+       CAST(4 AS BIGINT) AS n_chunks, CAST(n_imports AS BIGINT) AS n_imports, edges FROM f LEFT JOIN e ON e.path = f.path""",
+    "stream_decisions": f"""WITH ev AS (
+  SELECT event_id AS seq, user_id, event_type = 'signup' AS answer, event_type = 'purchase' AS passed,
+         CASE WHEN event_type = 'signup' THEN {_DECISION} END AS decision FROM events),
+en AS (SELECT *, CASE WHEN answer THEN decision IS DISTINCT FROM 'retry' ELSE passed END AS ends FROM ev),
+ru AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run_no
+       FROM en),
+rc AS (SELECT *, coalesce(sum((NOT answer)::INT) OVER (PARTITION BY user_id, run_no ORDER BY seq
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS retry_count FROM ru)
+SELECT seq, user_id, CAST(run_no AS BIGINT) AS run_no, CAST(retry_count AS BIGINT) AS retry_count, CASE WHEN NOT answer THEN passed END AS passed,
+       decision, CASE WHEN answer THEN {_ROUTE_DECISION.format(d='decision')} WHEN passed THEN 'build' WHEN retry_count >= 3 THEN 'escalate'
+       ELSE 'retry' END AS route, 'routed' AS status FROM rc""",
     "stream_routing": f"WITH {_RUN_CTE} SELECT event_id AS seq, thread_id, CAST(retry_count AS BIGINT) AS retry_count,"
                       " passed, route FROM rt",
 })

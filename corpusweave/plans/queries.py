@@ -195,7 +195,6 @@ QUERIES.update({
 
 
 # ------------------------------------------------------------ replies, errors, log
-from pyspark.sql import Window  # noqa: E402
 from pyspark.sql import types as T  # noqa: E402
 
 from corpusweave.operators import replies as L  # noqa: E402
@@ -244,6 +243,7 @@ QUERIES.update({
 
 # ------------------------------------------------------------ run analytics
 from corpusweave.operators import runs as RU  # noqa: E402
+from corpusweave.operators.segments import bucket_of, running  # noqa: E402
 
 PRIORITY_WORDS = {"1-URGENT": "Critical", "2-HIGH": "HIGH", "3-MEDIUM": "medium",
                   "4-NOT SPECIFIED": "unspecified", "5-LOW": "low"}
@@ -345,8 +345,8 @@ NODE_OF = {"signup": "pm", "view": "dev", "click": "test", "error": "escalate",
 
 def q_incomplete_runs(spark, d):
     ev = table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    clicks_before = F.coalesce(F.sum(F.when(F.col("event_type") == "click", 1).otherwise(0)).over(w), F.lit(0))
+    ev = running(ev, "user_id", ["event_id"], bucket_of(F.col("event_id")), {"clicks_before": F.when(F.col("event_type") == "click", 1).otherwise(0)})
+    clicks_before = F.col("clicks_before")
     node = _lookup(NODE_OF, "event_type")
     route = (F.when(node == "test", RU.route_after_test(F.col("value") > 25, clicks_before))
               .when(node == "escalate", RU.route_after_decision(_decision())))
@@ -556,33 +556,49 @@ def q_stream_refresh(spark, d):
         reader = spark.readStream.schema(C.CHANGE_SCHEMA).parquet(f"{base}/changes/*")
         _run_available_now(reader.writeStream.option("checkpointLocation", ck)
                            .foreachBatch(lambda df, bid, ck=ck: W1.apply_batch(spark, idx, df, bid, ck)))
-    man = S.read_table(spark, idx, "manifest")
-    nch = S.read_table(spark, idx, "chunks").groupBy("path").agg(F.count("*").alias("n_chunks"))
-    nim = S.read_table(spark, idx, "imports").groupBy("path").agg(F.count("*").alias("n_imports"))
-    return (man.join(nch, "path", "left").join(nim, "path", "left")
-               .select("path", "size", "hash", "n_chunks", "n_imports"))
+    index = W1.load_index(spark, idx)
+    nch = index["chunks"].groupBy("path").agg(F.count("*").alias("n_chunks"))
+    nim = index["imports"].groupBy("path").agg(F.count("*").alias("n_imports"))
+    edge = F.concat("caller", F.lit(" > "), "dst", F.when(F.col("resolved"), "").otherwise(" ?"))
+    edges = index["resolved_calls"].groupBy("path").agg(F.array_join(F.sort_array(F.collect_set(edge)), "\n").alias("edges"))
+    return (index["manifest"].join(nch, "path", "left").join(nim, "path", "left").join(edges, "path", "left")
+               .select("path", "size", "hash", "n_chunks", "n_imports", "edges"))
 
 
 def q_stream_routing(spark, d):
     """Four triggers; within each, the events arrive in no order and over several Arrow batches."""
-    base = scratch_path(spark, f"stream-routing-{uuid.uuid4().hex}")
     ev = table(spark, d, "events").select(F.col("event_id").alias("seq"), "user_id", (F.col("event_type") == "purchase").alias("passed"))
-    top = ev.agg(F.max("seq")).first()[0] or 0
-    chunk = (F.col("seq") * 4 / (top + 1)).cast("int")
-    schema = "seq BIGINT, user_id BIGINT, passed BOOLEAN"
-    for i in range(4):
-        ev.where(chunk == i).orderBy(F.xxhash64("seq")).write.parquet(f"{base}/events/c{i}")
-        stream = spark.readStream.schema(schema).parquet(f"{base}/events/*")
-        _run_available_now(W2.route_stream(stream, "user_id").writeStream.format("parquet")
-                           .option("path", f"{base}/out").option("checkpointLocation", f"{base}/ck")
-                           .outputMode("append"))
-    return spark.read.schema(W2.OUT_SCHEMA).parquet(f"{base}/out").select(
-        "seq", F.format_string("U%s-%d", "key", "run_no").alias("thread_id"), "retry_count", "passed", "route")
+    out = _route_in_triggers(spark, ev, lambda df: W2.events_of(df, "user_id"))
+    return out.select("seq", F.format_string("U%s-%d", "key", "run_no").alias("thread_id"), "retry_count", "passed", "route")
+
+
+def _route_in_triggers(spark, events, columns, triggers: int = 4, **options):
+    """``events`` through the routing stream, cut by seq into as many triggers."""
+    base = scratch_path(spark, f"stream-routing-{uuid.uuid4().hex}")
+    top = events.agg(F.max("seq")).first()[0] or 0
+    chunk = (F.col("seq") * triggers / (top + 1)).cast("int")
+    for i in range(triggers):
+        events.where(chunk == i).orderBy(F.xxhash64("seq")).write.parquet(f"{base}/events/c{i}")
+        stream = spark.readStream.schema(events.schema).parquet(f"{base}/events/*")
+        _run_available_now(W2.start(spark, columns(stream), f"{base}/out", f"{base}/ck", **options))
+    return W2.routed(spark, f"{base}/out")
+
+
+def q_stream_decisions(spark, d):
+    """T4-T6 on the stream: signups answer escalations (by event_id % 5), all other events are tests, with a time to live."""
+    import datetime as dt
+    ev = table(spark, d, "events").select(
+        F.col("event_id").alias("seq"), "user_id", "ts", (F.col("event_type") == "purchase").alias("passed"),
+        F.when(F.col("event_type") == "signup", _decision()).alias("decision"), (F.col("event_type") == "signup").alias("answer"))
+    out = _route_in_triggers(spark, ev, lambda df: W2.events_of(df, "user_id", "seq", "passed", "ts", "decision", "answer"),
+                             ttl=dt.timedelta(days=3650), delay=dt.timedelta(hours=1))
+    return out.select("seq", F.col("key").cast("bigint").alias("user_id"), "run_no", "retry_count", "passed", "decision", "route", "status")
 
 
 QUERIES.update({
     "stream_refresh": q_stream_refresh,
     "stream_routing": q_stream_routing,
+    "stream_decisions": q_stream_decisions,
 })
 
 
