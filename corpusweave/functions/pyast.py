@@ -79,11 +79,11 @@ def calls_in(nodes, src: _Src) -> list[str]:
     return out
 
 
-def imports_in(tree, src: _Src) -> list[tuple[str, list[str], int]]:
+def imports_in(body: list, src: _Src) -> list[tuple[str, list[str], int]]:
     """(statement text, top-level module names, level) of every import
     statement, in document order; ``from __future__`` is not an import here."""
     out = []
-    for n in _preorder(tree):
+    for n in (n for top in body for n in _preorder(top)):
         if isinstance(n, ast.Import):
             mods = [a.name.split(".")[0] for a in n.names]
             out.append((src.text(src.start(n), src.end(n)), mods, 0))
@@ -104,45 +104,96 @@ def check_syntax(text: str | None) -> tuple[bool, str]:
         return True, ""
     except SyntaxError as e:
         return False, f"{e.msg} at line {e.lineno}"
-    except (ValueError, RecursionError) as e:  # e.g. null bytes
-        return False, f"{e} at line None"
-
-
-def _without_block(data: bytes, line: int) -> bytes:
-    """``data`` with the top-level block around ``line`` (from 1) turned into
-    spaces; places in the rest stay. A block starts at a line that is neither
-    indented nor empty nor a comment or closing bracket."""
-    lines = re.findall(rb"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+$", data)
-    starts = [i for i, x in enumerate(lines) if x[:1].strip() and x[:1] not in b"#)]}"]
-    before = [i for i in starts if i < line]
-    if not before:
-        before = starts[:1]
-    if not before:
-        return data
-    a = before[-1]
-    b = next((i for i in starts if i > a), len(lines))
-    lines[a:b] = [re.sub(rb"[^\r\n]", b" ", x) for x in lines[a:b]]
-    return b"".join(lines)
+    except (ValueError, RecursionError, MemoryError) as e:  # e.g. null bytes, too deeply nested
+        return False, f"{str(e) or type(e).__name__} at line None"
+
+
+#: What decides where a top-level block may end: comments, strings, brackets, line ends and joined lines. Possessive, so that
+#: no text is scanned twice; an unclosed string is its opening quotes alone.
+_MARKS = re.compile(
+    r"""(?P<comment>\#[^\r\n]*)"""
+    r"""|(?P<string>\"\"\"(?:[^"\\]|\\.|"(?!""))*+\"\"\"|\'\'\'(?:[^'\\]|\\.|'(?!''))*+\'\'\')|(?P<open>\"\"\"|\'\'\')"""
+    r"""|(?P<short>"(?:[^"\\\r\n]|\\(?:\r\n|.))*+"|'(?:[^'\\\r\n]|\\(?:\r\n|.))*+')"""
+    r"""|(?P<joined>\\(?:\r\n|\r|\n))|(?P<line>\r\n|\r|\n)|(?P<up>[(\[{])|(?P<down>[)\]}])""", re.S)
+#: A line that begins a block (not indented, empty, a comment or a closing bracket), one that goes on with the block before it,
+#: and one that no open bracket can hold.
+_START = re.compile(r"[^\s#)\]}]")
+_GOES_ON = re.compile(r"(?:else|elif|except|finally)\b")
+_NEVER_INSIDE = re.compile(r"(?:def|class|import|async\s+def)\s|@\w")
+
+
+def blocks(text: str) -> list[tuple[int, int, int]]:
+    """Top-level blocks (first line from 0, start, end) in one pass over the text.
+
+    Strings, brackets and joined lines keep a block together. After a string or bracket that never ends, nothing tells what is
+    inside, so from its block on every line that may begin a block does."""
+    starts = [(0, 0)] if _START.match(text) else []
+    line, depth, apart = 0, 0, True
+    for m in _MARKS.finditer(text):
+        kind = m.lastgroup
+        if kind == "up":
+            depth += 1
+        elif kind == "down":
+            depth = max(0, depth - 1)
+        elif kind == "open":
+            apart = False
+            break
+        elif kind in ("string", "short", "joined"):
+            line += len(re.findall(r"\r\n|\r|\n", m.group())) if "\n" in m.group() or "\r" in m.group() else 0
+        elif kind == "line":
+            line += 1
+            if depth and _NEVER_INSIDE.match(text, m.end()):
+                depth = 0
+            if not depth and _START.match(text, m.end()):
+                starts.append((line, m.end()))
+    if not apart or depth:  # the same after a bracket that never closes
+        line, at = starts.pop() if starts else (0, 0)
+        starts += [(line, at)] if _START.match(text, at) else []
+        for m in re.finditer(r"\r\n|\r|\n", text[at:]):
+            line += 1
+            if _START.match(text, at + m.end()):
+                starts.append((line, at + m.end()))
+    merged: list[tuple[int, int]] = []
+    decorated = False
+    for line, at in starts:
+        # decorators belong to the definition below them
+        if not decorated and not (merged and _GOES_ON.match(text, at)):
+            merged.append((line, at))
+        decorated = text[at] == "@"
+    return [(line, at, end) for (line, at), end in zip(merged, [at for _, at in merged[1:]] + [len(text)])]
+
+
+def parse_tolerant(text: str) -> tuple[list, list[str]]:
+    """Top-level nodes of all blocks that parse, and an error for each that does not; each block is parsed once."""
+    nodes, errors = [], []
+    for line, start, end in blocks(text):
+        try:
+            tree = ast.parse(text[start:end])
+        except SyntaxError as e:
+            errors.append(f"{e.msg} at line {(e.lineno or 1) + line}")
+        except (ValueError, RecursionError, MemoryError) as e:
+            errors.append(f"{str(e) or type(e).__name__} at line {line + 1}")
+        else:
+            nodes += ast.increment_lineno(tree, line).body
+    return nodes, errors
 
 
 def extract_file(path: str, data: bytes) -> list[dict]:
-    """All tagged rows for one file (X1-X4, X7, X8, parse errors)."""
+    """All tagged rows for one file (X1-X4, X7, X8, parse errors).
+
+    A file that does not parse is cut into top-level blocks: each broken one gives an error row and all others give what they
+    hold, with the places and the text of the file itself."""
     rows: list[dict] = []
     data = data.removeprefix(b"\xef\xbb\xbf")
-    while True:
-        try:
-            tree = ast.parse(data.decode("utf-8"))
-            break
-        except UnicodeDecodeError as e:
-            return [{"kind": "error", "path": path, "error": f"invalid utf-8: {e.reason} at byte {e.start}"}]
-        except SyntaxError as e:
-            rows.append({"kind": "error", "path": path, "error": f"{e.msg} at line {e.lineno}"})
-            rest = _without_block(data, e.lineno or 1)
-            if rest == data:
-                return rows
-            data = rest
-        except (ValueError, RecursionError, MemoryError) as e:
-            return [*rows, {"kind": "error", "path": path, "error": str(e) or type(e).__name__}]
+    try:
+        text = data.decode("utf-8")
+    except UnicodeDecodeError as e:
+        return [{"kind": "error", "path": path, "error": f"invalid utf-8: {e.reason} at byte {e.start}"}]
+    try:
+        body = ast.parse(text).body
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        body, errors = parse_tolerant(text)
+        rows += [{"kind": "error", "path": path, "error": e} for e in errors]
     src = _Src(data)
 
     def chunk(ctype, name, cls, a, b, la, lb, call_nodes):
@@ -154,7 +205,7 @@ def extract_file(path: str, data: bytes) -> list[dict]:
                          "class_name": cls, "pos": i, "text": c})
 
     module_nodes = []
-    for node in tree.body:
+    for node in body:
         decorated = bool(getattr(node, "decorator_list", None))
         if isinstance(node, ast.ClassDef) and not decorated:
             chunk(CLASS, node.name, node.name, src.start(node), src.end(node),
@@ -172,10 +223,10 @@ def extract_file(path: str, data: bytes) -> list[dict]:
         first, last = module_nodes[0], module_nodes[-1]
         a, b = src.start(first), src.end(last)
         # the span may enclose functions and classes between (kept as is)
-        inside = [n for n in tree.body if src.start(n) >= a and src.end(n) <= b]
+        inside = [n for n in body if src.start(n) >= a and src.end(n) <= b]
         chunk(MODULE, MODULE_LEVEL_NAME, None, a, b, src.start_line(first),
               last.end_lineno - 1, inside)
-    for i, (stmt, mods, level) in enumerate(imports_in(tree, src)):
+    for i, (stmt, mods, level) in enumerate(imports_in(body, src)):
         rows.append({"kind": "import", "path": path, "pos": i, "text": stmt,
                      "modules": mods, "level": level})
     return rows

@@ -56,6 +56,25 @@ def code_corpus(spark: SparkSession, d: str) -> DataFrame:
         F.encode(text, "UTF-8").alias("content"))
 
 
+#: Files that do not parse as a whole, one per ``part`` by p_partkey % 4 (fixed text; %1$d key). Shapes: statements of an older
+#: language version between good ones; a byte order mark and CR LF line ends; a bracket that never closes before decorated and
+#: nested definitions; a text in quotes that looks like code, and a block that goes on with ``else``.
+BROKEN_TEMPLATES = (
+    'import os\nprint "old %1$d"\ndef a%1$d():\n    return os.getpid()\nprint "more"\nY = f(%1$d)\n',
+    '\ufeffimport os\r\ndef b%1$d(x):\r\n    return g(x)\r\nprint "crlf"\r\n',
+    'x = (1,\ndef c%1$d():\n    return h("(")\n@deco\nasync def d%1$d():\n    pass\nclass E%1$d:\n    def m(self):\n        return self.n()\n',
+    'DOC = """\ndef not_code():\n"""\nif DOC:\n    i%1$d()\nelse:\n    j()\nexec "old"\n',
+)
+
+
+def broken_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """sources(path, content): one file that does not parse for every part."""
+    k = F.col("p_partkey")
+    shapes = [F.format_string(t, k) for t in BROKEN_TEMPLATES]
+    text = F.element_at(F.array(*shapes), (k % 4 + 1).cast("int"))
+    return table(spark, d, "part").select(F.format_string("old/p_%d.py", k).alias("path"), F.encode(text, "UTF-8").alias("content"))
+
+
 HREF_RE = 'href="([^"]*)"'
 
 

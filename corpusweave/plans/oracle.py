@@ -124,6 +124,36 @@ ORACLE.update({
 })
 
 
+def _broken(shape: int, kind: str, name: str, start: int, end: int | None, text: str) -> str:
+    """Rows of one kind for all files of a shape; {K} stands for the key."""
+    def lit(t: str) -> str:
+        parts = [f"'{x}'" for x in t.replace("'", "''").split("{K}")]
+        return " || k || ".join(parts).replace("\\r", "' || chr(13) || '").replace("\\n", "' || chr(10) || '")
+    return (f"SELECT path, '{kind}' AS kind, {lit(name)} AS name, CAST({start} AS BIGINT) AS start, "
+            f"CAST({-1 if end is None else end} AS BIGINT) AS \"end\", {lit(text)} AS text FROM p WHERE k % 4 = {shape}")
+
+
+ORACLE["tolerant_extract"] = "WITH p AS (SELECT p_partkey AS k, 'old/p_' || p_partkey || '.py' AS path FROM part)\n" + "\nUNION ALL ".join([
+    _broken(0, "error", "", 1, None, ""), _broken(0, "error", "", 4, None, ""),
+    _broken(0, "chunk", "a{K}", 2, 3, r"def a{K}():\n    return os.getpid()"),
+    _broken(0, "chunk", "__module_level__", 0, 5,
+            r'import os\nprint "old {K}"\ndef a{K}():\n    return os.getpid()\nprint "more"\nY = f({K})'),
+    _broken(0, "call", "a{K}", 0, None, "os.getpid"), _broken(0, "call", "__module_level__", 0, None, "os.getpid"),
+    _broken(0, "call", "__module_level__", 1, None, "f"), _broken(0, "import", "", 0, None, "import os"),
+    _broken(1, "error", "", 3, None, ""), _broken(1, "chunk", "b{K}", 1, 2, r"def b{K}(x):\r\n    return g(x)"),
+    _broken(1, "chunk", "__module_level__", 0, 0, "import os"), _broken(1, "call", "b{K}", 0, None, "g"),
+    _broken(1, "import", "", 0, None, "import os"),
+    _broken(2, "error", "", 0, None, ""), _broken(2, "chunk", "c{K}", 1, 2, r'def c{K}():\n    return h("(")'),
+    _broken(2, "chunk", "E{K}", 6, 8, r"class E{K}:\n    def m(self):\n        return self.n()"),
+    _broken(2, "chunk", "E{K}.m", 7, 8, r"def m(self):\n        return self.n()"),
+    _broken(2, "chunk", "__module_level__", 3, 5, r"@deco\nasync def d{K}():\n    pass"),
+    _broken(2, "call", "c{K}", 0, None, "h"), _broken(2, "call", "E{K}", 0, None, "self.n"), _broken(2, "call", "m", 0, None, "self.n"),
+    _broken(3, "error", "", 7, None, ""),
+    _broken(3, "chunk", "__module_level__", 0, 6, r'DOC = """\ndef not_code():\n"""\nif DOC:\n    i{K}()\nelse:\n    j()'),
+    _broken(3, "call", "__module_level__", 0, None, "i{K}"), _broken(3, "call", "__module_level__", 1, None, "j"),
+])
+
+
 # ------------------------------------------------------------ graph + retrieval
 def _bfs(seeds: str, edges: str, budget: int = 30) -> str:
     """CTEs und, h1, h2, expanded: 2-hop BFS from seeds(query_id, symbol)

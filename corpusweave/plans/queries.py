@@ -35,7 +35,7 @@ QUERIES = {
 # ------------------------------------------------------------ index build
 from corpusweave.operators import extract as X  # noqa: E402
 from corpusweave.operators import graph as G  # noqa: E402
-from corpusweave.plans.fixtures import code_corpus  # noqa: E402
+from corpusweave.plans.fixtures import broken_corpus, code_corpus  # noqa: E402
 
 
 def _parallel(spark) -> int:
@@ -64,6 +64,21 @@ def q_call_extract(spark, d):
     return r.select("path", "caller", F.col("pos").cast("bigint").alias("pos"), "raw_call")
 
 
+def q_tolerant_extract(spark, d):
+    """Everything that files hold which do not parse as a whole: kind, name or place in ``name``, lines from 0 in ``start`` and ``end`` (-1: none)."""
+    x = X.extract(broken_corpus(spark, d), partitions=_parallel(spark))
+    big = lambda c: c.cast("bigint")
+    none = F.lit(-1).cast("bigint")
+    error_line = F.regexp_extract("error", r"at line (\d+)$", 1).cast("bigint") - 1
+    rows = F.when(F.col("kind") == "error", F.struct(F.lit("").alias("name"), error_line.alias("start"), none.alias("end"), F.lit("").alias("text")))
+    row = lambda name, start, end, text: F.struct(name.alias("name"), big(start).alias("start"), big(end).alias("end"), text.alias("text"))
+    rows = rows.when(F.col("kind") == "chunk", row(
+        F.concat_ws(".", F.when(F.col("chunk_type") == "function_definition", F.col("class_name")), "name"), F.col("start_line"), F.col("end_line"), F.col("content")))
+    rows = rows.when(F.col("kind") == "call", row(F.col("name"), F.col("pos"), none, F.col("text")))
+    rows = rows.otherwise(row(F.lit(""), F.col("pos"), none, F.col("text")))
+    return x.select("path", "kind", rows.alias("r")).select("path", "kind", "r.*")
+
+
 def q_symbol_table(spark, d):
     s = G.symbol_table(X.chunks(_corpus_x(spark, d)))
     return s.select("symbol_id", "short_name", "path", "chunk_id", "type",
@@ -82,6 +97,7 @@ QUERIES.update({
     "chunk_extract": q_chunk_extract,
     "import_extract": q_import_extract,
     "call_extract": q_call_extract,
+    "tolerant_extract": q_tolerant_extract,
     "symbol_table": q_symbol_table,
     "call_resolution": q_call_resolution,
 })

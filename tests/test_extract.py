@@ -1,6 +1,9 @@
 """X-pass: parser edge files (FIXTURES §3) and the Spark projection."""
 
-from corpusweave.functions.pyast import check_syntax, extract_file
+import random
+import re
+
+from corpusweave.functions.pyast import blocks, check_syntax, extract_file
 from tests.conftest import sources_df
 
 
@@ -93,3 +96,64 @@ def test_spark_tables_ids(spark):
     from pyspark.sql import functions as F
     out = spark.createDataFrame([("x=1",), ("def (",)], "t string").select(res(F.col("t")).alias("r")).collect()
     assert out[0]["r"]["valid"] and not out[1]["r"]["valid"]
+
+
+def _kinds(text, kind):
+    return [r for r in extract_file("m.py", text if isinstance(text, bytes) else text.encode()) if r["kind"] == kind]
+
+
+def test_broken_files_are_read_in_linear_time():
+    import time
+    shapes = ['print "x"\n' * 20000, "foo(\n" * 20000, "x = {\n" * 20000 + "def f():\n    pass\n", ("def f(:\n    pass\n") * 10000,
+              'x = """\n' * 20000 + "y = (", 'a = "\\\n' * 20000, "'''" + "(\n" * 20000]
+    for text in shapes:
+        t0 = time.process_time()
+        assert extract_file("m.py", text.encode())
+        assert time.process_time() - t0 < 4, text[:20]  # a parse for each line of the rest took minutes
+
+
+def test_broken_blocks_cost_themselves_only():
+    text = ('import os\n\nX = 1\n# note\nprint "x"\nif X:\n    a()\nelif os:\n    b()\nelse:\n    c()\ntry:\n    d()\nexcept E:\n    e()\n'
+            'finally:\n    f()\nY = 2\n')
+    assert [r["error"] for r in _kinds(text, "error")] == ["Missing parentheses in call to 'print'. Did you mean print(...)? at line 5"]
+    (chunk,) = _kinds(text, "chunk")
+    assert (chunk["start_line"], chunk["end_line"], chunk["content"]) == (0, 17, text.rstrip("\n"))  # the source's own text, broken line included
+    assert [r["text"] for r in _kinds(text, "call")] == ["a", "b", "c", "d", "e", "f"]
+
+
+def test_broken_blocks_and_strings_brackets_joined_lines():
+    text = ('S = """\ndef no():\n  x = (\n"""\nT = (1,\n2)\nU = 1 + \\\n2\n# ( " \'\nV = "(" + \'"""\'\nbad bad\ndef yes():\n    pass\n')
+    assert [r["name"] for r in _kinds(text, "chunk")] == ["yes", "__module_level__"]
+    assert len(_kinds(text, "error")) == 1
+    # a bracket or text that never ends: what follows is read line by line
+    assert [r["name"] for r in _kinds("x = (\ny = 1\n@d\ndef a():\n    pass\nclass B:\n    pass\n", "chunk")][0] == "B"
+    assert "f" in [r["name"] for r in _kinds('x = """\ndef f():\n    pass\n', "chunk")]
+
+
+def test_byte_order_mark_carriage_returns_and_null_bytes():
+    for end in ("\r", "\r\n", "\n"):
+        text = ("\ufeffé = 1\ndef f(x):\n    return g(é, h(x))\n" + 'print "x"\n').replace("\n", end)
+        chunk = [r for r in _kinds(text, "chunk") if r["name"] == "f"][0]
+        assert (chunk["start_line"], chunk["end_line"]) == (1, 2)
+        assert chunk["content"] == f"def f(x):{end}    return g(é, h(x))"
+        assert [r["text"] for r in _kinds(text, "call")] == ["g", "h"]
+        assert len(_kinds(text, "error")) == 1
+    assert [r["name"] for r in _kinds(b"def f():\n    pass\nx = '\x00'\n", "chunk")] == ["f"]
+
+
+def test_too_deeply_nested_code_is_an_error_of_its_block():
+    text = "def f():\n    pass\nX = " + "-" * 200_000 + "1\n"
+    assert [r["name"] for r in _kinds(text, "chunk")] == ["f"] and len(_kinds(text, "error")) == 1
+    ok, why = check_syntax("-" * 200_000 + "1")
+    assert not ok and why
+
+
+def test_blocks_cover_a_file_once():
+    rng = random.Random(3)
+    parts = ["def f():\n", "    pass\n", "x = (1,\n", "2)\n", '"""\n', "# c\n", "\n", "else:\n", "@d\n", "bad bad\n", "'\n", "\\\n", "y = 1\r", "]\r\n"]
+    for _ in range(500):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
+        got = blocks(text)
+        assert all(a[2] == b[1] and a[0] < b[0] for a, b in zip(got, got[1:])) and (not got or got[-1][2] == len(text))
+        for line, start, _ in got:
+            assert len(re.findall(r"\r\n|\r|\n", text[:start])) == line
