@@ -40,6 +40,35 @@ def classify(snap: DataFrame, manifest: DataFrame, always_hash: bool = False) ->
     return j.select("path", status.alias("status"), "size", "mtime", "hash", "old_size", "old_mtime", "old_hash")
 
 
+def suspects(listing: DataFrame, manifest: DataFrame) -> DataFrame:
+    """C1, first phase: the listed files (path, modificationTime, length) that the metadata cannot settle: unknown ones and
+    those whose size or time differs from the manifest's. All others are UNCHANGED without being opened."""
+    m = manifest.select("path", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"))
+    j = listing.join(m, "path", "left")
+    return j.where(~F.col("length").eqNullSafe(F.col("_size")) | ~F.col("modificationTime").eqNullSafe(F.col("_mtime"))).select("path")
+
+
+def classify_listing(listing: DataFrame, content: DataFrame, manifest: DataFrame) -> DataFrame:
+    """C1 + C2 in two phases, the same rows as ``classify`` over a whole snapshot. ``content`` has (path, content) of the
+    suspects; a listed file that is gone by then is DELETED if known, and otherwise not there."""
+    hashes = content.select("path", F.md5("content").alias("hash"))
+    read = listing.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime")).join(hashes, "path", "left")
+    settled = manifest.select("path", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"), F.col("hash").alias("_hash"))
+    j = read.join(settled, "path", "left")
+    same = F.col("size").eqNullSafe(F.col("_size")) & F.col("mtime").eqNullSafe(F.col("_mtime"))
+    snap = j.where(same | F.col("hash").isNotNull()).select("path", "size", "mtime", F.when(same, F.col("_hash")).otherwise(F.col("hash")).alias("hash"))
+    return classify(snap, manifest)
+
+
+def classify_tree(spark, root: str, manifest: DataFrame, glob: str = "*.py") -> tuple[DataFrame, DataFrame]:
+    """C1 over a source tree, metadata first: (status rows, sources rows of the files that had to be opened)."""
+    from corpusweave.session import materialize
+    from corpusweave.sources import codetree
+    listing = materialize(codetree.list_source_tree(spark, root, glob))
+    content = codetree.read_files(spark, root, suspects(listing, manifest))
+    return classify_listing(listing, content, manifest), content
+
+
 def refresh_manifest(status: DataFrame) -> DataFrame:
     """NEW/CHANGED take the new size, mtime and hash; UNCHANGED keep the
     old row; DELETED drop out."""
@@ -119,6 +148,14 @@ def _graph(index, status, fresh, out):
     return derive_graph(out["chunks"], out["raw_calls"])
 
 
+def refresh_tree(spark, root: str, index: dict[str, DataFrame] | None, manifest: DataFrame | None, glob: str = "*.py") -> dict[str, DataFrame]:
+    """C5 over a source tree: the listing decides which files are opened at all."""
+    if manifest is None:
+        manifest = spark.createDataFrame([], "path string, size bigint, mtime timestamp, hash string")
+    status, content = classify_tree(spark, root, manifest, glob)
+    return _refreshed(status, content, index, _shuffle_partitions(manifest))
+
+
 def refresh(sources: DataFrame, index: dict[str, DataFrame] | None, manifest: DataFrame | None,
             always_hash: bool = False, partitions: int | None = None) -> dict[str, DataFrame]:
     """Incremental refresh.  Returns the new table set (not yet written).
@@ -131,12 +168,15 @@ def refresh(sources: DataFrame, index: dict[str, DataFrame] | None, manifest: Da
     snap = snapshot(sources)
     if manifest is None:
         manifest = snap.limit(0)
+    return _refreshed(classify(snap, manifest, always_hash), sources, index, partitions or _shuffle_partitions(sources))
+
+
+def _refreshed(status: DataFrame, sources: DataFrame, index, partitions: int) -> dict[str, DataFrame]:
     # status and the extraction union feed several tables: keep them for the
     # writes (executor loss recomputes the lost blocks from lineage)
-    status = classify(snap, manifest, always_hash).persist()
+    status = status.persist()
     todo = status.where(F.col("status").isin(NEW, CHANGED)).select("path")
-    fresh_x = X.extract(sources.join(todo, "path", "left_semi"),
-                        partitions=partitions or _shuffle_partitions(sources)).persist()
+    fresh_x = X.extract(sources.join(todo, "path", "left_semi"), partitions=partitions).persist()
     fresh = build_index(fresh_x)
     out: dict[str, DataFrame] = {}
     for name, df in fresh.items():

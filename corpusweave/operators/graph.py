@@ -111,33 +111,30 @@ def dependencies_of(imports: DataFrame, files: DataFrame, path_col: str = "path"
 # ---------------------------------------------------------------- G8
 def substring_matches(needles: DataFrame, hay: DataFrame, needle_col: str = "module",
                       hay_col: str = "text") -> DataFrame:
-    """Exact ``contains(text, module)`` join without a nested loop.
-
-    Modules of length >= 3: every trigram of the module occurs in a text that
-    contains it, so the pair must share the module's rarest trigram.  Shorter
-    modules: equi-join on the text's 1- and 2-character grams.  Candidate
-    pairs are verified with ``contains``.  Returns distinct (module, text).
+    """Exact ``contains(text, module)`` join by equi-joins on whole modules.
+
+    A module's class is the greatest power of two that its length reaches. A
+    text's windows of each class length meet the modules' first windows; only
+    where one fits, the text is cut to each length that such modules have, and
+    the cut must equal the module. So a pair meets by the whole module, once for
+    each place where it occurs: candidates are hits, however many modules share
+    their beginning or how often a short run of characters occurs. Returns
+    distinct (module, text).
     """
     m = needles.select(F.col(needle_col).alias("module")).where(F.length("module") > 0).distinct()
-    t = hay.select(F.col(hay_col).alias("text")).where(F.col("text").isNotNull()).distinct()
-
-    def grams(col: str, n: int):
-        return F.array_distinct(F.expr(
-            f"transform(sequence(1, greatest(length({col}) - {n - 1}, 0)), i -> substring({col}, i, {n}))"))
-
-    tri = t.select("text", F.explode(grams("text", 3)).alias("g")).where(F.length("g") == 3)
-    freq = tri.groupBy("g").agg(F.count("*").alias("f"))
-    mt = (m.where(F.length("module") >= 3)
-           .select("module", F.explode(grams("module", 3)).alias("g"))
-           .join(freq, "g", "left").fillna(0, ["f"]))
-    w = Window.partitionBy("module").orderBy(F.col("f").asc(), F.col("g").asc())
-    rare = mt.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").where("f > 0").select("module", "g")
-    long_hits = rare.join(tri, "g").where(F.col("text").contains(F.col("module"))).select("module", "text")
-
-    short = m.where(F.length("module") < 3).withColumn("n", F.length("module"))
-    tg = (t.select("text", F.explode(F.array_union(grams("text", 1), grams("text", 2))).alias("g")))
-    short_hits = short.join(tg, short["module"] == tg["g"]).select("module", "text")
-    return long_hits.union(short_hits).distinct()
+    t = hay.select(F.col(hay_col).alias("text")).where(F.length("text") > 0).distinct()
+    # 1, 2, 4, ...: whole numbers only, no rounding of logarithms
+    m = m.withColumn("class", F.expr("shiftleft(1, length(bin(length(module))) - 1)"))
+    firsts = m.select("class", F.expr("substring(module, 1, class)").alias("window"), F.length("module").alias("n")).distinct()
+    classes = sorted(r[0] for r in m.select("class").distinct().collect())  # at most 31 powers of two
+    if not classes:
+        return t.limit(0).select(F.col("text").alias("module"), "text")
+    sizes = F.array(*[F.lit(c) for c in classes])
+    places = t.select("text", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("at"), F.length("text").alias("all"))
+    windows = places.select("text", "at", "all", F.explode(sizes).alias("class")).where("at + class - 1 <= all").withColumn(
+        "window", F.expr("substring(text, at, class)"))
+    cut = windows.join(firsts, ["class", "window"]).where("at + n - 1 <= all").select("text", F.expr("substring(text, at, n)").alias("module"))
+    return cut.distinct().join(m.select("module"), "module", "left_semi").select("module", "text")
 
 
 def imported_module_prefixes(imports: DataFrame) -> DataFrame:
@@ -196,18 +193,20 @@ def graph_expand(seeds: DataFrame, edges: DataFrame, depth: int = BFS_DEPTH,
     ``budget`` frontier nodes x ``budget`` neighbours, whatever the degree of
     a hub.  Deeper walks (ties at score 0) run unpruned.
 
-    The visited set is read three times per hop; with ``materialize_steps``
-    (default for walks deeper than 3 hops) it is materialized after each hop (a table of at most queries x budget
-    rows while pruning) and its lineage cut, so neither the plan nor the work
+    The (pruned) neighbour lists are computed once and kept, so the edges are
+    read once whatever the depth; with ``materialize_steps`` (default beyond one
+    hop) the visited set, read three times per hop, is kept after each hop too (at
+    most queries x budget rows while pruning), so neither the plan nor the work
     grows per hop.
     """
     prune = depth <= 5
     if materialize_steps is None:
-        materialize_steps = depth > 3
+        materialize_steps = depth > 1
     und = undirected(edges)
     if prune:
         wn = Window.partitionBy("src").orderBy(F.col("dst").asc())
         und = und.withColumn("_rn", F.row_number().over(wn)).where(F.col("_rn") <= budget).drop("_rn")
+    und = materialize(und)
     visited = seeds.select("query_id", "symbol").distinct().withColumn("hop", F.lit(0))
     if materialize_steps:
         visited = materialize(visited)

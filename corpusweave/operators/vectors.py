@@ -1,16 +1,22 @@
 """V1-V3: embedding and exact cosine top-k.
 
 V3 plan (exact, no all-pairs rows):
-  * queries are hashed into ``nq`` blocks, the corpus into ``nc`` blocks;
-  * each query row is replicated to every corpus block (``explode(sequence)``)
-    and each corpus row to every query block, so every (query block, corpus
-    block) pair meets in exactly one cogroup;
-  * inside the cogroup one matrix product scores the block pair and only the
-    best k per query leave the task (k rows, never all pairs);
-  * a final ``row_number`` window keeps the global best k per query; Spark
-    plans it as a partial ``WindowGroupLimit`` before the exchange.
-Block counts follow the row counts so a block pair stays a bounded matrix
-(``block_rows`` squared doubles) at any scale.
+  * the corpus is dealt to clusters: a bounded sample of its vectors are the
+    centres, every vector goes to its nearest one, and each cluster keeps the
+    widest angle between its centre and a member;
+  * every query first visits its nearest clusters, until they hold k vectors;
+    its k-th best similarity there is a bound that no result can fall below;
+  * by the triangle inequality of angles no member of a cluster is nearer to the
+    query than angle(query, centre) - widest angle; clusters whose best possible
+    similarity lies below the bound are skipped whole, the others are visited;
+  * a visit meets blocks of queries with slices of a cluster. Blocks are
+    rectangular: a query block (``q_rows``) is held in memory, a slice
+    (``c_rows``, much longer) is streamed past it in Arrow batches with a running
+    best k, so queries are copied once for each slice and vectors once for each
+    query block that visits their cluster;
+  * only k rows per query leave a task; a ``row_number`` keeps the best k.
+Memory per task is one query block, one batch and their product. A cluster with
+a third of all vectors is many slices.
 """
 
 from __future__ import annotations
@@ -25,7 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusweave.config import TOP_K
-from corpusweave.functions.vector import hash_embed, topk_cosine
+from corpusweave.functions.vector import hash_embed
+from corpusweave.session import materialize
+
+#: Clusters at most, and vectors a cluster holds on average below that number.
+CLUSTERS, CLUSTER_ROWS = 256, 4096
+#: Similarities within this of a bound count as reaching it (rounding of the bounds).
+SLACK = 1e-6
 
 
 def embedder_udf(embed: Callable[[list[str]], np.ndarray] = hash_embed):
@@ -50,57 +62,201 @@ def embed_texts(df: DataFrame, text_col: str, out_col: str = "embedding",
     return df.withColumn(out_col, embedder_udf(embed)(F.col(text_col)))
 
 
-def _blocks(df: DataFrame, block_rows: int) -> int:
-    return max(1, math.ceil(df.count() / block_rows))
+def _matrix(column) -> np.ndarray:
+    """An Arrow list column as a matrix of doubles."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
+def _is_zero() -> F.Column:
+    """Null vectors and those without length have no direction."""
+    return F.coalesce(~F.exists("vec", lambda x: x != 0), F.lit(True))
+
+
+def _assign(df: DataFrame, centres: np.ndarray) -> DataFrame:
+    """(id, vec) with the nearest centre and the angle to it."""
+    def run(batches):
+        import pyarrow as pa
+        for b in batches:
+            sim = _unit(_matrix(b.column("vec"))) @ centres.T if b.num_rows else np.zeros((0, len(centres)))
+            best = sim.argmax(1) if b.num_rows else np.zeros(0, np.int64)
+            angle = np.arccos(np.clip(sim[np.arange(len(best)), best], -1, 1)) if b.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vec"), pa.array(best.astype(np.int32)), pa.array(angle)],
+                                             names=["id", "vec", "cluster", "angle"])
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("cluster", T.IntegerType()), T.StructField("angle", T.DoubleType())]))
+
+
+def _visits(queries: DataFrame, centres: np.ndarray, widest: np.ndarray, sizes: np.ndarray, k: int, bounded: bool) -> DataFrame:
+    """(id, vec, cluster) for every cluster a query visits: its nearest ones until they hold k vectors or, with the column
+    ``bound`` of what those gave, all others that may hold something as near."""
+    def run(batches):
+        import pyarrow as pa
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sim = _unit(_matrix(b.column("vec"))) @ centres.T
+            order = np.argsort(-sim, axis=1, kind="stable")
+            before = np.cumsum(sizes[order], axis=1) - sizes[order]
+            first = np.zeros(sim.shape, bool)
+            np.put_along_axis(first, order, before < k, axis=1)
+            if bounded:
+                best = np.cos(np.maximum(np.arccos(np.clip(sim, -1, 1)) - widest, 0))
+                bound = np.array([-2.0 if x is None else x for x in b.column("bound").to_pylist()])
+                first = ~first & (best + SLACK >= bound[:, None])
+            row, cluster = np.nonzero(first & (sizes > 0))
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row)), b.column("vec").take(pa.array(row)),
+                                              pa.array(cluster.astype(np.int32))], names=["id", "vec", "cluster"])
+    kinds = [f for f in queries.schema.fields if f.name in ("id", "vec")]
+    return queries.mapInArrow(run, T.StructType([*kinds, T.StructField("cluster", T.IntegerType())]))
+
+
+class _Block:
+    """One block of queries and its best k so far."""
+
+    def __init__(self, k: int):
+        self.k, self.ids, self.parts, self.unit = k, [], [], None
+        self.row, self.id, self.sim = [], [], []
+        self.least = None
+
+    def add_queries(self, batch):
+        self.ids += batch.column("id").to_pylist()
+        self.parts.append(_matrix(batch.column("vec")))
+
+    def add_corpus(self, batch):
+        if self.unit is None:
+            self.unit = _unit(np.concatenate(self.parts))
+            self.least = np.full(len(self.ids), -2.0)
+        ids, unit = batch.column("id").to_pylist(), _unit(_matrix(batch.column("vec")))
+        sim = self.unit @ unit.T
+        kk = min(self.k, len(ids))
+        # what may be among the best k: as good as the batch's k-th and as the k-th so far
+        least = np.maximum(np.partition(sim, -kk, axis=1)[:, -kk] if len(ids) > kk else sim.min(1), self.least) - SLACK
+        row, col = np.nonzero(sim >= least[:, None])
+        if not len(row):
+            return
+        # one product for each pair: the same value whatever the block
+        exact = np.einsum("ij,ij->i", self.unit[row], unit[col])
+        self.row.append(row)
+        self.id += [ids[c] for c in col.tolist()]
+        self.sim.append(exact)
+        self._trim()
+
+    def _trim(self):
+        row, sim, ids = np.concatenate(self.row), np.concatenate(self.sim), np.array(self.id)
+        order = np.lexsort((ids, -sim, row)) if len(row) else np.zeros(0, np.int64)
+        rows = row[order]
+        first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else order
+        keep = order[np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)])) < self.k]
+        self.row, self.sim, self.id = [row[keep]], [sim[keep]], [self.id[i] for i in keep.tolist()]
+        full = np.bincount(self.row[0], minlength=len(self.ids)) >= self.k
+        worst = np.full(len(self.ids), 2.0)
+        np.minimum.at(worst, self.row[0], self.sim[0])
+        self.least = np.where(full, worst, -2.0)
+
+    def result(self, schema):
+        import pyarrow as pa
+        row = self.row[0] if self.row else np.zeros(0, np.int64)
+        sim = self.sim[0] if self.sim else np.zeros(0)
+        return pa.RecordBatch.from_arrays([pa.array([self.ids[r] for r in row.tolist()], schema[0].type), pa.array(self.id, schema[1].type),
+                                           pa.array(sim)], names=["query_id", "chunk_id", "sim"])
+
+
+def _meet(visits: DataFrame, corpus: DataFrame, slices: np.ndarray, k: int, q_rows: int, kinds: T.StructType) -> DataFrame:
+    """(query_id, chunk_id, sim): the best k of every visit's slices."""
+    spark = corpus.sparkSession
+    n_slices = F.element_at(F.lit(slices.tolist()), F.col("cluster") + 1)
+    # blocks of queries for each cluster, by how many visit it; one row a cluster
+    per = materialize(visits.groupBy("cluster").agg(F.ceil(F.count("*") / q_rows).cast("int").alias("blocks")))
+    blocks = dict.fromkeys(range(len(slices)), 0) | {r.cluster: r.blocks for r in per.collect()}
+    n_blocks = F.element_at(F.lit([blocks[i] for i in range(len(slices))]), F.col("cluster") + 1)
+    side_q = visits.withColumn("block", F.pmod(F.xxhash64("id"), n_blocks).cast("int")).select(
+        "cluster", F.explode(F.sequence(F.lit(0), n_slices - 1)).alias("slice"), "block", F.lit(0).alias("side"),
+        F.col("id").alias("q"), F.lit(None).cast(kinds["chunk_id"].dataType).alias("c"), "vec")
+    side_c = corpus.where(n_blocks > 0).select(
+        "cluster", F.pmod(F.xxhash64("id"), n_slices).cast("int").alias("slice"), F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"),
+        F.lit(1).alias("side"), F.lit(None).cast(kinds["query_id"].dataType).alias("q"), F.col("id").alias("c"), "vec")
+    key = ["cluster", "slice", "block"]
+    groups = max(1, int(sum(blocks[i] * int(n) for i, n in enumerate(slices))))
+    parts = min(groups, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1))
+    dealt = side_q.unionByName(side_c).repartition(parts, *key).sortWithinPartitions(*key, "side")
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+        schema = to_arrow_schema(kinds)
+        now, block = None, None
+        for b in batches:
+            at = np.stack([b.column(c).to_numpy() for c in (*key, "side")], 1)
+            cuts = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]).any(1)]) if len(at) else []
+            for lo, hi in zip(cuts, [*cuts[1:], len(at)]):
+                group, part = tuple(at[lo, :3].tolist()), b.slice(lo, hi - lo)
+                if group != now:
+                    if block is not None:
+                        yield block.result(schema)
+                    now, block = group, _Block(k)
+                if at[lo, 3] == 0:
+                    block.add_queries(pa.RecordBatch.from_arrays([part.column("q"), part.column("vec")], names=["id", "vec"]))
+                elif block.ids:
+                    block.add_corpus(pa.RecordBatch.from_arrays([part.column("c"), part.column("vec")], names=["id", "vec"]))
+        if block is not None:
+            yield block.result(schema)
+    return dealt.mapInArrow(run, kinds)
 
 
 def semantic_topk(queries: DataFrame, corpus: DataFrame, k: int = TOP_K,
                   q_id: str = "query_id", c_id: str = "chunk_id",
                   q_vec: str = "embedding", c_vec: str = "embedding",
-                  block_rows: int = 2048, nq: int | None = None,
-                  nc: int | None = None) -> DataFrame:
+                  q_rows: int = 2048, c_rows: int = 1 << 16, clusters: int | None = None) -> DataFrame:
     """V3: exact cosine-distance top-k per query.
 
     Returns ``(query_id, rank, chunk_id, distance)`` with rank 1..k ordered by
     (distance asc, chunk_id asc); distance is ``1 - cos`` in double precision,
-    null for zero vectors (sorted last).
+    null for zero or null vectors (sorted last). Query ids are distinct.
     """
-    q = queries.select(F.col(q_id).alias("qid"), F.col(q_vec).alias("vec"))
-    c = corpus.select(F.col(c_id).alias("cid"), F.col(c_vec).alias("vec"))
-    nq = nq or _blocks(q, block_rows)
-    nc = nc or _blocks(c, block_rows)
-    qid_type = queries.schema[q_id].dataType
-    cid_type = corpus.schema[c_id].dataType
-
-    qb = (q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("int"))
-           .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1)))))
-    cb = (c.withColumn("cb", F.pmod(F.xxhash64("cid"), F.lit(nc)).cast("int"))
-           .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))))
-
-    out_schema = T.StructType([
-        T.StructField("query_id", qid_type),
-        T.StructField("chunk_id", cid_type),
-        T.StructField("distance", T.DoubleType()),
-    ])
-
-    def block_topk(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-        if qpdf.empty or cpdf.empty:
-            return pd.DataFrame({"query_id": pd.Series([], dtype=object),
-                                 "chunk_id": pd.Series([], dtype=object),
-                                 "distance": pd.Series([], dtype="float64")})
-        qm = np.stack(qpdf["vec"].to_numpy())
-        cm = np.stack(cpdf["vec"].to_numpy())
-        cids = cpdf["cid"].to_numpy()
-        qi, ci, dd = topk_cosine(qpdf["qid"].to_numpy(), qm, cids, cm, k)
-        return pd.DataFrame({"query_id": qpdf["qid"].to_numpy()[qi],
-                             "chunk_id": cids[ci],
-                             "distance": dd})
-
-    partial = (qb.groupBy("qb", "cb")
-                 .cogroup(cb.groupBy("qb", "cb"))
-                 .applyInPandas(block_topk, out_schema))
-    w = Window.partitionBy("query_id").orderBy(
-        F.col("distance").asc_nulls_last(), F.col("chunk_id").asc())
-    return (partial.withColumn("rank", F.row_number().over(w))
-                   .where(F.col("rank") <= k)
-                   .select("query_id", "rank", "chunk_id", "distance"))
+    q = materialize(queries.select(F.col(q_id).alias("id"), F.col(q_vec).alias("vec")))
+    c = corpus.select(F.col(c_id).alias("id"), F.col(c_vec).alias("vec"))
+    c = materialize(c.withColumn("_zero", _is_zero()))
+    full, zero = c.where("NOT _zero").drop("_zero"), c.where("_zero").select("id")
+    kinds = T.StructType([T.StructField("query_id", queries.schema[q_id].dataType), T.StructField("chunk_id", corpus.schema[c_id].dataType),
+                          T.StructField("sim", T.DoubleType())])
+    n = full.count()
+    # results without a distance: only where too few vectors have a direction, the smallest ids
+    ids = c.select(F.col("id").alias("chunk_id")).orderBy("chunk_id").limit(k)
+    lost = q.where(_is_zero()).select(F.col("id").alias("query_id"))
+    found = [_with_all(lost, ids)]
+    if n < k:
+        some = zero.select(F.col("id").alias("chunk_id")).orderBy("chunk_id").limit(k)
+        found.append(_with_all(q.where(~_is_zero()).select(F.col("id").alias("query_id")), some))
+    asked = q.where(~_is_zero())
+    if n:
+        wanted = clusters or max(1, min(CLUSTERS, math.ceil(n / CLUSTER_ROWS)))
+        centres = _unit(np.array([r.vec for r in full.orderBy(F.xxhash64("id")).limit(wanted).select("vec").collect()], np.float64))
+        dealt = materialize(_assign(full, centres))
+        stats = {r.cluster: r for r in dealt.groupBy("cluster").agg(F.count("*").alias("n"), F.max("angle").alias("widest")).collect()}
+        sizes = np.array([stats[i].n if i in stats else 0 for i in range(len(centres))], np.int64)
+        widest = np.array([stats[i].widest + SLACK if i in stats else 0.0 for i in range(len(centres))])
+        slices = np.maximum(1, -(-sizes // c_rows))
+        near = materialize(_meet(_visits(asked, centres, widest, sizes, k, False), dealt, slices, k, q_rows, kinds))
+        found.append(near)
+        if len(centres) > 1:
+            rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim")))
+            bound = near.withColumn("_n", rank).where(F.col("_n") == k).select(F.col("query_id").alias("id"), F.col("sim").alias("bound"))
+            others = materialize(_visits(asked.join(bound, "id", "left"), centres, widest, sizes, k, True))
+            found.append(_meet(others, dealt, slices, k, q_rows, kinds))
+    rows = found[0]
+    for f in found[1:]:
+        rows = rows.unionByName(f)
+    w = Window.partitionBy("query_id").orderBy(F.col("sim").desc_nulls_last(), F.col("chunk_id").asc())
+    return (rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+                .select("query_id", "rank", "chunk_id", (1.0 - F.col("sim")).alias("distance")))
+
+
+def _with_all(queries: DataFrame, ids: DataFrame) -> DataFrame:
+    """Every query with the k ids at most, held as one array; no similarity."""
+    one = ids.agg(F.collect_list("chunk_id").alias("ids")).withColumn("_on", F.lit(1))
+    return queries.withColumn("_on", F.lit(1)).join(F.broadcast(one), "_on").select(
+        "query_id", F.explode("ids").alias("chunk_id"), F.lit(None).cast("double").alias("sim"))

@@ -11,6 +11,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Files whose paths the driver names in one read.
+FILES_PER_READ = 10_000
+
+
+def list_source_tree(spark: SparkSession, root: str, glob: str = "*.py", repo: str | None = None) -> DataFrame:
+    """(repo, path, modificationTime, length): metadata only, no file is opened."""
+    return scan_source_tree(spark, root, glob, repo).drop("content")
+
+
+def read_files(spark: SparkSession, root: str, paths: DataFrame, repo: str | None = None) -> DataFrame:
+    """sources rows of the given ``path``s below ``root``; no other file is opened.
+
+    The file source takes paths, not a table of them, so they are named ``FILES_PER_READ`` at a time (as many rows pass
+    through the driver at once); the files themselves are read by the tasks."""
+    base, out, held = root.rstrip("/") + "/", None, []
+
+    def read(some):
+        df = spark.read.format("binaryFile").load([base + p for p in some])
+        return _as_sources(df, root, repo)
+    for row in paths.select("path").distinct().toLocalIterator():
+        held.append(row.path)
+        if len(held) == FILES_PER_READ:
+            out, held = read(held) if out is None else out.unionByName(read(held)), []
+    if held:
+        out = read(held) if out is None else out.unionByName(read(held))
+    return spark.createDataFrame([], _SOURCES) if out is None else out
+
+
 def scan_source_tree(spark: SparkSession, root: str, glob: str = "*.py", repo: str | None = None) -> DataFrame:
     """sources(repo, path, modificationTime, length, content) for every file
     under ``root`` matching ``glob``, with ``path`` relative to the root."""
@@ -18,6 +46,13 @@ def scan_source_tree(spark: SparkSession, root: str, glob: str = "*.py", repo: s
                .option("recursiveFileLookup", "true")
                .option("pathGlobFilter", glob)
                .load(root))
+    return _as_sources(df, root, repo)
+
+
+_SOURCES = "repo string, path string, modificationTime timestamp, length bigint, content binary"
+
+
+def _as_sources(df: DataFrame, root: str, repo: str | None) -> DataFrame:
     prefix = root.rstrip("/") + "/"
     # binaryFile paths are URIs (file:/..., hdfs://...): keep the part after the root
     rel = F.regexp_replace(F.col("path"), r"^.*?" + _regex_quote(prefix), "")

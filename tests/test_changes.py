@@ -96,3 +96,36 @@ def test_scan_source_tree(spark, tmp_path):
     assert rows["pkg/a.py"]["length"] == 18 and rows["pkg/a.py"]["repo"] == "repo"
     st = C.classify(C.snapshot(scan_source_tree(spark, str(root))), snap(spark, [])).collect()
     assert {r["status"] for r in st} == {"NEW"}
+
+
+def test_listing_decides_which_files_are_opened(spark, tmp_path):
+    import os
+    from pyspark.sql import functions as F
+    from corpusweave.sources import codetree
+    root = tmp_path / "tree"
+    (root / "pkg").mkdir(parents=True)
+    for i in range(6):
+        (root / "pkg" / f"m{i}.py").write_bytes(f"def f{i}():\n    pass\n".encode())
+        os.utime(root / "pkg" / f"m{i}.py", (1_700_000_000 + i, 1_700_000_000 + i))
+    manifest = C.refresh_manifest(C.classify(C.snapshot(codetree.scan_source_tree(spark, str(root))), spark.createDataFrame(
+        [], "path string, size bigint, mtime timestamp, hash string"))).checkpoint()
+    (root / "pkg" / "m1.py").write_bytes(b"def g1():\n    return 1\n")     # size differs
+    os.utime(root / "pkg" / "m2.py", (1_800_000_000, 1_800_000_000))          # touched only
+    (root / "pkg" / "m3.py").write_bytes(b"def g3():\n    pass\n")          # other bytes, same size and time: not seen, by rule
+    os.utime(root / "pkg" / "m3.py", (1_700_000_003, 1_700_000_003))
+    (root / "pkg" / "m4.py").unlink()
+    (root / "pkg" / "n.py").write_bytes(b"x = 1\n")
+    listing = codetree.list_source_tree(spark, str(root))
+    assert "content" not in listing.columns and "content" not in listing._jdf.queryExecution().executedPlan().toString()
+    status, opened = C.classify_tree(spark, str(root), manifest)
+    assert sorted(r["path"] for r in opened.collect()) == ["pkg/m1.py", "pkg/m2.py", "pkg/n.py"]
+    want = C.classify(C.snapshot(codetree.scan_source_tree(spark, str(root))), manifest)
+    cols = ("path", "status", "size", "mtime", "old_size", "old_mtime", "old_hash")
+    assert _rows(status, cols) == _rows(want, cols)
+    assert {r["path"]: r["status"] for r in status.collect()}["pkg/m3.py"] == C.UNCHANGED
+    # nothing differs: no file is opened at all
+    same = C.refresh_manifest(status).checkpoint()
+    assert C.suspects(codetree.list_source_tree(spark, str(root)).where(F.col("path") != "pkg/m2.py"), same).count() == 0
+    out = C.refresh_tree(spark, str(root), None, None)
+    assert {r["short_name"] for r in out["symbols"].collect()} >= {"g1", "f0", "f5"}
+    C.release(out)

@@ -104,3 +104,24 @@ def test_callers_callees_and_symbol_table(spark):
     assert len(rows) == 1 and rows[0]["start_line"] == 5  # last definition wins
     ni = G.name_index(G.symbol_table(ch)).collect()
     assert ni[0]["n_candidates"] == 1 and F is not None
+
+
+def test_substring_matches_shared_beginnings_repeats_and_long_modules(spark):
+    mods = ["a", "aa", "aaa", "svc.s_1", "svc.s_10", "svc.s_1" * 9, "é😀x", "zz", ""]
+    texts = ["aaaa", "from svc.s_10 import x", "svc.s_1" * 20, "😀é😀x", "", None, "z", "aaaa"]
+    n, t = spark.createDataFrame([(m,) for m in mods], "module string"), spark.createDataFrame([(x,) for x in texts], "text string")
+    got = sorted((r["module"], r["text"]) for r in G.substring_matches(n, t).collect())
+    assert got == sorted({(m, x) for m in mods for x in texts if m and x and m in x})
+    assert G.substring_matches(n.limit(0), t).count() == 0 and G.substring_matches(n, t.limit(0)).count() == 0
+
+
+def test_graph_expand_reads_the_edges_once(spark):
+    import os
+    import tempfile
+    base = tempfile.mkdtemp(prefix="edges-")
+    spark.createDataFrame([(f"n{i}", f"n{i * 7 % 50}") for i in range(50)], "src string, dst string").write.parquet(os.path.join(base, "e"))
+    seeds = spark.createDataFrame([(1, "n1"), (2, "n2")], "query_id long, symbol string")
+    out = G.graph_expand(seeds, spark.read.parquet(os.path.join(base, "e")), depth=3)
+    # the neighbour lists were kept: the result's plan reads no edge file again
+    assert "FileScan" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() > 4

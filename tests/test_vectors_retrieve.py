@@ -31,9 +31,9 @@ def test_semantic_topk_blocks_ties_and_zero_vectors(spark):
     qdf = spark.createDataFrame([(k, v.tolist()) for k, v in q.items()], "query_id long, embedding array<float>")
     cdf = spark.createDataFrame([(k, v.tolist()) for k, v in c.items()], "chunk_id long, embedding array<float>")
     want = brute_topk(q, c, 5)
-    for nq, nc in [(1, 1), (3, 4)]:
+    for q_rows, c_rows, clusters in [(2048, 65536, None), (3, 16, 1), (4, 5, 7)]:
         got = {}
-        for r in V.semantic_topk(qdf, cdf, k=5, nq=nq, nc=nc).collect():
+        for r in V.semantic_topk(qdf, cdf, k=5, q_rows=q_rows, c_rows=c_rows, clusters=clusters).collect():
             got.setdefault(r["query_id"], []).append((r["rank"], r["chunk_id"], r["distance"]))
         for qi in q:
             have = [(cid, d) for _, cid, d in sorted(got[qi])]
@@ -68,3 +68,45 @@ def test_hybrid_retrieve_rules(spark):
     none = syms.withColumn("chunk_id", F.lit(None).cast("string"))
     hits2 = R.hybrid_retrieve(q, v, meta, none, edges, k=2).collect()
     assert {h["source"] for h in hits2} == {"semantic"}
+
+
+def _frames(spark, q, c):
+    kind = "long, embedding array<float>"
+    return (spark.createDataFrame([(k, None if v is None else v.tolist()) for k, v in q.items()], f"query_id {kind}"),
+            spark.createDataFrame([(k, None if v is None else v.tolist()) for k, v in c.items()], f"chunk_id {kind}"))
+
+
+def test_topk_skips_clusters_exactly(spark):
+    rng = np.random.default_rng(8)
+    middle = rng.normal(size=(6, 16)) * 4
+    c = {i: (middle[i % 6 if i % 3 else 0] + rng.normal(size=16) * 0.3).astype(np.float32) for i in range(900)}  # a third and more in one cluster
+    c |= {1000 + i: c[0].copy() for i in range(40)}  # copies: ties by id over slices
+    q = {i: (middle[i % 6] + rng.normal(size=16) * 0.3).astype(np.float32) for i in range(40)} | {99: c[0].copy()}
+    want = brute_topk(q, c, 7)
+    got = {}
+    qdf, cdf = _frames(spark, q, c)
+    for r in V.semantic_topk(qdf, cdf, k=7, q_rows=16, c_rows=50, clusters=12).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["chunk_id"]))
+    assert {k: [x for _, x in sorted(v)] for k, v in got.items()} == {k: [x for x, _ in v] for k, v in want.items()}
+    # by the bounds most clusters are skipped whole
+    centres = V._unit(np.array([c[i] for i in range(0, 36, 3)] + [c[i] for i in range(1, 30)], np.float64))
+    ids = cdf.withColumnRenamed("chunk_id", "id").withColumnRenamed("embedding", "vec")
+    dealt = V._assign(ids, centres).toPandas().groupby("cluster").agg(n=("id", "count"), widest=("angle", "max"))
+    sizes, widest = np.zeros(len(centres), np.int64), np.zeros(len(centres))
+    sizes[dealt.index], widest[dealt.index] = dealt.n, dealt.widest
+    bound = spark.createDataFrame([(k, v.tolist(), float(1 - want[k][-1][1])) for k, v in q.items()], "id long, vec array<float>, bound double")
+    visits = V._visits(bound, centres, widest, sizes, 7, True).count()
+    assert visits < 0.6 * len(q) * len(centres)
+
+
+def test_topk_few_null_and_empty_vectors(spark):
+    one = np.ones(4, np.float32)
+    for q, c in (({1: one, 2: None}, {5: None, 6: one, 7: np.zeros(4, np.float32)}), ({1: one}, {}), ({}, {1: one}), ({1: None}, {2: None})):
+        qdf, cdf = _frames(spark, q, c)
+        got = sorted((r["query_id"], r["rank"], r["chunk_id"], r["distance"]) for r in V.semantic_topk(qdf, cdf, k=3).collect())
+        zero = lambda v: v is None or not np.any(v)
+        want = []
+        for i, v in q.items():
+            order = sorted((zero(v) or zero(w), j) for j, w in c.items())[:3]
+            want += [(i, n, j, None if null else 0.0) for n, (null, j) in enumerate(order, 1)]
+        assert [(a, b, x, d if d is None else round(abs(d), 9)) for a, b, x, d in got] == sorted(want)
