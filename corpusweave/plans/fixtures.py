@@ -197,6 +197,41 @@ def requirement_lines(spark: SparkSession, d: str) -> DataFrame:
     return body.unionByName(extra)
 
 
+def repositories(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(sources, scanned, files, lines) of one repository per supplier and one that holds every part.
+
+    By s_suppkey % 5 a repository has no requirement file (0), an empty one (1), one that lists all in other cases and with
+    bounds (2), one that lacks packages (3), or one that lists a local module (4). Repository ``hot`` uses a package per
+    part and lists the even ones."""
+    sup, part = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k")), table(spark, d, "part").select(F.col("p_partkey").alias("p"))
+    repo, k, hot = F.format_string("repo_%d", F.col("k")), F.col("k"), F.lit("hot")
+    own = F.format_string("pkg%d", k)
+    even = F.when(k % 2 == 0, F.lit("requests"))
+    sources = sup.select(repo.alias("repo"), F.lit("svc/a.py").alias("path")).union(part.select(hot, F.format_string("svc/p_%d.py", "p")))
+    scanned = sup.select(repo.alias("repo"), F.explode(F.array(F.lit("Flask"), own, even)).alias("package")).where("package IS NOT NULL")
+    scanned = scanned.union(part.select(hot, F.format_string("pkg%d", "p")))
+    text = (F.when(k % 5 == 2, F.array(F.lit("FLASK==1"), F.format_string("Pkg%d>=2", k), F.lit("requests<=3")))
+            .when(k % 5 == 3, F.array(F.lit("flask"), F.format_string("# pkg%d", k), F.lit("")))
+            .when(k % 5 == 4, F.array(F.lit("svc==1"), F.lit("Flask"), own, F.lit("requests"))))
+    lines = sup.select(repo.alias("repo"), F.posexplode(text).alias("pos", "line")).select("repo", F.col("pos").cast("long").alias("pos"), "line")
+    lines = lines.union(part.where("p % 2 = 0").select(hot, "p", F.format_string("pkg%d==1.0", "p")))
+    files = sup.where(k % 5 != 0).select(repo.alias("repo")).union(spark.range(1).select(hot))
+    return sources, scanned, files, lines
+
+
+def coverage_replies(spark: SparkSession, d: str) -> DataFrame:
+    """replies(plan_id, raw_text, api_failed) by event_id % 8: fenced, plain, text after the value, single quotes, cut, fields
+    missing, call failed, null."""
+    ev = table(spark, d, "events").select("event_id", "event_type")
+    r = F.col("event_id") % 8
+    body = F.concat(F.lit('{"needs_new_tests": true, "reasoning": "'), F.col("event_type"), F.lit('", "new_test_code": "def test_'),
+                    F.col("event_id").cast("string"), F.lit('(): pass"}'))
+    raw = (F.when(r == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(r == 2, F.concat(body, F.lit(" that is all")))
+            .when(r == 3, F.translate(body, '"', "'")).when(r == 4, F.expr("'{\"needs_new_tests\": tr'"))
+            .when(r == 5, F.lit('{"needs_new_tests": true}')).when(r == 7, F.lit(None).cast("string")).otherwise(body))
+    return ev.select(F.col("event_id").alias("plan_id"), raw.alias("raw_text"), (r == 6).alias("api_failed"))
+
+
 def change_plans(spark: SparkSession, d: str) -> DataFrame:
     """replies(plan_id, raw_text): one proposed change plan per corpus file
     (FIXTURES §5), serialised as JSON, fenced for even ids."""

@@ -329,7 +329,7 @@ c AS (SELECT plan_id, regexp_replace(regexp_replace(raw, '^{_PS}+|{_PS}+$', '',
 v AS (SELECT *, coalesce(json_valid(cleaned), false) AND cleaned <> '' AS ok FROM c)
 SELECT plan_id, cleaned, ok AS parse_ok,
        CASE WHEN ok THEN CAST(CAST(json_extract(cleaned, '$.k') AS BIGINT) AS VARCHAR) END AS k,
-       CASE WHEN ok THEN 'SUCCESS' ELSE 'PARSE_ERROR' END AS reason_code, false AS needs_new_tests FROM v""",
+       'COVERAGE_ANALYSIS_' || CASE WHEN ok THEN 'SUCCESS' ELSE 'PARSE_ERROR' END AS reason_code, false AS needs_new_tests FROM v""",
     "run_log": f"""WITH d AS (
   SELECT doc_id, (['STEP', 'SUCCESS', 'WARN', 'ERROR', 'DETAIL'])[doc_id % 5 + 1] AS level, text,
          TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id) AS ts,
@@ -432,22 +432,42 @@ j AS (SELECT o.o_orderkey, o.o_orderstatus, p.n_lines, coalesce(p.md, []) AS md,
              'ORD-' || o.o_orderkey AS ticket, CAST(o.o_orderkey % 4 AS INT) AS retry
       FROM orders o LEFT JOIN per p ON p.l_orderkey = o.o_orderkey)
 SELECT ticket, 'dev' AS stage,
-  'Dev stage completed code changes for ' || ticket
-  || CASE WHEN retry > 0 THEN ' (retry attempt #' || retry || ')' ELSE '' END || '.' || chr(10) || chr(10)
+  'Code edited for ' || ticket || CASE WHEN retry > 0 THEN ', attempt ' || retry || ' after failed tests' ELSE '' END || '.' || chr(10) || chr(10)
   || 'WHO: Dev stage' || chr(10) || 'WHAT: '
   || coalesce(CASE WHEN o_orderstatus = 'F' THEN NULL ELSE 'Order status ' || o_orderstatus END, 'Code changes applied')
-  || chr(10) || 'WHY: Addresses requirements in ' || ticket || chr(10) || 'WHERE: '
+  || chr(10) || 'WHY: Asked for by ' || ticket || chr(10) || 'WHERE: '
   || CASE WHEN len(md) > 0 THEN array_to_string(md, ', ') ELSE 'No files modified' END
   || chr(10) || 'COMMIT: ' || coalesce(CASE WHEN len(md) > 0 THEN 'https://git.example/commit/' || o_orderkey END, 'N/A')
-  || chr(10) || CASE WHEN len(rj) > 0 THEN chr(10) || 'REJECTED CHANGES (would have produced invalid Python):'
+  || chr(10) || CASE WHEN len(rj) > 0 THEN chr(10) || 'NOT APPLIED, as the file would not parse afterwards:'
                      || chr(10) || array_to_string(rj, chr(10)) || chr(10) ELSE '' END AS comment
 FROM j
 UNION ALL
-SELECT ticket, 'test', 'Test stage ran the suite for ' || ticket || '.' || chr(10) || chr(10) || 'WHO: Test stage'
-  || chr(10) || 'WHAT: Ran the test suite' || chr(10) || 'WHY: Verify the change for ' || ticket || chr(10)
-  || 'RESULT: ' || CASE WHEN o_orderstatus = 'F' THEN 'PASSED' ELSE 'FAILED' END || ' — '
-  || coalesce(n_lines, 0) || ' passed' || chr(10) || 'ATTEMPT: ' || retry || chr(10)
-FROM j""",
+SELECT ticket, 'test', 'Tests run for ' || ticket || '.' || chr(10) || chr(10) || 'WHO: Test stage' || chr(10)
+  || 'WHAT: Whole suite; new tests added: ' || CASE WHEN o_orderkey % 5 = 0 THEN 'yes' ELSE 'no' END || chr(10)
+  || 'WHY: Check the change of ' || ticket || chr(10) || 'RESULT: ' || CASE WHEN o_orderstatus = 'F' THEN 'TESTS_PASSED' ELSE 'TESTS_FAILED' END
+  || chr(10) || 'SUMMARY: ' || coalesce(n_lines, 0) || ' passed' || chr(10) || 'QA REASONING: '
+  || CASE WHEN o_orderkey % 2 = 0 THEN 'covered' ELSE 'N/A' END || chr(10)
+FROM j
+UNION ALL
+SELECT ticket, 'build', CASE
+  WHEN len(md) = 0 AND len(rj) > 0 THEN 'Build not started for ' || ticket || '.' || chr(10) || chr(10) || 'WHO: Build stage' || chr(10)
+    || 'WHAT: Every proposed change was turned down, so the code is as it was' || chr(10)
+    || 'WHY: An image of unchanged code would pass for the fix' || chr(10)
+    || 'ACTION NEEDED: Read the dev comment for the changes turned down, then edit by hand or run again' || chr(10)
+  WHEN o_orderkey % 3 <> 0 THEN 'Build done for ' || ticket || '.' || chr(10) || chr(10) || 'WHO: Build stage' || chr(10)
+    || 'WHAT: Image app:' || o_orderkey || chr(10) || 'WHY: Package the tested code of ' || ticket || chr(10)
+    || 'COMMIT: ' || CASE WHEN len(md) > 0 THEN 'https://git.example/commit/' || o_orderkey ELSE 'N/A' END || chr(10) || 'RESULT: BUILD_SUCCESS' || chr(10)
+  ELSE 'Build failed for ' || ticket || '.' || chr(10) || chr(10) || 'WHO: Build stage' || chr(10) || 'WHAT: Tried image app:' || o_orderkey || chr(10)
+    || 'WHY: Package the tested code of ' || ticket || chr(10) || 'RESULT: ' || CASE WHEN o_orderkey % 7 > 0 THEN 'BUILD_FAILED' ELSE 'UNKNOWN' END
+    || chr(10) || 'OUTPUT (tail): '
+    || CASE WHEN o_orderkey % 2 = 0 THEN right('log ' || repeat(CAST(o_orderkey AS VARCHAR), 200), 500) ELSE 'No output captured' END || chr(10) END
+FROM j
+UNION ALL
+SELECT ticket, 'deploy', 'Deployed for ' || ticket || '.' || chr(10) || chr(10) || 'WHO: Deploy stage' || chr(10) || 'WHAT: Image app:' || o_orderkey
+  || chr(10) || 'WHY: See the image run before it goes further' || chr(10) || 'POD: pod-' || o_orderkey || chr(10) || 'NODEPORT: '
+  || CASE WHEN o_orderkey % 4 > 0 THEN CAST(30000 + o_orderkey % 100 AS VARCHAR) ELSE 'unknown' END || chr(10) || 'TO ACCESS: open app' || chr(10)
+  || 'RESULT: DEPLOY_SUCCESS' || chr(10)
+FROM j WHERE NOT (len(md) = 0 AND len(rj) > 0) AND o_orderkey % 3 <> 0""",
 })
 
 
@@ -599,3 +619,39 @@ SELECT seq, user_id, CAST(run_no AS BIGINT) AS run_no, CAST(retry_count AS BIGIN
     "stream_routing": f"WITH {_RUN_CTE} SELECT event_id AS seq, thread_id, CAST(retry_count AS BIGINT) AS retry_count,"
                       " passed, route FROM rt",
 })
+
+ORACLE["requirements_repos"] = f"""WITH sup AS (SELECT s_suppkey AS k, 'repo_' || s_suppkey AS repo FROM supplier),
+scanned AS (
+  SELECT repo, unnest(['Flask', 'pkg' || k] || CASE WHEN k % 2 = 0 THEN ['requests'] ELSE [] END) AS package FROM sup
+  UNION ALL SELECT 'hot', 'pkg' || p_partkey FROM part),
+lines AS (
+  SELECT repo, unnest(CASE k % 5 WHEN 2 THEN ['FLASK==1', 'Pkg' || k || '>=2', 'requests<=3'] WHEN 3 THEN ['flask', '# pkg' || k, '']
+    WHEN 4 THEN ['svc==1', 'Flask', 'pkg' || k, 'requests'] ELSE [] END) AS line FROM sup
+  UNION ALL SELECT 'hot', 'pkg' || p_partkey || '==1.0' FROM part WHERE p_partkey % 2 = 0),
+names AS (
+  SELECT DISTINCT repo, lower(split_part(split_part(split_part({_strip('line')}, '==', 1), '>=', 1), '<=', 1)) AS name
+  FROM lines WHERE {_strip('line')} <> '' AND NOT starts_with(line, '#')),
+state AS (
+  SELECT repo, k % 5 = 0 AS absent FROM sup UNION ALL SELECT 'hot', false),
+miss AS (SELECT DISTINCT repo, package FROM scanned s WHERE NOT EXISTS (SELECT 1 FROM names n WHERE n.repo = s.repo AND n.name = lower(s.package))),
+codes AS (
+  SELECT repo, CASE WHEN absent THEN 'REQUIREMENTS_CREATED' WHEN repo IN (SELECT repo FROM miss) THEN 'REQUIREMENTS_UPDATED'
+                    ELSE 'REQUIREMENTS_UP_TO_DATE' END AS reason_code FROM state),
+added AS (
+  SELECT c.repo, reason_code, package AS entry FROM codes c LEFT JOIN miss m ON m.repo = c.repo WHERE reason_code <> 'REQUIREMENTS_UP_TO_DATE'
+  UNION ALL SELECT c.repo, reason_code, name FROM codes c LEFT JOIN names n ON n.repo = c.repo WHERE reason_code = 'REQUIREMENTS_UP_TO_DATE'),
+gone AS (SELECT DISTINCT repo, line FROM lines WHERE line = 'svc==1'),
+cleaned AS (
+  SELECT s.repo, CASE WHEN g.line IS NULL THEN 'REQUIREMENTS_ALREADY_CLEAN' ELSE 'REQUIREMENTS_CLEANED' END AS reason_code, g.line AS entry
+  FROM state s LEFT JOIN gone g ON g.repo = s.repo WHERE NOT absent
+  UNION ALL SELECT repo, reason_code, entry FROM added WHERE reason_code = 'REQUIREMENTS_CREATED'),
+u AS (SELECT 'add' AS part, * FROM added UNION ALL SELECT 'clean', * FROM cleaned)
+SELECT repo, part, reason_code, CASE WHEN entry IS NULL THEN 0 ELSE row_number() OVER (PARTITION BY repo, part ORDER BY entry) END AS rank,
+       coalesce(entry, '') AS entry FROM u"""
+
+ORACLE["coverage_decisions"] = """SELECT event_id AS plan_id, event_id % 8 IN (0, 1, 5) AS needs_new_tests,
+  CASE WHEN event_id % 8 IN (0, 1) THEN event_type WHEN event_id % 8 = 5 THEN '' WHEN event_id % 8 IN (6, 7)
+       THEN 'No answer from the model after all attempts' ELSE 'The answer is not valid JSON' END AS reasoning,
+  CASE WHEN event_id % 8 IN (0, 1) THEN 'def test_' || event_id || '(): pass' ELSE '' END AS new_test_code,
+  CASE WHEN event_id % 8 IN (0, 1, 5) THEN 'COVERAGE_ANALYSIS_SUCCESS' WHEN event_id % 8 IN (6, 7) THEN 'COVERAGE_ANALYSIS_API_ERROR'
+       ELSE 'COVERAGE_ANALYSIS_PARSE_ERROR' END AS reason_code FROM events"""

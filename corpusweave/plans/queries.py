@@ -214,7 +214,7 @@ QUERIES.update({
 from pyspark.sql import types as T  # noqa: E402
 
 from corpusweave.operators import replies as L  # noqa: E402
-from corpusweave.plans.fixtures import api_errors, model_replies, run_events, test_runs  # noqa: E402
+from corpusweave.plans.fixtures import api_errors, coverage_replies, model_replies, run_events, test_runs  # noqa: E402
 from corpusweave.sources import runlog  # noqa: E402
 
 
@@ -237,6 +237,10 @@ def q_reply_parse(spark, d):
              .join(cov.select("plan_id", "reason_code", "needs_new_tests"), "plan_id"))
 
 
+def q_coverage_decisions(spark, d):
+    return L.coverage_decision(coverage_replies(spark, d), api_failed_col="api_failed")
+
+
 def q_run_log(spark, d):
     doc = table(spark, d, "documents").select("doc_id", "text")
     lv = F.element_at(F.array(*[F.lit(x) for x in runlog.LEVELS]), (F.col("doc_id") % 5 + 1).cast("int"))
@@ -253,6 +257,7 @@ QUERIES.update({
     "error_triage": q_error_triage,
     "retry_schedule": q_retry_schedule,
     "reply_parse": q_reply_parse,
+    "coverage_decisions": q_coverage_decisions,
     "run_log": q_run_log,
 })
 
@@ -390,12 +395,19 @@ def q_audit_comments(spark, d):
                                                    F.col("o_orderkey").cast("string")))
     retry = (F.col("o_orderkey") % 4).cast("int")
     summ = F.concat(F.coalesce(F.col("n_lines"), F.lit(0)).cast("string"), F.lit(" passed"))
-    # both stages from one pass over the per-order aggregate
-    stages = F.array(
-        F.struct(F.lit("dev").alias("stage"),
-                 RU.dev_comment(ticket, retry, analysis, modified, commit, rejected).alias("comment")),
-        F.struct(F.lit("test").alias("stage"),
-                 RU.test_comment(ticket, F.col("o_orderstatus") == "F", summ, retry).alias("comment")))
+    key = F.col("o_orderkey")
+    image = F.concat(F.lit("app:"), key.cast("string"))
+    gate = RU.build_gate((F.size(modified) > 0) | (F.size(rejected) > 0), F.size(modified) > 0)
+    built = (gate == "PROCEED") & (key % 3 != 0)
+    output = F.when(key % 2 == 0, F.concat(F.lit("log "), F.expr("repeat(cast(o_orderkey AS string), 200)")))
+    # all stages from one pass over the per-order aggregate
+    stages = F.array(*[F.struct(F.lit(name).alias("stage"), text.alias("comment")) for name, text in (
+        ("dev", RU.dev_comment(ticket, retry, analysis, modified, commit, rejected)),
+        ("test", RU.test_comment(ticket, F.col("o_orderstatus") == "F", summ, key % 5 == 0, F.when(key % 2 == 0, F.lit("covered")))),
+        ("build", RU.build_comment(ticket, gate, built, F.when(key % 7 > 0, F.lit("BUILD_FAILED")), image, commit, output)),
+        ("deploy", RU.deploy_comment(ticket, RU.deploy_gate(built), image, F.concat(F.lit("pod-"), key.cast("string")),
+                                     F.when(key % 4 > 0, 30000 + key % 100), F.lit("open app"))))])
+    stages = F.filter(stages, lambda x: x["comment"].isNotNull())
     return j.select(ticket.alias("ticket"), F.explode(stages).alias("s")).select("ticket", "s.stage", "s.comment")
 
 
@@ -415,7 +427,7 @@ QUERIES.update({
 
 # ------------------------------------------------------------ dependency audit
 from corpusweave.operators import deps as D  # noqa: E402
-from corpusweave.plans.fixtures import REPO, change_plans, requirement_lines  # noqa: E402
+from corpusweave.plans.fixtures import REPO, change_plans, repositories, requirement_lines  # noqa: E402
 
 
 def q_third_party(spark, d):
@@ -429,18 +441,31 @@ def q_requirements_diff(spark, d):
     mods = X.import_modules(X.extract(src, partitions=_parallel(spark))).withColumn("repo", F.lit(REPO))
     scanned = D.third_party(spark, src.select("repo", "path"), mods)
     res = D.missing_packages(scanned, requirement_lines(spark, d), src.select("repo"))
-    return res.select("repo", "reason_code", F.explode("packages").alias("package"))
+    return res.where("package IS NOT NULL").select("repo", "reason_code", "package")
 
 
 def q_requirements_clean(spark, d):
     src = code_corpus(spark, d)
-    cl = D.clean_requirements(requirement_lines(spark, d), src.select("repo", "path"))
-    st = D.clean_status(cl)
-    return cl.join(st.select("repo", "reason_code"), "repo").select(
+    lines = requirement_lines(spark, d)
+    cl = D.clean_requirements(lines, src.select("repo", "path"))
+    none = src.select("repo", F.lit("").alias("package")).limit(0)  # the file exists: no scan is asked for
+    st = D.clean_status(cl, none, lines, src.select("repo"))
+    return cl.join(st.select("repo", "reason_code").distinct(), "repo").select(
         "repo", F.col("pos").cast("bigint").alias("pos"), "line", "kept", "reason_code")
 
 
+def q_requirements_repos(spark, d):
+    """D4 (part ``add``) and D5 (part ``clean``) over many repositories, one with every part: all statuses, entries ranked."""
+    sources, scanned, files, lines = repositories(spark, d)
+    repos = sources.select("repo")
+    add = D.missing_packages(scanned, lines, repos, files).select("repo", F.lit("add").alias("part"), "reason_code", "rank", F.col("package").alias("entry"))
+    clean = D.clean_status(D.clean_requirements(lines, sources), scanned, lines, repos, files)
+    both = add.union(clean.select("repo", F.lit("clean"), "reason_code", "rank", "entry"))
+    return both.select("repo", "part", "reason_code", F.coalesce("rank", F.lit(0).cast("long")).alias("rank"), F.coalesce("entry", F.lit("")).alias("entry"))
+
+
 QUERIES.update({
+    "requirements_repos": q_requirements_repos,
     "third_party": q_third_party,
     "requirements_diff": q_requirements_diff,
     "requirements_clean": q_requirements_clean,

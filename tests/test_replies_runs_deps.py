@@ -32,8 +32,8 @@ def test_reply_parsing_and_coverage(spark):
     assert p[1]["parse_ok"] and p[2]["parse_ok"] and not p[3]["parse_ok"]
     assert p[1]["parsed"]["files_to_modify"][0]["file_path"] == "x.py" and p[3]["parsed"] is None
     cov = {r["plan_id"]: r for r in L.coverage_decision(df).collect()}
-    assert cov[4]["needs_new_tests"] and cov[4]["reason_code"] == "SUCCESS"
-    assert not cov[3]["needs_new_tests"] and cov[3]["reason_code"] == "PARSE_ERROR"
+    assert cov[4]["needs_new_tests"] and cov[4]["reason_code"] == "COVERAGE_ANALYSIS_SUCCESS"
+    assert not cov[3]["needs_new_tests"] and cov[3]["reason_code"] == "COVERAGE_ANALYSIS_PARSE_ERROR"
 
 
 def test_error_classes_in_order_and_schedule(spark):
@@ -112,8 +112,8 @@ def test_dependency_audit(spark):
     assert tp == {"pyyaml", "Flask"}
     lines = spark.createDataFrame([("r", 0, "PyYAML==6"), ("r", 1, "# flask"), ("r", 2, ""), ("r", 3, "svc>=1")],
                                   "repo string, pos int, line string")
-    res = D.missing_packages(D.third_party(spark, src, mods), lines, src).first()
-    assert res["reason_code"] == "REQUIREMENTS_UPDATED" and res["packages"] == ["Flask"]
+    res = D.missing_packages(D.third_party(spark, src, mods), lines, src).collect()
+    assert [(r["reason_code"], r["rank"], r["package"]) for r in res] == [("REQUIREMENTS_UPDATED", 1, "Flask")]
     cl = {r["pos"]: r["kept"] for r in D.clean_requirements(lines, src).collect()}
     assert cl == {0: True, 1: True, 3: False}
 
@@ -146,3 +146,26 @@ def test_run_log_roundtrip(spark, tmp_path):
     runlog.append_log(ev, str(tmp_path / "log"))
     r = runlog.read_log(spark, str(tmp_path / "log")).first()
     assert r["value"] == "[2024-01-01T12:00:05] STEP: indexing" and r["level"] == "STEP"
+
+
+def test_requirement_file_states(spark):
+    repos = spark.createDataFrame([("none",), ("empty",), ("notes",), ("full",), ("bare",), ("void",)], "repo string")
+    files = spark.createDataFrame([("empty",), ("notes",), ("full",), ("bare",)], "repo string")
+    lines = spark.createDataFrame([("notes", 0, "# x"), ("notes", 1, " "), ("full", 0, "A==1"), ("full", 1, "b"), ("full", 2, "svc"), ("full", 3, "svc")],
+                                  "repo string, pos int, line string")
+    scanned = spark.createDataFrame([("none", "b"), ("none", "a"), ("empty", "a"), ("notes", "x"), ("full", "a"), ("full", "B"), ("none", "a")],
+                                    "repo string, package string")
+    assert {tuple(r) for r in D.requirement_files(repos, files, lines).collect()} == {
+        ("none", "absent"), ("void", "absent"), ("empty", "empty"), ("notes", "empty"), ("bare", "empty"), ("full", "present")}
+    got = sorted(map(tuple, D.missing_packages(scanned, lines, repos, files).collect()), key=str)
+    assert got == sorted([
+        ("bare", "REQUIREMENTS_UP_TO_DATE", None, None), ("empty", "REQUIREMENTS_UPDATED", 1, "a"), ("full", "REQUIREMENTS_UP_TO_DATE", 1, "a"),
+        ("full", "REQUIREMENTS_UP_TO_DATE", 2, "b"), ("full", "REQUIREMENTS_UP_TO_DATE", 3, "svc"), ("none", "REQUIREMENTS_CREATED", 1, "a"),
+        ("none", "REQUIREMENTS_CREATED", 2, "b"), ("notes", "REQUIREMENTS_UPDATED", 1, "x"), ("void", "REQUIREMENTS_CREATED", None, None)], key=str)
+    src = spark.createDataFrame([(r, "svc/a.py") for r in ("none", "empty", "notes", "full", "bare", "void")], "repo string, path string")
+    cleaned = D.clean_requirements(lines, src)
+    st = sorted(map(tuple, D.clean_status(cleaned, scanned, lines, repos, files).collect()), key=str)
+    assert st == sorted([
+        ("bare", "REQUIREMENTS_ALREADY_CLEAN", None, None), ("empty", "REQUIREMENTS_ALREADY_CLEAN", None, None),
+        ("full", "REQUIREMENTS_CLEANED", 1, "svc"), ("none", "REQUIREMENTS_CREATED", 1, "a"), ("none", "REQUIREMENTS_CREATED", 2, "b"),
+        ("notes", "REQUIREMENTS_ALREADY_CLEAN", None, None), ("void", "REQUIREMENTS_CREATED", None, None)], key=str)
