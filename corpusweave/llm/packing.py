@@ -4,7 +4,7 @@ Every file is one Arrow IPC stream: record batches with ``ids`` and ``mask``,
 both fixed-size lists of ``LENGTH`` values without nulls, so sequence i lies at
 a fixed place and is read without copying (``sequence``). The documents of a
 file follow each other without gaps; the file's last sequence is padded (mask
-false). The schema's metadata names the file's place in the order and the id
+0). The schema's metadata names the file's place in the order and the id
 and token count of each of its documents.
 
 Documents are range-partitioned and sorted by id; a task writes its range as
@@ -38,7 +38,8 @@ _WORKER: dict = {}
 
 
 class WordEncoder:
-    """Encodes texts word by word (words end at ASCII white space) with the tokenizers library.
+    """Encodes texts word by word (words end at ASCII white space) with the tokenizers library, in its default form:
+    a special token's string in a text becomes that token.
 
     Right for tokenizers that lower-case, drop white space and keep letters
     apart from marks (``tests`` compare it with the library over whole texts)."""
@@ -51,13 +52,16 @@ class WordEncoder:
         from tokenizers import Tokenizer
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # texts that may hold a special token's string are encoded whole, as the library alone knows how it cuts them
+        self.whole = [t.content.encode()[:2].lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[bytes, bytes] = {}  # ids as packed 32-bit numbers
 
     def encode(self, texts: list[bytes | None]):
         """Ids of each text, as arrays."""
         import numpy as np
-        split = [(t or b"").lower().split() for t in texts]
+        lowered = [(t or b"").lower() for t in texts]
+        whole = {i for i, t in enumerate(lowered) if any(mark in t for mark in self.whole)}
+        split = [[] if i in whole else t.split() for i, t in enumerate(lowered)]
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
@@ -70,7 +74,8 @@ class WordEncoder:
             memo.update(zip(some, [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)]))
         for w in marked:
             memo[w] = memo[w[:-1]] + memo[w[-1:]]
-        return [np.frombuffer(b"".join(map(memo.__getitem__, ws)), np.uint32) for ws in split]
+        return [np.array(self.tokenizer.encode(texts[i].decode(), add_special_tokens=False).ids, np.uint32) if i in whole
+                else np.frombuffer(b"".join(map(memo.__getitem__, ws)), np.uint32) for i, ws in enumerate(split)]
 
     @staticmethod
     def of(path: str) -> WordEncoder:
@@ -87,7 +92,7 @@ def stream_file(docs: list, ids, length: int, order: tuple[int, int]) -> bytes:
     rows = -(-n // length)
     padded = np.zeros(rows * length, ids.dtype)
     padded[:n] = ids
-    mask = np.arange(rows * length) < n
+    mask = (np.arange(rows * length) < n).astype(np.uint8)  # a byte each: bits could not be read without copying
     arrays = [pa.FixedSizeListArray.from_arrays(pa.array(x), length) for x in (padded, mask)]
     fields = [pa.field(k, a.type, nullable=False) for k, a in zip(("ids", "mask"), arrays)]
     schema = pa.schema(fields, metadata={"order": json.dumps(order), "documents": json.dumps(docs)})
@@ -98,7 +103,7 @@ def stream_file(docs: list, ids, length: int, order: tuple[int, int]) -> bytes:
 
 
 def sequence(source, i: int):
-    """Ids and mask of sequence ``i``, without copying ids. ``source``: a path (memory-mapped) or bytes."""
+    """Ids and mask (1 for a token, 0 for padding) of sequence ``i``, without copying either. ``source``: a path (memory-mapped) or bytes."""
     import pyarrow as pa
     stream = pa.ipc.open_stream(pa.memory_map(source) if isinstance(source, str) else pa.BufferReader(source))
     for batch in stream:
@@ -106,7 +111,7 @@ def sequence(source, i: int):
             ids, mask = batch.column(0), batch.column(1)
             length = ids.type.list_size
             part = lambda x: x.flatten().slice(i * length, length)
-            return part(ids).to_numpy(zero_copy_only=True), part(mask).to_numpy(zero_copy_only=False)
+            return part(ids).to_numpy(zero_copy_only=True), part(mask).to_numpy(zero_copy_only=True)
         i -= batch.num_rows
     raise IndexError(i)
 

@@ -47,8 +47,9 @@ def test_perfect_hash_is_minimal_and_rejects_others():
 def test_token_files_equal_library_over_whole_texts(spark, tmp_path):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
-    docs = X.documents(spark)
+    marks = ["a <|endoftext|> b", "a<|EndOfText|>b.", "<|startoftext|><|endoftext|>", "x <|start word, <|", "A " * 500 + "<|endoftext|>" + " É." * 500]
+    docs = X.documents(spark, extra=[(2000 + i, t, "en", "s", 0, "own") for i, t in enumerate(marks)])
+    assert tok.encode(marks[0], add_special_tokens=False).ids == [320, 49407, 321]
     rows = packing.packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 2, 49408)
     got = packing.with_starts(rows.withColumn("n_tokens", F.expr("octet_length(ids) div 4"))).collect()
     want = Counter((d.doc_id, np.array([*tok.encode(d.text or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for d in docs.collect())
@@ -67,7 +68,9 @@ def test_sequences_are_read_in_place(tmp_path):
     with open(path, "wb") as f:
         f.write(packing.stream_file([[7, 25]], ids, 10, (0, 0)) + b"\n")
     got, mask = packing.sequence(path, 2)
-    assert got.tolist() == [20, 21, 22, 23, 24, 0, 0, 0, 0, 0] and mask.tolist() == [True] * 5 + [False] * 5
+    assert got.tolist() == [20, 21, 22, 23, 24, 0, 0, 0, 0, 0] and mask.tolist() == [1] * 5 + [0] * 5
+    # views of the mapped file, not copies
+    assert not got.flags.owndata and not mask.flags.owndata and not got.flags.writeable and not mask.flags.writeable
     with pytest.raises(IndexError):
         packing.sequence(path, 3)
 
