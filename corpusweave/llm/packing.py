@@ -2,7 +2,8 @@
 
 Every file is one Arrow IPC stream: record batches with ``ids`` and ``mask``,
 both fixed-size lists of ``LENGTH`` values without nulls, so sequence i lies at
-a fixed place and is read without copying (``sequence``). The documents of a
+a fixed place and is read without copying (``sequence``). The file's two masks
+are stored once, as a dictionary. The documents of a
 file follow each other without gaps; the file's last sequence is padded (mask
 0). The schema's metadata names the file's place in the order and the id
 and token count of each of its documents.
@@ -52,13 +53,14 @@ class WordEncoder:
         from tokenizers import Tokenizer
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         self.tokenizer = Tokenizer.from_file(path)
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         # texts that may hold a special token's string are encoded whole, as the library alone knows how it cuts them
         self.whole = [t.content.encode()[:2].lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[bytes, bytes] = {}  # ids as packed 32-bit numbers
+        self.memo: dict[bytes, bytes] = {}  # ids as packed numbers of this code
 
-    def encode(self, texts: list[bytes | None]):
-        """Ids of each text, as arrays."""
-        import numpy as np
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        """Ids of each text, packed."""
+        code = self.code
         lowered = [(t or b"").lower() for t in texts]
         whole = {i for i, t in enumerate(lowered) if any(mark in t for mark in self.whole)}
         split = [[] if i in whole else t.split() for i, t in enumerate(lowered)]
@@ -71,11 +73,11 @@ class WordEncoder:
         plain = list(new.difference(marked).union(w[:-1] for w in marked).union(w[-1:] for w in marked).difference(memo))
         for at in range(0, len(plain), 50_000):
             some = plain[at:at + 50_000]
-            memo.update(zip(some, [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)]))
+            memo.update(zip(some, [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)]))
         for w in marked:
             memo[w] = memo[w[:-1]] + memo[w[-1:]]
-        return [np.array(self.tokenizer.encode(texts[i].decode(), add_special_tokens=False).ids, np.uint32) if i in whole
-                else np.frombuffer(b"".join(map(memo.__getitem__, ws)), np.uint32) for i, ws in enumerate(split)]
+        return [array(code, self.tokenizer.encode(texts[i].decode(), add_special_tokens=False).ids).tobytes() if i in whole
+                else b"".join(map(memo.__getitem__, ws)) for i, ws in enumerate(split)]
 
     @staticmethod
     def of(path: str) -> WordEncoder:
@@ -92,8 +94,13 @@ def stream_file(docs: list, ids, length: int, order: tuple[int, int]) -> bytes:
     rows = -(-n // length)
     padded = np.zeros(rows * length, ids.dtype)
     padded[:n] = ids
-    mask = (np.arange(rows * length) < n).astype(np.uint8)  # a byte each: bits could not be read without copying
-    arrays = [pa.FixedSizeListArray.from_arrays(pa.array(x), length) for x in (padded, mask)]
+    # only two masks occur in a file, that of full sequences and the last one's: stored once each, a byte a value (bits could
+    # not be read without copying)
+    masks = pa.array(np.concatenate([np.ones(length, np.uint8), (np.arange((rows - 1) * length, rows * length) < n).astype(np.uint8)]))
+    which = np.zeros(rows, np.int32)
+    which[-1:] = 1
+    arrays = [pa.FixedSizeListArray.from_arrays(pa.array(padded), length),
+              pa.DictionaryArray.from_arrays(pa.array(which), pa.FixedSizeListArray.from_arrays(masks, length))]
     fields = [pa.field(k, a.type, nullable=False) for k, a in zip(("ids", "mask"), arrays)]
     schema = pa.schema(fields, metadata={"order": json.dumps(order), "documents": json.dumps(docs)})
     sink = pa.BufferOutputStream()
@@ -110,8 +117,8 @@ def sequence(source, i: int):
         if i < batch.num_rows:
             ids, mask = batch.column(0), batch.column(1)
             length = ids.type.list_size
-            part = lambda x: x.flatten().slice(i * length, length)
-            return part(ids).to_numpy(zero_copy_only=True), part(mask).to_numpy(zero_copy_only=True)
+            part = lambda x, at: x.flatten().slice(at * length, length).to_numpy(zero_copy_only=True)
+            return part(ids, i), part(mask.dictionary, mask.indices[i].as_py())
         i -= batch.num_rows
     raise IndexError(i)
 
@@ -126,17 +133,21 @@ def write_packed(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, v
         import pyarrow as pa
         from pyspark import TaskContext
         part, chunk, held, waiting, n = TaskContext.get().partitionId(), 0, [], [], 0
+        encoder = WordEncoder.of(tokenizer_path)
+        packed = np.dtype(encoder.code)
+        end = np.array([end_id], packed).tobytes()
 
         def flush():
-            return pa.RecordBatch.from_pylist([{"file": stream_file(held, np.concatenate(waiting), length, (part, chunk))}])
-        encoder = WordEncoder.of(tokenizer_path)
+            ids = np.frombuffer(b"".join(waiting), packed).astype(kind, copy=False)
+            return pa.RecordBatch.from_pylist([{"file": stream_file(held, ids, length, (part, chunk))}])
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)
                 for doc, ids in zip(some.column(0).to_pylist(), encoder.encode(as_bytes(some.column(1)))):
-                    held.append([doc, len(ids) + 1])
-                    waiting.append(np.append(ids, end_id).astype(kind))
-                    n += len(ids) + 1
+                    tokens = len(ids) // packed.itemsize + 1
+                    held.append([doc, tokens])
+                    waiting += (ids, end)
+                    n += tokens
                     if n >= file_tokens:
                         yield flush()
                         chunk, held, waiting, n = chunk + 1, [], [], 0
@@ -167,9 +178,12 @@ def read_packed(spark, path: str, id_type: str = "long") -> DataFrame:
                 docs = json.loads(stream.schema.metadata[b"documents"])
                 got = list(stream)
                 flat = np.concatenate([b.column(0).flatten().to_numpy() for b in got])
-                used = np.concatenate([b.column(1).flatten().to_numpy(zero_copy_only=False) for b in got])
+                used = 0
+                for b in got:
+                    sums = b.column(1).dictionary.flatten().to_numpy().reshape(-1, b.column(0).type.list_size).sum(1, dtype=np.int64)
+                    used += int(sums[b.column(1).indices.to_numpy()].sum())
                 ends = np.cumsum([n for _, n in docs])
-                if int(ends[-1]) != int(used.sum()):
+                if int(ends[-1]) != used:
                     raise ValueError(f"file {part}, {chunk}: the mask and the documents disagree")
                 ids = np.split(flat[:ends[-1]].astype("<u4"), ends[:-1])
                 columns = {"id": [d for d, _ in docs], "part": [part] * len(docs), "chunk": [chunk] * len(docs), "place": range(len(docs)),
