@@ -256,7 +256,7 @@ def semantic_topk(queries: DataFrame, corpus: DataFrame, k: int = TOP_K,
 
 
 def _with_all(queries: DataFrame, ids: DataFrame) -> DataFrame:
-    """Every query with the k ids at most, held as one array; no similarity."""
-    one = ids.agg(F.collect_list("chunk_id").alias("ids")).withColumn("_on", F.lit(1))
-    return queries.withColumn("_on", F.lit(1)).join(F.broadcast(one), "_on").select(
-        "query_id", F.explode("ids").alias("chunk_id"), F.lit(None).cast("double").alias("sim"))
+    """Every query with each of the k ids at most that ``ids`` holds; no similarity."""
+    kind = ids.schema["chunk_id"].dataType
+    each = F.array(*[F.lit(r.chunk_id).cast(kind) for r in ids.collect()]).cast(T.ArrayType(kind))
+    return queries.select("query_id", F.explode(each).alias("chunk_id"), F.lit(None).cast("double").alias("sim"))
