@@ -40,67 +40,80 @@ def unpack(flat: np.ndarray, like: dict) -> dict:
 
 
 def _sigmoid(x):
-    return F32(1) / (F32(1) + np.exp(-x))
-
-
-def _step(p, x, h):
-    """One step for a batch: next states, and what the backward step needs."""
-    g, a = p["x"][x], h @ p["u"]
-    zr = _sigmoid(g[:, :2 * HIDDEN] + a[:, :2 * HIDDEN])
-    z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-    an = a[:, 2 * HIDDEN:] + p["n"]
-    n = np.tanh(g[:, 2 * HIDDEN:] + r * an)
-    return n + z * (h - n), (x, h, z, r, an, n)
-
-
-def _log_softmax(x):
-    x -= x.max(axis=1, keepdims=True)
-    e = np.exp(x)
-    s = e.sum(axis=1, keepdims=True)
-    return x - np.log(s), e / s
-
-
-def _by_class(words):
-    """(class, places of its words), for the words of the model."""
-    order = np.argsort(words, kind="stable")
-    cls = words[order] // WIDTH
+    e = np.exp(-x)
+    e += 1
+    return np.reciprocal(e, out=e)
+
+
+def _step(p, g, h):
+    """One step for a batch, a column each (numpy's inner loops then run over the batch): from the inputs' gate parts and the
+    states to the next states, and what the backward step needs."""
+    a = p["u"].T @ h
+    zr = _sigmoid(g[:2 * HIDDEN] + a[:2 * HIDDEN])
+    z, r = zr[:HIDDEN], zr[HIDDEN:]
+    an = a[2 * HIDDEN:] + p["n"][:, None]
+    n = np.tanh(g[2 * HIDDEN:] + r * an)
+    return n + z * (h - n), (z, r, an, n)
+
+
+def _log_share(x, at):
+    """Log of the softmax of each column at the place ``at``; overwrites ``x``."""
+    x -= x.max(axis=0)
+    own = x[at, np.arange(x.shape[1])]
+    return own - np.log(np.exp(x, out=x).sum(axis=0))
+
+
+def _softmax_gradient(x, at, m):
+    """Softmax of each column less one at the place ``at``, times ``m``; overwrites ``x``."""
+    x -= x.max(axis=0)
+    np.exp(x, out=x)
+    x *= m / x.sum(axis=0)
+    x[at, np.arange(x.shape[1])] -= m
+    return x
+
+
+def _by_class(y):
+    """Order of the targets by class, and (class, begin, end) in that order, for words of the model."""
+    order = np.argsort(y, kind="stable")
+    cls = y[order] // WIDTH
     cut = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]])) if len(cls) else []
-    return [(int(cls[a]), order[a:b]) for a, b in zip(cut, [*cut[1:], len(cls)])]
+    return order, [(int(cls[a]), a, b) for a, b in zip(cut, [*cut[1:], len(cls)])]
 
 
 def log_probs(p: dict, h: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Natural log probability of each target (the tail: of its class) after each state."""
-    k = len(p["w"])
-    logc, _ = _log_softmax(h @ p["c"] + p["cb"])
-    out = logc[np.arange(len(y)), np.minimum(y, k) // WIDTH].astype(np.float64)
+    """Natural log probability of each target (the tail: of its class) after each state (a row each)."""
+    k, h = len(p["w"]), h.T
+    out = _log_share(p["c"].T @ h + p["cb"][:, None], np.minimum(y, k) // WIDTH).astype(np.float64)
     own = np.flatnonzero(y < k)
-    for c, at in _by_class(y[own]):
-        at = own[at]
-        lw, _ = _log_softmax(h[at] @ p["w"][c * WIDTH:(c + 1) * WIDTH].T + p["wb"][c * WIDTH:(c + 1) * WIDTH])
-        out[at] += lw[np.arange(len(at)), y[at] - c * WIDTH]
+    order, classes = _by_class(y[own])
+    own = own[order]
+    states, places = h.take(own, axis=1), y[own] % WIDTH
+    for c, a, b in classes:
+        part = slice(c * WIDTH, (c + 1) * WIDTH)
+        out[own[a:b]] += _log_share(p["w"][part] @ states[:, a:b] + p["wb"][part][:, None], places[a:b])
     return out
 
 
 def _output_gradient(p, h, y, grad):
     """Gradient of the mean negative log probability with respect to the states; adds those of the output weights to ``grad``."""
-    k, m = len(p["w"]), F32(1 / max(1, len(y)))
-    _, pc = _log_softmax(h @ p["c"] + p["cb"])
-    pc[np.arange(len(y)), np.minimum(y, k) // WIDTH] -= 1
-    pc *= m
-    grad["c"] += h.T @ pc
-    grad["cb"] += pc.sum(axis=0)
-    dh = pc @ p["c"].T
+    k, m, h = len(p["w"]), F32(1 / max(1, len(y))), h.T
+    pc = _softmax_gradient(p["c"].T @ h + p["cb"][:, None], np.minimum(y, k) // WIDTH, m)
+    grad["c"] += h @ pc.T
+    grad["cb"] += pc.sum(axis=1)
+    dh = p["c"] @ pc
     own = np.flatnonzero(y < k)
-    for c, at in _by_class(y[own]):
-        at, part = own[at], slice(c * WIDTH, (c + 1) * WIDTH)
-        hc = h[at]
-        _, pw = _log_softmax(hc @ p["w"][part].T + p["wb"][part])
-        pw[np.arange(len(at)), y[at] - c * WIDTH] -= 1
-        pw *= m
-        grad["w"][part] += pw.T @ hc
-        grad["wb"][part] += pw.sum(axis=0)
-        dh[at] += pw @ p["w"][part]
-    return dh
+    order, classes = _by_class(y[own])
+    own = own[order]
+    states, places = h.take(own, axis=1), y[own] % WIDTH
+    d = np.empty_like(states)
+    for c, a, b in classes:
+        part = slice(c * WIDTH, (c + 1) * WIDTH)
+        pw = _softmax_gradient(p["w"][part] @ states[:, a:b] + p["wb"][part][:, None], places[a:b], m)
+        grad["w"][part] += pw @ states[:, a:b].T
+        grad["wb"][part] += pw.sum(axis=1)
+        d[:, a:b] = p["w"][part].T @ pw
+    dh[:, own] += d
+    return dh.T
 
 
 def train(p: dict, state: dict, texts: list[np.ndarray], batch: int = 512) -> None:
@@ -121,39 +134,41 @@ def train(p: dict, state: dict, texts: list[np.ndarray], batch: int = 512) -> No
         xs, ys = (np.zeros((len(some), length[0]), np.int32) for _ in range(2))
         for i, (x, y) in enumerate(some):
             xs[i, :len(x)], ys[i, :len(y)] = x, y
-        h = np.zeros((len(some), HIDDEN), F32)
+        h = np.zeros((HIDDEN, len(some)), F32)
         for lo in range(0, int(length[0]), WINDOW):
-            steps, states, targets = [], [], []
-            for t in range(lo, min(lo + WINDOW, int(length[0]))):
-                m = int(np.searchsorted(-length, -t, side="left"))  # the segments longer than t come first
-                if m < len(h):
-                    h = h[:m]
-                h, kept = _step(p, xs[:m, t], h)
-                steps.append(kept)
-                states.append(h)
-                targets.append(ys[:m, t])
+            times = range(lo, min(lo + WINDOW, int(length[0])))
+            sizes = np.searchsorted(-length, -np.array(times), side="left")  # the segments longer than t come first
+            ends = np.cumsum(sizes)
+            inputs, targets = (np.concatenate([v[:m, t] for t, m in zip(times, sizes)]) for v in (xs, ys))
+            gates = np.ascontiguousarray(p["x"].T).take(inputs, axis=1, mode="clip")
+            befores, states, z, r, an, n = (np.empty((HIDDEN, len(inputs)), F32) for _ in range(6))
+            for m, end in zip(sizes, ends):
+                at = slice(end - m, end)
+                befores[:, at] = h[:, :m]
+                h, (z[:, at], r[:, at], an[:, at], n[:, at]) = _step(p, gates[:, at], h[:, :m])
+                states[:, at] = h
             grad = {name: np.zeros_like(w) for name, w in p.items()}
-            dh_all = _output_gradient(p, np.concatenate(states), np.concatenate(targets), grad)
-            ends = np.cumsum([len(s) for s in states])
-            inputs, d_inputs, dh = [], [], np.zeros((0, HIDDEN), F32)
-            for (x, h0, z, r, an, n), end in zip(steps[::-1], ends[::-1]):
-                m = len(x)
-                d = dh_all[end - m:end].copy()
-                d[:len(dh)] += dh
-                dn = d * (1 - z) * (1 - n * n)
-                dz = d * (h0 - n) * z * (1 - z)
-                dr = dn * an * r * (1 - r)
-                da = np.concatenate([dz, dr, dn * r], axis=1)
-                grad["u"] += h0.T @ da
-                grad["n"] += da[:, 2 * HIDDEN:].sum(axis=0)
-                inputs.append(x)
-                d_inputs.append(np.concatenate([dz, dr, dn], axis=1))
-                dh = d * z + da @ p["u"].T
-            x, dx = np.concatenate(inputs), np.concatenate(d_inputs)
-            order = np.argsort(x, kind="stable")
-            x = x[order]
+            dh_all = _output_gradient(p, states.T, targets, grad).T
+            dx, da = (np.empty((3 * HIDDEN, len(inputs)), F32) for _ in range(2))
+            to_n, to_z, to_r = (1 - z) * (1 - n * n), (befores - n) * z * (1 - z), an * r * (1 - r)
+            dh = np.zeros((HIDDEN, 0), F32)
+            for m, end in zip(sizes[::-1], ends[::-1]):
+                at = slice(end - m, end)
+                d = dh_all[:, at]
+                d[:, :dh.shape[1]] += dh
+                dn = d * to_n[:, at]
+                np.multiply(d, to_z[:, at], out=da[:HIDDEN, at])
+                np.multiply(dn, to_r[:, at], out=da[HIDDEN:2 * HIDDEN, at])
+                np.multiply(dn, r[:, at], out=da[2 * HIDDEN:, at])
+                dx[2 * HIDDEN:, at] = dn
+                dh = d * z[:, at] + p["u"] @ da[:, at]
+            dx[:2 * HIDDEN] = da[:2 * HIDDEN]
+            grad["u"] += befores @ da.T
+            grad["n"] += da[2 * HIDDEN:].sum(axis=1)
+            order = np.argsort(inputs, kind="stable")
+            x = inputs[order]
             first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-            grad["x"][x[first]] = np.add.reduceat(dx[order], first, axis=0)
+            grad["x"][x[first]] = np.add.reduceat(dx.take(order, axis=1), first, axis=1).T
             for name, g in grad.items():
                 state[name] += g * g
                 p[name] -= F32(RATE) * g / (np.sqrt(state[name]) + F32(1e-6))
@@ -172,19 +187,20 @@ def score(p: dict, texts: list[np.ndarray]) -> np.ndarray:
     flat = np.minimum(np.concatenate([texts[i] for i in order]), k) if order else np.empty(0, np.int64)
     begin = np.cumsum(length) - length
     owner = np.array(order)
-    h = np.zeros((len(order), HIDDEN), F32)
+    inputs = np.ascontiguousarray(p["x"].T)
+    h = np.zeros((HIDDEN, len(order)), F32)
     x = np.full(len(order), k + 1)
     t, top = 0, int(length[0]) if order else 0
     while t < top:
         states, targets, owners, held = [], [], [], 0
         while t < top and held < 1 << 16:
             m = int(np.searchsorted(-length, -t, side="left"))
-            h, _ = _step(p, x[:m], h[:m])
+            h, _ = _step(p, inputs.take(x[:m], axis=1, mode="clip"), h[:, :m])
             y = flat[begin[:m] + t]
             states.append(h)
             targets.append(y)
             owners.append(owner[:m])
             x, held, t = y, held + m, t + 1
-        got = log_probs(p, np.concatenate(states), np.concatenate(targets))
+        got = log_probs(p, np.concatenate(states, axis=1).T, np.concatenate(targets))
         out += np.bincount(np.concatenate(owners), got, minlength=len(out))
     return out

@@ -2,8 +2,10 @@
 
 1. Word counts over all training documents, on Spark (map-side combined).
 2. Training: the network starts from weights fitted on ``START_DOCS`` documents;
-   then every task trains on all training documents of its partition by
-   truncated backpropagation, and the tasks' weights are averaged.
+   then every task (at most ``TRAINERS``) trains on all training documents of its
+   partitions by truncated backpropagation, and the tasks' weights are averaged.
+   In training the state starts anew every ``gru.SEGMENT`` tokens of a document
+   (so one long document runs side by side with itself); in scoring it never does.
 3. Scoring: whole documents, the state carried across windows; one row each.
 4. Counts of rare words: words outside the at most ``FREQUENT`` most frequent
    ones (whose counts are broadcast, a table of bounded size) join the count
@@ -22,6 +24,7 @@ empty table gives no rows; without training documents all words are unknown.
 from __future__ import annotations
 
 import math
+from itertools import repeat
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -35,6 +38,8 @@ FOLDS, HELD_OUT = 7, 2
 NETWORK, FREQUENT, START_DOCS = 1024, 50_000, 1500
 #: Documents that a task holds at once, at most (and bytes of text).
 HELD_DOCS, HELD_BYTES = 8192, 48 << 20
+#: Models that are trained side by side, at most, and tasks that add their weights up before the driver does (a row each).
+TRAINERS, SUMS = 16_384, 8
 END = b"\n"  # no word holds white space
 
 
@@ -95,8 +100,7 @@ class Vocabulary:
     def numbers(self, ws: list[bytes]):
         """The words' numbers; FREQUENT for a rare word."""
         import numpy as np
-        get = self.number.get
-        return np.fromiter((get(w, FREQUENT) for w in ws), np.int32, len(ws))
+        return np.fromiter(map(self.number.get, ws, repeat(FREQUENT)), np.int32, len(ws))
 
 
 def _held(batches, columns: int):
@@ -136,15 +140,23 @@ def train(texts: DataFrame, first: list[bytes | None], vocab) -> dict:
                 gru.train(p, state, some)
                 n += sum(map(len, some))
         if n:
-            # weighted by the tokens trained on
-            flat = gru.pack(p).astype(np.float64) * n
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1)), pa.array(np.append(flat, n))], names=["at", "value"])
-    summed = texts.mapInArrow(run, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
-    if not summed:
+            # weighted by the tokens trained on, which stand last
+            flat = np.append(gru.pack(p).astype(np.float64) * n, n)
+            yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary())], names=["weights"])
+
+    def add(batches):
+        import pyarrow as pa
+        total = None
+        for batch in batches:
+            for flat in batch.column(0).to_pylist():
+                total = np.frombuffer(flat) if total is None else total + np.frombuffer(flat)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["weights"])
+    trained = texts.coalesce(TRAINERS).mapInArrow(run, "weights binary")
+    sums = [np.frombuffer(r.weights) for r in trained.repartition(SUMS).mapInArrow(add, "weights binary").collect()]
+    if not sums:
         return p
-    flat = np.zeros(len(summed))
-    for r in summed:
-        flat[r.at] = r.value
+    flat = np.sum(sums, axis=0)
     return gru.unpack(flat[:-1] / flat[-1], p)
 
 
@@ -186,8 +198,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     vocab = spark.sparkContext.broadcast(Vocabulary(frequent_words(counts), n, v))
 
-    ids = training.where("id IS NOT NULL").select("id").orderBy(F.xxhash64("id"), "id").limit(START_DOCS).distinct()
-    first = [r.text.encode() for r in training.where("text IS NOT NULL").join(F.broadcast(ids), "id").orderBy(F.xxhash64("id")).select("text").collect()]
+    # a share of the hashes that about twice START_DOCS rows have; equal rows count once and are combined map-side
+    pool = training.where("id IS NOT NULL AND text IS NOT NULL").select(F.xxhash64("id", "text").alias("order"), "text")
+    share = 2 * START_DOCS / max(1, training.where("id IS NOT NULL").count())
+    begin = pool.where(F.pmod("order", F.lit(1 << 31)) < int(min(1.0, share) * (1 << 31))).groupBy("order").agg(F.first("text").alias("text"))
+    first = [r.text.encode() for r in begin.orderBy("order").limit(START_DOCS).collect()]
     weights = spark.sparkContext.broadcast(train(training.select("text"), first, vocab))
 
     scored = shared_table(_score(docs, vocab, weights).withColumn("row", F.monotonically_increasing_id()), "lm-scores")
