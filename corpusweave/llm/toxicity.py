@@ -157,9 +157,9 @@ def emphasis(place: dict[bytes, int], examples: list[tuple]):
     """A factor of at least 1 for each term: it grows with the term's chi-square against the label in the examples."""
     import numpy as np
     by = np.zeros((2, len(place)))
-    for _, label, counts in examples:
-        by[int(label > 0), [place[t] for t in counts]] += 1
-    toxic = float(sum(y > 0 for _, y, _ in examples))
+    for _, label, at, _ in examples:
+        by[int(label > 0), at] += 1
+    toxic = float(sum(y > 0 for _, y, _, _ in examples))
     n, df = len(examples), by.sum(axis=0)
     cross = by[1] * (n - toxic - by[0]) - by[0] * (toxic - by[1])
     chi2 = n * cross * cross / (toxic * (n - toxic) * df * (n - df) + 1e-9)
@@ -170,10 +170,10 @@ class Index:
     """The examples' vectors in blocks, with block-wise largest weights."""
 
     def __init__(self, place: dict[bytes, int], idf, examples: list[tuple], calibrated=None):
-        """``examples``: (id, label, terms counter)."""
+        """``examples``: (id, label, places of the terms in order, their counts)."""
         import numpy as np
         self.place, self.idf, self.curve, self._search = place, idf, calibrated, None
-        vectors = [(i, y, *self.vector(c)) for i, y, c in examples]
+        vectors = [(i, y, at, self._weights(at, n)) for i, y, at, n in examples]
         vectors = [v for v in vectors if len(v[2])]
         # alike ones together: by label and heaviest term
         vectors.sort(key=lambda v: (-v[1], int(v[2][np.argmax(v[3])]), str(v[0])))
@@ -209,14 +209,18 @@ class Index:
             out[-1][term[own], self.example[own] - lo] = self.weight[own]
         return out
 
+    def _weights(self, at, n):
+        """(1 + ln tf) * idf, of length 1."""
+        import numpy as np
+        w = (1 + np.log(n)) * self.idf[at]
+        return (w / max(np.linalg.norm(w), 1e-300)).astype(np.float32)
+
     def vector(self, counts: Counter):
-        """Places and weights of the terms: (1 + ln tf) * idf, of length 1."""
+        """Places and weights of the terms."""
         import numpy as np
-        at = self.place
-        found = sorted((at[t], n) for t, n in counts.items() if t in at)
-        t = np.array([x for x, _ in found], np.int64)
-        w = np.array([1 + math.log(n) for _, n in found]) * self.idf[t] if found else np.empty(0)
-        return t, (w / np.linalg.norm(w)).astype(np.float32) if found else w.astype(np.float32)
+        found = sorted((self.place[t], n) for t, n in counts.items() if t in self.place)
+        at, n = (np.array(x, np.int64) for x in (zip(*found) if found else ((), ())))
+        return at, self._weights(at, n)
 
     def _prepared(self):
         """What the search needs beside the postings: the long lists by block with their largest weights, and the examples' own vectors."""
@@ -329,10 +333,10 @@ class Index:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, b[0] + b[1] * vote + b[2] * toxic + b[3] * clean))))
 
     def calibrate(self, rows: list[tuple]) -> None:
-        """Logistic regression (Newton's method, ridge 0.5) of the label on the evidence. ``rows``: (label, terms counter)."""
+        """Logistic regression (Newton's method, ridge 0.5) of the label on the evidence. ``rows``: (label, vote, best toxic, best clean)."""
         import numpy as np
-        x = np.array([[1.0, *self.evidence(self.nearest(*self.vector(c)))] for _, c in rows])
-        y = np.array([float(y) for y, _ in rows])
+        x = np.array([[1.0, *evidence] for _, *evidence in rows]).reshape(-1, 4)
+        y = np.array([float(y) for y, *_ in rows])
         b, ridge = np.zeros(4), np.diag([1e-3, 0.5, 0.5, 0.5])
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
@@ -360,23 +364,40 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index | None:
         return None
     place = {t: i for i, t in enumerate(_example_terms(examples))}
     n, df = _document_counts(docs.select("text"), place)
-    shared = docs.sparkSession.sparkContext.broadcast(place)
-
-    def run(batches):
-        import json
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(place)
 
+    def packed(batches):
         import pyarrow as pa
+        known = _Places(shared.value)
         for batch in batches:
-            found = [json.dumps([(shared.value[t], k) for t, k in terms(x).items() if t in shared.value]) for x in as_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), batch.column(2), batch.column(3)], names=["id", "terms", "label", "use"])
-    kinds = f"id {docs.schema['id'].dataType.simpleString()}, terms string, label int, use string"
-    names = list(place)
-    import json
-    rows = [(r.id, r.label, Counter({names[t]: k for t, k in json.loads(r.terms)}), r.use) for r in sample.select(
-        "id", "text", F.col("label").cast("int").alias("label"), "use").mapInArrow(run, kinds).collect()]
-    chosen = [r[:3] for r in rows if r[3] == "example"]
+            at, counts = [], []
+            for text in as_bytes(batch.column(1)):
+                _, a, c = known.occurring([text])
+                at.append(a.astype(np.int32).tobytes())
+                counts.append(c.astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(at, pa.binary()), pa.array(counts, pa.binary())],
+                                             names=["id", "label", "at", "counts"])
+    id_type = docs.schema["id"].dataType.simpleString()
+    label = F.col("label").cast("int").alias("label")
+    rows = examples.select("id", "text", label).mapInArrow(packed, f"id {id_type}, label int, at binary, counts binary").collect()
+    chosen = [(r.id, r.label, np.frombuffer(r.at, np.int32), np.frombuffer(r.counts, np.int32)) for r in rows]
     index = Index(place, (np.log((1 + n) / (1 + df)) + 1) * emphasis(place, chosen), chosen)
-    index.calibrate(sorted(((y, c) for _, y, c, use in rows if use == "calibration"), key=lambda r: (r[0], sorted(r[1].items()))))
+
+    # the calibration rows are searched by tasks; four numbers a row come back
+    fitted = spark.sparkContext.broadcast(index)
+
+    def weighed(batches):
+        import pyarrow as pa
+        at, known = fitted.value, _Places(fitted.value.place)
+        for batch in batches:
+            texts, out = as_bytes(batch.column(0)), []
+            for lo, hi in _groups(texts):
+                out += [at.evidence(near) for near in at.nearest_all(*at.vectors(texts[lo:hi], known), hi - lo)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array([x[i] for x in out], pa.float64()) for i in range(3))],
+                                             names=["label", "vote", "toxic", "clean"])
+    found = sample.where("use = 'calibration'").select("text", label).mapInArrow(weighed, "label int, vote double, toxic double, clean double").collect()
+    index.calibrate(sorted(map(tuple, found)))
     return index
 
 
