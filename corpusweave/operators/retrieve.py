@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusweave.config import BFS_DEPTH, GRAPH_DEFAULT_SCORE, MAX_SYMBOLS, TOP_K
 from corpusweave.operators import graph as G
+from corpusweave.operators.segments import positions
 from corpusweave.operators.vectors import semantic_topk
 from corpusweave.session import materialize
 
@@ -60,6 +61,23 @@ def hybrid_retrieve_parts(queries: DataFrame, vectors: DataFrame, chunk_meta: Da
     return hits, expanded
 
 
+def summary_items(hits: DataFrame, expanded: DataFrame, related: DataFrame) -> DataFrame:
+    """R2 in long form: (query_id, kind, pos, item, score), a row for every list entry of a query.
+
+    Kinds: seed (symbols of semantic hits, by rank), expanded (symbols with their hop score), chunk (ranked chunk ids), and
+    dependency, dependent, related (distinct, in order, no score). The import lists grow with the corpus, so their positions
+    are counted by ranges (``segments.positions``): a query that a large share of the corpus depends on is spread over tasks.
+    Seeds and chunks without an id keep their row with a null item; queries without rows in a list have none."""
+    none = F.lit(None).cast("double")
+    def ranked(rows: DataFrame, kind: str, item: str) -> DataFrame:
+        return rows.select("query_id", F.lit(kind).alias("kind"), F.col("rank").cast("long").alias("pos"),
+                           F.col(item).cast("string").alias("item"), F.col("score").cast("double").alias("score"))
+    lists = positions(related.select("query_id", "kind", F.col("item").cast("string").alias("item")).distinct(), ["query_id", "kind"], ["item"])
+    return (ranked(hits.where(F.col("source") == "semantic"), "seed", "symbol_id")
+            .unionByName(ranked(expanded, "expanded", "symbol")).unionByName(ranked(hits, "chunk", "chunk_id"))
+            .unionByName(lists.select("query_id", "kind", F.col("pos").cast("long").alias("pos"), "item", none.alias("score"))))
+
+
 def retrieval_summary(hits: DataFrame, expanded: DataFrame, related: DataFrame,
                       chunks: DataFrame) -> DataFrame:
     """R2: one row per query: seeds, expanded symbols, score map, related

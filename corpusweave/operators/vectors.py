@@ -62,6 +62,45 @@ def embed_texts(df: DataFrame, text_col: str, out_col: str = "embedding",
     return df.withColumn(out_col, embedder_udf(embed)(F.col(text_col)))
 
 
+#: Names, numbers, and every other visible character.
+_TOKEN = r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^\x00-\x20\x7FA-Za-z0-9_]"
+#: The parts of a name, once a blank stands where a run of capitals meets a capitalised word.
+_JOINT, _PART = "([A-Z])([A-Z][a-z])", "[A-Z]?[a-z]+|[A-Z]+|[0-9]+"
+_CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def hash_features(df: DataFrame, key: str, text_col: str, dim: int = 256) -> DataFrame:
+    """(key, bucket, weight): signed feature hashing of each key's text, by DataFrame functions only.
+
+    Features are the tokens of a text (A-Z lower-cased) and, for names of several snake or camel parts, those parts too. The
+    CRC-32 of a feature names its bucket (modulo ``dim``) and its sign (the top bit: minus). Tasks add up before the shuffle,
+    so a text of any length sends at most ``dim`` rows from a task. Null and empty texts, and texts without a token, keep
+    one row with a null bucket and weight 0; rows of an equal key count as one text; buckets of weight 0 stay in."""
+    tokens = df.select(F.col(key).alias("key"), F.explode_outer(F.regexp_extract_all(text_col, F.lit(_TOKEN), F.lit(0))).alias("token"))
+    parts = F.regexp_extract_all(F.regexp_replace("token", _JOINT, "$1 $2"), F.lit(_PART), F.lit(0))
+    several = F.when(F.col("token").rlike("^[A-Za-z_]") & (F.size("parts") > 1), F.col("parts"))
+    features = (tokens.withColumn("parts", parts)
+                .select("key", F.explode(F.concat(F.array("token"), F.coalesce(several, F.array().cast("array<string>")))).alias("feature"))
+                .select("key", F.crc32(F.translate("feature", _CAPITALS, _SMALL).cast("binary")).alias("h")))
+    sign = F.when(F.col("h") >= 1 << 31, -1).when(F.col("h").isNotNull(), 1).otherwise(0)
+    return features.groupBy("key", (F.col("h") % dim).cast("int").alias("bucket")).agg(F.sum(sign).alias("weight"))
+
+
+def embed_native(df: DataFrame, key: str, text_col: str, dim: int = 256, out_col: str = "embedding") -> DataFrame:
+    """V1 / V2 without Python: (key, embedding), one row per distinct key, the features of ``hash_features`` as a dense unit
+    vector of floats. A text without weight has the zero vector. A key's group holds at most ``dim`` entries (and the null one)."""
+    entry = F.when(F.col("weight") != 0, F.struct("bucket", "weight"))
+    per = hash_features(df, key, text_col, dim).groupBy("key").agg(
+        F.sort_array(F.collect_list(entry)).alias("entries"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    buckets = F.col("entries.bucket")
+    earlier = F.concat(F.array(F.lit(-1)), buckets)  # one longer than the entries: the last starts the closing run of zeros
+    zero = F.lit(0.0).cast("float")
+    filled = F.zip_with("entries", F.slice(earlier, 1, F.size("entries")), lambda e, p: F.concat(
+        F.array_repeat(zero, e["bucket"] - p - 1), F.array((e["weight"] / F.col("norm")).cast("float"))))
+    closing = F.array_repeat(zero, F.lit(dim - 1) - F.element_at(earlier, -1))
+    return per.select(F.col("key").alias(key), F.concat(F.flatten(filled), closing).alias(out_col))
+
+
 def _matrix(column) -> np.ndarray:
     """An Arrow list column as a matrix of doubles."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)

@@ -655,3 +655,54 @@ ORACLE["coverage_decisions"] = """SELECT event_id AS plan_id, event_id % 8 IN (0
   CASE WHEN event_id % 8 IN (0, 1) THEN 'def test_' || event_id || '(): pass' ELSE '' END AS new_test_code,
   CASE WHEN event_id % 8 IN (0, 1, 5) THEN 'COVERAGE_ANALYSIS_SUCCESS' WHEN event_id % 8 IN (6, 7) THEN 'COVERAGE_ANALYSIS_API_ERROR'
        ELSE 'COVERAGE_ANALYSIS_PARSE_ERROR' END AS reason_code FROM events"""
+
+
+# ------------------------------------------------------------ embeddings, summaries, symbol fetch
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of the UTF-8 bytes of ``text``, four bits a step."""
+    steps = []
+    for n in range(16):
+        for _ in range(4):
+            n = (n >> 1) ^ 0xEDB88320 if n & 1 else n >> 1
+        steps.append(f"{n}::BIGINT")
+    def step(v: str) -> str:
+        return f"xor(list_extract([{', '.join(steps)}], (({v}) & 15) + 1), ({v}) >> 4)"
+    octets = f"list_transform(regexp_extract_all(hex({text}), '..'), lambda h: (strpos('0123456789ABCDEF', h[1]) * 16 + strpos('0123456789ABCDEF', h[2]) - 17)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda a, b: {step(step('xor(a, b)'))}), 4294967295::BIGINT)"
+
+
+ORACLE["embed_texts"] = rf"""
+WITH t AS (SELECT 'chunk ' || doc_id AS text_id, text FROM documents UNION ALL SELECT 'query ' || item_id, text FROM benchmark),
+k AS (SELECT text_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^\x00-\x20\x7FA-Za-z0-9_]')) AS token FROM t),
+n AS (SELECT text_id, token, count(*) AS c FROM k GROUP BY ALL),
+w AS (SELECT token, regexp_extract_all(regexp_replace(token, '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+') AS parts
+      FROM (SELECT DISTINCT token FROM n)),
+f AS (SELECT token, unnest(list_prepend(token, CASE WHEN regexp_matches(token, '^[A-Za-z_]') AND len(parts) > 1 THEN parts ELSE [] END)) AS feature FROM w),
+h AS (SELECT feature, {crc32_sql("translate(feature, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS h
+      FROM (SELECT DISTINCT feature FROM f)),
+b AS (SELECT n.text_id, h.h % 256 AS place, sum(CASE WHEN h.h >= 2147483648 THEN -n.c ELSE n.c END) AS weight
+      FROM n JOIN f USING (token) JOIN h USING (feature) GROUP BY ALL),
+s AS (SELECT text_id, sqrt(sum(weight * weight)::DOUBLE) AS norm FROM b GROUP BY text_id)
+SELECT text_id, place::BIGINT AS place, ROUND(((weight::DOUBLE / norm)::FLOAT)::DOUBLE, 6) + 0.0 AS value
+FROM b JOIN s USING (text_id) WHERE weight <> 0
+"""
+
+ORACLE["retrieval_summary"] = f"""WITH {SEM_CTE},
+{_bfs("SELECT query_id, chunk_id AS symbol FROM sem", VEC_EDGES)},
+g AS (SELECT t.query_id, t.symbol AS chunk_id, t.score FROM expanded t
+      WHERE NOT EXISTS (SELECT 1 FROM sem s WHERE s.query_id = t.query_id AND s.chunk_id = t.symbol)),
+ch AS (SELECT query_id, chunk_id, 1.0::DOUBLE AS score, rank FROM sem
+       UNION ALL SELECT query_id, chunk_id, score, 10 + row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) FROM g),
+{CORPUS_CTE},
+files AS (SELECT query_id, 'svc/s_' || (chunk_id % (SELECT count(*) FROM supplier)) || '.py' AS path FROM sem WHERE rank = 1),
+per AS (SELECT path, 'dependency' AS kind, import_text AS item FROM imports
+        UNION SELECT c.path, 'dependent', i.path FROM corpus c JOIN imports i ON contains(i.import_text, c.module)),
+lists AS (SELECT query_id, kind, item FROM files JOIN per USING (path) UNION SELECT query_id, 'related', item FROM files JOIN per USING (path))
+SELECT query_id, 'seed' AS kind, rank AS pos, CAST(chunk_id AS VARCHAR) AS item, 1.0::DOUBLE AS score FROM sem
+UNION ALL SELECT query_id, 'expanded', rank, CAST(symbol AS VARCHAR), ROUND(score, 6) FROM expanded
+UNION ALL SELECT query_id, 'chunk', rank, CAST(chunk_id AS VARCHAR), ROUND(score, 6) FROM ch
+UNION ALL SELECT query_id, kind, row_number() OVER (PARTITION BY query_id, kind ORDER BY item), item, NULL FROM lists"""
+
+ORACLE["symbol_fetch"] = f"""WITH {CORPUS_CTE}
+SELECT chunk_id, content, symbol_id, short_name FROM chunks
+WHERE short_name IN (SELECT regexp_extract(raw_call, '[^.]*$') FROM raw_calls)"""

@@ -682,3 +682,42 @@ def q_code_search(spark, d):
 
 
 QUERIES["code_search"] = q_code_search
+
+
+# ------------------------------------------------------------ embeddings, summaries, symbol fetch
+def q_embed_texts(spark, d):
+    """V1 over every whole document (as chunks), V2 over every benchmark item (as queries): the non-zero places of each vector."""
+    texts = table(spark, d, "documents").select(F.concat(F.lit("chunk "), F.col("doc_id").cast("string")).alias("text_id"), "text")
+    items = table(spark, d, "benchmark").select(F.concat(F.lit("query "), F.col("item_id").cast("string")).alias("text_id"), "text")
+    vecs = vectors.embed_native(texts.unionByName(items), "text_id", "text")
+    return (vecs.select("text_id", F.posexplode("embedding").alias("place", "value")).where("value != 0")
+                .select("text_id", F.col("place").cast("bigint").alias("place"), r6(F.col("value").cast("double")).alias("value")))
+
+
+def q_retrieval_summary(spark, d):
+    """R2 in long form for every vector as a query: its hits lie in corpus files (vector id modulo the number of files)."""
+    emb = table(spark, d, "embeddings").select("vec_id", "embedding")
+    ids = emb.select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("symbol_id"))
+    hits, expanded = R.hybrid_retrieve_parts(emb.withColumnRenamed("vec_id", "query_id"),
+                                             emb.withColumnRenamed("vec_id", "chunk_id"), ids, ids, vector_edges(emb))
+    hits, expanded = materialize(hits), materialize(expanded)
+    n = table(spark, d, "supplier").count()
+    files = hits.where("rank = 1").select("query_id", F.format_string("svc/s_%d.py", F.col("chunk_id") % n).alias("path"))
+    out = R.summary_items(hits, expanded, G.related_files(X.imports(_corpus_x(spark, d)), files))
+    return out.withColumn("score", r6(F.col("score")))
+
+
+def q_symbol_fetch(spark, d):
+    """The symbols of every name that a call of the corpus uses, and their chunks by id."""
+    x = materialize(_corpus_x(spark, d))
+    c = X.chunks(x)
+    names = X.raw_calls(x).select(F.substring_index("raw_call", ".", -1).alias("name")).distinct()
+    found = G.find_symbol(G.symbol_table(c), names)
+    return S.fetch_ids(c.select("chunk_id", "content"), found.select("symbol_id", "short_name", "chunk_id"))
+
+
+QUERIES.update({
+    "embed_texts": q_embed_texts,
+    "retrieval_summary": q_retrieval_summary,
+    "symbol_fetch": q_symbol_fetch,
+})

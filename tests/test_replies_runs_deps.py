@@ -68,6 +68,20 @@ def test_edit_fold(spark):
     assert ev[(3, 0)]["file_status"] == "missing"
 
 
+def test_a_file_listed_twice_is_folded_in_order(spark):
+    src = sources_df(spark, {"a.py": b"x = 1\n", "b.py": b"y = 1\n"})
+    edits = spark.createDataFrame([
+        (1, 0, "a.py", 0, "f", "x = 1", "x = 2"), (1, 1, "b.py", 0, "f", "y = 1", "y = ="),
+        (1, 2, "a.py", 0, "f", "x = 2", "x = 3"), (1, 2, "a.py", 1, "f", "x = 1", "x = 4"),
+        (2, 0, "a.py", 0, "f", "x = 2", "x = 9")],  # another plan starts from the file as it is
+        "plan_id long, file_pos int, path string, change_pos int, function_name string, original_code string, modified_code string")
+    got = {(r["plan_id"], r["file_pos"], r["change_pos"]): (r["edit_status"], r["file_status"], r["new_content"])
+           for r in L.evaluate_edits(edits, src, stamp="T").collect()}
+    assert got == {(1, 0, 0): ("applied", "modified", "x = 2\n"), (1, 1, 0): ("rejected_invalid", "unchanged", None),
+                   (1, 2, 0): ("applied", "modified", "x = 3\n"), (1, 2, 1): ("skipped_not_found", "modified", "x = 3\n"),
+                   (2, 0, 0): ("skipped_not_found", "unchanged", None)}
+
+
 def test_test_summary_routes_and_state(spark):
     runs = spark.createDataFrame([(0, "a\n1 passed in 0.1s\nDone"), (1, "Error: boom\n2 failed\nbye"), (1, "")],
                                  "returncode int, output string")

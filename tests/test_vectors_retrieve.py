@@ -110,3 +110,75 @@ def test_topk_few_null_and_empty_vectors(spark):
             order = sorted((zero(v) or zero(w), j) for j, w in c.items())[:3]
             want += [(i, n, j, None if null else 0.0) for n, (null, j) in enumerate(order, 1)]
         assert [(a, b, x, d if d is None else round(abs(d), 9)) for a, b, x, d in got] == sorted(want)
+
+
+def plain_features(text, dim):
+    """Weights by bucket, token by token."""
+    import re
+    import zlib
+    out = {}
+    for token in re.findall(r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^\x00-\x20\x7FA-Za-z0-9_]", text or ""):
+        parts = []
+        if re.match("[A-Za-z_]", token):
+            parts = [p for piece in re.split("_+", token) for p in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+", piece)]
+        for f in [token] + (parts if len(parts) > 1 else []):
+            h = zlib.crc32("".join(c.lower() if c < "\x80" else c for c in f).encode())
+            out[h % dim] = out.get(h % dim, 0) + (-1 if h >> 31 else 1)
+    return out
+
+
+def test_native_embedder_equals_plain_features(spark):
+    texts = {1: "def parseHTTPFile(self_path, x2Y): return os.getpid() + 17", 2: "", 3: None, 4: " \n\t\x00\x7f ",
+             5: "É 漢字 😀 naïve x", 6: "a_b ABc ABCDe AAaBBb __init__ _ " * 3, 7: "word_%d " * 20_000, 8: "same", 9: "same",
+             10: " ".join(f"name{i}" for i in range(5000))}
+    df = spark.createDataFrame(list(texts.items()), "id long, text string").withColumn("token", F.lit(1)).withColumn("bucket", F.lit(2))
+    for dim in (16, 256):
+        got = {r["id"]: np.array(r["embedding"]) for r in V.embed_native(df, "id", "text", dim).collect()}
+        assert set(got) == set(texts)
+        for i, t in texts.items():
+            want = np.zeros(dim)
+            for b, w in plain_features(t, dim).items():
+                want[b] = w
+            norm = np.linalg.norm(want)
+            assert np.allclose(got[i], want / norm if norm else want, atol=1e-6), (dim, i)
+    assert not got[2].any() and not got[3].any() and not got[4].any() and (got[8] == got[9]).all()
+    empty = V.embed_native(df.where("id < 0"), "id", "text")
+    assert empty.collect() == [] and empty.schema["embedding"].dataType.simpleString() == "array<float>"
+
+
+def test_native_embedder_stays_on_the_jvm(spark):
+    plan = V.embed_native(spark.createDataFrame([(1, "a")], "id long, text string"), "id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_positions_equal_a_plain_ranking_and_spread_a_hot_key(spark):
+    from corpusweave.operators.segments import positions
+    rows = [(None if i % 7 == 0 else ("hot" if i % 3 else f"k{i % 50}"), f"item{(i * 7919) % 4001:05d}") for i in range(4001)]
+    df = spark.createDataFrame(rows, "key string, item string").withColumn("pos", F.lit("old"))
+    want = {}
+    for k, x in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        want.setdefault(k, []).append(x)
+    for ranges in (None, 1, 8, 50):
+        got = {}
+        for r in positions(df, ["key"], ["item"], ranges=ranges).collect():
+            assert r["n_rows"] == len(want[r["key"]])
+            got.setdefault(r["key"], {})[r["pos"]] = r["item"]
+        assert {k: [v[i] for i in range(1, len(v) + 1)] for k, v in got.items()} == want
+    spread = df.repartitionByRange(8, "key", "item").where("key = 'hot'").select(F.spark_partition_id()).distinct().count()
+    assert spread > 2
+    assert positions(df.where("item = ''"), ["key"], ["item"]).collect() == []
+    twice = positions(spark.createDataFrame([("a", "x"), ("a", "x"), ("a", None)], "key string, item string"), ["key"], ["item"]).collect()
+    assert sorted((r["pos"], r["item"] or "") for r in twice) == [(1, ""), (2, "x"), (3, "x")]
+
+
+def test_summary_items_hold_every_list(spark):
+    hits = spark.createDataFrame([(1, 1, "c1", "s1", 1.0, "semantic"), (1, 2, "c2", None, 1.0, "semantic"), (1, 3, "c3", "s3", 0.8, "graph")],
+                                 "query_id long, rank int, chunk_id string, symbol_id string, score double, source string")
+    expanded = spark.createDataFrame([(1, 1, "s1", 1.0), (1, 2, "s3", 0.8)], "query_id long, rank int, symbol string, score double")
+    related = spark.createDataFrame([(1, "dependency", "import b"), (1, "dependency", "import a"), (1, "dependency", "import a"),
+                                     (2, "related", "x.py")], "query_id long, kind string, item string")
+    got = sorted((r["query_id"], r["kind"], r["pos"], r["item"], r["score"]) for r in R.summary_items(hits, expanded, related).collect())
+    assert got == [(1, "chunk", 1, "c1", 1.0), (1, "chunk", 2, "c2", 1.0), (1, "chunk", 3, "c3", 0.8),
+                   (1, "dependency", 1, "import a", None), (1, "dependency", 2, "import b", None),
+                   (1, "expanded", 1, "s1", 1.0), (1, "expanded", 2, "s3", 0.8),
+                   (1, "seed", 1, "s1", 1.0), (1, "seed", 2, None, 1.0), (2, "related", 1, "x.py", None)]
