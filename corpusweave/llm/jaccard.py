@@ -231,7 +231,9 @@ def _block_forest(names: list, groups: list, sets: list, percent: int) -> list[t
         part = np.zeros((m, 2048), np.float32)
         part[owner[lo:hi], token[lo:hi] - base] = 1
         common += part @ part.T
-    n = np.array([len(sets[i]) for i in order], np.float32)
+    # counts below 2^24 are exact in single precision, their products with 100 are not
+    common = common.astype(np.int64)
+    n = np.array([len(sets[i]) for i in order], np.int64)
     side = np.array([groups[i] for i in order])
     ok = 100 * common >= percent * (n[:, None] + n[None, :] - common)
     if side.any():

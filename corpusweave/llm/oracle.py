@@ -160,5 +160,33 @@ ranked AS (
 SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
 """
 
-ORACLE: dict[str, str] = {"op3_jaccard_join": _OP3, "op4_warc": _OP4, "op5_decontamination": _OP5, "op11_url_filters": _OP11,
-                          "op12_source_divergence": _OP12}
+
+def _crc32(octets: str) -> str:
+    """Unsigned CRC-32 of a list of octets (BIGINT), in two steps of four bits each."""
+    table = []
+    for n in range(16):
+        for _ in range(4):
+            n = (n >> 1) ^ 0xEDB88320 if n & 1 else n >> 1
+        table.append(f"{n}::BIGINT")
+
+    def four(v: str) -> str:
+        return f"xor(list_extract([{', '.join(table)}], (({v}) & 15) + 1), ({v}) >> 4)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, o: {four(four('xor(c, o)'))}), 4294967295::BIGINT)"
+
+
+_HEX = "'0123456789ABCDEF'"
+_OP7 = f"""
+WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+b AS (SELECT doc_id, source, (octet_length(encode(text)) + 8)::BIGINT AS size,
+  list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: (strpos({_HEX}, h[1]) * 16 + strpos({_HEX}, h[2]) - 17)::BIGINT) AS octets FROM t),
+d AS (SELECT doc_id, source, size, {_crc32('octets')} AS text_crc32 FROM b),
+k AS (SELECT *, md5('7|' || coalesce(doc_id::VARCHAR, '-') || '|' || text_crc32) AS key, coalesce('=' || source, 'null') AS stratum FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY key) AS r, count(*) OVER (PARTITION BY stratum) AS n FROM k),
+p AS (SELECT *, row_number() OVER (ORDER BY (2 * r - 1) / (2 * n), stratum, r) - 1 AS pos, count(*) OVER () AS rows FROM r),
+s AS (SELECT *, (pos * 24) // rows AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard::INTEGER AS shard, (pos - (shard * rows + 23) // 24)::BIGINT AS slot,
+  NULL::INTEGER AS grown_shard FROM s
+"""
+
+ORACLE: dict[str, str] = {"op3_jaccard_join": _OP3, "op4_warc": _OP4, "op5_decontamination": _OP5, "op7_sharding": _OP7,
+                          "op11_url_filters": _OP11, "op12_source_divergence": _OP12}

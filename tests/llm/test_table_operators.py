@@ -326,3 +326,14 @@ def test_pipeline_stages(spark, tmp_path):
     safe = stages["secret scans"](spark, docs, str(d))
     assert safe.columns == docs.columns and safe.where(F.col("text").contains("AKIA")).count() == 0
     assert corpus_pipeline.run(spark, str(d)).count() > 0
+
+
+def test_links_of_very_large_sets_are_compared_exactly():
+    import numpy as np
+
+    from corpusweave.llm.jaccard import _block_forest
+    union, common = 2_000_013, 1_700_011  # 85 * union - 100 * common = 5: no link, one more shared shingle makes one
+    assert 85 * union - 100 * common == 5
+    whole = np.arange(union, dtype=np.uint64)
+    assert _block_forest([b"a", b"b"], [0, 0], [whole, whole[:common]], 85) == []
+    assert len(_block_forest([b"a", b"b"], [0, 0], [whole, whole[:common + 1]], 85)) == 1
