@@ -182,3 +182,59 @@ def test_summary_items_hold_every_list(spark):
                    (1, "dependency", 1, "import a", None), (1, "dependency", 2, "import b", None),
                    (1, "expanded", 1, "s1", 1.0), (1, "expanded", 2, "s3", 0.8),
                    (1, "seed", 1, "s1", 1.0), (1, "seed", 2, None, 1.0), (2, "related", 1, "x.py", None)]
+
+
+def test_equal_similarities_are_compared_in_bounded_pieces(spark, monkeypatch):
+    """Thousands of equal and of different but equally near vectors: a task holds few pairs at once, the smallest ids win."""
+    import pyarrow as pa
+    largest = []
+    einsum = np.einsum
+    monkeypatch.setattr(V, "BLOCK", 4096)
+    monkeypatch.setattr(V.np, "einsum", lambda s, a, b: largest.append(a.size) or einsum(s, a, b))
+    block = V._Block(3)
+    block.add_queries(pa.record_batch({"id": pa.array(range(50)), "vec": pa.array([[1.0, 0.0, 0.0]] * 50),
+                                       "bound": pa.array([None] * 49 + [0.9])}))
+    angle = np.linspace(0, 6, 2000)
+    for lo in (0, 1000):
+        block.add_corpus(pa.record_batch({"id": pa.array([f"c{i:05d}" for i in range(lo, lo + 1000)]), "vec": pa.array(
+            [[1.0, np.cos(a), np.sin(a)] for a in angle[lo:lo + 1000]])}))
+        assert block.pending < 4096 + 4096
+    kinds = pa.schema([("q", pa.int64()), ("c", pa.string()), ("sim", pa.float64())])
+    got = block.result(kinds).to_pydict()
+    assert max(largest) <= 4096 and sorted(set(got["query_id"])) == list(range(49))  # the last one's bound is out of reach
+    assert len(got["sim"]) == 3 * 49 and np.allclose(got["sim"], 0.5 ** 0.5)
+
+    batch = pa.record_batch({"id": pa.array([9, 4, None, 7, 1, 2]), "vec": pa.array([[1.0, 0.0]] * 5 + [[0.0, 1.0]])})
+    assert V._few_copies(batch, 2)[0].column("id").to_pylist() == [None, 1, 2]
+
+
+def test_semantic_topk_over_a_large_group_of_copies(spark):
+    """Copies fill most of the table; every query still gets the k nearest, by id among equals, null ids first."""
+    rng = np.random.default_rng(11)
+    c = {i: rng.normal(size=4).astype(np.float32) for i in range(300)}
+    c |= {i: c[5].copy() for i in range(1000, 1000 + 1500)}
+    q = {i: (c[5] if i % 2 else rng.normal(size=4).astype(np.float32)) for i in range(40)}
+    to_df = lambda m, key: spark.createDataFrame([(k, v.tolist()) for k, v in m.items()], f"{key} long, embedding array<float>")
+    want = brute_topk(q, c, 6)
+    for clusters in (1, 5):
+        rows = V.semantic_topk(to_df(q, "query_id"), to_df(c, "chunk_id"), k=6, clusters=clusters).collect()
+        got = {}
+        for r in sorted(rows, key=lambda r: (r.query_id, r["rank"])):
+            got.setdefault(r.query_id, []).append(r.chunk_id)
+        assert got == {i: [x for x, _ in w] for i, w in want.items()}
+
+
+def test_queries_go_once_to_each_bin(spark, monkeypatch):
+    """Where bounds skip nothing, a query is dealt to at most BINS groups however many clusters there are; the rows stay the same."""
+    rng = np.random.default_rng(3)
+    c = {i: rng.normal(size=24).astype(np.float32) for i in range(600)}
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in c.items()], "id long, embedding array<float>")
+    sent, visitors = [], V._visitors
+    monkeypatch.setattr(V, "BINS", 4)
+    monkeypatch.setattr(V, "_visitors", lambda v: sent.append(visitors(v)) or sent[-1])
+    rows = V.semantic_topk(df.withColumnRenamed("id", "query_id"), df.withColumnRenamed("id", "chunk_id"), k=5, clusters=40).collect()
+    assert sum(sent[1].values()) > 4 * 600 >= sum(sent[-1].values()) and len(sent) == 3
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append(r.chunk_id)
+    assert got == {i: [x for x, _ in w] for i, w in brute_topk(c, c, 5).items()}
