@@ -76,7 +76,8 @@ def embed_texts(df: DataFrame, text_col: str, out_col: str = "embedding",
 _TOKEN = r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^\x00-\x20\x7FA-Za-z0-9_]"
 #: The parts of a name, once a blank stands where a run of capitals meets a capitalised word.
 _JOINT, _PART = "([A-Z])([A-Z][a-z])", "[A-Z]?[a-z]+|[A-Z]+|[0-9]+"
-_CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What a name of several parts contains; no number or other character does. Most names are one word and are not cut.
+_SEVERAL = "_|[a-z][A-Z]|[A-Z][A-Z][a-z]|[A-Za-z][0-9]"
 
 
 def hash_features(df: DataFrame, key: str, text_col: str, dim: int = 256) -> DataFrame:
@@ -87,11 +88,12 @@ def hash_features(df: DataFrame, key: str, text_col: str, dim: int = 256) -> Dat
     so a text of any length sends at most ``dim`` rows from a task. Null and empty texts, and texts without a token, keep
     one row with a null bucket and weight 0; rows of an equal key count as one text; buckets of weight 0 stay in."""
     tokens = df.select(F.col(key).alias("key"), F.explode_outer(F.regexp_extract_all(text_col, F.lit(_TOKEN), F.lit(0))).alias("token"))
-    parts = F.regexp_extract_all(F.regexp_replace("token", _JOINT, "$1 $2"), F.lit(_PART), F.lit(0))
-    several = F.when(F.col("token").rlike("^[A-Za-z_]") & (F.size("parts") > 1), F.col("parts"))
+    parts = F.when(F.col("token").rlike(_SEVERAL), F.regexp_extract_all(F.regexp_replace("token", _JOINT, "$1 $2"), F.lit(_PART), F.lit(0)))
+    # a feature is ASCII as a whole or one other character, which stays as it is
+    small = F.when(F.col("feature") < "\u0080", F.lower("feature")).otherwise(F.col("feature"))
     features = (tokens.withColumn("parts", parts)
-                .select("key", F.explode(F.concat(F.array("token"), F.coalesce(several, F.array().cast("array<string>")))).alias("feature"))
-                .select("key", F.crc32(F.translate("feature", _CAPITALS, _SMALL).cast("binary")).alias("h")))
+                .select("key", F.explode(F.when(F.size("parts") > 1, F.concat(F.array("token"), "parts")).otherwise(F.array("token"))).alias("feature"))
+                .select("key", F.crc32(small.cast("binary")).alias("h")))
     sign = F.when(F.col("h") >= 1 << 31, -1).when(F.col("h").isNotNull(), 1).otherwise(0)
     return features.groupBy("key", (F.col("h") % dim).cast("int").alias("bucket")).agg(F.sum(sign).alias("weight"))
 

@@ -238,3 +238,24 @@ def test_queries_go_once_to_each_bin(spark, monkeypatch):
     for r in sorted(rows, key=lambda r: (r.query_id, r["rank"])):
         got.setdefault(r.query_id, []).append(r.chunk_id)
     assert got == {i: [x for x, _ in w] for i, w in brute_topk(c, c, 5).items()}
+
+
+def test_only_names_of_several_parts_are_cut(spark):
+    """One word in one case (most of a text) costs one search; joined names, numbers and other characters keep their features."""
+    from corpusweave.operators import vectors
+    words = ["word", "Word", "WORD", "a", "A", "_", "__", "x9", "_9", "9", "123", "aB", "ABc", "HTTPServer", "snake_case", "_a", "É", "é", "ß", "İ", "-",
+             "\u0080", "\u4e2d", "Aa1Bb", "AbcD"]
+    df = spark.createDataFrame([(w, w) for w in words], "id string, text string")
+    import re
+    import zlib
+    got = {(r["key"], r["bucket"]): r["weight"] for r in vectors.hash_features(df, "id", "text").collect()}
+    want = {}
+    for w in words:
+        parts = re.findall("[A-Z]?[a-z]+|[A-Z]+|[0-9]+", re.sub("([A-Z])([A-Z][a-z])", r"\1 \2", w)) if re.match("[A-Za-z_]", w) else []
+        for f in [w, *(parts if len(parts) > 1 else [])]:
+            f = f.lower() if f.isascii() else f
+            h = zlib.crc32(f.encode())
+            want[w, h % 256] = want.get((w, h % 256), 0) + (-1 if h >> 31 else 1)
+        assert bool(re.search(vectors._SEVERAL, w)) >= (len(parts) > 1)
+        assert not re.search(vectors._SEVERAL, w) or not re.fullmatch("[A-Z]?[a-z]+|[A-Z]+|[0-9]+", w)
+    assert got == want
