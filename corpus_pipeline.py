@@ -63,7 +63,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
     vocab = bpe.vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    df = bpe.decode(bpe.encode(docs.select("doc_id", "text"), vocab).drop("text"), vocab)
+    df = bpe.round_trip(docs.select("doc_id", "text"), vocab)
     return df.select("doc_id", "ids", *[c.alias(k) for k, c in bpe.digests(df).items()])
 
 

@@ -211,44 +211,58 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(load_ranks(path), pattern)
 
 
-def _add_column(df: DataFrame, name: str, kind: T.DataType, run) -> DataFrame:
-    """``df`` with the column ``name`` that ``run`` computes from Arrow batches."""
-    own = [c for c in df.columns if c.lower() != name.lower()]
-    schema = T.StructType([*(f for f in df.schema if f.name in own), T.StructField(name, kind)])
+def _add_columns(df: DataFrame, kinds: dict[str, T.DataType], run, without: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with the columns that ``run`` computes from Arrow batches, in one pass, less the columns ``without``."""
+    new = {n.lower() for n in (*kinds, *without)}
+    own = [c for c in df.columns if c.lower() not in new]
+    schema = T.StructType([*(f for f in df.schema if f.name in own), *(T.StructField(n, k) for n, k in kinds.items())])
 
     def step(batches):
         import pyarrow as pa
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), run(batch)], names=[*own, name])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *run(batch)], names=[*own, *kinds])
     return df.mapInArrow(step, schema)
 
 
+IDS = T.ArrayType(T.IntegerType())
+
+
+def _ids(texts, words: _Words):
+    import numpy as np
+    import pyarrow as pa
+    ids = [words.encode(t) for t in texts.to_pylist()]
+    ends = np.cumsum([0, *map(len, ids)], dtype=np.int64) // 4
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+
+
+def _bytes(column, bytes_of: dict[int, bytes]):
+    import numpy as np
+    import pyarrow as pa
+    token = bytes_of.__getitem__
+    flat, ends = column.flatten().to_numpy(), np.cumsum(np.append(0, column.value_lengths().fill_null(0).to_numpy()))
+    return pa.array([b"".join(map(token, flat[a:b].tolist())) for a, b in zip(ends, ends[1:])], pa.binary())
+
+
 def encode(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with the column ``out``: the ids of the whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
-
-    def run(batch):
-        import numpy as np
-        import pyarrow as pa
-        ws = shared.value.words()
-        ids = [ws.encode(t) for t in batch.column(text_col).to_pylist()]
-        ends = np.cumsum([0, *map(len, ids)], dtype=np.int64) // 4
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
-    return _add_column(docs, out, T.ArrayType(T.IntegerType()), run)
+    return _add_columns(docs, {out: IDS}, lambda batch: [_ids(batch.column(text_col), shared.value.words())])
 
 
 def decode(df: DataFrame, vocab: Vocabulary, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the column ``out``: the bytes that the ids stand for (null ids: no bytes)."""
     shared = df.sparkSession.sparkContext.broadcast(vocab.bytes_of)
+    return _add_columns(df, {out: T.BinaryType()}, lambda batch: [_bytes(batch.column(ids_col), shared.value)])
+
+
+def round_trip(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", out: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``decode(encode(docs))`` without the text, in one pass: one after the other, each would hold a Python worker a task."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batch):
-        import numpy as np
-        import pyarrow as pa
-        token = shared.value.__getitem__
-        column = batch.column(ids_col)
-        flat, ends = column.flatten().to_numpy(), np.cumsum(np.append(0, column.value_lengths().fill_null(0).to_numpy()))
-        return pa.array([b"".join(map(token, flat[a:b].tolist())) for a, b in zip(ends, ends[1:])], pa.binary())
-    return _add_column(df, out, T.BinaryType(), run)
+        ids = _ids(batch.column(text_col), shared.value.words())
+        return [ids, _bytes(ids, shared.value.bytes_of)]
+    return _add_columns(docs, {out: IDS, decoded: T.BinaryType()}, run, (text_col,))
 
 
 def digests(df: DataFrame, ids_col: str = "ids", decoded_col: str = "decoded") -> dict:

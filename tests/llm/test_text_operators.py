@@ -179,3 +179,16 @@ def test_frequent_words_are_cut_between_counts(spark):
     assert language_model.frequent_words(counts, 2) == [(b"a", 5)]
     assert language_model.frequent_words(counts.where("c < 5"), 1) == []
     assert language_model.frequent_words(counts.limit(0)) == []
+
+
+def test_bpe_round_trip_in_one_pass(spark):
+    """The same columns as encoding and decoding one after the other, with one Python node instead of two."""
+    docs = spark.createDataFrame([(1, "Grüße an  alle\n\nhi", "x"), (2, "", None), (3, None, "y"), (None, "def f(x): return x", "z"), (1, "twice", "x")],
+                                 "doc_id long, text string, more string")
+    want = bpe.decode(bpe.encode(docs, vocab()).drop("text"), vocab())
+    got = bpe.round_trip(docs, vocab())
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    import corpus_pipeline
+    plan = corpus_pipeline.token_ids(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
