@@ -185,8 +185,9 @@ def _visits(queries: DataFrame, centres: np.ndarray, widest: np.ndarray, sizes:
                 first = np.stack([first[:, bins == i].any(1) for i in range(bins.max() + 1)], 1)
             row, cluster = np.nonzero(first)
             # in pieces: a query may visit every cluster
-            for lo in range(0, len(row), max(1, BLOCK // sim.shape[1])):
-                at = pa.array(row[lo:lo + max(1, BLOCK // sim.shape[1])])
+            piece = max(1, BLOCK // centres.shape[1])
+            for lo in range(0, len(row), piece):
+                at = pa.array(row[lo:lo + piece])
                 yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in ("id", "vec", "bound")),
                                                   pa.array(cluster[lo:lo + len(at)].astype(np.int32))], names=["id", "vec", "bound", "cluster"])
     return queries.select("id", "vec", "bound").mapInArrow(run, T.StructType([

@@ -2,6 +2,7 @@
 
 import numpy as np
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusweave.operators import retrieve as R
 from corpusweave.operators import vectors as V
@@ -259,3 +260,20 @@ def test_only_names_of_several_parts_are_cut(spark):
         assert bool(re.search(vectors._SEVERAL, w)) >= (len(parts) > 1)
         assert not re.search(vectors._SEVERAL, w) or not re.fullmatch("[A-Z]?[a-z]+|[A-Z]+|[0-9]+", w)
     assert got == want
+
+
+def test_visits_are_sent_on_in_bounded_pieces(spark, monkeypatch):
+    """A batch of queries that visits every cluster leaves the worker in pieces of at most BLOCK numbers."""
+    import pyarrow as pa
+    monkeypatch.setattr(V, "BLOCK", 40)
+    made = []
+
+    class Queries:
+        schema = T.StructType([])
+        select = lambda self, *c: self
+        mapInArrow = lambda self, run, schema: made.append(run)
+    centres = V._unit(np.random.default_rng(1).normal(size=(7, 4)))
+    V._visits(Queries(), centres, np.full(7, 3.2), np.full(7, 100), 5, True)
+    batch = pa.record_batch({"id": pa.array(range(9)), "vec": pa.array([[1.0, 2.0, 3.0, i] for i in range(9)]), "bound": pa.array([None] * 9, pa.float64())})
+    out = list(made[0]([batch]))
+    assert max(b.num_rows for b in out) == 10 and sum(b.num_rows for b in out) == 9 * 6  # all but the first cluster of each
