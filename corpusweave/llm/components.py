@@ -16,6 +16,21 @@ from pyspark.sql import functions as F
 from .common import shared_table
 
 
+def _large_star(e: DataFrame) -> DataFrame:
+    """Every neighbour above a node, and the node itself, gets a link to the smallest of node and neighbours.
+
+    The node's own link comes from the row that holds the smallest neighbour, so the links are read twice only."""
+    both = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    return both.join(least, "a").where("b > a OR b = m").select(F.greatest("a", "b").alias("a"), F.col("m").alias("b")).distinct()
+
+
+def _small_star(e: DataFrame) -> DataFrame:
+    """Every neighbour below a node, and the node itself, gets a link to the smallest of them (b < a in every row)."""
+    least = e.groupBy("a").agg(F.min("b").alias("m"))
+    return e.join(least, "a").select(F.when(F.col("b") != F.col("m"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (columns a and b, any orderable type); root: the smallest node."""
     e = shared_table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
@@ -25,12 +40,6 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before or state[0] == 0:
             break
         before = state
-        both = e.union(e.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(
-            least.where("m < a").select("a", F.col("m").alias("b"))).where("a != b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(
-            least.select("a", F.col("m").alias("b"))).distinct()
-        e = shared_table(small, "edges")
+        # a table after each star: in one plan the first would stand three times, and the driver plans it anew after every stage
+        e = shared_table(_small_star(shared_table(_large_star(e), "edges")), "edges")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select("b", "b").distinct())

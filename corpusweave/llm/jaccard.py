@@ -96,12 +96,18 @@ def _sum_counts(rows: DataFrame):
             got = np.frombuffer(x.as_buffer(), np.uint32 if len(x.as_buffer()) == 4 * _SEGMENT else np.uint64)
             total += got
         return pa.table({"segment": pa.array([table.column("segment")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    def last(key, table):
+        import pyarrow as pa
+        got = add(key, table)
+        total = np.frombuffer(got.column("counts")[0].as_py(), np.uint64)
+        return got.set_column(1, "counts", pa.array([np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32).tobytes()], pa.binary()))
     kind = "segment int, counts binary"
     once = rows.groupBy("segment", (F.col("part") % 64).alias("some")).applyInArrow(add, kind)
-    out = np.zeros(BUCKETS, np.uint64)
-    for r in once.groupBy("segment").applyInArrow(add, kind).collect():
-        out[r.segment * _SEGMENT:(r.segment + 1) * _SEGMENT] = np.frombuffer(r.counts, np.uint64)
-    return np.minimum(out, np.iinfo(np.uint32).max).astype(np.uint32)
+    out = np.zeros(BUCKETS, np.uint32)
+    for r in once.groupBy("segment").applyInArrow(last, kind).collect():
+        out[r.segment * _SEGMENT:(r.segment + 1) * _SEGMENT] = np.frombuffer(r.counts, np.uint32)
+    return out
 
 
 def _prefixes(docs: DataFrame, counts, size: int, percent: int) -> DataFrame:
@@ -276,7 +282,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     digest = shared_table(_digest(docs, size), "digest")
     rows = digest.where("segment IS NULL").select("id", "n", "set")
-    classes = rows.where("n > 0").groupBy("set").agg(F.min("id").alias("id"))
+    classes = shared_table(rows.where("n > 0").groupBy("set").agg(F.min("id").alias("id")), "classes")
     counts = spark.sparkContext.broadcast(_sum_counts(digest.where("segment IS NOT NULL").select("segment", "part", "counts")))
     postings = _shared_postings(_prefixes(docs.select("text"), counts, size, percent), percent)
 
@@ -291,9 +297,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = _cold_links(pairs, sets, percent).union(_hot_links(hot, sets, percent))
 
     found = components(links).select(F.col("node").alias("set"), "root")
-    named = classes.join(found, "set").groupBy("root").agg(F.min("id").alias("component_id"))
-    of_set = classes.join(found, "set", "left").join(named, "root", "left").select(
-        "set", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    found = shared_table(classes.join(found, "set", "left"), "found")
+    named = found.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("component_id"))
+    of_set = shared_table(found.join(named, "root", "left").select(
+        "set", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")), "named")
     return rows.join(of_set, "set", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))

@@ -107,6 +107,20 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {**{i: 0 for i in range(21)}, **{100 + i: 100 for i in range(30)}}
 
 
+def test_plans_of_components_read_the_links_twice_at_most(spark, monkeypatch):
+    """The driver plans a round anew after every stage: where one plan held a round, it stood there with eighteen reads."""
+    from corpusweave.llm import components as module
+    reads, write = [], module.shared_table
+
+    def watched(df, name):
+        reads.append(df._jdf.queryExecution().analyzed().toString().count("Relation ["))
+        return write(df, name)
+    monkeypatch.setattr(module, "shared_table", watched)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {r.node: r.root for r in components(edges).collect()} == {i: 0 for i in range(41)}
+    assert max(reads) == 2
+
+
 def test_warc_round_trip(spark, tmp_path):
     same = "<p>same\r\n\r\nWARC/1.1\r\n</p>"
     pages = [(1, "http://a/1", same), (2, "http://a/2", None), (3, "http://a/ 3", same), (4, None, "é" * 50), (9, "http://a/9", same), (5, "u", ""),
