@@ -4,7 +4,8 @@ Every round replaces each node's neighbours by links to the smallest of them:
 first those above the node (large star), then those below (small star). The
 rounds end when nothing changes; every node then links to its component's
 smallest node. Rounds are logarithmic in practice; each is written to the
-shared folder, so lost executors cost one round at most. A node with very many
+shared folder, so lost executors cost one round at most, and goes once the next
+has been written. A node with very many
 neighbours is only ever aggregated (map-side) and joined, never grouped.
 """
 
@@ -13,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_table
+from .common import drop_tables
+from .common import passing_table as shared_table
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -41,5 +43,8 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = state
         # a table after each star: in one plan the first would stand three times, and the driver plans it anew after every stage
-        e = shared_table(_small_star(shared_table(_large_star(e), "edges")), "edges")
+        large = shared_table(_large_star(e), "edges")
+        drop_tables(e)
+        e = shared_table(_small_star(large), "edges")
+        drop_tables(large)
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select("b", "b").distinct())

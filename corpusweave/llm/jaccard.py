@@ -24,6 +24,9 @@ Documents are sets of distinct word shingles; two link if 100 * intersection
    so large families of near copies never turn into rows of pairs.
 5. Components of the links, by alternating stars.
 
+Tables of earlier steps and their shuffle files go as soon as nothing reads
+them: what is left at the end is one row for each document and each class.
+
 Exact: no link is lost. Defined results: null, empty or wordless texts have
 the empty set, and link with nothing; repeated rows are copies; rows with a
 null id belong to their class but never name a component (which is null if
@@ -36,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import as_bytes, shared_table
+from .common import as_bytes, drop_tables, passing_table, shuffles_freed
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -45,8 +48,10 @@ _SEGMENT = 1 << 13
 LONGEST = 4
 COLD = 64
 BLOCK = 512
-#: A list of at most so many keys is broadcast (24 bytes each); a longer one is joined by a shuffle.
+#: A list of at most so many keys is broadcast (24 bytes each); a longer one is joined by a shuffle. A bitmap has at most so many words.
 BROADCAST_ROWS = 500_000
+#: Names of sets that a task remembers, so copies that it meets offer no prefix.
+REMEMBERED = 1 << 18
 
 
 def _bucket(x):
@@ -105,24 +110,29 @@ def _sum_counts(rows: DataFrame):
     kind = "segment int, counts binary"
     once = rows.groupBy("segment", (F.col("part") % 64).alias("some")).applyInArrow(add, kind)
     out = np.zeros(BUCKETS, np.uint32)
-    for r in once.groupBy("segment").applyInArrow(last, kind).collect():
+    with shuffles_freed(rows.sparkSession):
+        sums = once.groupBy("segment").applyInArrow(last, kind).collect()
+    for r in sums:
         out[r.segment * _SEGMENT:(r.segment + 1) * _SEGMENT] = np.frombuffer(r.counts, np.uint32)
     return out
 
 
 def _prefixes(docs: DataFrame, counts, size: int, percent: int) -> DataFrame:
-    """(token, set, n, level) for the longest prefix of each text's set."""
+    """(token, set, n, level) for the longest prefix of each text's set; a set may come more than once."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
         order = counts.value
+        seen = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 tokens, names, sizes, levels = [], [], [], []
                 for s in shingle_sets(as_bytes(batch.slice(at, 500).column(0)), size):
                     n = len(s)
-                    if not n:
+                    if not n or (name := _name(s)) in seen:
                         continue
+                    if len(seen) < REMEMBERED:
+                        seen.add(name)
                     least = -(-percent * n // 100)
                     base, longest = n - least + 1, min(LONGEST, least)
                     k = min(n, base + longest - 1)
@@ -130,7 +140,7 @@ def _prefixes(docs: DataFrame, counts, size: int, percent: int) -> DataFrame:
                     first = np.argpartition(key, k - 1)[:k] if k < n else np.arange(n)
                     first = first[np.lexsort((s[first], key[first]))]
                     tokens.append(s[first])
-                    names += [_name(s)] * k
+                    names += [name] * k
                     sizes.append(np.full(k, n, np.int64))
                     levels.append(np.maximum(1, np.arange(1, k + 1) - base + 1).astype(np.int32))
                 if tokens:
@@ -141,17 +151,21 @@ def _prefixes(docs: DataFrame, counts, size: int, percent: int) -> DataFrame:
 
 
 def _shared_postings(prefixes: DataFrame, percent: int) -> DataFrame:
-    """Postings of shingles that two different sets offer at least, cut to each set's cheapest l; with the shingle's frequency and smallest set."""
+    """Postings of shingles that two different sets offer at least, cut to each set's cheapest l; with the number of sets that offer the shingle
+    and the smallest of them."""
     w = W.partitionBy("token")
-    shared = (prefixes.withColumns({"low": F.min("set").over(w), "high": F.max("set").over(w), "df": F.count("*").over(w)})
-              .where("low != high").drop("high").dropDuplicates(["token", "set"]))
-    shared = shared_table(shared, "postings")
+    # copies go before sets are counted, all in the tasks that a token's rows were dealt to
+    shared = (prefixes.withColumns({"low": F.min("set").over(w), "high": F.max("set").over(w)})
+              .where("low != high").drop("high").dropDuplicates(["token", "set"]).withColumn("df", F.count("*").over(w)))
+    shared = passing_table(shared, "postings")
     reads = [F.sum(F.when(F.col("level") <= k, F.col("df") - 1).otherwise(0)).alias(f"_{k}") for k in range(1, LONGEST + 1)]
     # a set's l is at most the shingles that it must share (others are null, which least() skips)
     cost = [F.when(100 * (k - 1) < percent * F.col("n"), F.struct((F.col(f"_{k}") * (1 + F.col("n") / (16.0 * k))).alias("cost"), F.lit(k).alias("l")))
             for k in range(1, LONGEST + 1)]
     chosen = shared.groupBy("set", "n").agg(*reads).select("set", F.least(*cost)["l"].alias("l"))
-    return shared_table(shared.join(chosen, "set").where("level <= l"), "postings")
+    postings = passing_table(shared.join(chosen, "set").where("level <= l"), "postings")
+    drop_tables(shared)
+    return postings
 
 
 def _cold_pairs(postings: DataFrame, percent: int) -> DataFrame:
@@ -166,13 +180,27 @@ def _cold_pairs(postings: DataFrame, percent: int) -> DataFrame:
             .where("matches >= need").select("a", "b"))
 
 
+def _is_few(df: DataFrame) -> bool:
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def _few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if _is_few(df) else df
+
+
+def _listed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is one of ``ids``, and few others: a broadcast bitmap of the ids' hashes drops most texts where they are read."""
+    h = F.xxhash64("id")
+    slot = F.pmod(F.shiftright(h, 6), F.lit(BROADCAST_ROWS)).alias("slot")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")).alias("bit")
+    words = ids.select(slot, bit).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+    return docs.select("*", slot, bit).join(F.broadcast(words), "slot").where("(bits & bit) != 0").select(*docs.columns)
 
 
 def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(set, items) with the shingles of the wanted sets, from one document of each class."""
-    ids = shared_table(classes.join(wanted, "set", "left_semi").select("id", "set"), "wanted")
+    ids = passing_table(classes.join(wanted, "set", "left_semi").select("id", "set"), "wanted")
+    few = _is_few(ids)
 
     def run(batches):
         import pyarrow as pa
@@ -186,9 +214,13 @@ def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, size: int)
                         seen.add(name)
                         rows.append({"set": name, "items": s.tobytes()})
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("set", pa.binary()), ("items", pa.binary())]))
-    texts = docs.join(_few(ids), docs["id"].eqNullSafe(ids["id"])).select("text", "set")
+    # many ids: the texts are shuffled, but not those that nobody wants
+    some = docs if few else _listed(docs, ids)
+    texts = some.join(F.broadcast(ids) if few else ids, some["id"].eqNullSafe(ids["id"])).select("text", "set")
     # a repeated id may yield a set twice, from two tasks
-    return shared_table(texts.mapInArrow(run, "set binary, items binary").dropDuplicates(["set"]), "sets")
+    sets = passing_table(texts.mapInArrow(run, "set binary, items binary").dropDuplicates(["set"]), "sets")
+    drop_tables(ids)
+    return sets
 
 
 def _linked(items_a, items_b, percent: int):
@@ -273,34 +305,40 @@ def _hot_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         got = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("items")]
         forest = _block_forest(table.column("set").to_pylist(), table.column("side").to_pylist(), got, percent)
         return pa.table({"a": pa.array([a for a, _ in forest], pa.binary()), "b": pa.array([b for _, b in forest], pa.binary())})
-    return dealt.join(sets, "set").groupBy("hot", "i", "j").applyInArrow(run, "a binary, b binary")
+    items = sets.join(_few(groups.select("set")), "set", "left_semi")
+    return dealt.join(items, "set").groupBy("hot", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
     """(id, n_shingles, component_id) for every row of ``docs``; ids are whole numbers."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    digest = shared_table(_digest(docs, size), "digest")
+    digest = passing_table(_digest(docs, size), "digest")
     rows = digest.where("segment IS NULL").select("id", "n", "set")
-    classes = shared_table(rows.where("n > 0").groupBy("set").agg(F.min("id").alias("id")), "classes")
+    classes = passing_table(rows.where("n > 0").groupBy("set").agg(F.min("id").alias("id")), "classes")
     counts = spark.sparkContext.broadcast(_sum_counts(digest.where("segment IS NOT NULL").select("segment", "part", "counts")))
     postings = _shared_postings(_prefixes(docs.select("text"), counts, size, percent), percent)
 
     hot = components(postings.where(F.col("df") > COLD).select(F.col("set").alias("a"), F.col("low").alias("b")))
-    hot = shared_table(hot.select(F.col("node").alias("set"), F.col("root").alias("hot")), "hot")
+    hot = passing_table(hot.select(F.col("node").alias("set"), F.col("root").alias("hot")), "hot")
     of = lambda x: hot.select(F.col("set").alias(x), F.col("hot").alias(f"hot_{x}"))
     pairs = _cold_pairs(postings, percent).join(of("a"), "a", "left").join(of("b"), "b", "left").where(
         "hot_a IS NULL OR hot_b IS NULL OR hot_a != hot_b").select("a", "b")
-    pairs = shared_table(pairs, "pairs")
+    pairs = passing_table(pairs, "pairs")
+    drop_tables(postings)
     wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).union(hot.select("set")).distinct()
     sets = _sets_of(docs, classes, wanted, size)
-    links = _cold_links(pairs, sets, percent).union(_hot_links(hot, sets, percent))
+    # one after the other, so the shuffled sets of the first are gone when the second begins
+    links = [passing_table(x, "links") for x in (_cold_links(pairs, sets, percent), _hot_links(hot, sets, percent))]
+    drop_tables(pairs, sets, hot)
 
-    found = components(links).select(F.col("node").alias("set"), "root")
-    found = shared_table(classes.join(found, "set", "left"), "found")
+    found = components(links[0].union(links[1])).select(F.col("node").alias("set"), "root")
+    found = passing_table(classes.join(found, "set", "left"), "found")
+    drop_tables(classes, *links)
     named = found.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("component_id"))
-    of_set = shared_table(found.join(named, "root", "left").select(
+    of_set = passing_table(found.join(named, "root", "left").select(
         "set", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")), "named")
+    drop_tables(found)
     return rows.join(of_set, "set", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))

@@ -101,6 +101,61 @@ def test_jaccard_of_small_sets_at_half(spark, monkeypatch, cold):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 1, 50)
 
 
+@pytest.mark.parametrize("few", [500_000, 2])
+def test_jaccard_drops_the_tables_of_its_steps(spark, monkeypatch, tmp_path, few):
+    """They were kept, so the disk had to hold all of them at once; for a long list of ids all texts were shuffled."""
+    import os
+
+    from corpusweave.llm import common
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(common, "ensure_checkpoint_dir", lambda s: f"file://{tmp_path}")
+    joined, listed = [], jaccard._listed
+    monkeypatch.setattr(jaccard, "_listed", lambda docs, ids: joined.append(listed(docs, ids)) or joined[-1])
+    rows = [(i, f"only {i} words {i * 7} of {i * 11} text {i * 13} are {i * 17} here") for i in range(300)]
+    rows += [(1000 + i, " ".join(f"near{j}" for j in range(60)) + f" last{i % 4}") for i in range(6)]
+    rows += [(None, rows[3][1]), (None, "no id here at all"), (None, "no id here at all"), rows[8]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.jaccard_components(docs)
+    left = sorted(x.split("-")[0] for x in os.listdir(tmp_path))
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(rows, 4, 85)
+    assert set(left) == {"digest", "edges", "named"} and left.count("edges") <= 2
+    assert len(joined) == (few == 2)
+
+
+def test_shuffle_files_go_with_the_query_that_made_them(spark, tmp_path, monkeypatch):
+    import time
+
+    from corpusweave.llm import common
+    monkeypatch.setattr(common, "ensure_checkpoint_dir", lambda s: f"file://{tmp_path}")
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = disk.getAllFiles()
+        return {name for i in range(found.size()) if "shuffle" in (name := found.apply(i).getName())}
+    before = files()
+    out = common.passing_table(spark.range(20_000).repartition(5, "id"), "numbers")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and out.count() == 20_000
+    assert spark.conf.get(common._FREE) == "false"  # as it was
+
+
+def test_a_text_is_kept_if_its_id_is_listed(spark):
+    docs = spark.createDataFrame([(i if i else None, "t") for i in range(20_000)], "id long, text string")
+    ids = spark.createDataFrame([(None,), (5,), (5000,), (-1,)], "id long")
+    got = [r.id for r in jaccard._listed(docs, ids).collect()]
+    assert {None, 5, 5000} <= set(got) and len(got) < 50
+
+
+def test_copies_do_not_make_a_shingle_frequent(spark):
+    """Rows were counted, so two sets of many copies made their shingles hot."""
+    rows = [(t, s, 10, 1) for t in (1, 2) for s in (b"a", b"b")] * 200 + [(3, b"a", 10, 1)] * 200
+    got = jaccard._shared_postings(spark.createDataFrame(rows, "token long, set binary, n long, level int"), 85).collect()
+    assert Counter((r.token, bytes(r.set), r.df, bytes(r.low)) for r in got) == Counter((t, s, 2, b"a") for t in (1, 2) for s in (b"a", b"b"))
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, 100 + i) for i in range(1, 30)] + [(5, 5)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
