@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from corpusweave.config import BFS_DEPTH, HOP_DECAY, MAX_SYMBOLS
 from corpusweave.functions.ids import module_of
-from corpusweave.session import materialize
+from corpusweave.session import materialize, spread
 
 
 # ---------------------------------------------------------------- G1, G2
@@ -105,7 +105,7 @@ def callees_of(edges: DataFrame, ids: DataFrame, id_col: str = "symbol_id") -> D
 def dependencies_of(imports: DataFrame, files: DataFrame, path_col: str = "path") -> DataFrame:
     """Import statements of each file in ``files``."""
     imp = imports.select(F.col("path").alias("file"), "pos", "import_text")
-    return files.select(F.col(path_col).alias("file")).join(imp, "file")
+    return files.select(F.col(path_col).alias("file")).join(spread(imp), "file")
 
 
 # ---------------------------------------------------------------- G8
@@ -133,8 +133,8 @@ def substring_matches(needles: DataFrame, hay: DataFrame, needle_col: str = "mod
     places = t.select("text", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("at"), F.length("text").alias("all"))
     windows = places.select("text", "at", "all", F.explode(sizes).alias("class")).where("at + class - 1 <= all").withColumn(
         "window", F.expr("substring(text, at, class)"))
-    cut = windows.join(firsts, ["class", "window"]).where("at + n - 1 <= all").select("text", F.expr("substring(text, at, n)").alias("module"))
-    return cut.distinct().join(m.select("module"), "module", "left_semi").select("module", "text")
+    cut = windows.join(spread(firsts), ["class", "window"]).where("at + n - 1 <= all").select("text", F.expr("substring(text, at, n)").alias("module"))
+    return cut.distinct().join(spread(m.select("module")), "module", "left_semi").select("module", "text")
 
 
 def imported_module_prefixes(imports: DataFrame) -> DataFrame:
@@ -163,8 +163,8 @@ def dependents_of(imports: DataFrame, files: DataFrame, path_col: str = "path",
         return (targets.join(pref, targets["module"] == pref["prefix"])
                        .select("file", F.col("path").alias("dependent")).distinct())
     hits = substring_matches(targets, imports.select(F.col("import_text").alias("text")))
-    return (targets.join(hits, "module")
-                   .join(imports, F.col("text") == imports["import_text"])
+    return (targets.join(spread(hits), "module")
+                   .join(spread(imports), F.col("text") == imports["import_text"])
                    .select("file", F.col("path").alias("dependent")).distinct())
 
 
@@ -215,10 +215,10 @@ def graph_expand(seeds: DataFrame, edges: DataFrame, depth: int = BFS_DEPTH,
         if prune:
             active = (visited.groupBy("query_id").agg(F.count("*").alias("_n"))
                              .where(F.col("_n") < budget).select("query_id"))
-            frontier = frontier.join(active, "query_id", "left_semi")
-        step = (frontier.join(und, frontier["symbol"] == und["src"])
+            frontier = frontier.join(spread(active), "query_id", "left_semi")
+        step = (frontier.join(spread(und), frontier["symbol"] == und["src"])
                         .select("query_id", F.col("dst").alias("symbol")).distinct())
-        new = step.join(visited, ["query_id", "symbol"], "left_anti").withColumn("hop", F.lit(h + 1))
+        new = step.join(spread(visited), ["query_id", "symbol"], "left_anti").withColumn("hop", F.lit(h + 1))
         visited = visited.unionByName(new)
         if materialize_steps and h < depth - 1:
             # long walks also cut the lineage with a reliable checkpoint
@@ -239,8 +239,8 @@ def related_files(imports: DataFrame, hit_files: DataFrame, mode: str = "contain
     deps = dependencies_of(imports, files).select("file", F.col("import_text").alias("item"))
     dnts = dependents_of(imports, files, mode=mode).select("file", F.col("dependent").alias("item"))
     hf = hit_files.select("query_id", F.col("path").alias("file")).distinct()
-    d = hf.join(deps, "file").select("query_id", F.lit("dependency").alias("kind"), "item")
-    t = hf.join(dnts, "file").select("query_id", F.lit("dependent").alias("kind"), "item")
+    d = hf.join(spread(deps), "file").select("query_id", F.lit("dependency").alias("kind"), "item")
+    t = hf.join(spread(dnts), "file").select("query_id", F.lit("dependent").alias("kind"), "item")
     both = d.union(t)
     rel = both.select("query_id", F.lit("related").alias("kind"), "item")
     return both.union(rel).distinct()

@@ -9,7 +9,7 @@ from corpusweave.config import BFS_DEPTH, GRAPH_DEFAULT_SCORE, MAX_SYMBOLS, TOP_
 from corpusweave.operators import graph as G
 from corpusweave.operators.segments import positions
 from corpusweave.operators.vectors import semantic_topk
-from corpusweave.session import materialize
+from corpusweave.session import materialize, spread
 
 
 def hybrid_retrieve(queries: DataFrame, vectors: DataFrame, chunk_meta: DataFrame,
@@ -40,13 +40,13 @@ def hybrid_retrieve_parts(queries: DataFrame, vectors: DataFrame, chunk_meta: Da
     """
     sem = semantic_topk(queries, vectors, k=k, **topk_opts)
     # read three times below: compute the Python top-k stage once
-    sem = materialize(sem.join(chunk_meta.select("chunk_id", "symbol_id"), "chunk_id", "left"))
+    sem = materialize(sem.join(spread(chunk_meta.select("chunk_id", "symbol_id")), "chunk_id", "left"))
     seeds = sem.where(F.col("symbol_id").isNotNull()).select("query_id", F.col("symbol_id").alias("symbol"))
     expanded = G.graph_expand(seeds, edges, depth=depth, budget=budget)
-    gchunks = (expanded.join(symbols.select("symbol_id", "chunk_id").where(F.col("chunk_id").isNotNull()),
+    gchunks = (expanded.join(spread(symbols.select("symbol_id", "chunk_id").where(F.col("chunk_id").isNotNull())),
                              expanded["symbol"] == symbols["symbol_id"])
                        .select("query_id", "chunk_id", "symbol_id", "score", "hop"))
-    gonly = gchunks.join(sem.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    gonly = gchunks.join(spread(sem.select("query_id", "chunk_id")), ["query_id", "chunk_id"], "left_anti")
     both = (sem.select("query_id", "chunk_id", "symbol_id", F.lit(1.0).alias("score"),
                        F.lit("semantic").alias("source"), "distance", F.lit(None).cast("int").alias("hop"))
             .unionByName(gonly.select("query_id", "chunk_id", "symbol_id",
@@ -94,9 +94,9 @@ def retrieval_summary(hits: DataFrame, expanded: DataFrame, related: DataFrame,
         F.sort_array(F.collect_set(F.when(F.col("kind") == "dependency", F.col("item")))).alias("dependencies"),
         F.sort_array(F.collect_set(F.when(F.col("kind") == "dependent", F.col("item")))).alias("dependents"),
         F.sort_array(F.collect_set(F.when(F.col("kind") == "related", F.col("item")))).alias("related_files"))
-    ch = (hits.join(chunks.select("chunk_id", "path", "start_line", "end_line", "content"), "chunk_id", "left")
+    ch = (hits.join(spread(chunks.select("chunk_id", "path", "start_line", "end_line", "content")), "chunk_id", "left")
               .groupBy("query_id")
               .agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id", "symbol_id", "path", "start_line",
                                                         "end_line", "score", "source", "distance",
                                                         "content"))).alias("chunks")))
-    return seeds.join(exp, "query_id", "full").join(rel, "query_id", "left").join(ch, "query_id", "left")
+    return seeds.join(spread(exp), "query_id", "full").join(spread(rel), "query_id", "left").join(spread(ch), "query_id", "left")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusweave.operators import vectors
-from corpusweave.session import materialize
+from corpusweave.session import materialize, spread
 from corpusweave.sources.tables import table
 
 
@@ -668,7 +668,7 @@ def q_code_search(spark, d):
     # per-query results (at most queries x (k + budget) rows) feed several
     # branches below: compute them once
     hits, expanded = materialize(hits), materialize(expanded)
-    meta = hits.join(chunks.select("chunk_id", "path", "start_line", "end_line", "content"), "chunk_id")
+    meta = hits.join(spread(chunks.select("chunk_id", "path", "start_line", "end_line", "content")), "chunk_id")
     hit_files = materialize(meta.select("query_id", "path").distinct())
     related = materialize(G.related_files(idx["imports"], hit_files))
     summary = R.retrieval_summary(hits, expanded, related, chunks)
@@ -676,7 +676,7 @@ def q_code_search(spark, d):
     tickets = qs.select("query_id", F.concat(F.lit("S-"), F.col("query_id").cast("string")).alias("ticket_key"),
                         F.lit("").alias("url"), "query")
     prompts = P.assemble(tickets, summary, P.render_chunks(meta), files)
-    return summary.join(prompts.select("query_id", "prompt"), "query_id", "left").select(
+    return summary.join(spread(prompts.select("query_id", "prompt")), "query_id", "left").select(
         "query_id", "seed_symbols", "expanded_symbols", "symbol_scores", "dependencies", "dependents",
         "related_files", F.size("chunks").alias("n_chunks"), "chunks", "prompt")
 

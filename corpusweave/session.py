@@ -88,6 +88,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base.rstrip("/"), name)
 
 
+def spread(df):
+    """``df`` as a side of a join that no side of is broadcast. Spark takes a scan's size from its files or its cached columns;
+    source text and ids are many times as large as rows, all of which a broadcast puts into the driver's memory."""
+    return df.hint("merge")
+
+
 def materialize(df, reliable: bool = True):
     """Compute ``df`` once so later plans read it instead of re-running it.
 

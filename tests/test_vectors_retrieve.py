@@ -277,3 +277,30 @@ def test_visits_are_sent_on_in_bounded_pieces(spark, monkeypatch):
     batch = pa.record_batch({"id": pa.array(range(9)), "vec": pa.array([[1.0, 2.0, 3.0, i] for i in range(9)]), "bound": pa.array([None] * 9, pa.float64())})
     out = list(made[0]([batch]))
     assert max(b.num_rows for b in out) == 10 and sum(b.num_rows for b in out) == 9 * 6  # all but the first cluster of each
+
+
+def test_source_text_and_ids_are_not_broadcast(spark, tmp_path):
+    """Spark took their size from compressed files: 360,000 source files from 1.6 MB were a broadcast of 157 MB that the driver built."""
+    from corpusweave.operators import graph as G
+    from corpusweave.operators import prompts as P
+    from corpusweave.operators import retrieve as R
+
+    def kept(rows, schema, name):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+    chunks = kept([(f"c{i}", f"a{i}.py", i, i, "x") for i in range(4)], "chunk_id string, path string, start_line int, end_line int, content string", "chunks")
+    imports = kept([(f"a{i}.py", 0, f"import a{i + 1}") for i in range(4)], "path string, pos int, import_text string", "imports")
+    edges = kept([(f"n{i}", f"n{i + 1}") for i in range(4)], "src string, dst string", "edges")
+    hits = kept([(1, 1, "c0", "n0", 1.0, "semantic", 0.1, None)],
+                "query_id long, rank int, chunk_id string, symbol_id string, score double, source string, distance double, hop int", "hits")
+    sources = kept([(f"a{i}.py", b"x") for i in range(4)], "path string, content binary", "sources")
+    asked = kept([(1, "a1.py")], "query_id long, path string", "asked")
+    expanded = G.graph_expand(hits.select("query_id", F.col("symbol_id").alias("symbol")), edges)
+    related = G.dependencies_of(imports, asked.select("path").distinct())
+    files = P.gather_full_files(asked, sources)
+    listed = R.retrieval_summary(hits, spark.createDataFrame([], expanded.schema), G.related_files(imports, asked).limit(0), chunks).select("query_id", "chunks")
+    for df in (expanded, related, files, listed):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "SortMergeJoin" in plan, plan
+    assert sorted(r.symbol for r in expanded.collect()) == ["n0", "n1", "n2"]
+    assert [r.import_text for r in related.collect()] == ["import a2"] and [r.path for r in files.collect()] == ["a1.py"]
